@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import frames, line_rules, packing, sstable
+from . import frames, line_dedup, line_rules, packing, sstable, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,6 +21,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(frames.documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed_lines", "n_removed_words", F.length("text").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = frames.shared_folder(spark)
     docs = frames.documents(spark, sf_dir)
@@ -31,17 +37,57 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(frames.documents(spark, sf_dir))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = warc.resolve_revisits(warc.records_of_pages(pages))
+    return found.select(
+        "record_id", "canonical_url", "captured", "source_id", "valid",
+        F.element_at("headers", "date").alias("merged_date"), F.element_at("headers", "content-type").alias("merged_type"),
+        F.length("body").cast("long").alias("body_chars"), F.md5(F.col("body")).alias("body_md5"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(frames.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op4_token_sstable": op4_token_sstable,
         "op7_line_rules": op7_line_rules,
+        "op8_warc_revisits": op8_warc_revisits,
         "op9_packing": op9_packing,
     }
 
 
+def _canonical_sql() -> str:
+    out = "lower(trim(url))"
+    for pattern, by in warc.CANONICAL:
+        by = by.replace("$1", "\\1").replace("$3", "\\3")
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"nullif({out}, '')"
+
+
+def _op8_sql() -> str:
+    return f"""
+    WITH p AS (SELECT page_id, html, {_canonical_sql()} AS canonical_url, md5(html) AS tag FROM pages),
+    q AS (SELECT page_id, canonical_url, tag, page_id + coalesce(length(html), 0) AS later FROM p),
+    s AS (
+      SELECT 2 * q.page_id + 1 AS record_id, q.canonical_url, 2 * q.later + 1 AS captured, q.tag, q.later, max(r.page_id) AS source
+      FROM q LEFT JOIN p r ON r.canonical_url = q.canonical_url AND 2 * r.page_id < 2 * q.later + 1
+      GROUP BY ALL
+    )
+    SELECT record_id, s.canonical_url, captured, 2 * source AS source_id,
+      source IS NOT NULL AND s.tag IS NOT DISTINCT FROM p.tag AS valid,
+      CASE WHEN source IS NOT NULL AND s.tag IS NOT DISTINCT FROM p.tag THEN CAST(later AS VARCHAR) END AS merged_date,
+      CASE WHEN source IS NOT NULL AND s.tag IS NOT DISTINCT FROM p.tag THEN 'text/html' END AS merged_type,
+      CASE WHEN source IS NOT NULL AND s.tag IS NOT DISTINCT FROM p.tag THEN length(p.html) END AS body_chars,
+      CASE WHEN source IS NOT NULL AND s.tag IS NOT DISTINCT FROM p.tag THEN md5(p.html) END AS body_md5
+    FROM s LEFT JOIN p ON p.page_id = s.source
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express."""
+    return {"op8_warc_revisits": _op8_sql()}
