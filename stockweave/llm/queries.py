@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, line_dedup, line_rules, packing, sstable, warc
+from . import frames, line_dedup, line_rules, ngram_join, packing, sstable, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,6 +33,10 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_digest(manifest, folder)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(frames.documents(spark, sf_dir))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(frames.documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
         "op4_token_sstable": op4_token_sstable,
+        "op5_ngram_join": op5_ngram_join,
         "op7_line_rules": op7_line_rules,
         "op8_warc_revisits": op8_warc_revisits,
         "op9_packing": op9_packing,
