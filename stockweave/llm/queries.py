@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, line_dedup, line_rules, ngram_join, packing, sstable, warc
+from . import decontaminate, frames, line_dedup, line_rules, ngram_join, packing, sstable, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -21,6 +21,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(frames.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(frames.documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed_lines", "n_removed_words", F.length("text").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
@@ -57,6 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op3_line_dedup": op3_line_dedup,
         "op4_token_sstable": op4_token_sstable,
         "op5_ngram_join": op5_ngram_join,
