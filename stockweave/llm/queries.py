@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, frames, line_dedup, line_rules, ngram_join, packing, sstable, warc
+from . import decontaminate, frames, line_dedup, line_rules, ngram_join, packing, quality, sstable, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(frames.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(frames.documents(spark, sf_dir), frames.labels(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(frames.documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed_lines", "n_removed_words", F.length("text").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
@@ -41,6 +45,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(frames.documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(frames.documents(spark, sf_dir), frames.labels(spark, sf_dir))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(frames.documents(spark, sf_dir))
 
@@ -62,9 +70,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_quality_crf": op2_quality_crf,
         "op3_line_dedup": op3_line_dedup,
         "op4_token_sstable": op4_token_sstable,
         "op5_ngram_join": op5_ngram_join,
+        "op6_toxicity": op6_toxicity,
         "op7_line_rules": op7_line_rules,
         "op8_warc_revisits": op8_warc_revisits,
         "op9_packing": op9_packing,
