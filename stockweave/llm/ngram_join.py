@@ -23,6 +23,9 @@ look at, in blocks of ``BLOCK`` documents, so no task holds a group.  No pair is
 dropped: every two documents that share a prefix shingle are either verified,
 excluded by a filter, or known to be in one component.
 
+Joins are told to shuffle: every side here grows with the input, so none may be
+broadcast because it happens to be small.
+
 Copies take part once for each batch of rows they are read in, so a text that a
 third of all rows repeat is no hot key.  Nothing but the sketch, of fixed size,
 goes through the driver.
@@ -275,7 +278,7 @@ def _candidate_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([histogram(x) for x in one], pa.binary()), pa.array([x.tobytes() for x in one], pa.binary())], names=["doc", "n", "parts", "members"])
 
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    return frames.arrow(docs.join(wanted, "doc", "left_semi"), run, "doc long, n long, parts binary, members binary")
+    return frames.arrow(docs.join(wanted.hint("merge"), "doc", "left_semi"), run, "doc long, n long, parts binary, members binary")
 
 
 def _similar(kept: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -300,7 +303,7 @@ def _similar(kept: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     def side(names: list[str], key: str) -> DataFrame:
-        return kept.select(F.col("doc").alias(key), *[F.col(n).alias(f"{n}_{key}") for n in names])
+        return kept.select(F.col("doc").alias(key), *[F.col(n).alias(f"{n}_{key}") for n in names]).hint("merge")
 
     near = pairs.join(side(["n", "parts"], "a"), "a").join(side(["n", "parts"], "b"), "b").select("a", "b", "n_a", "n_b", "parts_a", "parts_b")
     passed = frames.keep(frames.arrow(near, suffix, "a long, b long"))
@@ -317,9 +320,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = frames.keep(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = frames.keep(large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(v, u) >> 20"))).first())
         if now == state or not now[0]:
             break
@@ -331,9 +334,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _between(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """Pairs of large groups that link no component yet: block against block."""
-    own = members.join(labels, members["a"] == labels["node"], "left").select("h", F.col("a").alias("doc"), "n", "pos", F.coalesce("component", "a").alias("label"))
+    own = members.join(labels.hint("merge"), members["a"] == labels["node"], "left").select("h", F.col("a").alias("doc"), "n", "pos", F.coalesce("component", "a").alias("label"))
     mixed = own.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    own = own.join(mixed, "h", "left_semi")
+    own = own.join(mixed.hint("merge"), "h", "left_semi")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, count = None, 0
@@ -353,7 +356,7 @@ def _between(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = frames.keep(frames.arrow(own.repartition(n, "h").sortWithinPartitions("h", "n", "doc"), number, "h long, doc long, n int, pos int, label long, block int"))
     top = rows.groupBy("h").agg(F.max("block").alias("top"))
-    dealt = rows.join(top, "h").withColumn("other", F.explode(F.sequence(F.lit(0), "top")))
+    dealt = rows.join(top.hint("merge"), "h").withColumn("other", F.explode(F.sequence(F.lit(0), "top")))
     dealt = dealt.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc", "n", "pos", "label", "block")
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -405,8 +408,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     salted = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     mine = rows.withColumn("mine", F.pmod(F.xxhash64("doc"), F.lit(16)).cast("int"))
     on = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("mine") == F.col("salt")) & (F.col("n") > 0) & F.col("doc").isNotNull()
-    with_class = mine.join(salted, on, "left").select("doc", "n", F.coalesce("rep", "doc").alias("class"))
+    with_class = mine.join(salted.hint("merge"), on, "left").select("doc", "n", F.coalesce("rep", "doc").alias("class"))
     hot = labels.select("node", "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     mine = with_class.withColumn("mine", F.pmod(F.xxhash64("doc"), F.lit(16)).cast("int"))
-    joined = mine.join(hot, (F.col("class") == F.col("node")) & (F.col("mine") == F.col("salt")), "left")
+    joined = mine.join(hot.hint("merge"), (F.col("class") == F.col("node")) & (F.col("mine") == F.col("salt")), "left")
     return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"), F.col("class").alias("class_id"))
