@@ -274,3 +274,21 @@ def quality(docs: DataFrame, labels: DataFrame, fold: int = 5, rest: int = 0, th
     model = train(docs, labels, ~frames.held_out(F.col("id"), fold, rest), **bounds)
     out = score(docs, model)
     return out.select("doc_id", frames.held_out(F.col("doc_id"), fold, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "goodness", "n_words", "n_lines")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 5, rest: int = 0, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", **bounds) -> DataFrame:
+    """The rows with a score of at least ``threshold``, unchanged, in one pass."""
+    slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(train(slim, labels, ~frames.held_out(F.col("id"), fold, rest), **bounds))
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta, step, beta = sent.value
+        for b in batches:
+            good = [np.zeros(0, bool)]
+            for _, _, text, starts in kernel.blocks(b.column(at), 1 << 20):
+                g, low, total, _ = goodness(text, starts, theta, step)
+                good.append(1 / (1 + np.exp(-np.clip(score_features(g, low, total) @ beta, -30, 30))) >= threshold)
+            yield b.filter(pa.array(np.concatenate(good)))
+
+    return frames.arrow(docs, run, docs.schema)

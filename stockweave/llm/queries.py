@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, frames, line_dedup, line_rules, ngram_join, packing, quality, sstable, toxicity, warc
+from . import decontaminate, frames, hmm_lm, line_dedup, line_rules, ngram_join, packing, quality, sstable, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -67,6 +67,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(frames.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_documents(frames.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_rules": op7_line_rules,
         "op8_warc_revisits": op8_warc_revisits,
         "op9_packing": op9_packing,
+        "op10_hmm_lm": op10_hmm_lm,
     }
 
 
