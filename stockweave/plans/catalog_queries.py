@@ -1,9 +1,14 @@
-"""Queries of the catalog engine over the driver's tables."""
+"""All queries of the catalog engine over the driver's tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import q_facets, q_filters, q_ingest, q_scalars, q_search  # noqa: F401  they register queries
+from .registry import ORACLES, QUERIES
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
