@@ -7,13 +7,13 @@ wherever the item stands, such a window on the grid lies inside it.  Its place i
 of ``n - W + 1``, and the item's side has a fingerprint for each of them; so a
 copy meets a fingerprint of exactly its own words.
 
-Fingerprints have 56 bits: bit by bit, the majority of the words' hashes.  The
-counts of a grid cell are kept as 4-bit lanes of four numbers, and windows are
+Fingerprints have 56 bits: bit by bit, the majority of the hashes of the window's
+word pairs (first and second word, third and fourth, ...).  The counts of a grid cell are kept as 4-bit lanes of four numbers, and windows are
 sums of cells, so each cell is counted once for all window sizes.
 
-Multi-index: a fingerprint is four blocks of 14 bits.  Of two fingerprints
-within ``RADIUS`` = 7 bits, at least one block differs in one bit or none.  The
-item's side lists each block with its 14 one-bit neighbours; an equality join by
+Multi-index: a fingerprint is three blocks of 19, 19 and 18 bits.  Of two
+fingerprints within ``RADIUS`` = 5 bits, at least one block differs in one bit or
+none.  The item's side lists each block with its one-bit neighbours; an equality join by
 block therefore finds *all* fingerprints within the radius, and the Hamming
 distance is checked.  A candidate fixes where the item would begin; the document's words there are compared with the item's by
 multiplicity-weighted Jaccard similarity of five-word shingles, exactly.
@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-RADIUS = 7
+RADIUS = 5
 SIMILARITY = 0.75
 SHINGLE = 5
 BROADCAST_BYTES = 64 << 20
 _ROW_BYTES = 64
 #: Window sizes in grid cells: each is a sum of two before it, and less than half
 #: an item stays outside its window.  Longer items have several windows inside.
-SIZES = (1, 2, 3, 4, 6, 8, 12)
-_BLOCKS, _BITS = 4, 14
+SIZES = (1, 2, 4, 8, 12)
+_BLOCKS, _BITS = 3, 19
 _NIBBLES = 0x0011111111111111
 _BYTES = 0x000F0F0F0F0F0F0F
 _TOP = 0x0080808080808080
@@ -55,10 +55,16 @@ def word_hashes(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)))
 
 
-def cell_counts(hashes: str, grid: int, j: int) -> Column:
+def pair_hashes(words: str) -> Column:
+    """Hashes of the first and second word, the third and fourth, and so on."""
+    return F.expr(f"transform(sequence(0, CAST(floor(size({words}) / 2) AS INT) - 1), c -> xxhash64({words}[2 * c], {words}[2 * c + 1]))")
+
+
+def cell_counts(pairs: str, grid: int, j: int) -> Column:
     """Of each whole grid cell, counts of every fourth bit from ``j`` on, in 4-bit lanes."""
-    terms = " + ".join(f"({f'shiftrightunsigned({hashes}[c * {grid} + {t}], {j})' if j else f'{hashes}[c * {grid} + {t}]'} & {_NIBBLES}L)" for t in range(grid))
-    return F.expr(f"transform(sequence(0, CAST(floor(size({hashes}) / {grid}) AS INT) - 1), c -> {terms})")
+    half = grid // 2
+    terms = " + ".join(f"({f'shiftrightunsigned({pairs}[c * {half} + {t}], {j})' if j else f'{pairs}[c * {half} + {t}]'} & {_NIBBLES}L)" for t in range(half))
+    return F.expr(f"transform(sequence(0, CAST(floor(size({pairs}) / {half}) AS INT) - 1), c -> {terms})")
 
 
 def _add_bit(bias: int, k: int):
@@ -73,7 +79,8 @@ def with_fingerprints(rows: DataFrame, words: str, sizes: list[int], grid: int)
     Everything is done on whole arrays: sums of two cells, of four as two sums of
     two, and so on, lane by lane."""
     keep = rows.columns
-    rows = rows.select(*keep, *[cell_counts(words, grid, j).alias(f"__n{j}") for j in range(4)])
+    rows = rows.select(*keep, pair_hashes(words).alias("__pairs"))
+    rows = rows.select(*keep, *[cell_counts("__pairs", grid, j).alias(f"__n{j}") for j in range(4)])
     lanes = [F.transform(f"__n{k // 2}", (lambda x: F.shiftrightunsigned(x, 4).bitwiseAND(F.lit(_BYTES))) if k % 2 else (lambda x: x.bitwiseAND(F.lit(_BYTES)))) for k in range(8)]
     rows = rows.select(*keep, *[x.alias(f"__1_{k}") for k, x in enumerate(lanes)])
     have, done = [1], []
@@ -84,7 +91,7 @@ def with_fingerprints(rows: DataFrame, words: str, sizes: list[int], grid: int)
             rows = rows.select(*keep, *done, *[f"__{h}_{k}" for h in have for k in range(8)], *sums)
             have.append(m)
         if m in sizes:
-            bias = _ONES * (127 - m * grid // 2)
+            bias = _ONES * (127 - m * grid // 4)
             fp = F.transform(f"__{m}_0", lambda x: (x + F.lit(bias)).bitwiseAND(F.lit(_TOP)))
             for k in range(1, 8):
                 fp = F.zip_with(fp, f"__{m}_{k}", _add_bit(bias, k))
@@ -139,8 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
 
     words = docs.select(F.col(id_column).cast("long").alias("doc"), word_hashes(F.col(text_column)).alias("words"))
     prints = with_fingerprints(words.filter(F.size("words") >= min(sizes) * grid), "words", sizes, grid)
-    prints = prints.select("doc", "words", F.posexplode(F.arrays_zip(*[f"fp_{m}" for m in sizes])).alias("cell", "fp"))
-    fps = [F.col("fp")[f"fp_{m}"] for m in sizes]
+    prints = prints.select("*", F.explode(F.sequence(F.lit(0), F.size(f"fp_{sizes[0]}") - 1)).alias("cell"))
+    fps = [F.get(f"fp_{m}", F.col("cell")) for m in sizes]
     prints = prints.select("doc", "words", "cell", F.array(*fps).alias("fps"), F.array(*[block_key(fp, m, j) for fp, m in zip(fps, sizes) for j in range(_BLOCKS)]).alias("keys"))
     probes = prints.select("doc", "words", "cell", "fps", F.explode("keys").alias("key")).filter("key IS NOT NULL")
     met = probes.join(F.broadcast(index) if small else index, "key")
@@ -148,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     begin = F.col("cell") * grid - F.col("phase")
     close = met.withColumn("distance", F.bit_count(own.bitwiseXOR(F.col("item_fp")))).filter(F.col("distance") <= RADIUS).withColumn("begin", begin)
     close = close.filter((F.col("begin") >= 0) & (F.col("begin") + F.col("item_n") <= F.size("words")))
-    # Each place once: a window meets its item in up to four blocks.
+    # Each place once: a window meets its item in up to three blocks.
     place = close.select("doc", "item", "begin", "item_n", "distance", F.slice("words", F.col("begin") + 1, F.col("item_n")).alias("there"))
     place = place.groupBy("doc", "item", "begin", "item_n", "there").agg(F.min("distance").alias("distance"))
     side = items.select(F.col("item").alias("__item"), shingles(F.col("item_words")).alias("item_shingles"), F.col("item_words").alias("__words")).dropDuplicates(["__item", "__words"])
