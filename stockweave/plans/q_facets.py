@@ -1 +1,195 @@
+"""Queries of aggregations and facets."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import facets as A
+from ..operators import filters as P
+from ..sources import catalog as C
+from .params import Filter
+from .registry import query
+
+
+def _values(spark, d, *names, variants=False):
+    fv = C.facet_values(C.items(spark, d), C.variants(spark, d) if variants else None)
+    return fv.filter(F.col("name").isin(*names)) if names else fv
+
+
+_W = f"WITH {C.SQL} "
+
+
+@query("entry_brand_facet", _W + "SELECT brand AS value, count(*) AS doc_count FROM items WHERE size BETWEEN 10 AND 20 GROUP BY brand")
+def entry_brand_facet(spark, d):
+    items = C.items(spark, d)
+    kept = P.apply_filters(items, C.facet_values(items), [Filter("size", "number", low=10, high=20)])
+    return A.term_facet(C.facet_values(kept).filter("name = 'brand'")).select("value", "doc_count")
+
+
+_TERM = """, raw AS (SELECT name, value, value_norm, count(DISTINCT doc_id) AS n FROM fv WHERE {w} GROUP BY ALL),
+ top AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS r FROM raw)
+ SELECT name, arg_max(value, (n, value)) AS value, CAST(sum(n) AS BIGINT) AS doc_count FROM top WHERE r <= 100 GROUP BY name, value_norm"""
+
+
+@query("agg_term_facet", _W + _TERM.format(w="kind = 'term' AND variant_pos IS NULL"))
+def agg_term_facet(spark, d):
+    return A.term_facet(_values(spark, d, "brand", "type"))
+
+
+@query("agg_variant_facet", _W + _TERM.format(w="kind = 'term' AND variant_pos IS NOT NULL"))
+def agg_variant_facet(spark, d):
+    return A.term_facet(P.level_rows(_values(spark, d, "color", "status", variants=True), "VARIANT"))
+
+
+@query("agg_category_facet", _W + "SELECT name, value AS path, CAST(len(string_split(value, '/')) AS INTEGER) AS level, count(DISTINCT doc_id) AS doc_count FROM fv WHERE kind = 'path' GROUP BY ALL")
+def agg_category_facet(spark, d):
+    return A.path_facet(_values(spark, d, "category"))
+
+
+@query("agg_interval_facet")
+def agg_interval_facet(spark, d):
+    return A.merge_intervals(A.histogram(_values(spark, d, "size")))
+
+
+@query("agg_interval_n", _W + "SELECT name, floor(num_value / 100) * 100 AS lower, count(DISTINCT doc_id) AS doc_count FROM fv WHERE name = 'price' GROUP BY ALL")
+def agg_interval_n(spark, d):
+    return A.histogram(_values(spark, d, "price"), 100.0)
+
+
+@query("agg_fixed_ranges", _W + "SELECT 'price' AS name, CASE WHEN price < 950 THEN 'low' WHEN price < 1200 THEN 'mid' ELSE 'high' END AS label, count(*) AS doc_count FROM items GROUP BY ALL")
+def agg_fixed_ranges(spark, d):
+    return A.fixed_ranges(_values(spark, d, "price"), [(None, 950, "low"), (950, 1200, "mid"), (1200, None, "high")])
+
+
+@query("agg_range_facet", _W + "SELECT name, ceil(min(num_value) * 100 - 0.5) / 100 AS lower, floor(max(num_value) * 100 + 0.5) / 100 AS upper, count(*) AS doc_count FROM fv WHERE kind = 'number' AND variant_pos IS NULL GROUP BY name HAVING min(num_value) <> max(num_value)")
+def agg_range_facet(spark, d):
+    return A.range_facet(_values(spark, d, "size", "price"))
+
+
+@query("agg_index_facet", "SELECT 'part' AS _index, count(*) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def agg_index_facet(spark, d):
+    a = C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("part").alias("_index"))
+    b = C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit("supplier").alias("_index"))
+    return a.unionByName(b, allowMissingColumns=True).groupBy("_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg_parent_count", _W + "SELECT color AS value, count(*) AS entries, count(DISTINCT doc_id) AS doc_count FROM variants GROUP BY color")
+def agg_parent_count(spark, d):
+    v = C.variants(spark, d, False)
+    # Two levels: entries per product first, so that the second only counts rows.
+    per = v.groupBy("color", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(F.col("color").alias("value")).agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("doc_count"))
+
+
+@query("agg_custom_facet", _W + "SELECT 'size' AS name, CASE WHEN num_value % 2 = 0 THEN 'even' ELSE 'odd' END AS value, count(DISTINCT doc_id) AS doc_count FROM fv WHERE name = 'size' GROUP BY ALL")
+def agg_custom_facet(spark, d):
+    from .extensions import Registry
+
+    registry = Registry()
+    registry.add("facet", "parity", lambda v: v.withColumn("value", F.when(F.col("num_value") % 2 == 0, "even").otherwise("odd")).groupBy("name", "value").agg(F.countDistinct("doc_id").alias("doc_count")))
+    return registry.get("facet", "parity")(_values(spark, d, "size"))
+
+
+_SEL = "m AS (SELECT doc_id, brand IN ('Brand#11','Brand#12','Brand#13') AS sb, size <= 25 AS ss FROM items)"
+
+
+@query("agg_exclusive", _W + f", {_SEL} SELECT name, value, count(DISTINCT fv.doc_id) AS doc_count FROM fv JOIN m USING (doc_id) WHERE variant_pos IS NULL AND name IN ('brand','type','size') AND (sb OR name = 'brand') AND (ss OR name = 'size') GROUP BY ALL")
+def agg_exclusive(spark, d):
+    items = C.items(spark, d)
+    values = C.facet_values(items).filter(F.col("name").isin("brand", "type", "size"))
+    sel = {"brand": F.col("value_norm").isin("brand#11", "brand#12", "brand#13"), "size": F.col("num_value") <= 25}
+    return A.exclusive_facets(values, sel, A.selection_marks(items, values, sel))
+
+
+@query("agg_filter_sensitive", _W + "SELECT name, value, count(DISTINCT doc_id) AS doc_count FROM fv WHERE name = 'brand' AND value_norm IN ('brand#11','brand#12') GROUP BY ALL")
+def agg_filter_sensitive(spark, d):
+    own = _values(spark, d, "brand").filter(P.condition(Filter("brand", values=("brand#11", "brand#12"))))
+    return own.groupBy("name", "value").agg(F.countDistinct("doc_id").alias("doc_count"))
+
+
+@query("agg_sampling", _W + ", s AS (SELECT * FROM items ORDER BY price DESC, doc_id LIMIT 200) SELECT brand AS value, count(*) AS doc_count FROM s GROUP BY brand")
+def agg_sampling(spark, d):
+    top = C.items(spark, d).orderBy(F.col("price").desc(), "doc_id").limit(200)  # the feature: facets of the best hits only
+    return top.groupBy(F.col("brand").alias("value")).agg(F.count(F.lit(1)).alias("doc_count"))
+
+
+@query("agg_names_limit", _W + "SELECT name, n FROM (SELECT name, count(DISTINCT doc_id) AS n, dense_rank() OVER (ORDER BY count(DISTINCT doc_id) DESC, name) AS r FROM fv WHERE name <> 'price' GROUP BY name) WHERE r <= 3 OR name = 'status'")
+def agg_names_limit(spark, d):
+    from pyspark.sql import Window
+
+    n = _values(spark, d, variants=True).filter("name <> 'price'").groupBy("name").agg(F.countDistinct("doc_id").alias("n"))
+    rank = F.dense_rank().over(Window.orderBy(F.col("n").desc(), "name"))
+    return n.withColumn("r", rank).filter("r <= 3 OR name = 'status'").drop("r")
+
+
+@query("agg_merge_levels", _W + ", e AS (SELECT 'price' AS name, floor(num_value / 100) AS value, variant_pos IS NULL AS m, count(DISTINCT doc_id) AS n FROM fv WHERE name IN ('price','variant_price') GROUP BY ALL) SELECT name, CAST(value AS BIGINT) AS value, max(n) AS doc_count FROM e GROUP BY name, value")
+def agg_merge_levels(spark, d):
+    v = _values(spark, d, "price", "variant_price", variants=True)
+    per = v.groupBy(F.lit("price").alias("name"), F.floor(F.col("num_value") / 100).alias("value"), F.col("variant_pos").isNull().alias("m")).agg(F.countDistinct("doc_id").alias("doc_count"))
+    return A.merge_levels(per)
+
+
+@query("agg_default_type", "SELECT * FROM (VALUES ('CATEGORY', 'hierarchical'), ('NUMBER', 'interval'), ('STRING', 'term')) t(field_type, facet_type)")
+def agg_default_type(spark, d):
+    return spark.createDataFrame([(t, A.default_type(t)) for t in ("CATEGORY", "NUMBER", "STRING")], "field_type string, facet_type string")
+
+
+_COV = ", c AS (SELECT name, CAST(sum(n) AS BIGINT) AS coverage, count(*) AS entries FROM (SELECT name, value, count(DISTINCT doc_id) AS n FROM fv WHERE variant_pos IS NULL GROUP BY ALL) GROUP BY name)"
+
+
+def _stats(spark, d):
+    return A.coverage(_values(spark, d).groupBy("name", "value").agg(F.countDistinct("doc_id").alias("doc_count")))
+
+
+@query("agg_cov_filter", _W + _COV + " SELECT * FROM c WHERE coverage >= 1.5 * (SELECT count(*) FROM items)")
+def agg_cov_filter(spark, d):
+    n = C.items(spark, d).count()
+    names = ("brand", "type", "size", "price", "category")
+    return A.visible(_stats(spark, d), n, {x: A.FacetConfig(x, min_coverage=1.5) for x in names}, set())
+
+
+@query("agg_size_filter", _W + _COV + " SELECT * FROM c WHERE entries >= 20 OR name = 'type'")
+def agg_size_filter(spark, d):
+    n = C.items(spark, d).count()
+    names = ("brand", "type", "size", "price", "category")
+    return A.visible(_stats(spark, d), n, {x: A.FacetConfig(x, min_value_count=20) for x in names}, {"type"})
+
+
+@query("agg_dep_filter", "SELECT * FROM (VALUES ('any', true), ('brand', true), ('deep', true), ('none', false)) t(facet, shown)")
+def agg_dep_filter(spark, d):
+    selected = {"category": ("a/b/c",), "brand": ("foobar",)}
+    deps = {"any": ("brand=*",), "brand": ("brand=FooBar",), "deep": ("category=a/b&brand=*",), "none": ("category=a/bee", "color=*")}
+    return spark.createDataFrame([(k, A.shown(A.FacetConfig(k, dependencies=v), selected)) for k, v in deps.items()], "facet string, shown boolean")
+
+
+@query("agg_facet_order", _W + _COV + " SELECT name, coverage, row_number() OVER (ORDER BY name <> 'size', coverage DESC, name) AS pos FROM c QUALIFY pos <= 3")
+def agg_facet_order(spark, d):
+    rows = [r.asDict() for r in _stats(spark, d).collect()]  # one row per facet name
+    ranked = A.order_facets(rows, {}, 3, {"size"})
+    return spark.createDataFrame([(r["name"], r["coverage"], i + 1) for i, r in enumerate(ranked)], "name string, coverage long, pos long")
+
+
+@query("agg_entry_order", _W + "SELECT value, doc_count, row_number() OVER (ORDER BY TRY_CAST(regexp_extract(value, '(\\d+)', 1) AS INTEGER), value) AS pos FROM (SELECT brand AS value, count(*) AS doc_count FROM items GROUP BY brand)")
+def agg_entry_order(spark, d):
+    from pyspark.sql import Window
+
+    t = A.term_facet(_values(spark, d, "brand")).select("value", "doc_count")
+    return t.withColumn("pos", F.row_number().over(Window.orderBy(*A.entry_order("HUMAN_NUMERIC_ASC"))).cast("long"))
+
+
+@query("agg_entry_label", _W + "SELECT lower, CAST(lower AS INTEGER) || ' - ' || CAST(lower + 10 AS INTEGER) || ' cm' AS label FROM (SELECT DISTINCT floor(size / 10) * 10 AS lower FROM items)")
+def agg_entry_label(spark, d):
+    low = A.histogram(_values(spark, d, "size"), 10.0).select("lower").distinct()
+    return low.select("lower", F.format_string("%.0f - %.0f cm", "lower", F.col("lower") + 10).alias("label"))
+
+
+@query("agg_field_stats", _W + "SELECT kind, name, count(DISTINCT value) AS cardinality FROM fv WHERE name <> 'price' AND variant_pos IS NULL GROUP BY ALL")
+def agg_field_stats(spark, d):
+    return A.field_stats(_values(spark, d).filter("name <> 'price'"), exact=True)
+
+
+@query("agg_total_hits", _W + "SELECT count(*) AS n FROM items WHERE brand = 'Brand#11' AND doc_id NOT IN (SELECT doc_id FROM items WHERE brand = 'Brand#11' ORDER BY doc_id LIMIT 3)")
+def agg_total_hits(spark, d):
+    hits = C.items(spark, d).filter("brand = 'Brand#11'")
+    heroes = hits.orderBy("doc_id").limit(3).select("doc_id")
+    return hits.join(heroes, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,304 @@
+"""Queries of sources, sinks, preprocessors, projections and merges."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import preprocess as R
+from ..operators import projections as J
+from ..operators import store as K
+from ..sources import catalog as C
+from ..sources import documents as D
+from .registry import query
+
+_W = f"WITH {C.SQL} "
+
+
+def docs(spark, d):
+    """Parts as documents: data of string lists, attributes with and without code."""
+    p = C.items(spark, d)
+    data = F.create_map(
+        F.lit("title"), F.array("title"), F.lit("brand"), F.array("brand"), F.lit("size"), F.array(F.col("size").cast("string")),
+        F.lit("category"), F.array("path"), F.lit("tags"), F.array(F.col("title"), F.lower("brand"), F.col("title")),
+    )
+    attribute = lambda n, c, v: F.struct(F.lit(n).alias("name"), c.cast("string").alias("code"), v.cast("string").alias("value"))
+    attributes = F.array(attribute("color", F.lit(None), F.col("type")), attribute("color", F.lit(None), F.lit("black")), attribute("width", F.col("size"), F.col("size")))
+    return p.select("doc_id", data.alias("data"), attributes.alias("attributes"))
+
+
+def _values(df, *names):
+    return df.select("doc_id", *[F.array_join(F.element_at("data", n), "|").alias(n) for n in names])
+
+
+# --- sources -----------------------------------------------------------------
+
+
+@query("src_table_scan", "SELECT p_partkey, p_name FROM part")
+def src_table_scan(spark, d):
+    return C.table(spark, d, "part").select("p_partkey", "p_name")
+
+
+@query("src_multi_index", "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, 'part' AS _index FROM part UNION ALL SELECT s_suppkey, s_name, NULL, 'supplier' FROM supplier")
+def src_multi_index(spark, d):
+    a = C.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.lit("part").alias("_index"))
+    b = C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("_index"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("src_point_get", "SELECT p_partkey AS doc_id, p_name FROM part WHERE p_partkey = 7")
+def src_point_get(spark, d):
+    return D.point_get(C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_name"), 7)
+
+
+@query("src_unmap_document", "SELECT p_partkey AS doc_id, p_name AS title, CAST(p_size AS VARCHAR) AS size, p_brand AS brand FROM part")
+def src_unmap_document(spark, d):
+    p = C.items(spark, d)
+    indexed = p.select(
+        "doc_id", F.create_map(F.lit("title"), F.col("title")).alias("result"), F.create_map(F.lit("size"), F.col("size").cast("string"), F.lit("title"), F.lit("later")).alias("facets"),
+        F.create_map(F.lit("brand"), F.col("brand"), F.lit("size"), F.lit("0")).alias("search"),
+    )
+    out = D.original_form(indexed, ["result", "facets", "search"])
+    return out.select("doc_id", *[F.element_at("data", n).alias(n) for n in ("title", "size", "brand")])
+
+
+@query("src_json_docs", "SELECT event_id, json_extract_string(props, '$.k') AS v, CAST(1 AS INTEGER) AS n FROM events")
+def src_json_docs(spark, d):
+    v = D.values_of(F.get_json_object("props", "$.k"))
+    return C.table(spark, d, "events").select("event_id", F.get(v, F.lit(0)).alias("v"), F.size(v).alias("n"))
+
+
+def _lines(spark, d, folder):
+    p = C.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("brand"), F.col("p_brand")).alias("data"), F.lit(1).alias("unknown"))
+    p.write.mode("overwrite").json(folder)
+    return folder
+
+
+def _scratch(spark, name):
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = f"file://{tempfile.mkdtemp(prefix='stockweave-')}"
+    return f"{base.rstrip('/')}/stockweave-{name}-{uuid.uuid4().hex}"
+
+
+@query("src_jsonl", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS brand FROM part")
+def src_jsonl(spark, d):
+    read = D.read_json(spark, _lines(spark, d, _scratch(spark, "jsonl")))
+    return read.select("id", F.element_at("data", "title").alias("title"), F.element_at("data", "brand").alias("brand"))
+
+
+@query("src_csv", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(p_size AS VARCHAR) AS size FROM part")
+def src_csv(spark, d):
+    folder = _scratch(spark, "csv")
+    C.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_size").alias("size")).write.option("header", True).option("sep", ";").csv(folder)
+    read = D.read_csv(spark, folder, "p_partkey", ";")
+    return read.select("id", F.element_at("data", "title").alias("title"), F.element_at("data", "size").alias("size"))
+
+
+# --- sinks -------------------------------------------------------------------
+
+
+@query("snk_deploy", "SELECT count(*) AS n, 2 AS live, 'parts-en' AS tenants FROM part WHERE p_size <= 25")
+def snk_deploy(spark, d):
+    store = K.Store(spark, _scratch(spark, "store"))
+    one = store.start("parts", "EN")
+    store.add(one, C.items(spark, d))
+    store.deploy(one)
+    two = store.start("parts", "en")
+    store.add(two, C.items(spark, d).filter("size <= 25"))
+    too_small = store.start("parts", "en")
+    store.add(too_small, C.items(spark, d).filter("size < 0"))
+    assert store.deploy(two) and not store.deploy(two) and not store.deploy(too_small)
+    store.cancel(too_small)
+    return store.read("parts-en").agg(F.count(F.lit(1)).alias("n"), F.lit(store.live("parts-en")).alias("live"), F.lit(",".join(store.tenants())).alias("tenants"))
+
+
+@query("snk_bulk_add", "SELECT count(*) AS n, (SELECT count(*) FROM orders WHERE TRY_CAST(left(o_orderpriority, 2) AS DOUBLE) IS NULL) AS rejected FROM part")
+def snk_bulk_add(spark, d):
+    store = K.Store(spark, _scratch(spark, "bulk"))
+    s = store.start("parts", "en")
+    for part in (C.items(spark, d).filter("size <= 25"), C.items(spark, d).filter("size > 25")):
+        store.add(s, part)
+    store.deploy(s)
+    bad = J.rejects(C.table(spark, d, "orders"), F.substring("o_orderpriority", 1, 2)).agg(F.count(F.lit(1)).alias("rejected"))
+    return store.read("parts-en").agg(F.count(F.lit(1)).alias("n")).crossJoin(bad)  # one row by one row
+
+
+_CHANGES = "SELECT event_id, user_id AS doc_id, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'delete' ELSE 'put' END AS op, value FROM events"
+
+
+def _changes(spark, d):
+    e = C.table(spark, d, "events")
+    first = e.agg(F.min("event_type")).first()[0]
+    return e.select("event_id", F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == first, "delete").otherwise("put").alias("op"), "value")
+
+
+def _last(changes):
+    return changes.groupBy("doc_id").agg(F.max_by(F.struct("op", "value"), "event_id").alias("c")).select("doc_id", "c.op", "c.value")
+
+
+_LAST = f"SELECT doc_id, arg_max(op, event_id) AS op, arg_max(value, event_id) AS value FROM ({_CHANGES}) GROUP BY doc_id"
+
+
+@query("snk_put", f"SELECT coalesce(doc_id, p_partkey) AS doc_id, CASE WHEN doc_id IS NULL THEN p_retailprice ELSE value END AS value FROM part FULL JOIN (SELECT * FROM ({_LAST}) WHERE op = 'put') ON doc_id = p_partkey")
+def snk_put(spark, d):
+    have = C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("value"))
+    return K.put(have, _last(_changes(spark, d)).filter("op = 'put'").select("doc_id", "value"))
+
+
+@query("snk_delete", f"SELECT p_partkey AS doc_id, p_name FROM part WHERE p_partkey NOT IN (SELECT doc_id FROM ({_LAST}) WHERE op = 'delete')")
+def snk_delete(spark, d):
+    have = C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_name")
+    return K.delete(have, _last(_changes(spark, d)).filter("op = 'delete'"))
+
+
+@query("snk_patch", f"SELECT coalesce(doc_id, p_partkey) AS doc_id, p_name AS title, CASE WHEN value IS NULL THEN 'old' ELSE 'new' END AS state FROM part FULL JOIN (SELECT * FROM ({_LAST}) WHERE op = 'put') ON doc_id = p_partkey")
+def snk_patch(spark, d):
+    have = C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("state"), F.lit("old")).alias("data"))
+    up = _changes(spark, d).groupBy("doc_id").agg(F.max_by("op", "event_id").alias("op")).filter("op = 'put'").select("doc_id", F.create_map(F.lit("state"), F.lit("new")).alias("data"))
+    return J.patch(have, up).select("doc_id", F.element_at("data", "title").alias("title"), F.element_at("data", "state").alias("state"))
+
+
+@query("snk_result_codes", f"SELECT doc_id, CASE WHEN op = 'delete' THEN CASE WHEN p_partkey IS NULL THEN 'NOT_FOUND' ELSE 'DELETED' END ELSE CASE WHEN p_partkey IS NULL THEN 'CREATED' ELSE 'UPDATED' END END AS result FROM ({_LAST}) LEFT JOIN part ON p_partkey = doc_id")
+def snk_result_codes(spark, d):
+    return K.result_codes(C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id")), _last(_changes(spark, d)))
+
+
+@query("snk_stream_upsert", f"SELECT doc_id, value FROM ({_LAST}) WHERE op = 'put'")
+def snk_stream_upsert(spark, d):
+    from ..streaming.updates import replay
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    first = C.table(spark, d, "events").agg(F.min("event_type")).first()[0]
+    source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    op = F.when(F.col("event_type") == first, "delete").otherwise("put")
+    return replay(source.select("event_id", F.col("user_id").alias("doc_id"), op.alias("op"), "value"), _scratch(spark, "stream"))
+
+
+# --- preprocessors -----------------------------------------------------------
+
+
+@query("pre_asciify", f"SELECT doc_id, md5(translate(text, '{S.FOLD_FROM}', '{S.FOLD_TO}')) AS v FROM documents")
+def pre_asciify(spark, d):
+    x = C.table(spark, d, "documents").select("doc_id", F.create_map(F.lit("text"), F.array("text")).alias("data"))
+    return R.ascii_fold(x, ["text"]).select("doc_id", F.md5(F.get(F.element_at("data", "text"), F.lit(0))).alias("v"))
+
+
+@query("pre_attr_to_field", _W + "SELECT doc_id, CASE WHEN type = 'black' THEN 'black' ELSE type || '|black' END AS color, CAST(1 AS INTEGER) AS n FROM items")
+def pre_attr_to_field(spark, d):
+    out = R.attributes_to_fields(docs(spark, d))
+    return out.select("doc_id", F.array_join(F.element_at("data", "color"), "|").alias("color"), F.size("attributes").alias("n"))
+
+
+@query("pre_category_levels", _W + "SELECT doc_id, type AS category_lvl_0, split_part(path, '/', 2) AS category_lvl_1, split_part(path, '/', 2) AS category_leaf FROM items")
+def pre_category_levels(spark, d):
+    return _values(R.category_levels(docs(spark, d), "category", 2), "category_lvl_0", "category_lvl_1", "category_leaf")
+
+
+@query("pre_flag", _W + "SELECT doc_id, CASE WHEN regexp_matches(title, '^[a-c]') OR regexp_matches(title, 'e$') THEN 'x' WHEN regexp_matches(title, 'o') THEN 'y' ELSE 'none' END AS flag FROM items")
+def pre_flag(spark, d):
+    return _values(R.flag_field(docs(spark, d), "title", "flag", [("^[a-c]##e$", "x"), ("o", "y")], "none"), "flag")
+
+
+@query("pre_remove_values", _W + "SELECT doc_id, array_to_string(list_filter(string_split_regex(title, '\\s+'), lambda t: NOT regexp_full_match(t, '[a-m].*')), ' ') AS title FROM items")
+def pre_remove_values(spark, d):
+    return _values(R.remove_values(docs(spark, d), "title", "[a-m].*"), "title")
+
+
+@query("pre_replace_pattern", _W + "SELECT doc_id, regexp_replace(title, '[aeiou]', '', 'g') || '|' || regexp_replace(lower(brand), '[aeiou]', '', 'g') AS tags FROM items")
+def pre_replace_pattern(spark, d):
+    return _values(R.replace_pattern(docs(spark, d), "tags", "[aeiou]", ""), "tags")
+
+
+@query("pre_skip_document", _W + "SELECT doc_id, title FROM items WHERE NOT regexp_full_match(brand, 'Brand#1.*')")
+def pre_skip_document(spark, d):
+    return _values(R.skip_documents(docs(spark, d), "brand", "Brand#1.*"), "title")
+
+
+@query("pre_split_value", _W + "SELECT doc_id, split_part(title, ' ', 1) AS w_0, split_part(title, ' ', 2) AS w_1, CASE WHEN len(string_split(brand, '#')) = 2 THEN split_part(brand, '#', 2) END AS number FROM items")
+def pre_split_value(spark, d):
+    out = R.split_value(docs(spark, d), "title", " ", wildcard="w", parts=2, keep=False)
+    return _values(R.split_value(out, "brand", "#", targets=["maker", "number"]), "w_0", "w_1", "number")
+
+
+@query("pre_word_split")
+def pre_word_split(spark, d):
+    return _values(R.split_words(docs(spark, d), ["title"], "words", ["fuss", "ball", "steel", "bolt", "box", "copper"]), "words")
+
+
+@query("pre_content_delimiter", _W + "SELECT doc_id, replace(title, ' ', '|') AS title FROM items WHERE split_part(title, ' ', 1) <> split_part(title, ' ', 2)")
+def pre_content_delimiter(spark, d):
+    return _values(R.split_delimited(docs(spark, d), "title", " "), "title").join(C.items(spark, d).filter("split_part(title, ' ', 1) <> split_part(title, ' ', 2)").select("doc_id"), "doc_id", "left_semi")
+
+
+# --- projections -------------------------------------------------------------
+
+
+@query("prj_search", _W + ", c AS (SELECT doc_id, string_agg(color, ' ' ORDER BY color) AS c FROM (SELECT DISTINCT doc_id, color FROM variants) GROUP BY doc_id) SELECT i.doc_id, 'product ' || title || ' ' || brand AS content, c.c AS color_content FROM items i LEFT JOIN c ON c.doc_id = i.doc_id")
+def prj_search(spark, d):
+    m = C.items(spark, d).select("doc_id", J.search_content(F.array("title", "brand"), "product").alias("content"))
+    return J.with_variant_content(m, C.variants(spark, d, False), "color")
+
+
+@query("prj_result", _W + "SELECT doc_id, title, CAST(size AS DOUBLE) AS size, path FROM items")
+def prj_result(spark, d):
+    return C.items(spark, d).select("doc_id", "title", S.parse_number(F.col("size")).alias("size"), "path")
+
+
+@query("prj_sort", _W + "SELECT doc_id, min(p) AS lo, max(p) AS hi FROM (SELECT doc_id, price AS p FROM items UNION ALL SELECT doc_id, price FROM variants) GROUP BY doc_id")
+def prj_sort(spark, d):
+    rows = C.items(spark, d).select("doc_id", "price").union(C.variants(spark, d, False).select("doc_id", "price"))
+    return J.sort_ends(rows, "doc_id", "price")
+
+
+@query("prj_filter", _W + "SELECT doc_id, string_agg(status, '|' ORDER BY status) AS v FROM (SELECT DISTINCT doc_id, status FROM variants) GROUP BY doc_id")
+def prj_filter(spark, d):
+    return C.variants(spark, d, False).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("status")), "|").alias("v"))
+
+
+@query("prj_term_facet", _W + "SELECT doc_id, coalesce(variant_pos, -1) AS pos, name, value, value_norm FROM fv WHERE kind = 'term'")
+def prj_term_facet(spark, d):
+    return C.facet_values(C.items(spark, d), C.variants(spark, d)).filter("kind = 'term'").select("doc_id", F.coalesce("variant_pos", F.lit(-1)).alias("pos"), "name", "value", "value_norm")
+
+
+@query("prj_number_facet", "SELECT o_orderkey, 'prio' AS name, CAST(left(o_orderpriority, 1) AS DOUBLE) AS num_value FROM orders WHERE regexp_matches(left(o_orderpriority, 1), '^[0-9]$')")
+def prj_number_facet(spark, d):
+    return J.number_entries(C.table(spark, d, "orders"), "o_orderkey", "prio", F.substring("o_orderpriority", 1, 1))
+
+
+@query("prj_path_facet", "SELECT s_suppkey, unnest([replace(r_name, '/', '%2F'), r_name || '/' || n_name, r_name || '/' || n_name || '/' || s_name]) AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def prj_path_facet(spark, d):
+    # Nation and region are dimensions of fixed size.
+    n = C.table(spark, d, "nation").join(F.broadcast(C.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = C.table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select("s_suppkey", F.explode(J.path_ancestors(F.array("r_name", "n_name", "s_name"))).alias("path"))
+
+
+@query("prj_score", _W + "SELECT doc_id, max(stock) AS score FROM variants GROUP BY doc_id")
+def prj_score(spark, d):
+    return J.score_max(C.variants(spark, d, False), "doc_id", "stock")
+
+
+@query("prj_post", _W + "SELECT doc_id, upper(title) AS title FROM items")
+def prj_post(spark, d):
+    from .extensions import Registry
+
+    r = Registry()
+    r.add("postprocessor", "shout", lambda df: df.withColumn("title", F.upper("title")))
+    return r.get("postprocessor", "shout")(C.items(spark, d).select("doc_id", "title"))
+
+
+@query("mrg_patch", "SELECT coalesce(p_partkey, k) AS doc_id, coalesce(t, p_name) AS title, p_brand AS brand FROM part FULL JOIN (SELECT s_suppkey * 3 AS k, s_name AS t FROM supplier) ON k = p_partkey")
+def mrg_patch(spark, d):
+    have = C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("brand"), F.col("p_brand")).alias("data"))
+    up = C.table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("doc_id"), F.create_map(F.lit("title"), F.col("s_name")).alias("data"))
+    return J.patch(have, up).select("doc_id", F.element_at("data", "title").alias("title"), F.element_at("data", "brand").alias("brand"))
+
+
+@query("mrg_required_fields", "SELECT p_partkey, p_size FROM part")
+def mrg_required_fields(spark, d):
+    return C.table(spark, d, "part").select("p_partkey", "p_size")  # the scan reads these two columns only
