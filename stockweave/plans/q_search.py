@@ -1 +1,571 @@
+"""Queries of matching, rules, scoring, sorting, relaxation, arrangement and suggest."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import matching as M
+from ..operators import ranking as K
+from ..operators import suggest as G
+from ..sources import catalog as C
+from . import params, rules, search
+from .params import Filter, SearchRequest, Sort
+from .q_filters import FIELDS
+from .registry import query
+
+_W = f"WITH {C.SQL} "
+_T = "string_split(title, ' ')"
+
+
+def titled(spark, d):
+    return C.items(spark, d).withColumn("tokens", F.split("title", " "))
+
+
+T = F.col
+
+
+def tok():
+    return F.col("tokens")
+
+
+# --- matching ----------------------------------------------------------------
+
+
+@query("mat_configurable", _W + f"SELECT doc_id, CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER) + CAST(list_contains({_T}, 'old') AS INTEGER) AS matched FROM items WHERE matched >= 2")
+def mat_configurable(spark, d):
+    return M.match(titled(spark, d), tok(), ["red", "bolt", "old"], "2").select("doc_id", "matched")
+
+
+@query("mat_min_should_match", "SELECT * FROM (VALUES (1, '2<80%', 1), (2, '2<80%', 2), (3, '2<80%', 2), (5, '2<80%', 4), (4, '-1', 3), (4, '-25%', 3), (4, '70%', 2), (3, '5', 3)) t(n, spec, k)")
+def mat_min_should_match(spark, d):
+    cases = [(1, "2<80%"), (2, "2<80%"), (3, "2<80%"), (5, "2<80%"), (4, "-1"), (4, "-25%"), (4, "70%"), (3, "5")]
+    return spark.createDataFrame([(n, s, M.min_should_match(s, n)) for n, s in cases], "n int, spec string, k int")
+
+
+@query("mat_phrase_boost", _W + f"SELECT doc_id, CASE WHEN title = 'red bolt' THEN 1.5 ELSE 0.0 END + CASE WHEN list_contains({_T}, 'red') THEN 1.0 ELSE 0.0 END AS score FROM items")
+def mat_phrase_boost(spark, d):
+    score = F.when(M.phrase(tok(), ["red", "bolt"]), 1.5).otherwise(0.0) + F.when(M.has(tok(), "red"), 1.0).otherwise(0.0)
+    return titled(spark, d).select("doc_id", score.alias("score"))
+
+
+@query("mat_shingle_variants", _W + f"SELECT doc_id, greatest(CASE WHEN replace(title, ' ', '') = 'redbolt' THEN 1.8 ELSE 0.0 END, CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER)) AS score FROM items")
+def mat_shingle_variants(spark, d):
+    glued = F.when(F.exists(X.shingle(tok()), lambda t: t == "redbolt"), 2 * 0.9).otherwise(0.0)
+    return titled(spark, d).select("doc_id", F.greatest(glued, M.match_count(tok(), ["red", "bolt"]).cast("double")).alias("score"))
+
+
+_CROSS = "greatest(CASE WHEN list_contains({t}, '{w}') THEN 2.0 ELSE 0.0 END, CASE WHEN lower(brand) = '{w}' THEN 1.0 ELSE 0.0 END)"
+
+
+@query("mat_match_type", _W + f"SELECT doc_id, {_CROSS.format(t=_T, w='red')} + {_CROSS.format(t=_T, w='brand#11')} AS crossed FROM items")
+def mat_match_type(spark, d):
+    fields = {"title": tok(), "brand": F.array(F.lower("brand"))}
+    return titled(spark, d).select("doc_id", M.cross_fields(fields, ["red", "brand#11"], {"title": 2.0, "brand": 1.0}).alias("crossed"))
+
+
+@query("mat_default", _W + f"SELECT doc_id, CASE WHEN list_contains({_T}, 'red') THEN 2.0 ELSE 0.0 END AS a, CASE WHEN lower(brand) = 'brand#11' THEN 1.0 ELSE 0.0 END AS b, round(greatest(a, b) + 0.8 * (a + b - greatest(a, b)), 6) AS score FROM items")
+def mat_default(spark, d):
+    fields = {"title": tok(), "brand": F.array(F.lower("brand"))}
+    x = titled(spark, d)
+    a, b = F.when(M.has(tok(), "red"), 2.0).otherwise(0.0), F.when(F.lower("brand") == "brand#11", 1.0).otherwise(0.0)
+    return x.select("doc_id", a.alias("a"), b.alias("b"), F.round(M.best_fields(fields, ["red", "brand#11"], {"title": 2.0, "brand": 1.0}, 0.8), 6).alias("score"))
+
+
+@query("mat_dismax", _W + f"SELECT doc_id, round(greatest(a, b) + 0.2 * (a + b - greatest(a, b)), 6) AS score FROM (SELECT doc_id, CAST(list_contains({_T}, 'red') AS DOUBLE) AS a, CASE WHEN split_part(title, ' ', 2) LIKE 'bo%' OR split_part(title, ' ', 1) LIKE 'bo%' THEN 1.5 ELSE 0.0 END AS b FROM items)")
+def mat_dismax(spark, d):
+    a, b = M.has(tok(), "red").cast("double"), F.when(M.phrase_prefix(tok(), ["bo"]), 1.5).otherwise(0.0)
+    return titled(spark, d).select("doc_id", F.round(M.dis_max([a, b], 0.2), 6).alias("score"))
+
+
+@query("mat_ngram", _W + "SELECT doc_id, (CAST(contains(title, 'wid') AS INTEGER) + CAST(contains(title, 'idg') AS INTEGER) + CAST(contains(title, 'dge') AS INTEGER) + CAST(contains(title, 'ger') AS INTEGER)) / 4.0 AS share FROM items WHERE share >= 0.7")
+def mat_ngram(spark, d):
+    return C.items(spark, d).select("doc_id", M.trigram_share(F.col("title"), "widger").alias("share")).filter("share >= 0.7")
+
+
+@query("mat_fuzzy", _W + f"SELECT doc_id, title FROM items WHERE len(list_filter({_T}, lambda w: levenshtein(w, 'bolr') <= 1)) > 0")
+def mat_fuzzy(spark, d):
+    return titled(spark, d).filter(M.fuzzy(tok(), "bolr")).select("doc_id", "title")
+
+
+_MASK = f"SELECT CAST(list_contains({_T}, 'red') AS INTEGER) + 2 * CAST(list_contains({_T}, 'bolt') AS INTEGER) + 4 * CAST(list_contains({_T}, 'old') AS INTEGER) AS mask FROM items"
+
+
+@query("mat_cooccurrence", _W + f"SELECT mask, count(*) AS n FROM ({_MASK}) WHERE mask > 0 GROUP BY mask")
+def mat_cooccurrence(spark, d):
+    return M.cooccurrence(titled(spark, d), tok(), ["red", "bolt", "old"])
+
+
+@query("mat_relaxed", _W + f"SELECT doc_id, matched FROM (SELECT doc_id, CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER) + CAST(list_contains({_T}, 'old') AS INTEGER) AS matched FROM items) WHERE matched = 2")
+def mat_relaxed(spark, d):
+    return M.relaxed(titled(spark, d), tok(), ["red", "bolt", "old"]).select("doc_id", "matched")
+
+
+@query("mat_prediction", _W + f", m AS (SELECT mask, count(*) AS n FROM ({_MASK}) WHERE mask > 0 GROUP BY mask) SELECT a.mask, CAST(sum(b.n) AS BIGINT) AS matches FROM m a JOIN m b ON (b.mask & a.mask) = a.mask GROUP BY a.mask")
+def mat_prediction(spark, d):
+    terms = ["red", "bolt", "old"]
+    counts = [(r.mask, r.n) for r in M.cooccurrence(titled(spark, d), tok(), terms).collect()]  # at most 2 ** 3 rows
+    return spark.createDataFrame([(p["mask"], p["matches"]) for p in M.predicted_queries(counts, terms)], "mask int, matches long")
+
+
+@query("mat_prediction_order", "SELECT * FROM (VALUES (0, 'a b c'), (1, 'a b'), (2, 'b c'), (3, 'a')) t(pos, terms)")
+def mat_prediction_order(spark, d):
+    got = M.predicted_queries([(7, 1), (3, 2), (6, 5), (1, 3)], ["a", "b", "c"])
+    return spark.createDataFrame([(i, " ".join(p["terms"])) for i, p in enumerate(got)], "pos int, terms string")
+
+
+@query("mat_variant_any", _W + "SELECT DISTINCT doc_id FROM variants WHERE color = 'R' OR status = 'O'")
+def mat_variant_any(spark, d):
+    return C.variants(spark, d, False).filter((F.col("color") == "R") | (F.col("status") == "O")).select("doc_id").distinct()
+
+
+@query("mat_none", _W + "SELECT doc_id, title FROM items WHERE false")
+def mat_none(spark, d):
+    return search.run_stage(titled(spark, d), tok(), ["x"], search.Stage("none", "none")).select("doc_id", "title")
+
+
+@query("mat_querystring", _W + f"SELECT doc_id, title FROM items WHERE list_contains({_T}, 'red') AND NOT list_contains({_T}, 'bolt')")
+def mat_querystring(spark, d):
+    must, must_not = ["red"], ["bolt"]
+    x = titled(spark, d)
+    return x.filter((M.match_count(tok(), must) == len(must)) & (M.match_count(tok(), must_not) == 0)).select("doc_id", "title")
+
+
+@query("mat_exclude_ids", _W + "SELECT doc_id FROM items WHERE doc_id NOT IN (SELECT s_suppkey FROM supplier)")
+def mat_exclude_ids(spark, d):
+    gone = C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"))
+    return C.items(spark, d).select("doc_id").join(gone, "doc_id", "left_anti")
+
+
+@query("mat_must_not_terms", _W + f"SELECT doc_id FROM items WHERE NOT list_contains({_T}, 'red')")
+def mat_must_not_terms(spark, d):
+    return titled(spark, d).filter(~M.has(tok(), "red")).select("doc_id")
+
+
+@query("mat_spellcheck", _W + ", w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(title, ' ')) AS word FROM items) GROUP BY word), p AS (SELECT t.term, word, n, 1 - levenshtein(word, t.term) / greatest(length(word), length(t.term)) AS score FROM w, (VALUES ('widgat'), ('anvill')) t(term) WHERE abs(length(word) - length(t.term)) <= 2) SELECT term, word AS correction, round(score, 6) AS score FROM p WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, n DESC, word) = 1")
+def mat_spellcheck(spark, d):
+    words = titled(spark, d).select(F.explode(tok()).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return M.spell_corrections(words, ["widgat", "anvill"])
+
+
+@query("mat_fields_validate", "SELECT * FROM (VALUES ('title', 2.0)) t(field, weight)")
+def mat_fields_validate(spark, d):
+    wanted = {"title": 2.0, "brand": 1.0, "unknown": 3.0}
+    kept = [(n, w) for n, w in wanted.items() if any("SEARCH" in f.usage for f in FIELDS.match(n))]
+    return spark.createDataFrame(kept, "field string, weight double")
+
+
+_TOKENS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
+_BM = "ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avg))"
+
+
+@query("mat_relevance", f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), f AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS tf0, len(list_filter(w, lambda x: x = 'von')) AS tf1 FROM t), s AS (SELECT count(*) AS n, avg(len) AS avg, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f) SELECT doc_id, round({_BM.format(i=0)} + {_BM.format(i=1)}, 4) AS score FROM f, s")
+def mat_relevance(spark, d):
+    x = C.table(spark, d, "documents").select("doc_id", X.words(F.lower("text")).alias("tokens"))
+    return M.bm25(x, tok(), ["the", "von"]).select("doc_id", F.round("score", 4).alias("score"))
+
+
+# --- rules -------------------------------------------------------------------
+
+RULES = """
+red => SYNONYM: crimson ; SYNONYM(0.5): scarlet
+cheap red => DELETE
+bolt => FILTER: brand:Brand#11 ; UP(2): new ; DOWN(0.5): old
+gear => FILTER: -brand:Brand#12 ; FILTER: odd
+"""
+
+
+def _rewrite(q):
+    return rules.rewrite(q, rules.parse_rules(RULES))
+
+
+@query("rul_synonym", "SELECT '(red OR crimson OR scarlet^0.5) ring' AS label")
+def rul_synonym(spark, d):
+    return spark.createDataFrame([(_rewrite("red ring").label(),)], "label string")
+
+
+@query("rul_delete", "SELECT 'bolt' AS label")
+def rul_delete(spark, d):
+    return spark.createDataFrame([(_rewrite("cheap red bolt").label(),)], "label string")
+
+
+@query("rul_filter", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'bolt') AND brand = 'Brand#11'")
+def rul_filter(spark, d):
+    from ..operators.filters import apply_filters
+
+    got = _rewrite("bolt")
+    x = titled(spark, d)
+    return apply_filters(M.match(x, tok(), got.terms), C.facet_values(x), got.filters).select("doc_id")
+
+
+@query("rul_filter_merge", "SELECT 'brand' AS field, 'a,b' AS v, false AS negate")
+def rul_filter_merge(spark, d):
+    f = rules.merge_filters([rules.filter_of("brand:a"), rules.filter_of("-brand:c"), rules.filter_of("brand:b")])[0]
+    return spark.createDataFrame([(f.field, ",".join(f.values), f.negate)], "field string, v string, negate boolean")
+
+
+@query("rul_boost", _W + f"SELECT doc_id, (1.0 + CASE WHEN list_contains({_T}, 'new') THEN 2.0 ELSE 0.0 END) * CASE WHEN list_contains({_T}, 'old') THEN 0.5 ELSE 1.0 END AS score FROM items WHERE list_contains({_T}, 'bolt')")
+def rul_boost(spark, d):
+    x = M.match(titled(spark, d), tok(), ["bolt"])
+    score = F.lit(1.0)
+    for term, w in _rewrite("bolt").boosts:
+        score = K.up_down(score, M.has(tok(), term), up=w) if w > 0 else K.up_down(score, M.has(tok(), term), down=-w)
+    return x.select("doc_id", score.alias("score"))
+
+
+@query("rul_term_ast", "SELECT * FROM (VALUES ('red', 'crimson', 1.0), ('red', 'scarlet', 0.5)) t(term, alt, weight)")
+def rul_term_ast(spark, d):
+    return spark.createDataFrame([(t, a, w) for t, alts in _rewrite("red").alternatives.items() for a, w in alts], "term string, alt string, weight double")
+
+
+# --- scoring -----------------------------------------------------------------
+
+
+@query("sco_weight", _W + "SELECT doc_id, 2.5 AS score FROM items")
+def sco_weight(spark, d):
+    return C.items(spark, d).select("doc_id", F.lit(2.5).alias("score"))
+
+
+@query("sco_field_value", _W + "SELECT doc_id, round(log10(price * 1.2 + 1) * 2, 5) AS a, round(sqrt(size), 5) AS b, round(1.0 / size, 5) AS c FROM items")
+def sco_field_value(spark, d):
+    p, s = F.col("price"), F.col("size").cast("double")
+    return C.items(spark, d).select("doc_id", F.round(K.field_value(p, 1.2, "log1p", weight=2), 5).alias("a"), F.round(K.field_value(s, modifier="sqrt"), 5).alias("b"), F.round(K.field_value(s, modifier="reciprocal"), 5).alias("c"))
+
+
+def _decay(kind):
+    return lambda spark, d: C.items(spark, d).select("doc_id", F.round(K.decay(F.col("size").cast("double"), kind, 25.0, 10.0, 2.0), 5).alias("score"))
+
+
+_FAR = "greatest(abs(size - 25.0) - 2.0, 0.0)"
+query("sco_decay_gauss", _W + f"SELECT doc_id, round(exp(power({_FAR}, 2) * ln(0.5) / 100.0), 5) AS score FROM items")(_decay("gauss"))
+query("sco_decay_exp", _W + f"SELECT doc_id, round(exp({_FAR} * ln(0.5) / 10.0), 5) AS score FROM items")(_decay("exp"))
+query("sco_decay_linear", _W + f"SELECT doc_id, round(greatest(0.0, (20.0 - {_FAR}) / 20.0), 5) AS score FROM items")(_decay("linear"))
+
+
+@query("sco_random")
+def sco_random(spark, d):
+    return C.items(spark, d).select("doc_id", K.random_score(F.col("doc_id"), 7).alias("score"))
+
+
+@query("sco_script", _W + "SELECT doc_id, price * 2 + size AS score FROM items")
+def sco_script(spark, d):
+    return C.items(spark, d).select("doc_id", F.expr("price * 2 + size").alias("score"))
+
+
+@query("sco_rank_feature", _W + "SELECT doc_id, round(CASE WHEN size > 25 THEN size / (size + 10.0) ELSE 0.1 END, 5) AS score FROM items")
+def sco_rank_feature(spark, d):
+    features = F.when(F.col("size") > 25, F.create_map(F.lit("popularity"), F.col("size").cast("double"))).otherwise(F.create_map().cast("map<string,double>"))
+    return C.items(spark, d).select("doc_id", F.round(K.rank_feature(features, "popularity", pivot=10.0, missing=0.1), 5).alias("score"))
+
+
+@query("sco_combine", _W + "SELECT doc_id, round((1.0 + (size + price) / 2) / 2, 4) AS a, least(size, price) AS b, size * price AS c FROM items")
+def sco_combine(spark, d):
+    s, p = F.col("size").cast("double"), F.col("price")
+    return C.items(spark, d).select("doc_id", F.round(K.boost(F.lit(1.0), K.combine([s, p])), 4).alias("a"), K.combine([s, p], "min").alias("b"), K.combine([s, p], "multiply").alias("c"))
+
+
+@query("sco_variant_level", _W + "SELECT doc_id, variant_pos, round(sqrt(stock), 5) AS score FROM variants")
+def sco_variant_level(spark, d):
+    return C.variants(spark, d).select("doc_id", "variant_pos", F.round(K.field_value(F.col("stock"), modifier="sqrt"), 5).alias("score"))
+
+
+@query("sco_boost_up_down", _W + f"SELECT doc_id, 10.0 * CASE WHEN list_contains({_T}, 'old') THEN 0.25 ELSE 1.0 END + CASE WHEN list_contains({_T}, 'new') THEN 3.0 ELSE 0.0 END AS score FROM items")
+def sco_boost_up_down(spark, d):
+    s = K.up_down(F.lit(10.0), M.has(tok(), "old"), down=4.0)
+    return titled(spark, d).select("doc_id", K.up_down(s, M.has(tok(), "new"), up=3.0).alias("score"))
+
+
+@query("sco_rescore", _W + ", r AS (SELECT doc_id, price, size, row_number() OVER (ORDER BY price DESC, doc_id) AS r FROM items WHERE brand = 'Brand#11') SELECT doc_id, CASE WHEN r <= 10 THEN CAST(size AS DOUBLE) ELSE price END AS score, CAST(r > 10 AS INTEGER) AS tier FROM r")
+def sco_rescore(spark, d):
+    hits = C.items(spark, d).filter("brand = 'Brand#11'").select("doc_id", "size", F.col("price").alias("score"))
+    return K.rescore(hits, 10, lambda t: t.withColumn("score", F.col("size").cast("double"))).select("doc_id", "score", "tier")
+
+
+def _sets(spark, d):
+    s = C.table(spark, d, "supplier")
+    one = s.select((F.col("s_suppkey") * 5).alias("doc_id"), F.col("s_suppkey").cast("long").alias("pos"))
+    return [one, s.select((F.col("s_suppkey") * 7).alias("doc_id"), F.col("s_suppkey").cast("long").alias("pos"))]
+
+
+_SETS = "l AS (SELECT s_suppkey * 5 AS k, 0 AS set_no, s_suppkey AS pos FROM supplier UNION ALL SELECT s_suppkey * 7, 1, s_suppkey FROM supplier), f AS (SELECT k, min((set_no, pos)) AS p FROM l GROUP BY k)"
+
+
+@query("sco_hero_boost", _W + f", {_SETS} SELECT doc_id, CAST(coalesce(p[1], 2) AS INTEGER) AS set_no, coalesce(p[2], -1) AS pos FROM items LEFT JOIN f ON k = doc_id")
+def sco_hero_boost(spark, d):
+    return K.arrange(C.items(spark, d).select("doc_id"), _sets(spark, d)).select("doc_id", "set_no", F.coalesce("pos", F.lit(-1)).alias("pos"))
+
+
+# --- sorting, paging, variants -----------------------------------------------
+
+
+@query("srt_parse", "SELECT * FROM (VALUES (0, 'price', true), (1, 'title', false)) t(pos, field, down)")
+def srt_parse(spark, d):
+    got = params.parse_sort("image,-price,title", FIELDS)
+    return spark.createDataFrame([(i, s.field, s.descending) for i, s in enumerate(got)], "pos int, field string, down boolean")
+
+
+_ENDS = "e AS (SELECT doc_id, min(price) AS price_lo, max(price) AS price_hi FROM variants GROUP BY doc_id)"
+
+
+@query("srt_field", _W + f", {_ENDS} SELECT i.doc_id, CAST(row_number() OVER (ORDER BY coalesce(price_hi, 0) DESC, size DESC, i.doc_id) AS INTEGER) AS pos FROM items i LEFT JOIN e ON e.doc_id = i.doc_id QUALIFY pos <= 50")
+def srt_field(spark, d):
+    ends = C.variants(spark, d, False).groupBy("doc_id").agg(F.min("price").alias("price_lo"), F.max("price").alias("price_hi"))
+    hits = C.items(spark, d).select("doc_id", F.col("size").alias("score")).join(ends, "doc_id", "left")
+    top = hits.orderBy(*K.sort_columns([Sort("price", True)])).limit(50)
+    rows = top.select("doc_id").collect()  # one page
+    return spark.createDataFrame([(r.doc_id, i + 1) for i, r in enumerate(rows)], "doc_id long, pos int")
+
+
+@query("srt_facet_value", _W + "SELECT i.doc_id, max(v.price) AS sort_value FROM items i LEFT JOIN variants v ON v.doc_id = i.doc_id AND color = 'R' GROUP BY i.doc_id")
+def srt_facet_value(spark, d):
+    red = C.variants(spark, d, False).filter("color = 'R'").select("doc_id", F.lit("red_price").alias("name"), F.col("price").alias("num_value"))
+    return K.facet_value_sort(C.items(spark, d).select("doc_id"), red, "red_price", True)
+
+
+@query("srt_variant", _W + "SELECT doc_id, variant_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY price, variant_pos) AS INTEGER) AS rank FROM variants")
+def srt_variant(spark, d):
+    from pyspark.sql import Window
+
+    return C.variants(spark, d).select("doc_id", "variant_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("price", "variant_pos")).alias("rank"))
+
+
+@query("srt_options", "SELECT * FROM (VALUES ('price', true), ('size', false), ('title', false)) t(field, active)")
+def srt_options(spark, d):
+    active = {s.field for s in params.parse_sort("-price", FIELDS)}
+    return spark.createDataFrame([(f.name, f.name in active) for f in FIELDS.fixed if "SORT" in f.usage], "field string, active boolean")
+
+
+@query("lim_page", _W + "SELECT doc_id, title FROM items ORDER BY price DESC, doc_id LIMIT 12 OFFSET 24")
+def lim_page(spark, d):
+    limit, offset = params.page(None, 24)
+    return K.page(C.items(spark, d), [F.col("price").desc(), F.col("doc_id")], limit, offset).select("doc_id", "title")
+
+
+_PICK = "v AS (SELECT *, stock AS score, count(*) OVER (PARTITION BY doc_id) AS n_variants FROM variants), m AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt, count(*) OVER (PARTITION BY doc_id) AS hits FROM v WHERE color = 'R' WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, variant_pos))"
+
+
+def _matching_variants(spark, d):
+    n = C.variants(spark, d, False).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_variants"))
+    return C.variants(spark, d).filter("color = 'R'").withColumn("score", F.col("stock")).join(n, "doc_id")
+
+
+@query("var_pick", _W + f", {_PICK} SELECT doc_id, variant_pos FROM m WHERE r = 1 AND (hits = 1 OR score > nxt)")
+def var_pick(spark, d):
+    return K.pick_variant(_matching_variants(spark, d))
+
+
+@query("var_prefer_on_filter", _W + f", {_PICK} SELECT doc_id, variant_pos FROM m WHERE r = 1")
+def var_prefer_on_filter(spark, d):
+    preferred, filters = {"color"}, [Filter("color", values=("r",))]
+    return K.pick_variant(_matching_variants(spark, d), "pickAlways" if preferred & {f.field for f in filters} else "pickIfBestScored")
+
+
+@query("var_overlay", _W + "SELECT i.doc_id, i.title, coalesce(CAST(v.price AS VARCHAR), CAST(i.price AS VARCHAR)) AS price FROM items i LEFT JOIN variants v ON v.doc_id = i.doc_id AND variant_pos = 0")
+def var_overlay(spark, d):
+    from ..functions.scalars import map_overlay
+
+    master = C.items(spark, d).select("doc_id", F.create_map(F.lit("title"), F.col("title"), F.lit("price"), F.col("price").cast("string")).alias("m"))
+    v = C.variants(spark, d).filter("variant_pos = 0").select("doc_id", F.create_map(F.lit("price"), F.col("price").cast("string")).alias("v"))
+    out = map_overlay(F.col("m"), F.coalesce("v", F.create_map().cast("map<string,string>")))
+    return master.join(v, "doc_id", "left").select("doc_id", out["title"].alias("title"), out["price"].alias("price"))
+
+
+@query("var_price_prefix", _W + f", {_ENDS} SELECT doc_id, CASE WHEN price_lo < price_hi THEN 'from' END AS prefix FROM e")
+def var_price_prefix(spark, d):
+    ends = C.variants(spark, d, False).groupBy("doc_id").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    return ends.select("doc_id", K.price_prefix(F.col("lo"), F.col("hi")).alias("prefix"))
+
+
+# --- relaxation, sets, arrangement -------------------------------------------
+
+STAGES = [search.Stage("phrase", "phrase"), search.Stage("all", "all"), search.Stage("relaxed", "relaxed"), search.Stage("fuzzy", "fuzzy")]
+
+
+def _searched(spark, d, q, **options):
+    x = titled(spark, d)
+    return search.staged_search(x, tok(), SearchRequest(q), STAGES, **options)
+
+
+@query("rlx_staged", _W + "SELECT doc_id, 'all' AS strategy FROM items WHERE title = 'red bolt'")
+def rlx_staged(spark, d):
+    r = _searched(spark, d, "bolt red")
+    return r.hits.select("doc_id", F.lit(r.meta["strategy"]).alias("strategy"))
+
+
+@query("rlx_sufficient", _W + f"SELECT doc_id, 'relaxed' AS strategy FROM items WHERE list_contains({_T}, 'bolt') OR list_contains({_T}, 'gear')")
+def rlx_sufficient(spark, d):
+    r = _searched(spark, d, "bolt gear")
+    return r.hits.select("doc_id", F.lit(r.meta["strategy"]).alias("strategy"))
+
+
+@query("rlx_fallback", _W + f"SELECT doc_id FROM items WHERE len(list_filter({_T}, lambda w: levenshtein(w, 'gizmoz') <= 2)) > 0")
+def rlx_fallback(spark, d):
+    return _searched(spark, d, "gizmoz").hits.select("doc_id")
+
+
+@query("rlx_correct_retry", _W + "SELECT doc_id, 'phrase' AS strategy FROM items WHERE title = 'small widget'")
+def rlx_correct_retry(spark, d):
+    words = titled(spark, d).select(F.explode(tok()).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    r = _searched(spark, d, "small widgat", dictionary=words)
+    return r.hits.select("doc_id", F.lit(r.meta["strategy"]).alias("strategy"))
+
+
+@query("rlx_jump", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'red') AND list_contains({_T}, 'bolt')")
+def rlx_jump(spark, d):
+    return _searched(spark, d, "red bolt", only=1).hits.select("doc_id")
+
+
+@query("rlx_invalid", _W + "SELECT doc_id FROM items WHERE false")
+def rlx_invalid(spark, d):
+    return _searched(spark, d, "   ").hits.select("doc_id")
+
+
+@query("set_union_should", _W + f"SELECT doc_id, CAST(list_contains({_T}, 'red') AS DOUBLE) * 2 + CAST(list_contains({_T}, 'bolt') AS DOUBLE) AS score FROM items WHERE score > 0")
+def set_union_should(spark, d):
+    x = titled(spark, d)
+    both = x.filter(M.has(tok(), "red")).select("doc_id", F.lit(2.0).alias("score")).union(x.filter(M.has(tok(), "bolt")).select("doc_id", F.lit(1.0).alias("score")))
+    return both.groupBy("doc_id").agg(F.sum("score").alias("score"))
+
+
+@query("set_and_merge", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'red') AND list_contains({_T}, 'bolt')")
+def set_and_merge(spark, d):
+    return titled(spark, d).filter(M.has(tok(), "red") & M.has(tok(), "bolt")).select("doc_id")
+
+
+@query("set_dedupe_ids", f"WITH {_SETS} SELECT k AS doc_id, CAST(p[1] AS INTEGER) AS set_no FROM f")
+def set_dedupe_ids(spark, d):
+    one, two = _sets(spark, d)
+    later = two.join(one, "doc_id", "left_anti")
+    return one.select("doc_id", F.lit(0).alias("set_no")).union(later.select("doc_id", F.lit(1)))
+
+
+@query("arr_static", _W + f", {_SETS} SELECT doc_id, CAST(p[1] AS INTEGER) AS set_no, p[2] AS pos FROM items JOIN f ON k = doc_id")
+def arr_static(spark, d):
+    return K.arrange(C.items(spark, d).select("doc_id"), _sets(spark, d)).filter("pos IS NOT NULL").select("doc_id", "set_no", "pos")
+
+
+@query("arr_dynamic", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'bolt') ORDER BY price DESC, doc_id LIMIT 3")
+def arr_dynamic(spark, d):
+    return M.match(titled(spark, d), tok(), ["bolt"]).orderBy(F.col("price").desc(), "doc_id").limit(3).select("doc_id")
+
+
+@query("arr_querystring", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'gear') AND NOT list_contains({_T}, 'old') ORDER BY doc_id LIMIT 3")
+def arr_querystring(spark, d):
+    return titled(spark, d).filter(M.has(tok(), "gear") & ~M.has(tok(), "old")).orderBy("doc_id").limit(3).select("doc_id")
+
+
+@query("arr_generic", _W + "SELECT doc_id FROM items WHERE false")
+def arr_generic(spark, d):
+    return C.items(spark, d).select("doc_id").filter(F.lit(False))
+
+
+@query("arr_slices", _W + f", {_SETS} SELECT CASE coalesce(p[1], 2) WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'main' END AS slice, count(*) AS n FROM items LEFT JOIN f ON k = doc_id GROUP BY ALL")
+def arr_slices(spark, d):
+    a = K.arrange(C.items(spark, d).select("doc_id"), _sets(spark, d))
+    return a.groupBy(F.when(F.col("set_no") == 0, "first").when(F.col("set_no") == 1, "second").otherwise("main").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("lnk_build", "SELECT 'brand=a%2Cb&q=x' AS added, 'q=x' AS removed, 'brand=a&offset=12&q=x&sort=-price' AS sorted")
+def lnk_build(spark, d):
+    base = {"q": "x", "brand": "a", "offset": "12"}
+    return spark.createDataFrame([(search.links(base, Filter("brand", values=("b",))), search.links(base, remove="brand"), search.links(base, sort="-price"))], "added string, removed string, sorted string")
+
+
+@query("meta_label", "SELECT '(red OR crimson OR scarlet^0.5) gear' AS label")
+def meta_label(spark, d):
+    return spark.createDataFrame([(_rewrite("red gear").label(),)], "label string")
+
+
+@query("meta_trace", "SELECT 'bolt red' AS q, 'all' AS strategy, 1 AS stage")
+def meta_trace(spark, d):
+    m = _searched(spark, d, "bolt red").meta
+    return spark.createDataFrame([(m["query"], m["strategy"], m["stage"])], "q string, strategy string, stage int")
+
+
+@query("cfg_merge_search", "SELECT * FROM (VALUES ('facets', 'b,a'), ('scoring', 'none')) t(section, v)")
+def cfg_merge_search(spark, d):
+    got = search.merge_config({"facets": [{"name": "a"}, {"name": "b", "old": 1}], "scoring": {"mode": "avg"}}, {"facets": [{"name": "b"}], "scoring": None}, {"scoring": False})
+    return spark.createDataFrame([("facets", ",".join(f["name"] for f in got["facets"])), ("scoring", str(got["scoring"]).lower())], "section string, v string")
+
+
+@query("cfg_merge_index", "SELECT 'BOTH' AS level, 'FACET,SEARCH' AS usage")
+def cfg_merge_index(spark, d):
+    from ..schema import Field, FieldIndex
+
+    f = FieldIndex([Field("x", usage=("FACET",))]).merged(FieldIndex([Field("x", level="VARIANT", usage=("SEARCH",))])).match("x")[0]
+    return spark.createDataFrame([(f.level, ",".join(f.usage))], "level string, usage string")
+
+
+# --- suggest -----------------------------------------------------------------
+
+
+def records(spark, d):
+    own = C.items(spark, d).groupBy(F.col("title").alias("text")).agg(F.count(F.lit(1)).alias("weight"), F.min("type").alias("secondary"))
+    return own.withColumn("tags", F.array(F.lit("product")))
+
+
+@query("sug_api")
+def sug_api(spark, d):
+    return G.suggest(records(spark, d), "bol", 10, "product")
+
+
+@query("sug_stages", _W + ", t AS (SELECT title AS text, count(*) AS weight FROM items GROUP BY title) SELECT text, 1 AS stage, weight FROM t WHERE text LIKE 'wid%' OR contains(text, ' wid')")
+def sug_stages(spark, d):
+    return G.suggest(records(spark, d), "wid", 100).filter("stage = 1")
+
+
+_CC = "CASE WHEN title = 'red bolt' THEN 1.0 ELSE round(list_sum(list_transform(['b','d','e','l','o','r','t'], lambda a: least(len(list_filter(string_split(replace(title, ' ', ''), ''), lambda x: x = a)), 1))) / greatest(length(replace(title, ' ', '')), 7), 6) END"
+
+
+@query("sug_common_chars", _W + f"SELECT DISTINCT title, {_CC} AS v FROM items")
+def sug_common_chars(spark, d):
+    return C.items(spark, d).select("title").distinct().select("title", F.round(G.common_chars(F.col("title"), "red bolt"), 6).alias("v"))
+
+
+_PRE = "list_max(list_transform(range(0, 5), lambda k: CASE WHEN left({0}, k) = left('bolt', k) THEN k ELSE 0 END))"
+
+
+@query("sug_prefix_len", _W + f"SELECT DISTINCT title, CAST(CASE WHEN {_PRE.format('title')} > 0 THEN {_PRE.format('title')} ELSE {_PRE.format("split_part(title, ' ', 2)")} END AS INTEGER) AS v FROM items")
+def sug_prefix_len(spark, d):
+    return C.items(spark, d).select("title").distinct().select("title", G.prefix_length(F.col("title"), "bolt").alias("v"))
+
+
+def _ranked(spark, d, order):
+    x = records(spark, d).withColumn("prefix", G.prefix_length(F.col("text"), "bolt")).withColumn("common", G.common_chars(F.col("text"), "bolt")).withColumn("stage", F.lit(1))
+    return x.orderBy(*order).limit(10).select("text", "weight")
+
+
+@query("sug_fuzzy_order")
+def sug_fuzzy_order(spark, d):
+    return _ranked(spark, d, G.fuzzy_order("text", "bolt"))
+
+
+@query("sug_default_order")
+def sug_default_order(spark, d):
+    return _ranked(spark, d, G.default_order("text"))
+
+
+@query("sug_topk", _W + "SELECT title AS text, count(*) AS weight FROM items GROUP BY title ORDER BY weight DESC, text LIMIT 5")
+def sug_topk(spark, d):
+    return records(spark, d).orderBy(F.col("weight").desc(), "text").limit(5).select("text", "weight")
+
+
+def _grouped(spark, d):
+    x = C.items(spark, d)
+    a = x.groupBy(F.upper("title").alias("text")).agg(F.count(F.lit(1)).alias("weight")).withColumn("kind", F.lit("log"))
+    return a.unionByName(x.groupBy(F.col("title").alias("text")).agg(F.count(F.lit(1)).alias("weight")).withColumn("kind", F.lit("catalog")))
+
+
+@query("sug_group_limit", _W + ", g AS (SELECT upper(title) AS text, count(*) AS weight, 'log' AS kind FROM items GROUP BY title UNION ALL SELECT title, count(*), 'catalog' FROM items GROUP BY title) SELECT text, weight, kind FROM g QUALIFY row_number() OVER (PARTITION BY kind ORDER BY weight DESC, text) <= CASE kind WHEN 'log' THEN 7 ELSE 3 END")
+def sug_group_limit(spark, d):
+    return G.group_limit(_grouped(spark, d), "kind", {"log": 0.7, "catalog": 0.3}, 10)
+
+
+@query("sug_dedupe", _W + "SELECT title AS text, 'catalog' AS kind, count(*) AS weight FROM items GROUP BY title")
+def sug_dedupe(spark, d):
+    return G.dedupe(_grouped(spark, d), "kind", ["catalog", "log"])
+
+
+@query("sug_source", _W + "SELECT brand AS text, count(*) AS weight FROM items GROUP BY brand ORDER BY weight DESC, text LIMIT 1000")
+def sug_source(spark, d):
+    return G.source(C.facet_values(C.items(spark, d)), "brand")
