@@ -60,7 +60,8 @@ class Lines:
         cut = first.copy()
         if len(s) > 1:
             pair = kernel.mix(word[:-1] * np.uint64(3) + word[1:])
-            wrap = (pair % np.uint64(_ONE_IN) == 0) & (np.repeat(size, size)[1:] > longest)
+            # Both words must be of one line, else what stands before a text would matter.
+            wrap = (pair % np.uint64(_ONE_IN) == 0) & ~first[1:] & (np.repeat(size, size)[1:] > longest)
             cut[2:] |= wrap[:-1]  # a new line begins after the pair
         self.first = np.flatnonzero(cut)
         self.last = np.concatenate((self.first[1:], [len(s)])).astype(np.int64) if len(self.first) else self.first
