@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage and compute once: a table in the shared folder."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

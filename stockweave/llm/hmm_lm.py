@@ -44,6 +44,7 @@ STATES = 8
 TOP = 2048
 SHAPES = 192
 ROUNDS = 6
+#: A chunk's words are numbered in three bytes, so it must stay below 2 ** 24.
 CHUNK_TOKENS = 1_000_000
 SEGMENT = 128
 LONG = 2048
@@ -65,6 +66,17 @@ def shapes(text: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return (h % np.uint64(SHAPES // 2)).astype(np.int64) * 2 + closed
 
 
+def pack(codes: np.ndarray) -> bytes:
+    """Numbers below 2 ** 24 in three bytes each."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _chunks(docs: DataFrame, fold: int, rest: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 24, 0
@@ -83,12 +95,12 @@ def _chunks(docs: DataFrame, fold: int, rest: int, most: int) -> DataFrame:
             rank[order] = np.arange(len(order))
             train = np.repeat(~held, n)
             seen = np.bincount(back[train], minlength=len(distinct))[order]
-            codes = rank[back].astype("<u4")
+            codes = pack(rank[back])
             ends = np.cumsum(n).tolist()
             begin = 0
             out = []
             for e in ends:
-                out.append(codes[begin:e].tobytes())
+                out.append(codes[3 * begin : 3 * e])
                 begin = e
             k = len(ends)
             empty = pa.nulls(k)
@@ -174,7 +186,7 @@ def _sequences(chunks: DataFrame, words: Words, vocabulary: DataFrame) -> DataFr
         c, cls = np.zeros(len(at)), np.zeros(len(at), np.int64)
         c[at], cls[at] = right["c"].to_numpy(), right["cls"].to_numpy()
         plus, within = np.log10(c + 1), words.log_share(c, cls)
-        codes = [np.frombuffer(x, "<u4") for x in left["codes"].to_pylist()]
+        codes = [unpack(x) for x in left["codes"].to_pylist()]
         n = np.array([len(x) for x in codes], np.int64)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         ends = np.cumsum(n)
@@ -354,6 +366,7 @@ def score_documents(docs: DataFrame, fold: int = 7, rest: int = 2, states: int =
     rows = chunks.filter("words is not null").select(F.explode(F.arrays_zip("words", "counts", "shapes")).alias("w"))
     vocabulary = frames.keep(rows.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("c"), F.min("w.shapes").alias("shape")))
     words = Words(vocabulary, top)
+    frames.release(spark)
     sequences = frames.keep(_sequences(chunks, words, vocabulary))
     frames.release(spark)
     train = sequences.filter("not held")
