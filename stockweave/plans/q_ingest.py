@@ -302,3 +302,44 @@ def mrg_patch(spark, d):
 @query("mrg_required_fields", "SELECT p_partkey, p_size FROM part")
 def mrg_required_fields(spark, d):
     return C.table(spark, d, "part").select("p_partkey", "p_size")  # the scan reads these two columns only
+
+
+def _two_tables(spark, d, name):
+    store = K.Store(spark, _scratch(spark, name))
+    for table_name, locale in (("parts", "en"), ("suppliers", "de")):
+        s = store.start(table_name, locale)
+        store.add(s, C.table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), "n_name"))
+        store.deploy(s)
+    return store
+
+
+@query("src_list_tenants", "SELECT * FROM (VALUES ('parts-en'), ('suppliers-de')) t(tenant)")
+def src_list_tenants(spark, d):
+    return spark.createDataFrame([(t,) for t in _two_tables(spark, d, "tenants").tenants()], "tenant string")
+
+
+@query("snk_start_session", "SELECT * FROM (VALUES ('parts-en', 2), ('parts-en', 3)) t(name, version)")
+def snk_start_session(spark, d):
+    store = _two_tables(spark, d, "sessions")
+    return spark.createDataFrame([store.start("parts", "EN"), store.start("parts", "en")], "name string, version int")
+
+
+@query("snk_cancel", "SELECT 1 AS versions, count(*) AS n FROM nation")
+def snk_cancel(spark, d):
+    store = _two_tables(spark, d, "cancel")
+    store.cancel(store.start("parts", "en"))
+    return store.read("parts-en").agg(F.lit(len(store.versions("parts-en"))).alias("versions"), F.count(F.lit(1)).alias("n"))
+
+
+@query("snk_cleanup", "SELECT 'parts-en/v=2' AS gone")
+def snk_cleanup(spark, d):
+    store = _two_tables(spark, d, "cleanup")
+    store.start("parts", "en")
+    return spark.createDataFrame([(g,) for g in store.cleanup(0)], "gone string")
+
+
+@query("snk_suggest_archive", "SELECT p_name AS text, count(*) AS weight FROM part GROUP BY p_name")
+def snk_suggest_archive(spark, d):
+    folder = _scratch(spark, "suggest")
+    C.items(spark, d).groupBy(F.col("title").alias("text")).agg(F.count(F.lit(1)).alias("weight")).write.parquet(folder)
+    return spark.read.parquet(folder)
