@@ -1,30 +1,30 @@
-"""Benchmark decontamination by SimHash windows, in DataFrame operations only.
-
-Texts become words (runs of letters and digits, lower case), words 64-bit
-hashes.  Documents are read on a grid of ``g`` words.  The window of an item of
-``n`` words has ``W`` words, the largest of a few sizes up to ``n - g + 1``:
-wherever the item stands, such a window on the grid lies inside it.  Its place in the item is one
-of ``n - W + 1``, and the item's side has a fingerprint for each of them; so a
-copy meets a fingerprint of exactly its own words.
-
-Fingerprints have 56 bits: bit by bit, the majority of the hashes of the window's
-word pairs (first and second word, third and fourth, ...).  The counts of a grid cell are kept as 4-bit lanes of four numbers, and windows are
-sums of cells, so each cell is counted once for all window sizes.
-
-Multi-index: a fingerprint is three blocks of 19, 19 and 18 bits.  Of two
-fingerprints within ``RADIUS`` = 5 bits, at least one block differs in one bit or
-none.  The item's side lists each block with its one-bit neighbours; an equality join by
-block therefore finds *all* fingerprints within the radius, and the Hamming
-distance is checked.  A candidate fixes where the item would begin; the document's words there are compared with the item's by
-multiplicity-weighted Jaccard similarity of five-word shingles, exactly.
+"""Benchmark decontamination by an exact search of shingles, in DataFrame operations only.
+
+Texts become words (runs of letters and digits, lower case), words 64-bit hashes.
+A document's place is a run of as many words as the item has; it holds the item if
+the multiplicity-weighted Jaccard similarity of their five-word shingles is
+``SIMILARITY`` or more.
+
+Search.  Every shingle of every document is looked up in a table of the items'
+shingles; what meets is a hit: its position and how often the item has that shingle.
+A place's similarity follows from the hits inside it and its length alone, so the
+words aren't needed again.  Moving a place right to the next hit loses no hit; so the
+places that begin at a hit, and the last one of the document, contain the most
+similar one, and nothing is missed, however the passage was edited.  Hits are dealt
+by document, item and stretch: a place reaches from its stretch, as long as the item,
+into the next one at most, so a group has as many hits as two items have shingles,
+however often a document repeats the item.
+
+``distance`` is the Hamming distance of the 56-bit SimHash fingerprints (bit by bit
+the majority of the words' hashes) of place and item; it's told, not a condition.
 
 The item side is broadcast if it takes less than ``BROADCAST_BYTES``, else
 joined by shuffle.  Documents' words aren't shuffled in the first case.
 
-Edge cases.  Null and empty texts have no window.  Items of fewer than three
-words are ignored; the grid is 8 words if every other item has 15 or more, else
-4 (from 7 words) or 2.  Repeated rows are as one.  An empty table on either side
-gives no leak.  Other columns are ignored; :func:`decontaminate` passes them on.
+Edge cases.  Null and empty texts have no hits.  Items of fewer than three words are
+ignored; items of three or four are one shingle.  Repeated rows are as one; rows of
+one id with other texts don't mix.  An empty table on either side gives no leak.
+Other columns are ignored; :func:`decontaminate` passes them on.
 """
 
 from __future__ import annotations
@@ -39,14 +39,7 @@ SIMILARITY = 0.75
 SHINGLE = 5
 BROADCAST_BYTES = 64 << 20
 _ROW_BYTES = 64
-#: Window sizes in grid cells: each is a sum of two before it, and less than half
-#: an item stays outside its window.  Longer items have several windows inside.
-SIZES = (1, 2, 4, 8, 12)
 _BLOCKS, _BITS = 3, 19
-_NIBBLES = 0x0011111111111111
-_BYTES = 0x000F0F0F0F0F0F0F
-_TOP = 0x0080808080808080
-_ONES = 0x0001010101010101
 
 
 def word_hashes(text: Column) -> Column:
@@ -55,49 +48,10 @@ def word_hashes(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)))
 
 
-def pair_hashes(words: str) -> Column:
-    """Hashes of the first and second word, the third and fourth, and so on."""
-    return F.expr(f"transform(sequence(0, CAST(floor(size({words}) / 2) AS INT) - 1), c -> xxhash64({words}[2 * c], {words}[2 * c + 1]))")
-
-
-def cell_counts(pairs: str, grid: int, j: int) -> Column:
-    """Of each whole grid cell, counts of every fourth bit from ``j`` on, in 4-bit lanes."""
-    half = grid // 2
-    terms = " + ".join(f"({f'shiftrightunsigned({pairs}[c * {half} + {t}], {j})' if j else f'{pairs}[c * {half} + {t}]'} & {_NIBBLES}L)" for t in range(half))
-    return F.expr(f"transform(sequence(0, CAST(floor(size({pairs}) / {half}) AS INT) - 1), c -> {terms})")
-
-
-def _add_bit(bias: int, k: int):
-    return lambda f, x: f.bitwiseOR(F.shiftrightunsigned((x + F.lit(bias)).bitwiseAND(F.lit(_TOP)), k))
-
-
-def with_fingerprints(rows: DataFrame, words: str, sizes: list[int], grid: int) -> DataFrame:
-    """Adds ``fp_<m>`` for each window size of ``m`` cells: an array with the
-    fingerprint of the window that begins at each cell, null where the text is
-    too short for it.  Rows must have a whole cell.
-
-    Everything is done on whole arrays: sums of two cells, of four as two sums of
-    two, and so on, lane by lane."""
-    keep = rows.columns
-    rows = rows.select(*keep, pair_hashes(words).alias("__pairs"))
-    rows = rows.select(*keep, *[cell_counts("__pairs", grid, j).alias(f"__n{j}") for j in range(4)])
-    lanes = [F.transform(f"__n{k // 2}", (lambda x: F.shiftrightunsigned(x, 4).bitwiseAND(F.lit(_BYTES))) if k % 2 else (lambda x: x.bitwiseAND(F.lit(_BYTES)))) for k in range(8)]
-    rows = rows.select(*keep, *[x.alias(f"__1_{k}") for k, x in enumerate(lanes)])
-    have, done = [1], []
-    for m in SIZES[: SIZES.index(max(sizes)) + 1]:
-        if m > 1:
-            a, b = max((a, m - a) for a in have if m - a in have and a >= m - a)
-            sums = [F.zip_with(f"__{a}_{k}", F.slice(f"__{b}_{k}", a + 1, F.size(f"__{b}_{k}")), lambda x, y: x + y).alias(f"__{m}_{k}") for k in range(8)]
-            rows = rows.select(*keep, *done, *[f"__{h}_{k}" for h in have for k in range(8)], *sums)
-            have.append(m)
-        if m in sizes:
-            bias = _ONES * (127 - m * grid // 4)
-            fp = F.transform(f"__{m}_0", lambda x: (x + F.lit(bias)).bitwiseAND(F.lit(_TOP)))
-            for k in range(1, 8):
-                fp = F.zip_with(fp, f"__{m}_{k}", _add_bit(bias, k))
-            rows = rows.select(*keep, *done, fp.alias(f"fp_{m}"), *[f"__{h}_{k}" for h in have for k in range(8)])
-            done.append(f"fp_{m}")
-    return rows.select(*keep, *done)
+def fingerprint(words: str) -> Column:
+    """56 bits: each the majority of that bit in the words' hashes."""
+    ones = f"aggregate({words}, 0, (n, w) -> n + CAST(shiftrightunsigned(w, j) & 1L AS INT))"
+    return F.expr(f"aggregate(sequence(0, 55), 0L, (f, j) -> f | IF(2 * {ones} > size({words}), shiftleft(1L, j), 0L))")
 
 
 def block_key(fp: Column, size: Column | int, block: int) -> Column:
@@ -106,14 +60,6 @@ def block_key(fp: Column, size: Column | int, block: int) -> Column:
     return F.shiftleft((tag * _BLOCKS + block).cast("long"), _BITS).bitwiseOR(F.shiftrightunsigned(fp, _BITS * block).bitwiseAND(F.lit((1 << _BITS) - 1)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays taken as multisets."""
-    common = F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))
-    )
-    return common / (F.size(a) + F.size(b) - common)
-
-
 def shingles(words: Column, size: int = SHINGLE) -> Column:
     """Hashes of runs of words, with repeats; all words as one if there are fewer."""
     n = F.size(words) - size
@@ -121,54 +67,76 @@ def shingles(words: Column, size: int = SHINGLE) -> Column:
     return F.when(n >= 0, many).otherwise(F.array(F.xxhash64(words)))
 
 
+def runs(words: str, size: int) -> Column:
+    """Hashes of the runs of ``size`` words, by position; none if there are fewer words."""
+    return F.expr(f"IF(size({words}) >= {size}, transform(sequence(0, size({words}) - {size}), i -> xxhash64(slice({words}, i + 1, {size}))), CAST(array() AS array<bigint>))")
+
+
+def _items(benchmark: DataFrame, item_column: str, text_column: str) -> DataFrame:
+    items = benchmark.select(F.col(item_column).alias("item"), word_hashes(F.col(text_column)).alias("item_words"))
+    items = items.select("*", F.size("item_words").alias("item_n"), F.xxhash64("item_words").alias("item_key")).filter("item_n >= 3")
+    return items.dropDuplicates(["item", "item_key", "item_n"])
+
+
+def found(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame | None:
+    """The most similar place of each document and item: ``doc, item, best``; None without items."""
+    sizes = sorted({min(r.item_n, SHINGLE) for r in items.select("item_n").distinct().collect()})
+    if not sizes:
+        return None
+    index = items.select("item", "item_key", "item_n", F.explode(shingles(F.col("item_words"))).alias("key"))
+    index = frames.keep(index.groupBy("item", "item_key", "item_n", "key").agg(F.count("*").cast("int").alias("times")))
+    small = index.count() * _ROW_BYTES <= BROADCAST_BYTES
+
+    words = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text_column).alias("text_key"), word_hashes(F.col(text_column)).alias("words"))
+    rows = words.select("doc", "text_key", F.size("words").alias("size"), F.array(*[runs("words", k) for k in sizes]).alias("runs"))
+    # The outer kinds, else Spark computes the arrays once more to filter empty ones.
+    rows = rows.select("doc", "text_key", "size", F.explode_outer("runs").alias("run"))
+    rows = rows.select("doc", "text_key", "size", F.posexplode_outer("run").alias("at", "key"))
+    met = rows.join(F.broadcast(index) if small else index, "key")
+
+    own = F.expr("CAST(at DIV item_n AS INT)")
+    met = met.withColumn("stretch", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))))
+    group = ["doc", "text_key", "size", "item", "item_key", "item_n", "stretch"]
+    hits = met.groupBy(*group).agg(F.collect_set(F.struct("at", "key", "times")).alias("hits"))
+    hits = hits.withColumn("k", F.least("item_n", F.lit(SHINGLE))).withColumn("item_size", F.expr("item_n - k + 1"))
+    hits = hits.filter(F.size("hits") >= F.col("item_size") * least)
+    begins = "transform(filter(hits, h -> h.at DIV item_n = stretch), h -> least(h.at, size - item_n))"
+    places = f"transform(filter(array_distinct({begins}), b -> b >= 0), b -> named_struct('begin', b, 'end', b + item_n))"
+    placed = hits.select("*", F.explode(F.expr(places)).alias("place"))
+    placed = placed.withColumn("hits", F.expr("filter(hits, h -> h.at >= place.begin AND h.at + k <= place.end)"))
+    placed = placed.filter(F.size("hits") >= F.col("item_size") * least)
+    kinds = "array_distinct(transform(hits, h -> named_struct('key', h.key, 'times', h.times)))"
+    common = F.expr(f"aggregate({kinds}, 0, (n, x) -> n + least(size(filter(hits, h -> h.key = x.key)), x.times))")
+    placed = placed.withColumn("common", common)
+    checked = placed.withColumn("similarity", F.expr("common / (place.end - place.begin - k + 1 + item_size - common)")).filter(F.col("similarity") >= least)
+    best = F.max(F.struct("similarity", (-F.col("place.begin")).alias("b"), (F.col("place.end") - F.col("place.begin")).alias("n"), "text_key", "item_key"))
+    return checked.groupBy("doc", "item").agg(best.alias("best"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document and item found in it: ``doc_id, item_id, start_word,
     n_words, similarity, distance`` of the most similar place."""
-    items = benchmark.select(F.col(item_column).alias("item"), word_hashes(F.col(item_text_column)).alias("item_words"))
-    items = items.select("*", F.size("item_words").alias("item_n")).filter("item_n >= 3")
-    lengths = sorted(r.item_n for r in items.select("item_n").distinct().collect())
-    schema = "doc_id long, item_id long, start_word int, n_words int, similarity double, distance int"
-    if not lengths:
-        return docs.sparkSession.createDataFrame([], schema)
-    grid = next(g for g in (8, 4, 2) if 2 * g - 1 <= lengths[0])
-    size_of = {n: max(m for m in SIZES if m <= (n - grid + 1) // grid) for n in lengths}
-    sizes = sorted(set(size_of.values()))
-
-    size = F.coalesce(*[F.when(F.col("item_n") == n, F.lit(m)) for n, m in size_of.items()])
-    placed = items.withColumn("m", size).withColumn("phase", F.explode(F.sequence(F.lit(0), F.col("item_n") - F.col("m") * grid)))
-    window = placed.withColumn("__w", F.slice("item_words", F.col("phase") + 1, F.col("m") * grid))
-    known = with_fingerprints(window, "__w", sizes, grid)
-    known = known.select("item", "item_n", "m", "phase", F.coalesce(*[F.when(F.col("m") == m, F.get(f"fp_{m}", F.lit(0))) for m in sizes]).alias("item_fp"))
-    near = [F.lit(0), *[F.lit(1 << i) for i in range(_BITS)]]
-    keys = F.array(*[block_key(F.col("item_fp"), F.col("m"), j).bitwiseXOR(flip.cast("long")) for j in range(_BLOCKS) for flip in near])
-    index = frames.keep(known.select(F.explode(F.array_distinct(keys)).alias("key"), "item", "item_n", "m", "phase", "item_fp"))
-    small = index.count() * _ROW_BYTES <= BROADCAST_BYTES
-
-    words = docs.select(F.col(id_column).cast("long").alias("doc"), word_hashes(F.col(text_column)).alias("words"))
-    prints = with_fingerprints(words.filter(F.size("words") >= min(sizes) * grid), "words", sizes, grid)
-    prints = prints.select("*", F.explode(F.sequence(F.lit(0), F.size(f"fp_{sizes[0]}") - 1)).alias("cell"))
-    fps = [F.get(f"fp_{m}", F.col("cell")) for m in sizes]
-    prints = prints.select("doc", "words", "cell", F.array(*fps).alias("fps"), F.array(*[block_key(fp, m, j) for fp, m in zip(fps, sizes) for j in range(_BLOCKS)]).alias("keys"))
-    probes = prints.select("doc", "words", "cell", "fps", F.explode("keys").alias("key")).filter("key IS NOT NULL")
-    met = probes.join(F.broadcast(index) if small else index, "key")
-    own = F.get("fps", F.array_position(F.array(*[F.lit(m) for m in sizes]), F.col("m")).cast("int") - 1)
-    begin = F.col("cell") * grid - F.col("phase")
-    close = met.withColumn("distance", F.bit_count(own.bitwiseXOR(F.col("item_fp")))).filter(F.col("distance") <= RADIUS).withColumn("begin", begin)
-    close = close.filter((F.col("begin") >= 0) & (F.col("begin") + F.col("item_n") <= F.size("words")))
-    # Each place once: a window meets its item in up to three blocks.
-    place = close.select("doc", "item", "begin", "item_n", "distance", F.slice("words", F.col("begin") + 1, F.col("item_n")).alias("there"))
-    place = place.groupBy("doc", "item", "begin", "item_n", "there").agg(F.min("distance").alias("distance"))
-    side = items.select(F.col("item").alias("__item"), shingles(F.col("item_words")).alias("item_shingles"), F.col("item_words").alias("__words")).dropDuplicates(["__item", "__words"])
-    checked = place.join(F.broadcast(side) if small else side, (F.col("item") == F.col("__item")) & (F.size("__words") == F.col("item_n")))
-    checked = checked.withColumn("there", shingles(F.col("there"))).withColumn("similarity", similarity(F.col("there"), F.col("item_shingles"))).filter(F.col("similarity") >= least)
-    best = checked.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("begin")).alias("b"), "item_n", "distance")).alias("best"))
-    return best.select(
-        F.col("doc").alias("doc_id"), F.col("item").cast("long").alias("item_id"), (-F.col("best.b")).cast("int").alias("start_word"),
-        F.col("best.item_n").alias("n_words"), F.col("best.similarity").alias("similarity"), F.col("best.distance").cast("int").alias("distance"),
+    items = _items(benchmark, item_column, item_text_column)
+    best = found(docs, items, id_column, text_column, least)
+    if best is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double, distance int")
+    best = frames.keep(best.select("doc", "item", "best.*"))
+    small = best.count() * _ROW_BYTES <= BROADCAST_BYTES
+    texts = docs.select(F.col(id_column).cast("long").alias("__doc"), F.xxhash64(text_column).alias("__key"), F.col(text_column).alias("__text"))
+    there = texts.join(F.broadcast(best) if small else best, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__key") == F.col("text_key")))
+    there = there.select("doc", "item", "similarity", "b", "n", "item_key", F.slice(word_hashes(F.col("__text")), 1 - F.col("b"), F.col("n")).alias("there"))
+    side = items.select(F.col("item").alias("__item"), F.col("item_key").alias("__item_key"), "item_words")
+    there = there.join(side, F.col("item").eqNullSafe(F.col("__item")) & (F.col("item_key") == F.col("__item_key"))).dropDuplicates(["doc", "item"])
+    distance = F.bit_count(fingerprint("there").bitwiseXOR(fingerprint("item_words")))
+    return there.select(
+        F.col("doc").alias("doc_id"), F.col("item").cast("long").alias("item_id"), (-F.col("b")).cast("int").alias("start_word"),
+        F.col("n").cast("int").alias("n_words"), "similarity", distance.cast("int").alias("distance"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The documents without a leak; rows with a null id stay."""
-    found = leaks(docs, benchmark, id_column, text_column, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col(id_column) == F.col("__leak"), "left_anti")
+    best = found(docs, _items(benchmark, item_column, item_text_column), id_column, text_column, least)
+    if best is None:
+        return docs
+    return docs.join(best.select(F.col("doc").alias("__leak")).distinct(), F.col(id_column) == F.col("__leak"), "left_anti")

@@ -122,6 +122,30 @@ def test_leaks_equal_brute_force(spark, lengths):
     assert {(x.doc_id, x.item_id) for x in got.collect()} == brute_leaks(docs, items)
 
 
+def edited(r, words, kind, times):
+    """The words with so many of them deleted, replaced or new ones inserted."""
+    w = list(words)
+    for _ in range(times):
+        k = r.randrange(len(w))
+        w[k : k + (kind != "insert")] = [] if kind == "delete" else [f"z{r.randint(0, 999)}"]
+    return w
+
+
+@pytest.mark.parametrize("lengths", [(15, 39, 40, 46, 52, 59), (4, 9, 130)])
+def test_edited_passages_equal_brute_force(spark, lengths):
+    r = random.Random(sum(lengths))
+    prose = lambda n: [f"t{r.randint(0, 400)}" for _ in range(n)]
+    items = {i: prose(n) for i, n in enumerate(lengths)}
+    items[50] = (prose(8) * 6)[:45]  # its shingles repeat
+    docs = [(0, " ".join(w for _ in range(40) for w in edited(r, items[2], "replace", 1)))]  # a document of nothing but the item
+    for i, item in items.items():
+        for kind in ("delete", "insert", "replace"):
+            docs += [(len(docs) + k, " ".join(prose(70 + k) + edited(r, item, kind, 1 + k % 3) + prose(70))) for k in range(9)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    got, want = {(x.doc_id, x.item_id) for x in got.collect()}, brute_leaks(docs, [(i, " ".join(w)) for i, w in items.items()])
+    assert got == want and len(want) > 30
+
+
 def test_fingerprints_find_everything_within_the_radius(spark):
     """The multi-index join equals comparing all pairs of fingerprints."""
     r = random.Random(1)
