@@ -1,16 +1,17 @@
 """Benchmark decontamination by an exact search of shingles, in DataFrame operations only.
 
 Texts become words (runs of letters and digits, lower case), words 64-bit hashes.
-A document's place is a run of as many words as the item has; it holds the item if
-the multiplicity-weighted Jaccard similarity of their five-word shingles is
+A document's place is a run of as many words as the item has, clipped at the
+document's begin and end; it holds the item if the multiplicity-weighted Jaccard similarity of their five-word shingles is
 ``SIMILARITY`` or more.
 
 Search.  Every shingle of every document is looked up in a table of the items'
 shingles; what meets is a hit: its position and how often the item has that shingle.
 A place's similarity follows from the hits inside it and its length alone, so the
-words aren't needed again.  Moving a place right to the next hit loses no hit; so the
-places that begin at a hit, and the last one of the document, contain the most
-similar one, and nothing is missed, however the passage was edited.  Hits are dealt
+words aren't needed again.  Moving a place right to the next hit loses no hit, and
+ending one that is clipped at the begin with its last hit makes it no less similar;
+so the places that begin at a hit, and those from the begin to a hit, contain the
+most similar one, and nothing is missed, however the passage was edited.  Hits are dealt
 by document, item and stretch: a place reaches from its stretch, as long as the item,
 into the next one at most, so a group has as many hits as two items have shingles,
 however often a document repeats the item.
@@ -100,8 +101,9 @@ def found(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, l
     hits = met.groupBy(*group).agg(F.collect_set(F.struct("at", "key", "times")).alias("hits"))
     hits = hits.withColumn("k", F.least("item_n", F.lit(SHINGLE))).withColumn("item_size", F.expr("item_n - k + 1"))
     hits = hits.filter(F.size("hits") >= F.col("item_size") * least)
-    begins = "transform(filter(hits, h -> h.at DIV item_n = stretch), h -> least(h.at, size - item_n))"
-    places = f"transform(filter(array_distinct({begins}), b -> b >= 0), b -> named_struct('begin', b, 'end', b + item_n))"
+    inner = "transform(filter(hits, h -> h.at DIV item_n = stretch), h -> named_struct('begin', h.at, 'end', least(h.at + item_n, size)))"
+    first = "transform(filter(hits, h -> stretch = 0 AND h.at + k < item_n), h -> named_struct('begin', 0, 'end', h.at + k))"
+    places = f"concat({inner}, {first})"
     placed = hits.select("*", F.explode(F.expr(places)).alias("place"))
     placed = placed.withColumn("hits", F.expr("filter(hits, h -> h.at >= place.begin AND h.at + k <= place.end)"))
     placed = placed.filter(F.size("hits") >= F.col("item_size") * least)
@@ -115,7 +117,7 @@ def found(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, l
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document and item found in it: ``doc_id, item_id, start_word,
-    n_words, similarity, distance`` of the most similar place."""
+    n_words, similarity, distance`` of the most similar place, clipped to the document."""
     items = _items(benchmark, item_column, item_text_column)
     best = found(docs, items, id_column, text_column, least)
     if best is None:

@@ -146,6 +146,34 @@ def test_edited_passages_equal_brute_force(spark, lengths):
     assert got == want and len(want) > 30
 
 
+def test_clipped_passages_equal_brute_force(spark):
+    """Documents shorter than the item, and passages cut off at a document's begin or end."""
+    r = random.Random(11)
+    prose = lambda n: [f"t{r.randint(0, 400)}" for _ in range(n)]
+    items = {i: prose(n) for i, n in enumerate((4, 15, 40, 59))}
+    docs = []
+    for item in items.values():
+        for cut in (1, 2, 4, 7, 12):
+            docs += [item[cut:], item[:-cut], item[cut:-cut], item[cut:] + prose(50), prose(50) + item[:-cut], prose(3) + item[:-cut]]
+            docs += [edited(r, item, "replace", 1)[cut:] + prose(9), prose(9) + edited(r, item, "insert", 1)[:-cut]]
+
+    def similarity(place, item):
+        grams = lambda x: collections.Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) or collections.Counter([tuple(x)])
+        a, b = grams(place), grams(item)
+        return sum((a & b).values()) / sum((a | b).values())
+
+    want = {}
+    for d, w in enumerate(docs):
+        for i, item in items.items():
+            best = max((similarity(w[max(b, 0) : b + len(item)], item) for b in range(1 - len(item), len(w))), default=0)
+            if best >= 0.75:
+                want[d, i] = round(best, 9)
+    tables = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], kind) for rows, kind in ((enumerate(docs), "doc_id long, text string"), (items.items(), "item_id long, text string"))]
+    got = decontaminate.leaks(*tables).collect()
+    assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in got} == want and len(want) > 40
+    assert all(0 <= x.start_word and x.start_word + x.n_words <= len(docs[x.doc_id]) for x in got)
+
+
 def test_fingerprints_find_everything_within_the_radius(spark):
     """The multi-index join equals comparing all pairs of fingerprints."""
     r = random.Random(1)
