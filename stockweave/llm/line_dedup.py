@@ -1,9 +1,12 @@
 """Line dedup: overlapping windows of three consecutive lines.
 
 A line is a ``\\n``-line with a word.  A line of more than ``longest`` words is
-wrapped: it ends after a word that, with the word before it, hashes to a fixed
-remainder.  Such ends depend on nothing but the words, so a passage inside long
-lines breaks alike wherever it stands, and its inner windows repeat.
+wrapped: of every ``_AMONG`` consecutive pairs of words in it, the one with the least
+hash ends a piece (winnowing).  Such ends depend on nothing but the words around, so
+a passage inside long lines breaks alike wherever it stands, but for ``2 * _AMONG - 1``
+words at most at each side, and its inner windows repeat.  A piece is no longer than
+``_AMONG`` words there, so a repeated passage of ``LEAST_WORDS + 4 * _AMONG - 2`` = 50
+words is always found.
 
 Windows of ``window`` consecutive lines are hashed (words in lower case, white
 space ignored).  Of all places with one hash, the first by document id and
@@ -37,7 +40,7 @@ from . import frames, kernel
 WINDOW = 3
 LONGEST = 16
 LEAST_WORDS = 20
-_ONE_IN = 5
+_AMONG = 8
 _NULL_ID = -(1 << 63)
 _PLACES = "__deal long, __later boolean, __window long, __doc long, __at int"
 _FIELDS = [("__deal", pa.int64()), ("__later", pa.bool_()), ("__window", pa.int64()), ("__doc", pa.int64()), ("__at", pa.int32())]
@@ -58,10 +61,16 @@ class Lines:
         begin = np.flatnonzero(first)
         size = np.diff(np.concatenate((begin, [len(s)])))
         cut = first.copy()
-        if len(s) > 1:
+        if len(s) > _AMONG:
             pair = kernel.mix(word[:-1] * np.uint64(3) + word[1:])
-            # Both words must be of one line, else what stands before a text would matter.
-            wrap = (pair % np.uint64(_ONE_IN) == 0) & ~first[1:] & (np.repeat(size, size)[1:] > longest)
+            # All words must be of one line, else what stands before a text would matter.
+            inside = (in_line[:-_AMONG] == in_line[_AMONG:]) & (np.repeat(size, size)[:-_AMONG] > longest)
+            least = pair[: len(inside)].copy()
+            for k in range(1, _AMONG):
+                np.minimum(least, pair[k : k + len(inside)], out=least)
+            wrap = np.zeros(len(pair), bool)
+            for k in range(_AMONG):
+                wrap[k : k + len(inside)] |= inside & (pair[k : k + len(inside)] == least)
             cut[2:] |= wrap[:-1]  # a new line begins after the pair
         self.first = np.flatnonzero(cut)
         self.last = np.concatenate((self.first[1:], [len(s)])).astype(np.int64) if len(self.first) else self.first

@@ -301,6 +301,15 @@ def test_later_windows_go_and_the_first_stays(spark, messy, empty):
     assert line_dedup.dedup_lines(empty).count() == 0 and len(got) == len(rows)
 
 
+def test_all_passages_of_fifty_words_inside_long_lines_are_caught(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join(f"q{r.randint(0, 10**6)}" for _ in range(n))
+    passages = [prose(50 + i % 3) for i in range(1500)]
+    rows = [(2 * i + k, f"{prose(30)} {p} {prose(30)}") for i, p in enumerate(passages) for k in (0, 1)]
+    got = {x.doc_id: x.n_removed_words for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(20 <= got[2 * i + 1] <= 52 and got[2 * i] == 0 for i in range(1500))
+
+
 def test_passages_inside_long_lines_are_caught_and_clean_texts_stay(spark):
     r = random.Random(8)
     prose = lambda n: " ".join(f"q{r.randint(0, 10**6)}" for _ in range(n))
