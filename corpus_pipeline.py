@@ -7,7 +7,8 @@ it kept; all but the last return the columns of ``documents``.
 * ``line_dedup``: later occurrences of repeated line windows are cut out of the
   texts (``n_chars`` follows); documents of which no line is left go.
 * ``near_duplicates``: of each component of near duplicates the document with
-  the smallest id stays.  Rows without an id stay.
+  the smallest id stays, once: rows that repeat an id and its text are one.  Rows
+  without an id stay, and so do rows of one id with other texts.
 * ``decontaminate``: documents that hold a benchmark item go.
 * ``pack``: what is left becomes token sequences, one row per piece.
 """
@@ -36,7 +37,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(docs)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return left.withColumn("__row", row).dropDuplicates(["doc_id", "text", "__row"]).drop("__row")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

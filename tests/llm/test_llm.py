@@ -243,6 +243,18 @@ def test_near_duplicates_equal_brute_force(spark, small, block):
     assert [x.component_id for x in got if x.doc_id is None] == [None]
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (2, text), (3, text + " more"), (4, "some other text of its own"), (4, "some other text of its own"), (5, "one text"), (5, "and another"), (None, text), (None, text)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, text), (4, "some other text of its own"), (5, "one text"), (5, "and another"), (None, text), (None, text)]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
+
+
 def test_suffix_bound_never_exceeds_the_difference():
     r = np.random.default_rng(2)
     for n, m in ((1, 1), (5, 900), (700, 800), (3000, 2900)):
