@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder of this machine is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='stockweave-')}"
@@ -41,7 +43,26 @@ def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage and compute once: a table in the shared folder."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete kept tables that no frame reads any more."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table._kept
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fewer(df: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
+    """Join splits that are small, by the size of the input as the plan knows it.
+
+    A task costs a fixed time, so thousands of small files need not be as many
+    tasks; splits of ``split_bytes`` and more stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // split_bytes)), 2**31 - 1))
 
 
 def release(spark: SparkSession) -> None:

@@ -14,13 +14,17 @@ every word of the corpus, while its parameters number states times classes.
 2. Word counts are summed over chunks, exactly, over all training documents, and
    sent back: each chunk asks once for each of its words.  The few most frequent
    words don't take part in that join but are broadcast (``TOP`` rows).
-3. Baum-Welch: each round, every task runs forward and backward over its
-   documents, in segments of ``SEGMENT`` tokens, and emits expected counts
-   (states times classes), which are summed over tasks.  All training documents
-   take part in all rounds.
+3. Baum-Welch: each round, every task runs forward and backward over whole
+   documents and emits expected counts (states times classes), which are summed
+   over tasks as whole numbers of ``1 / _UNIT``, so their order doesn't matter.
+   All training documents take part in all rounds.
 4. The forward recursion over whole texts, scaled at each step, gives each
-   text's exact likelihood.  Texts of more than ``LONG`` tokens are run as
-   products of segment matrices, which is the same sum in another order.
+   text's exact likelihood.
+
+Texts of more than ``LONG`` tokens are cut into segments, so that many of them are
+run at once: the product of a segment's matrices carries the forward and backward
+sums over its borders.  That is the uncut recursion in another order; no transition
+is left out, in training or scoring.
 
 Edge cases.  Null and empty texts are one end token.  A null id counts as
 training.  Repeated rows count as often as they occur.  With no training
@@ -47,8 +51,10 @@ ROUNDS = 6
 #: A chunk's words are numbered in three bytes, so it must stay below 2 ** 24.
 CHUNK_TOKENS = 1_000_000
 SEGMENT = 128
-LONG = 2048
+LONG = 1024
 DISCOUNT = 0.5
+#: Expected counts are summed in units of one part in so many.
+_UNIT = 1 << 16
 #: Tokens whose forward and backward sums are in memory at once.
 _PART = 400_000
 END = np.uint64(0xE0D)
@@ -68,6 +74,8 @@ def shapes(text: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 def pack(codes: np.ndarray) -> bytes:
     """Numbers below 2 ** 24 in three bytes each."""
+    if len(codes) and codes.max() >= 1 << 24:
+        raise ValueError("a chunk has more than 2 ** 24 words")
     return codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
@@ -136,21 +144,21 @@ class Words:
     """What the driver knows of the vocabulary: totals, the top words, the shapes."""
 
     def __init__(self, vocabulary: DataFrame, top: int):
-        seen = vocabulary.filter("c > 0 and word <> %d" % int(END))
-        total = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-        self.tokens, self.types = int(total.n), int(total.v)
-        rows = seen.orderBy(F.col("c").desc(), "word").limit(top).select("word", "c", "shape").collect()
-        self.top = {r.word: (i, r.c) for i, r in enumerate(rows)}
-        own = np.zeros((SHAPES, 2))
+        seen = vocabulary.filter("c > 0")
+        own = np.zeros((SHAPES + 1, 2))  # the end token has the last shape to itself
         for r in seen.groupBy("shape").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-            own[r.shape] = r.n, r.v
+            own[r["shape"]] = r.n, r.v
+        self.tokens, self.types = (int(x) for x in own.sum(0))
+        self.ends = int(own[SHAPES, 0])
+        rows = seen.filter(F.col("shape") < SHAPES).orderBy(F.col("c").desc(), "word").limit(top).select("word", "c", "shape").collect()
+        self.top = {r.word: (i, r.c) for i, r in enumerate(rows)}
         for r in rows:
-            own[r.shape] -= r.c, 1
-        self.shape_tokens, self.shape_types = own[:, 0], own[:, 1]
+            own[r["shape"]] -= r.c, 1
+        self.shape_tokens, self.shape_types = own[:SHAPES, 0], own[:SHAPES, 1]
         self.n_top = len(rows)
         self.classes = self.n_top + SHAPES + 1
-        ends = vocabulary.filter("word = %d" % int(END)).select("c").collect()
-        self.ends = int(ends[0].c) if ends else 0
+        if self.classes > 1 << 16:
+            raise ValueError("classes are numbered in two bytes: top is too large")
         self.class_tokens = np.concatenate(([r.c for r in rows], self.shape_tokens, [self.ends])).astype(float)
 
     def log_share(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -206,9 +214,8 @@ def _sequences(chunks: DataFrame, words: Words, vocabulary: DataFrame) -> DataFr
 
 
 class Hmm:
-    def __init__(self, start: np.ndarray, inner: np.ndarray, step: np.ndarray, emit: np.ndarray):
-        """``start`` is for texts, ``inner`` for later segments in training."""
-        self.start, self.inner, self.step, self.emit = start, inner, step, emit
+    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
+        self.start, self.step, self.emit = start, step, emit
 
     @classmethod
     def first(cls, words: Words, states: int) -> Hmm:
@@ -217,16 +224,15 @@ class Hmm:
         share = (words.class_tokens + 0.1) / (words.class_tokens + 0.1).sum()
         emit = share * np.exp(0.6 * noise)
         step = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-        even = np.full(states, 1 / states)
-        return cls(even, even, step, emit / emit.sum(1, keepdims=True))
+        return cls(np.full(states, 1 / states), step, emit / emit.sum(1, keepdims=True))
 
     @classmethod
     def from_counts(cls, counts: np.ndarray, words: Words, states: int) -> Hmm:
-        start, inner = counts[:states] + 0.1, counts[states : 2 * states] + 0.1
-        step = counts[2 * states : 2 * states + states * states].reshape(states, states) + 0.1
+        start = counts[:states] + 0.1
+        step = counts[states : states + states * states].reshape(states, states) + 0.1
         share = (words.class_tokens + 0.1) / (words.class_tokens + 0.1).sum()
-        emit = counts[2 * states + states * states : -1].reshape(states, -1) + 1.0 * share
-        return cls(start / start.sum(), inner / inner.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        emit = counts[states + states * states :].reshape(states, -1) + 1.0 * share
+        return cls(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
 def _by_time(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,17 +243,72 @@ def _by_time(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, active, np.concatenate(([0], np.cumsum(active)))
 
 
-def expected_counts(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, is_start: np.ndarray, model: Hmm) -> np.ndarray:
+class Segments:
+    """Sequences cut for running many at once: those of up to ``LONG`` tokens whole."""
+
+    def __init__(self, lengths: np.ndarray, long: int | None = None, size: int = SEGMENT):
+        long = LONG if long is None else long
+        parts = np.where(lengths > long, -(-lengths // size), (lengths > 0).astype(np.int64))
+        step = np.where(lengths > long, size, lengths)
+        place = kernel.ragged(parts, np.zeros(len(parts)))
+        self.owner = np.repeat(np.arange(len(lengths)), parts)
+        self.begin = (np.cumsum(lengths) - lengths)[self.owner] + place * step[self.owner]
+        self.length = np.minimum(step[self.owner], lengths[self.owner] - place * step[self.owner])
+        self.starts = place == 0
+        self.ends = place == parts[self.owner] - 1
+
+
+def products(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, starts: np.ndarray, model: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment, the product of its matrices "move, then emit", scaled, and the
+    log10 of the scale; a sequence's first token has no move before it."""
+    k = len(model.start)
+    order, active, _ = _by_time(length)
+    at, emit = begin[order], np.ascontiguousarray(model.emit.T)
+    m, logs = np.tile(np.eye(k), (len(order), 1, 1)), np.zeros(len(order))
+    for t, n in enumerate(active):
+        moved = (m[:n].reshape(-1, k) @ model.step).reshape(n, k, k)
+        if not t:
+            moved[starts[order]] = np.eye(k)
+        moved *= emit[symbols[at[:n] + t]][:, None, :]
+        s = moved.max((1, 2))
+        m[:n] = moved / s[:, None, None]
+        logs[:n] += np.log10(s)
+    out, out_logs = np.empty_like(m), np.empty_like(logs)
+    out[order], out_logs[order] = m, logs
+    return out, out_logs
+
+
+def borders(symbols: np.ndarray, cut: Segments, model: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums before each segment and backward sums after it, each up to a factor."""
+    k = len(model.start)
+    before, after = np.tile(model.start, (len(cut.begin), 1)), np.ones((len(cut.begin), k))
+    some = np.flatnonzero(~(cut.starts & cut.ends))
+    if not len(some):
+        return before, after
+    m, _ = products(symbols, cut.begin[some], cut.length[some], cut.starts[some], model)
+    for j, i in enumerate(some.tolist()):
+        if not cut.ends[i]:
+            v = before[i] @ m[j]
+            before[i + 1] = v / v.sum()
+    for j, i in reversed(list(enumerate(some.tolist()))):
+        if not cut.starts[i]:
+            v = m[j] @ after[i]
+            after[i - 1] = v / v.sum()
+    return before, after
+
+
+def expected_counts(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, starts: np.ndarray, before: np.ndarray, after: np.ndarray, model: Hmm) -> np.ndarray:
     """Expected counts of one Baum-Welch round over some segments, as one vector."""
     k = len(model.start)
     order, active, base = _by_time(length)
-    begin, is_start = begin[order], is_start[order]
+    begin, length, starts = begin[order], length[order], starts[order]
+    before, after = before[order].astype(np.float32), after[order].astype(np.float32)
     at = np.concatenate([begin[:m] + t for t, m in enumerate(active)])
     sym = symbols[at]
     psi = model.emit.T.astype(np.float32)[sym]
     step = model.step.astype(np.float32)
     alpha, scale = np.empty_like(psi), np.empty(len(psi), np.float32)
-    v = np.where(is_start[:, None], model.start, model.inner).astype(np.float32)
+    v = np.where(starts[:, None], before, before @ step)
     for t, m in enumerate(active):
         a, b = base[t], base[t] + m
         v = (v if not t else alpha[base[t - 1] : base[t - 1] + m] @ step) * psi[a:b]
@@ -255,30 +316,36 @@ def expected_counts(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray,
         np.maximum(s, 1e-30, out=s)
         v /= s[:, None]
         alpha[a:b], scale[a:b] = v, s
-    beta = np.ones_like(psi)
+    beta = np.empty_like(psi)
+    last = base[length - 1] + np.arange(len(length))
+    beta[last] = after / np.maximum((alpha[last] * after).sum(1, keepdims=True), 1e-30)
     psi /= scale[:, None]
     for t in range(len(active) - 1, 0, -1):
         m = active[t]
         a, p = base[t], base[t - 1]
         beta[p : p + m] = (psi[a : a + m] * beta[a : a + m]) @ step.T
-    moves = np.zeros((k, k))
     w = psi * beta
+    inner = np.flatnonzero(~starts)
+    moves = (before[inner].T @ w[inner]).astype(float)
     for t in range(1, len(active)):
         m = active[t]
         moves += alpha[base[t - 1] : base[t - 1] + m].T @ w[base[t] : base[t] + m]
     gamma = alpha * beta
-    first = gamma[: active[0]] if len(active) else gamma
     emit = np.stack([np.bincount(sym, weights=gamma[:, j], minlength=model.emit.shape[1]) for j in range(k)])
-    return np.concatenate((first[is_start].sum(0), first[~is_start].sum(0), (moves * model.step).ravel(), emit.ravel(), [np.log(scale.astype(float)).sum()]))
+    return np.concatenate((gamma[: active[0]][starts].sum(0), (moves * model.step).ravel(), emit.ravel()))
 
 
-def _segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, length, and whether it begins a text, of each segment."""
-    parts = -(-lengths // size)
-    first = np.cumsum(lengths) - lengths
-    place = kernel.ragged(parts, np.zeros(len(parts)))
-    owner = np.repeat(np.arange(len(lengths)), parts)
-    return first[owner] + place * size, np.minimum(size, lengths[owner] - place * size), place == 0
+def counts_of(symbols: np.ndarray, lengths: np.ndarray, model: Hmm) -> np.ndarray:
+    """Expected counts of whole sequences, some parts of them in memory at once."""
+    cut = Segments(lengths)
+    before, after = borders(symbols, cut, model)
+    k = len(model.start)
+    total = np.zeros(k + k * k + model.emit.size)
+    part = (np.cumsum(cut.length) - cut.length) // _PART
+    edges = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]))
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        total += expected_counts(symbols, cut.begin[lo:hi], cut.length[lo:hi], cut.starts[lo:hi], before[lo:hi], after[lo:hi], model)
+    return total
 
 
 def likelihoods(symbols: np.ndarray, lengths: np.ndarray, model: Hmm) -> np.ndarray:
@@ -298,63 +365,41 @@ def likelihoods(symbols: np.ndarray, lengths: np.ndarray, model: Hmm) -> np.ndar
             v /= s[:, None]
             total[:m] += np.log10(s)
         out[short[order]] = total
-    for i in np.flatnonzero(lengths > LONG).tolist():
-        seq = symbols[begin[i] : begin[i] + lengths[i]]
-        v = model.start * emit[seq[0]]
-        total = np.log10(v.sum())
-        v = v / v.sum()
-        rest = seq[1:]
-        whole = len(rest) // SEGMENT
-        k = len(v)
-        m = np.tile(np.eye(k), (whole, 1, 1))
-        grid = rest[: whole * SEGMENT].reshape(whole, SEGMENT)
-        logs = np.zeros(whole)
-        for t in range(SEGMENT):
-            m = (m @ model.step) * emit[grid[:, t]][:, None, :]
-            s = m.max((1, 2))
-            m /= s[:, None, None]
-            logs += np.log10(s)
-        for j in range(whole):
-            v = v @ m[j]
+    cut = Segments(lengths)
+    some = np.flatnonzero(~(cut.starts & cut.ends))
+    if len(some):
+        m, logs = products(symbols, cut.begin[some], cut.length[some], cut.starts[some], model)
+        for j, i in enumerate(some.tolist()):
+            v = (model.start if cut.starts[i] else v) @ m[j]
             s = v.sum()
-            total += np.log10(s) + logs[j]
+            out[cut.owner[i]] += np.log10(s) + logs[j]
             v = v / s
-        for x in rest[whole * SEGMENT :]:
-            v = (v @ model.step) * emit[x]
-            s = v.sum()
-            total += np.log10(s)
-            v = v / s
-        out[i] = total
     return out
 
 
-def _round(train: DataFrame, model: Hmm) -> np.ndarray:
-    """Expected counts of all training documents."""
+def _round(train: DataFrame, model: Hmm) -> np.ndarray | None:
+    """Expected counts of all training documents; None if there are none."""
     sent = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = sent.value, None
         for b in batches:
             seqs = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
-            if not seqs:
-                continue
-            symbols = np.concatenate(seqs).astype(np.int64)
-            begin, length, is_start = _segments(np.array([len(x) for x in seqs]), SEGMENT)
-            cuts = np.searchsorted(np.cumsum(length), np.arange(_PART, length.sum() + _PART, _PART), "right")
-            for lo, hi in zip([0, *cuts[:-1]], cuts):
-                hi = max(hi, lo)
-                if hi > lo:
-                    part = expected_counts(symbols, begin[lo:hi], length[lo:hi], is_start[lo:hi], m)
-                    total = part if total is None else total + part
-            if cuts[-1] < len(length):
-                part = expected_counts(symbols, begin[cuts[-1] :], length[cuts[-1] :], is_start[cuts[-1] :], m)
+            if seqs:
+                part = counts_of(np.concatenate(seqs).astype(np.int64), np.array([len(x) for x in seqs], np.int64), m)
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+            units = np.rint(total * _UNIT).astype(np.int64)
+            at = np.flatnonzero(units)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(units[at])], names=["at", "units"])
 
-    sums = frames.sharded_sum(frames.arrow(train.select("classes"), run, "k int, v binary"), "k", "v", "<f8")
+    sums = frames.arrow(train.select("classes"), run, "at int, units long").groupBy("at").agg(F.sum("units").alias("units")).toArrow()
     sent.unpersist()
-    return sums.get(0)
+    if not sums.num_rows:
+        return None
+    out = np.zeros(len(model.start) * (1 + len(model.start)) + model.emit.size)
+    out[sums["at"].to_numpy()] = sums["units"].to_numpy() / _UNIT
+    return out
 
 
 def score_documents(docs: DataFrame, fold: int = 7, rest: int = 2, states: int = STATES, top: int = TOP, rounds: int = ROUNDS, chunk_tokens: int = CHUNK_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -362,12 +407,13 @@ def score_documents(docs: DataFrame, fold: int = 7, rest: int = 2, states: int =
     base_score`` (add-one unigram) and ``score``, both log10 probabilities."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    chunks = frames.keep(_chunks(slim, fold, rest, chunk_tokens))
+    chunks = frames.keep(_chunks(frames.fewer(slim), fold, rest, chunk_tokens))
     rows = chunks.filter("words is not null").select(F.explode(F.arrays_zip("words", "counts", "shapes")).alias("w"))
     vocabulary = frames.keep(rows.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("c"), F.min("w.shapes").alias("shape")))
     words = Words(vocabulary, top)
     frames.release(spark)
     sequences = frames.keep(_sequences(chunks, words, vocabulary))
+    frames.drop(chunks, vocabulary)
     frames.release(spark)
     train = sequences.filter("not held")
     model = Hmm.first(words, states)

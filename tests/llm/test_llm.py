@@ -433,7 +433,7 @@ def test_base_scores_and_counts_equal_brute_force(spark, messy, empty):
 def test_forward_equals_the_sum_over_paths_and_long_texts_the_recursion(monkeypatch):
     r = np.random.default_rng(1)
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    m = hmm_lm.Hmm(norm(r.random(3)), norm(r.random(3)), norm(r.random((3, 3))), norm(r.random((3, 5))))
+    m = hmm_lm.Hmm(norm(r.random(3)), norm(r.random((3, 3))), norm(r.random((3, 5))))
     seq = r.integers(0, 5, 6)
     total = 0.0
     for path in np.ndindex(*[3] * 6):
@@ -448,6 +448,40 @@ def test_forward_equals_the_sum_over_paths_and_long_texts_the_recursion(monkeypa
     assert hmm_lm.likelihoods(seq, np.array([400, 300]), m) == pytest.approx(want)
 
 
+def uncut_counts(seq, m):
+    """Forward and backward over one whole sequence, step by step."""
+    alpha, beta = np.zeros((len(seq), len(m.start))), np.ones((len(seq), len(m.start)))
+    for t, x in enumerate(seq):
+        v = (m.start if not t else alpha[t - 1] @ m.step) * m.emit[:, x]
+        alpha[t] = v / v.sum()
+    for t in range(len(seq) - 2, -1, -1):
+        v = m.step @ (m.emit[:, seq[t + 1]] * beta[t + 1])
+        beta[t] = v / v.sum()
+    gamma = alpha * beta
+    gamma /= gamma.sum(1, keepdims=True)
+    moves, emit = np.zeros_like(m.step), np.zeros_like(m.emit)
+    for t, x in enumerate(seq):
+        emit[:, x] += gamma[t]
+        if t:
+            one = np.outer(alpha[t - 1], m.emit[:, x] * beta[t]) * m.step
+            moves += one / one.sum()
+    return np.concatenate((gamma[0], moves.ravel(), emit.ravel()))
+
+
+@pytest.mark.parametrize("long, part", [(4096, 10**6), (100, 10**6), (100, 300), (1, 500)])
+def test_expected_counts_of_long_texts_equal_the_uncut_recursion(monkeypatch, long, part):
+    r = np.random.default_rng(7)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    m = hmm_lm.Hmm(norm(r.random(3)), norm(r.random((3, 3)) ** 4), norm(r.random((3, 6)) ** 3))
+    lengths = np.array([1000, 1, 128, 129, 2, 700, 5, 256])
+    seq = r.integers(0, 6, lengths.sum())
+    want = sum(uncut_counts(x, m) for x in np.split(seq, np.cumsum(lengths)[:-1]))
+    monkeypatch.setattr(hmm_lm, "LONG", long)
+    monkeypatch.setattr(hmm_lm, "_PART", part)
+    got = hmm_lm.counts_of(seq, lengths, m)
+    assert got == pytest.approx(want, rel=1e-3, abs=1e-3) and got[:3].sum() == pytest.approx(len(lengths), rel=1e-4)
+
+
 def test_baum_welch_raises_the_likelihood():
     r = np.random.default_rng(3)
     symbols = np.concatenate([r.choice([0, 1] if i % 2 else [2, 3], 40) for i in range(60)])
@@ -458,11 +492,16 @@ def test_baum_welch_raises_the_likelihood():
 
     m, before = hmm_lm.Hmm.first(Counted, 2), -np.inf
     for _ in range(12):
-        begin, length, start = hmm_lm._segments(lengths, 128)
-        counts = hmm_lm.expected_counts(symbols, begin, length, start, m)
-        assert counts[-1] >= before - 1
-        before, m = counts[-1], hmm_lm.Hmm.from_counts(counts, Counted, 2)
-    assert before > 1.05 * -len(symbols) * math.log(2)
+        now = hmm_lm.likelihoods(symbols, lengths, m).sum()
+        assert now >= before - 1
+        before, m = now, hmm_lm.Hmm.from_counts(hmm_lm.counts_of(symbols, lengths, m), Counted, 2)
+    assert before > 1.05 * -len(symbols) * math.log10(2)
+
+
+def test_numbers_that_do_not_fit_raise(spark, empty):
+    assert hmm_lm.unpack(hmm_lm.pack(np.array([0, 70_000, (1 << 24) - 1]))).tolist() == [0, 70_000, (1 << 24) - 1]
+    with pytest.raises(ValueError):
+        hmm_lm.pack(np.array([1 << 24]))
 
 
 def test_word_shares_sum_to_one(spark, messy):
