@@ -109,12 +109,11 @@ def held_out(key: Column, by: int, rest: int) -> Column:
     return F.coalesce(remainder(key, by) == rest, F.lit(False))
 
 
-def sharded_sum(df: DataFrame, key: str, value: str, dtype: str, shards: int = 16) -> dict[int, np.ndarray]:
+def tree_sum(df: DataFrame, key: str, value: str, dtype: str, fan: int = 256) -> dict[int, np.ndarray]:
     """Sum the arrays in the binary column ``value`` by ``key``, to the driver.
 
-    For a number of keys and array sizes fixed by a parameter.  Tasks keep one
-    running sum for each key, in two rounds, so no task sees all partial sums of
-    a large input."""
+    For a number of keys and array sizes fixed by a parameter.  A task adds up to
+    about ``fan`` arrays of a key, in as many rounds as the number of arrays needs."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -130,11 +129,16 @@ def sharded_sum(df: DataFrame, key: str, value: str, dtype: str, shards: int = 1
 
     ship(df.sparkSession)
     pair = df.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v"))
-    once = pair.repartition(shards, F.pmod(F.xxhash64(F.spark_partition_id(), "k"), F.lit(shards))).mapInArrow(add, "k long, v binary")
+    while True:
+        arrays = pair.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+        if arrays <= fan:
+            break
+        shards = -(-arrays // fan)
+        dealt = pair.withColumn("s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).repartition(16 * shards, "k", "s").select("k", "v")
+        pair = keep(dealt.mapInArrow(add, "k long, v binary"))
     out: dict[int, np.ndarray] = {}
-    for row in once.toLocalIterator():
-        part = np.frombuffer(row.v, dtype)
-        out[row.k] = out[row.k] + part if row.k in out else part.copy()
+    for row in pair.repartition(16, "k").mapInArrow(add, "k long, v binary").toLocalIterator():
+        out[row.k] = np.frombuffer(row.v, dtype)
     return out
 
 

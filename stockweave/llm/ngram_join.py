@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     slim = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     facts = frames.keep(_facts(slim, bits))
-    sums = frames.sharded_sum(facts.filter("chunk is not null"), "chunk", "counts", "<i8")
+    sums = frames.tree_sum(facts.filter("chunk is not null"), "chunk", "counts", "<i8")
     width = (1 << bits) // _CHUNKS
     total = np.concatenate([sums.get(i, np.zeros(width, np.int64)) for i in range(_CHUNKS)])
     sketch = spark.sparkContext.broadcast(np.minimum(total, 2**31 - 1).astype(np.int32))
