@@ -87,11 +87,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _canonical_sql() -> str:
-    out = "lower(trim(url))"
-    for pattern, by in warc.CANONICAL:
-        by = by.replace("$1", "\\1").replace("$3", "\\3")
-        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
-    return f"nullif({out}, '')"
+    """Scheme and host by parts, the query by its list of parameters."""
+    bare = "regexp_replace(split_part(trim(url), '#', 1), '^https?://', '', 'i')"
+    host = f"regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^[^/?]*')), '^www[0-9]*\\.', ''), ':(80|443)$', '')"
+    path = f"regexp_replace(regexp_replace(split_part(regexp_replace({bare}, '^[^/?]*', ''), '?', 1), '/index\\.html?$', '/'), '/+$', '')"
+    asked = f"list_filter(string_split(regexp_extract({bare}, '\\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))"
+    return f"nullif({host} || {path} || CASE WHEN len({asked}) > 0 THEN '?' || array_to_string({asked}, '&') ELSE '' END, '')"
 
 
 def _op8_sql() -> str:
