@@ -8,13 +8,15 @@ rejected, if fewer than ``least_share`` of its words are left.
 
 One pass over the texts gives a small row per document (counts, and its distinct
 lines as hash and words), kept in the shared folder; texts are never shuffled.
-Counts are combined before the shuffle, so a line of a third of all documents is
-one row per task.  The lines over the limit number at most (all lines) /
-``min_documents``; they are broadcast if they take less than ``BROADCAST_BYTES``,
-else joined with salted keys.
+Rows with a line are counted first, combined before the shuffle, so a line of a
+third of all documents is one row per task; only for lines in more than
+``min_documents`` rows are the distinct documents counted.  Such lines number at
+most (all lines) / ``min_documents``; they are broadcast if they take less than
+``BROADCAST_BYTES``, else joined with salted keys.
 
 Edge cases.  Null and empty texts have no word and fail the base rule.  A null
-host is a host of its own.  Repeated rows count as so many documents.  Lines
+host is a host of its own.  Rows that repeat an id are one document, with the lines
+of all of them; rows without an id are a document each.  Lines
 without a word are not lines.  An empty table gives none.  Other columns are
 ignored.
 """
@@ -118,6 +120,17 @@ def document_facts(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return frames.arrow(docs.select(F.col(id_column).cast("long"), F.col(host_column).cast("string"), text_column), run, _FACTS)
 
 
+def _with_lines(line: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``line`` whose host and line are in ``some``, a kept table."""
+    some = some.select(F.col("host").alias("over_host"), F.col("line").alias("over_line"))
+    same = line["host"].eqNullSafe(some["over_host"]) & (line["line"] == some["over_line"])
+    if some.count() * 48 <= BROADCAST_BYTES:
+        return line.join(F.broadcast(some), same, "left_semi")
+    salted = some.withColumn("over_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    mine = line.withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    return mine.join(salted, mine["host"].eqNullSafe(salted["over_host"]) & (mine["line"] == salted["over_line"]) & (mine["salt"] == salted["over_salt"]), "left_semi").drop("salt")
+
+
 def quality_rules(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -132,18 +145,15 @@ def quality_rules(
     """One row per document: ``doc_id``, the base counts, ``base_failed``,
     ``n_removed_words`` (words on lines over the limit) and ``kept``."""
     facts = frames.keep(document_facts(docs, id_column, text_column, host_column))
-    hosts = facts.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
-    line = facts.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    often = line.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > min_documents)
-    over = frames.keep(
-        often.join(hosts, often["host"].eqNullSafe(hosts["host"])).filter(F.col("documents") > F.lit(share) * F.col("host_documents")).select(often["host"].alias("over_host"), F.col("line").alias("over_line"))
-    )
-    if over.count() * 48 <= BROADCAST_BYTES:
-        hit = line.join(F.broadcast(over), line["host"].eqNullSafe(over["over_host"]) & (line["line"] == over["over_line"]), "left_semi")
-    else:
-        salted = over.withColumn("over_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        mine = line.withColumn("salt", F.pmod("row", F.lit(SALTS)))
-        hit = mine.join(salted, mine["host"].eqNullSafe(salted["over_host"]) & (mine["line"] == salted["over_line"]) & (mine["salt"] == salted["over_salt"]), "left_semi")
+    # A row without an id is a document of its own.
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
+    hosts = facts.groupBy("host").agg(F.countDistinct(document).alias("host_documents"))
+    line = facts.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "doc_id", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    often = frames.keep(line.groupBy("host", "line").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > min_documents).select("host", "line"))
+    found = frames.keep(_with_lines(line, often))
+    documents = found.groupBy("host", "line").agg(F.countDistinct(document).alias("documents")).filter(F.col("documents") > min_documents)
+    over = documents.join(hosts, documents["host"].eqNullSafe(hosts["host"])).filter(F.col("documents") > F.lit(share) * F.col("host_documents")).select(documents["host"], "line")
+    hit = _with_lines(found, frames.keep(over))
     removed = hit.groupBy("row").agg(F.sum("words").alias("n_removed_words"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     gone = F.coalesce(F.col("n_removed_words"), F.lit(0))
