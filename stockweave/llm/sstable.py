@@ -35,7 +35,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import frames, kernel, tokens
 
@@ -231,13 +232,17 @@ _READ = [(c.split()[0], pa.int64()) for c in READ.split(", ")]
 def read_digest(manifest: DataFrame, folder: str) -> DataFrame:
     """Read shards back: per document its place, length and checksum.
 
-    ``manifest`` has a row per shard (one for each 32 MB), which the driver
-    sums up to the first token of each shard; a task then reads whole shards."""
-    spark = manifest.sparkSession
-    rows, before = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: (r.part, r.shard)):
-        rows.append((r.path, before))
-        before += r.tokens
+    ``manifest`` has a row per shard (one for each 32 MB); the driver sums up the
+    tokens of the parts, one number for each task that wrote, and a window those of
+    a part's shards; a task then reads whole shards."""
+    manifest = frames.keep(manifest)
+    parts, before, shards_in_all = [], 0, 0
+    for r in manifest.groupBy("part").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("shards")).orderBy("part").collect():
+        parts.append((r.part, before))
+        before, shards_in_all = before + r.n, shards_in_all + r.shards
+    in_part = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = manifest.withColumn("within", F.coalesce(F.sum("tokens").over(in_part), F.lit(0)))
+    rows = rows.join(F.broadcast(manifest.sparkSession.createDataFrame(parts, "part int, first long")), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(folder)
@@ -254,5 +259,5 @@ def read_digest(manifest: DataFrame, folder: str) -> DataFrame:
                 if out:
                     yield frames.batch(_READ, list(zip(*out)))
 
-    shards = spark.createDataFrame(rows, "path string, start long")
-    return frames.arrow(shards.repartition(max(1, min(len(rows), 4096))), run, READ)
+    shards = rows.select("path", (F.col("first") + F.col("within")).alias("start"))
+    return frames.arrow(shards.repartition(max(1, shards_in_all)), run, READ)
