@@ -1,21 +1,24 @@
 """Toxicity: class-conditional Kneser-Ney models of toxic and ordinary text.
 
-Counts are Kneser-Ney's: of a word, its distinct left neighbours, so copies of a
-text count once; of a word's first five bytes, those of all its words.  What a
-discount leaves of a class's counts stays with the class, the rest is given to
-the next lower order: word, then beginning, then one distribution that both
-classes share, made of the counts of both.  Before the discount, each count
-loses what the lower order explains of it.  So a word that one class has no more
-often than both, or too seldom to tell, has the shared share in either model and
-says nothing; plain discounting would take the absence of any rare word from the
-smaller class for a sign.  (A bigram order on top was tried and left out: chance
-pairs of common words outweighed it, with an area under the curve of 0.6 against
-0.97 on held-out documents of the 10,000-document table.)
-
-A document's score is a logistic function of the two classes' log-likelihood
-ratio divided by length, and of the part of it that strongly toxic words make,
-divided by length and by its root.  That function and the discount are fitted on
-documents which the counts leave out in turn (three folds).
+Counts are continuation counts: of a word, its distinct left neighbours, so copies
+of a text count once; of a word's first five bytes, those of all its words.  An
+absolute discount is taken off a class's counts; what is left of them stays with
+the class, the rest is given to the next lower order: word, then beginning, then
+one distribution of beginnings that both classes share, made of the counts of both.
+The share of a word in its beginning's is of the counts of both, too.  So a word
+too seldom to tell has almost the same probability in either model.  The larger
+class's discount is greater by its size, else the absence of any rare word from the
+smaller class would be a sign.
+
+A document's score is a logistic function of the two classes' log-likelihood ratio
+normalised by length and by its root.  Of each token's ratio the part between
+``-margin`` and ``margin`` is left out: thousands of words that lean a little to
+one class would outweigh the few that are toxic.  Discount, margin and the function
+are chosen on documents of the training rows that the counts leave out in turn
+(three folds).
+
+A bigram order on top of the words was tried on the same folds and left out: chance
+pairs of words that are both common outweighed it (README).
 
 Training reads at most ``MOST_PER_CLASS`` labelled documents of each class (the
 first by a hash of the id), a bound that makes the model's size independent of
@@ -44,10 +47,9 @@ MOST_PER_CLASS = 4000
 MOST_TOKENS = 3_000_000
 PREFIX_BYTES = 5
 FOLDS = 3
-#: Discounts tried: a count, and standard errors of what is expected.
-DISCOUNTS = ((0.75, 0.0), (1.5, 0.0), (3.0, 0.0), (0.75, 1.5), (1.5, 3.0), (6.0, 3.0))
-#: A token whose log ratio is beyond this is strongly toxic.
-MARGIN = 1.0
+#: Absolute discounts and margins tried.
+DISCOUNTS = (0.75, 1.5, 3.0, 6.0)
+MARGINS = (1.5, 2.0, 2.5)
 THRESHOLD = 0.3
 
 
@@ -89,57 +91,64 @@ class Counts:
         self.before_n = np.bincount(back, weights=self.pair_n)
 
 
-def _share(c: list[Counts], keys: np.ndarray, level: str) -> np.ndarray:
-    """Shared distribution: both classes' counts, half a count for what is new."""
-    total, out = 0.5, np.full(len(keys), 0.5)
+def _shared(c: list[Counts], keys: np.ndarray, level: str) -> np.ndarray:
+    """Counts of both classes together."""
+    out = np.zeros(len(keys))
     for one in c:
-        n = getattr(one, f"{level}_n")
         at, found = _lookup(getattr(one, level), keys)
-        if len(n):
-            out += np.where(found, n[at], 0)
-            total += n.sum()
-    return out / total
+        if len(at) and len(getattr(one, level)):
+            out += np.where(found, getattr(one, f"{level}_n")[at], 0)
+    return out
 
 
-def _excess(c: Counts, keys: np.ndarray, level: str, shared: np.ndarray, d: float, errors: float) -> tuple[np.ndarray, float]:
+def _own(c: Counts, keys: np.ndarray, level: str, discount: float) -> tuple[np.ndarray, float]:
     """What a class keeps of its counts, as shares, and the share it gives down."""
     n = getattr(c, f"{level}_n").astype(float)
     if not len(n):
         return np.zeros(len(keys)), 1.0
     at, found = _lookup(getattr(c, level), keys)
-    expected = n.sum() * shared
-    own = np.where(found, np.maximum(n[at] - expected - d - errors * np.sqrt(expected), 0), 0) / n.sum()
-    return own, max(1 - float(own.sum()), 1e-3)
+    own = np.where(found, np.maximum(n[at] - discount, 0), 0) / n.sum()
+    return own, 1 - float(own.sum())
+
+
+#: Count of what is new, in each distribution of shared counts.
+NEW = 0.5
 
 
 class Model:
-    """Log ratios of toxic to ordinary by pair, word, beginning, and for the rest."""
+    """Both classes' probabilities by word, by beginning (of its new words) and of a
+    new beginning, and their log ratios, toxic to ordinary."""
 
-    def __init__(self, toxic: Counts, ordinary: Counts, discount: float, errors: float):
-        both = [toxic, ordinary]
+    def __init__(self, toxic: Counts, ordinary: Counts, discount: float, margin: float):
+        both, self.margin = [toxic, ordinary], margin
         sizes = [max(float(c.word_n.sum()), 1.0) for c in both]
-        d = [discount * max(1.0, s / min(sizes)) for s in sizes]
         words = np.union1d(toxic.word, ordinary.word)
-        prefix_of = self._either(both, "word", "word_prefix", words)
         prefixes = np.union1d(toxic.prefix, ordinary.prefix)
-        shared_prefix, shared_word = _share(both, prefixes, "prefix"), _share(both, words, "word")
-        p_at, _ = _lookup(prefixes, prefix_of)
-        within = shared_word / shared_prefix[p_at]
-        p_prefix, p_word, rest = [], [], []
-        for c, dc in zip(both, d):
-            own, left = _excess(c, prefixes, "prefix", shared_prefix, dc, errors)
-            prefix_p = own + left * shared_prefix
-            own, taken = _excess(c, words, "word", prefix_p[p_at] * within, dc, errors)
-            p_word.append(own + taken * prefix_p[p_at] * within)
-            p_prefix.append(taken * prefix_p)
-            rest.append(np.log(taken * left))
-        self.rest = float(rest[0] - rest[1])
-        ratio = np.log(p_prefix[0] / p_prefix[1])
-        keep = np.abs(ratio - self.rest) > 1e-6
-        self.prefix, self.prefix_ratio = prefixes[keep], ratio[keep].astype(np.float32)
-        ratio = np.log(p_word[0] / p_word[1])
-        keep = np.abs(ratio - self._lower(prefix_of)) > 1e-6
-        self.word, self.word_ratio = words[keep], ratio[keep].astype(np.float32)
+        p_at, _ = _lookup(prefixes, self._either(both, "word", "word_prefix", words))
+        word_n, prefix_n = _shared(both, words, "word"), _shared(both, prefixes, "prefix")
+        all_n = prefix_n.sum() + NEW
+        self.p_word, self.p_new_word, self.p_new = [], [], []
+        for c, size in zip(both, sizes):
+            d = discount * size / min(sizes)
+            own, down = _own(c, prefixes, "prefix", d)
+            p_prefix = own + down * prefix_n / all_n
+            own, given = _own(c, words, "word", d)
+            self.p_word.append(own + given * (p_prefix * (1 / (prefix_n + NEW)))[p_at] * word_n)
+            self.p_new_word.append(given * p_prefix * NEW / (prefix_n + NEW))
+            self.p_new.append(given * down * NEW / all_n)
+        self.word, self.prefix = words, prefixes
+        ratio = lambda p: np.log(p[0]) - np.log(p[1])
+        self.word_ratio, self.prefix_ratio = ratio(self.p_word).astype(np.float32), ratio(self.p_new_word).astype(np.float32)
+        self.rest = float(ratio(self.p_new))
+
+    def small(self) -> Model:
+        """The ratios alone, and of words only those that the margin doesn't make 0."""
+        for ratio, keys in (("word_ratio", "word"), ("prefix_ratio", "prefix")):
+            keep = np.abs(getattr(self, ratio) - self.rest) > (self.margin if keys == "prefix" else -1)
+            setattr(self, ratio, getattr(self, ratio)[keep])
+            setattr(self, keys, getattr(self, keys)[keep])
+        self.p_word = self.p_new_word = self.p_new = None
+        return self
 
     @staticmethod
     def _either(both: list[Counts], keys: str, field: str, wanted: np.ndarray) -> np.ndarray:
@@ -151,31 +160,27 @@ class Model:
                 out = np.where(found, getattr(c, field)[at], out)
         return out
 
-    def _lower(self, prefix: np.ndarray) -> np.ndarray:
-        at, found = _lookup(self.prefix, prefix)
-        return np.where(found, self.prefix_ratio[at], self.rest) if len(self.prefix) else np.full(len(prefix), self.rest)
-
     def ratios(self, word: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         """Log ratio of each token, less that of a token which says nothing."""
-        out = self._lower(prefix)
+        at, found = _lookup(self.prefix, prefix)
+        out = np.where(found, self.prefix_ratio[at], self.rest) if len(self.prefix) else np.full(len(prefix), self.rest)
         if len(self.word):
             at, found = _lookup(self.word, word)
             out = np.where(found, self.word_ratio[at], out)
         return out - self.rest
 
     def totals(self, word: np.ndarray, prefix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: the log ratio, and its part from strongly toxic tokens."""
+        """Per text: the log ratio, without what is inside the margin."""
         r = self.ratios(word, prefix)
-        both = np.stack((r, np.maximum(r - MARGIN, 0)))
-        sums = np.concatenate((np.zeros((2, 1)), np.cumsum(both, axis=1)), axis=1)
-        return sums[:, offsets[1:]] - sums[:, offsets[:-1]]
+        r = np.sign(r) * np.maximum(np.abs(r) - self.margin, 0)
+        sums = np.concatenate(([0], np.cumsum(r)))
+        return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def features(totals: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Both parts normalised by length, the strong part also by its root and by none."""
-    m, (total, strong) = np.maximum(n, 1), totals
-    strong = np.maximum(strong, 0)
-    return np.stack((np.ones(len(n)), np.clip(total / m, -2, 2), np.minimum(strong / m, 0.2) * 10, np.minimum(strong / np.sqrt(m), 4), np.log1p(strong), np.log(m) / 5), 1)
+def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The log ratio normalised by length and by its root, and the length."""
+    m = np.maximum(n, 1)
+    return np.stack((np.ones(len(n)), np.clip(total / m, -0.3, 0.3) * 10, np.clip(total / np.sqrt(m), -4, 4), np.log(m) / 5), 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -229,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, training: Column, most
     if not have[0] or not have[1]:
         total = sum(counts.values())
         share = counts.get(1, 0) / total if total else 0.0
-        return None, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0, 0, 0, 0, 0])
+        return None, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0, 0, 0])
     y = np.array([r[0] for r in rows], float)
     length = np.array([len(r[1]) for r in rows])
     offsets = np.concatenate(([0], np.cumsum(length)))
@@ -248,23 +253,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str, training: Column, most
         use = [(token_y == k) & (token_fold != out if out is not None else True) for k in (1, 0)]
         return [Counts(word[u], prefix[u], before[u], pair[u]) for u in use]
 
-    totals = np.zeros((len(DISCOUNTS), 2, len(y)))
+    kinds = [(d, m) for d in DISCOUNTS for m in MARGINS]
+    totals = np.zeros((len(kinds), len(y)))
     for f in range(FOLDS):
         c = counted(f)
         mine = np.flatnonzero(fold == f)
         at = kernel.ragged(length[mine], offsets[:-1][mine])
         o = np.concatenate(([0], np.cumsum(length[mine])))
-        for i, d in enumerate(DISCOUNTS):
-            totals[i][:, mine] = Model(*c, *d).totals(word[at], prefix[at], o)
+        for d in DISCOUNTS:
+            model = Model(*c, d, 0)
+            for i, (other, model.margin) in enumerate(kinds):
+                if other == d:
+                    totals[i][mine] = model.totals(word[at], prefix[at], o)
         del c
     best = None
-    for i, d in enumerate(DISCOUNTS):
-        x = features(totals[i], length)
+    for kind, total in zip(kinds, totals):
+        x = features(total, length)
         beta = fit_logistic(x, y, weight)
         value = loss(x, y, weight, beta)
         if best is None or value < best[0]:
-            best = (value, d, beta)
-    return Model(*counted(None), *best[1]), best[2]
+            best = (value, kind, beta)
+    return Model(*counted(None), *best[1]).small(), best[2]
 
 
 SCHEMA = "doc_id long, score double, log_ratio double, n_words long"
@@ -279,10 +288,10 @@ def score(docs: DataFrame, model: Model | None, beta: np.ndarray, id_column: str
         for b in batches:
             for lo, hi, text, starts in kernel.blocks(b.column(1)):
                 word, prefix, offsets = tokens(text, starts)
-                total = m.totals(word, prefix, offsets) if m is not None and len(word) else np.zeros((2, hi - lo))
+                total = m.totals(word, prefix, offsets) if m is not None and len(word) else np.zeros(hi - lo)
                 n = np.diff(offsets)
                 p = 1 / (1 + np.exp(-np.clip(features(total, n) @ b_, -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p), pa.array(total[0]), pa.array(n, pa.int64())], names=["doc_id", "score", "log_ratio", "n_words"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p), pa.array(total), pa.array(n, pa.int64())], names=["doc_id", "score", "log_ratio", "n_words"])
 
     return frames.arrow(docs.select(F.col(id_column).cast("long"), text_column), run, SCHEMA)
 
