@@ -33,8 +33,8 @@ from .toxicity import fit_logistic, labelled_sample
 MOST_PER_CLASS = 3000
 MOST_LINES = 120_000
 THRESHOLD = 0.3
-#: A chain of more lines is trained in parts; scoring never cuts.
-TRAIN_CHAIN = 64
+#: A chain of more lines is run in parts that are joined exactly at their borders.
+PART = 64
 _CLASSES = ("upper", "lower", "digit", "symbol", "loud", "mark", "high", "other")
 _KIND = np.full(256, 7, np.int8)
 _KIND[65:91], _KIND[97:123], _KIND[48:58] = 0, 1, 2
@@ -106,7 +106,7 @@ N_FEATURES = 3 + 3 * N_OWN
 
 
 def chains(of: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and length of each text's run of lines, cut at ``longest``."""
+    """Begin and length of each text's run of lines, in parts of ``longest``."""
     if not len(of):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(len(of))
@@ -118,42 +118,78 @@ def chains(of: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.n
     return begin, np.diff(np.concatenate((begin, [len(of)])))
 
 
-def forward_backward(node: np.ndarray, step: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _borders(psi: np.ndarray, a: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums before each part and backward sums after it, each up to a factor,
+    from the products of the parts' matrices.  ``first`` marks a chain's first part."""
+    before, after = np.ones((len(begin), 2)), np.ones((len(begin), 2))
+    last = np.concatenate((first[1:], [True]))
+    some = np.flatnonzero(~(first & last))
+    if not len(some):
+        return before, after
+    m = np.tile(np.eye(2), (len(some), 1, 1))
+    for t in range(int(length[some].max())):
+        go = np.flatnonzero(length[some] > t)
+        step = m[go] if not t else m[go] @ a
+        if not t:
+            inner = ~first[some[go]]
+            step[inner] = step[inner] @ a
+        step = step * psi[begin[some[go]] + t][:, None, :]
+        m[go] = step / step.max((1, 2), keepdims=True)
+    for j, i in enumerate(some.tolist()):
+        if not last[i]:
+            v = before[i] @ m[j]
+            before[i + 1] = v / v.sum()
+    for j, i in reversed(list(enumerate(some.tolist()))):
+        if not first[i]:
+            v = m[j] @ after[i]
+            after[i - 1] = v / v.sum()
+    return before, after
+
+
+def forward_backward(node: np.ndarray, step: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of each line, expected transitions, and the log normaliser.
 
-    All chains at once, the longest first, so a step works on a prefix of them."""
-    order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
+    All chains at once, the longest first, so a step works on a prefix of them.
+    With ``first``, the runs are consecutive parts of chains, and those it marks
+    begin one; the sums are those of the whole chains."""
     top = node.max(1)
     psi = np.exp(node - top[:, None])
     a = np.exp(step)
+    first = np.ones(len(begin), bool) if first is None else first
+    before, after = _borders(psi, a, begin, length, first)
+    order = np.argsort(-length, kind="stable")
+    begin, length, first, before, after = begin[order], length[order], first[order], before[order], after[order]
     alpha, scale = np.zeros_like(psi), np.ones(len(psi))
     active = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]) if len(length) else 0)]
     for t, k in enumerate(active):
         i = begin[:k] + t
-        v = psi[i] if not t else (alpha[i - 1] @ a) * psi[i]
+        v = (alpha[i - 1] @ a if t else np.where(first[:, None], 1.0, before @ a)) * psi[i]
         scale[i] = v.sum(1)
         alpha[i] = v / scale[i][:, None]
     beta = np.ones_like(psi)
+    end = begin + length - 1
+    beta[end] = after / (alpha[end] * after).sum(1, keepdims=True)
     expected = np.zeros((2, 2))
     for t in range(len(active) - 1, 0, -1):
         i = begin[: active[t]] + t
         w = psi[i] * beta[i] / scale[i][:, None]
         expected += (alpha[i - 1].T @ w) * a
         beta[i - 1] = w @ a.T
+    i, inner = begin[~first], ~first
+    expected += (before[inner].T @ (psi[i] * beta[i] / scale[i][:, None])) * a
     gamma = alpha * beta
     return gamma / gamma.sum(1, keepdims=True), expected, float((np.log(scale) + top).sum())
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, begin: np.ndarray, length: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Conditional likelihood by Adam; ``weight`` is by chain."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Conditional likelihood by Adam; ``weight`` is by run, the same for a chain's."""
     theta, step = np.zeros((x.shape[1], 2)), np.zeros((2, 2))
     chain = np.repeat(np.arange(len(begin)), length)
     chain_weight = weight[chain]
     true = np.zeros((len(y), 2))
     true[np.arange(len(y)), y] = 1
     inside = np.ones(len(y), bool)
-    inside[begin] = False
+    inside[begin[first]] = False
     at = np.flatnonzero(inside)
     total = chain_weight.sum()
     moved = np.zeros((2, 2))
@@ -168,7 +204,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, begin: np.ndarray, len
         for g in groups:  # a chain's weight multiplies its expectations
             mine = kernel.ragged(length[g], begin[g])
             o = np.cumsum(length[g]) - length[g]
-            one, moves, _ = forward_backward(node[mine], step, o, length[g])
+            one, moves, _ = forward_backward(node[mine], step, o, length[g], first[g])
             gamma[mine] = one
             expected += moves * weight[g[0]]
         grads = [x.T @ ((true - gamma) * chain_weight[:, None]) / total - ridge * theta, (moved - expected) / total - ridge * step]
@@ -232,17 +268,18 @@ def train(docs: DataFrame, labels: DataFrame, training, most_per_class: int = MO
     of = np.repeat(np.arange(len(full)), size)
     n = np.concatenate([r[2] for r in full])
     x = with_neighbours(np.concatenate([r[1] for r in full]), of).astype(np.float64)
-    begin, length = chains(of, TRAIN_CHAIN)
+    begin, length = chains(of, PART)
+    first = np.isin(begin, chains(of)[0])
     doc_weight = np.where(doc_y == 1, 0.5 / have[1], 0.5 / have[0]) * len(full)
     weight = doc_weight[of[begin]]
     y = doc_y[of]
-    theta, step = fit(x, y, weight, begin, length)
+    theta, step = fit(x, y, weight, begin, length, first)
     whole = chains(of)
     p = forward_backward(np.clip(x @ theta, -30, 30), step, *whole)[0][:, 1]
     worst = np.zeros(len(p), bool)
     worst[whole[0] + np.array([int(np.argmin(p[b : b + k])) for b, k in zip(*whole)])] = True
     y = np.where((y == 0) & (p > 0.8) & ~worst, 1, y)
-    theta, step = fit(x, y, weight, begin, length)
+    theta, step = fit(x, y, weight, begin, length, first)
     p = forward_backward(np.clip(x @ theta, -30, 30), step, *whole)[0][:, 1]
     total = np.bincount(of, weights=n)
     f = score_features(np.bincount(of, weights=p * n) / total, np.minimum.reduceat(p, whole[0]), total)
