@@ -2,17 +2,17 @@
 
 A line is a ``\\n``-line with a word.  A line of more than ``longest`` words is
 wrapped: of every ``_AMONG`` consecutive pairs of words in it, the one with the least
-hash ends a piece (winnowing).  Such ends depend on nothing but the words around, so
-a passage inside long lines breaks alike wherever it stands, but for ``2 * _AMONG - 1``
-words at most at each side, and its inner windows repeat.  A piece is no longer than
-``_AMONG`` words there, so a repeated passage of ``LEAST_WORDS + 4 * _AMONG - 2`` = 50
-words is always found.
-
-Windows of ``window`` consecutive lines are hashed (words in lower case, white
-space ignored).  Of all places with one hash, the first by document id and
-position stays; the lines of the others are covered.  Covered lines that touch
-are merged, and a merged stretch is removed if it has ``least_words`` words or
-consists of whole ``\\n``-lines only.
+hash ends a piece (winnowing), and each piece is a line.  Such ends depend on nothing
+but the words around, so a passage inside long lines breaks alike wherever it stands,
+but for ``_AMONG - 1`` pairs of words at each side.
+
+Windows of ``window`` consecutive lines are hashed (words in lower case, white space
+ignored); a window with pieces of long lines goes on until it has ``least_words``
+words, since pieces may be as short as a word.  A piece is no longer than ``_AMONG``
+words inside such a passage, so a repeated passage of more than 50 words always has a
+window.  Of all places with one hash, the first by document id and position stays;
+the lines of the others are covered, and all covered lines are removed, a whole
+``\\n``-line with its line break.  Nothing else of a text changes.
 
 Scale.  A task combines before the shuffle: of the places of a window in a
 batch, the first goes on, the others are known to be later.  So a window of a
@@ -21,8 +21,9 @@ its rows in order and keeps one row in memory.  Texts are joined once, by id.
 
 Edge cases.  Null texts stay null, texts without a word stay as they are.  Rows
 of one id and one text are one document and are treated alike; rows of one id
-with other texts don't mix, since a place carries its window's hash.  A null id
-sorts first.  Other columns pass through, whatever their names.
+with other texts don't mix, since a place carries its window's hash.  Rows with a
+null id come first, each text of them a document of its own.  Other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +42,8 @@ WINDOW = 3
 LONGEST = 16
 LEAST_WORDS = 20
 _AMONG = 8
-_NULL_ID = -(1 << 63)
-_PLACES = "__deal long, __later boolean, __window long, __doc long, __at int"
-_FIELDS = [("__deal", pa.int64()), ("__later", pa.bool_()), ("__window", pa.int64()), ("__doc", pa.int64()), ("__at", pa.int32())]
+_PLACES = "__deal long, __later boolean, __window long, __named boolean, __doc long, __at int"
+_FIELDS = [("__deal", pa.int64()), ("__later", pa.bool_()), ("__window", pa.int64()), ("__named", pa.bool_()), ("__doc", pa.int64()), ("__at", pa.int32())]
 
 
 class Lines:
@@ -75,96 +75,123 @@ class Lines:
         self.first = np.flatnonzero(cut)
         self.last = np.concatenate((self.first[1:], [len(s)])).astype(np.int64) if len(self.first) else self.first
         self.of = of[self.first]
-        self.whole = first[self.first] & (np.concatenate((first[1:], [True]))[self.last - 1] if len(s) else np.zeros(0, bool))
+        self.begins = first[self.first]
+        self.whole = self.begins & (np.concatenate((first[1:], [True]))[self.last - 1] if len(s) else np.zeros(0, bool))
         self.hash = kernel.run_hash(word, self.first, self.last)
         self.words = self.last - self.first
         self.s, self.e, self.line = s, e, in_line
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first line, and hash, of each window."""
-        h = kernel.shingles(self.hash, size)
-        at = np.flatnonzero(self.of[: len(h)] == self.of[size - 1 :]) if len(h) else np.zeros(0, np.int64)
-        return at, h[at]
+    def windows(self, size: int, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the first line, number of lines and hash of each window."""
+        n = len(self.hash)
+        if n < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.arange(n - size + 1)
+        before = np.concatenate(([0], np.cumsum(self.words)))
+        pieces = np.concatenate(([0], np.cumsum(~self.whole)))
+        enough = np.searchsorted(before, before[at] + least_words)
+        end = np.where(pieces[at + size] > pieces[at], np.maximum(enough, at + size), at + size)
+        ok = (end <= n) & (self.of[np.minimum(end, n) - 1] == self.of[at])
+        at, end = at[ok], end[ok]
+        return at, end - at, kernel.run_hash(self.hash, at, end)
 
     def offsets(self) -> np.ndarray:
         return np.searchsorted(self.of, np.arange(len(self.starts)))
 
 
-def _places(docs: DataFrame, id_column: str, text_column: str, window: int, longest: int) -> DataFrame:
+def _identity(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
+    """Whether a document has an id, and the id, or a hash of the text."""
+    number = F.col(id_column).cast("long")
+    return [number.isNotNull().alias("__named"), F.coalesce(number, F.xxhash64(text_column)).alias("__doc")]
+
+
+def _places(docs: DataFrame, id_column: str, text_column: str, window: int, longest: int, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).cast(pa.int64()).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-            doc, at, h = [], [], []
-            for lo, hi, text, starts in kernel.blocks(b.column(1)):
+            named, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            row, at, h = [], [], []
+            for lo, hi, text, starts in kernel.blocks(b.column(2)):
                 lines = Lines(text, starts, longest)
-                where, hashes = lines.windows(window)
+                where, _, hashes = lines.windows(window, least_words)
                 of = lines.of[where]
-                doc.append(ids[lo:hi][of])
+                row.append(lo + of)
                 at.append(where - lines.offsets()[of])
                 h.append(hashes)
-            if not doc:
+            if not row:
                 continue
-            doc, at, h = np.concatenate(doc), np.concatenate(at), np.concatenate(h)
-            order = np.lexsort((at, doc, h))
-            doc, at, h = doc[order], at[order], h[order]
+            row, at, h = np.concatenate(row), np.concatenate(at), np.concatenate(h)
+            doc, known = ids[row], named[row]
+            order = np.lexsort((at, doc, known, h))
+            doc, known, at, h = doc[order], known[order], at[order], h[order]
             same = np.zeros(len(h), bool)
-            same[1:] = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+            same[1:] = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (known[1:] != known[:-1]) | (at[1:] != at[:-1]))
             deal = np.where(same, kernel.mix(doc.astype(np.uint64)), h).view(np.int64)
-            yield frames.batch(_FIELDS, [deal, same, h.view(np.int64), doc, at])
+            yield frames.batch(_FIELDS, [deal, same, h.view(np.int64), known, doc, at])
 
-    return frames.arrow(docs.select(id_column, text_column), run, _PLACES)
+    return frames.arrow(docs.select(*_identity(docs, id_column, text_column), text_column), run, _PLACES)
 
 
-def later_places(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, longest: int = LONGEST) -> DataFrame:
-    """Places of repeated windows but the first: ``__doc, __at, __window``."""
+def later_places(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, longest: int = LONGEST, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Places of repeated windows but the first: ``__named, __doc, __at, __window``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # window, document and position of the first place of the last run
+        head = None  # window and place of the first row of the last run
         for b in batches:
-            known, h, doc, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            known, h, *place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(h):
                 continue
             start = np.ones(len(h), bool)
             start[1:] = (h[1:] != h[:-1]) | (known[1:] != known[:-1])
             run_of = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
-            first_doc, first_at = doc[run_of], at[run_of]
+            first = [x[run_of] for x in place]
             if head is not None and not known[0] and head[0] == h[0]:
-                first_doc[run_of == 0], first_at[run_of == 0] = head[1], head[2]
-            later = known | (doc != first_doc) | (at != first_at)
+                for x, y in zip(first, head[1]):
+                    x[run_of == 0] = y
+            later = known.copy()
+            for x, y in zip(place, first):
+                later |= x != y
             if not known[-1]:
-                head = (h[-1], first_doc[-1], first_at[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(at[later]), pa.array(h[later])], names=["__doc", "__at", "__window"])
+                head = (h[-1], [x[-1] for x in first])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[later]) for x in place], pa.array(h[later])], names=["__named", "__doc", "__at", "__window"])
 
-    places = _places(docs, id_column, text_column, window, longest)
+    places = _places(docs, id_column, text_column, window, longest, least_words)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["__later", "__window", "__doc", "__at"]
-    return frames.arrow(places.repartition(n, "__deal").select(*order).sortWithinPartitions(*order), run, "__doc long, __at int, __window long")
+    order = ["__later", "__window", "__named", "__doc", "__at"]
+    return frames.arrow(places.repartition(n, "__deal").select(*order).sortWithinPartitions(*order), run, "__named boolean, __doc long, __at int, __window long")
 
 
-def removal(lines: Lines, i: int, offsets: np.ndarray, places: np.ndarray, hashes: np.ndarray, windows: dict, window: int, least_words: int) -> np.ndarray:
-    """Indices of the lines of text ``i`` to remove."""
-    lo, hi = offsets[i], offsets[i + 1]
-    covered = np.zeros(hi - lo, bool)
+def covered_lines(lo: int, hi: int, places: np.ndarray, hashes: np.ndarray, windows: dict) -> np.ndarray:
+    """Of the lines ``lo`` to ``hi - 1`` those that are in a window at one of the places."""
+    edge = np.zeros(hi - lo + 1, np.int64)
     for at, h in zip(places.tolist(), hashes.tolist()):
-        if at + window <= hi - lo and windows.get(lo + at) == h:
-            covered[at : at + window] = True
-    for a, b in zip(*kernel.spans(covered)):
-        if lines.words[lo + a : lo + b].sum() < least_words and not lines.whole[lo + a : lo + b].all():
-            covered[a:b] = False
-    return lo + np.flatnonzero(covered)
+        size, found = windows.get(lo + at, (0, None))
+        if found == h and at + size <= hi - lo:
+            edge[at] += 1
+            edge[at + size] -= 1
+    return lo + np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
 def without(lines: Lines, i: int, gone: np.ndarray) -> str:
-    """Text ``i`` of the block without some of its lines."""
+    """Text ``i`` of the block without some of its lines.
+
+    A ``\\n``-line of which all is gone goes with its line break; a piece goes from
+    its first word to the next piece's, or to the line's last word."""
     begin, end = int(lines.starts[i]), int(lines.starts[i + 1]) - 1
     keep = np.ones(end - begin, bool)
-    first, last = lines.s[lines.first[gone]], lines.e[lines.last[gone] - 1]
-    for a, b, u in zip(first.tolist(), last.tolist(), gone.tolist()):
-        nxt = lines.last[u]
-        same = nxt < len(lines.s) and lines.line[nxt] == lines.line[nxt - 1] and lines.s[nxt] < end + 1
-        keep[a - begin : (int(lines.s[nxt]) if same else b) - begin] = False
-    raw = lines.text[begin:end][keep].tobytes().decode("utf-8", "replace")
-    return "\n".join(x.rstrip(" ") for x in raw.split("\n") if x.strip(" \t\r\v\f")).strip()
+    out = set(gone.tolist())
+    breaks = np.flatnonzero(lines.text[begin:end] == 10)
+    for u in gone.tolist():
+        first, after = lines.first[u], lines.last[u]
+        same = after < len(lines.s) and lines.line[after] == lines.line[after - 1] and lines.s[after] < end
+        keep[lines.s[first] - begin : (lines.s[after] if same else lines.e[after - 1]) - begin] = False
+        if lines.begins[u]:
+            v = u
+            while v in out and v + 1 < len(lines.first) and not lines.begins[v + 1]:
+                v += 1
+            if v in out:
+                k = int(np.searchsorted(breaks, lines.s[first] - begin))
+                keep[(breaks[k - 1] + 1 if k else 0) : (breaks[k] + 1 if k < len(breaks) else end - begin)] = False
+    return lines.text[begin:end][keep].tobytes().decode("utf-8", "replace")
 
 
 def dedup_lines(
@@ -174,10 +201,11 @@ def dedup_lines(
 
     A count whose name is a column already replaces that column."""
     docs = docs.drop(*counts)
-    places = later_places(docs, id_column, text_column, window, longest)
-    listed = places.groupBy("__doc").agg(F.collect_list(F.struct("__at", "__window")).alias("__places"))
-    listed = listed.select("__doc", F.col("__places.__at").alias("__at"), F.col("__places.__window").alias("__window"))
-    joined = docs.join(listed, F.coalesce(F.col(id_column).cast("long"), F.lit(_NULL_ID)) == F.col("__doc"), "left").drop("__doc")
+    places = later_places(docs, id_column, text_column, window, longest, least_words)
+    listed = places.groupBy("__named", "__doc").agg(F.collect_list(F.struct("__at", "__window")).alias("__places"))
+    listed = listed.select("__named", "__doc", F.col("__places.__at").alias("__at"), F.col("__places.__window").alias("__window"))
+    named, number = _identity(docs, id_column, text_column)
+    joined = docs.join(listed, (named == F.col("__named")) & (number == F.col("__doc")), "left").drop("__named", "__doc")
     text_at, n, names = docs.columns.index(text_column), len(docs.columns), [*docs.columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +222,11 @@ def dedup_lines(
                 total.append(np.diff(offsets))
                 r, w = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
                 if valid[lo:hi].any():
-                    windows = dict(zip(*(x.tolist() for x in (lambda a, k: (a, k.view(np.int64)))(*lines.windows(window)))))
+                    first, size, hashes = lines.windows(window, least_words)
+                    windows = dict(zip(first.tolist(), zip(size.tolist(), hashes.view(np.int64).tolist())))
                     for i in np.flatnonzero(valid[lo:hi]).tolist():
                         p = slice(at_off[lo + i], at_off[lo + i + 1])
-                        gone = removal(lines, i, offsets, at_flat[p], h_flat[p], windows, window, least_words)
+                        gone = covered_lines(offsets[i], offsets[i + 1], at_flat[p], h_flat[p], windows)
                         if len(gone):
                             r[i], w[i] = len(gone), lines.words[gone].sum()
                             out[lo + i] = without(lines, i, gone)
