@@ -22,8 +22,12 @@ the majority of the words' hashes) of place and item; it's told, not a condition
 The item side is broadcast if it takes less than ``BROADCAST_BYTES``, else
 joined by shuffle.  Documents' words aren't shuffled in the first case.
 
-Edge cases.  Null and empty texts have no hits.  Items of fewer than three words are
-ignored; items of three or four are one shingle.  Repeated rows are as one; rows of
+The shuffled join is salted on the documents' side, so that a shingle that a third
+of all documents hold is not one task.
+
+Edge cases.  Null and empty texts have no hits; items without a word are ignored.
+Items of one to four words are one shingle, so only an exact run of them is a leak.
+Items of equal text are found alike.  Repeated rows are as one; rows of
 one id with other texts don't mix.  An empty table on either side gives no leak.
 Other columns are ignored; :func:`decontaminate` passes them on.
 """
@@ -40,6 +44,7 @@ SIMILARITY = 0.75
 SHINGLE = 5
 BROADCAST_BYTES = 64 << 20
 _ROW_BYTES = 64
+SALTS = 16
 _BLOCKS, _BITS = 3, 19
 
 
@@ -75,7 +80,7 @@ def runs(words: str, size: int) -> Column:
 
 def _items(benchmark: DataFrame, item_column: str, text_column: str) -> DataFrame:
     items = benchmark.select(F.col(item_column).alias("item"), word_hashes(F.col(text_column)).alias("item_words"))
-    items = items.select("*", F.size("item_words").alias("item_n"), F.xxhash64("item_words").alias("item_key")).filter("item_n >= 3")
+    items = items.select("*", F.size("item_words").alias("item_n"), F.xxhash64("item_words").alias("item_key")).filter("item_n >= 1")
     return items.dropDuplicates(["item", "item_key", "item_n"])
 
 
@@ -93,7 +98,11 @@ def found(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, l
     # The outer kinds, else Spark computes the arrays once more to filter empty ones.
     rows = rows.select("doc", "text_key", "size", F.explode_outer("runs").alias("run"))
     rows = rows.select("doc", "text_key", "size", F.posexplode_outer("run").alias("at", "key"))
-    met = rows.join(F.broadcast(index) if small else index, "key")
+    if small:
+        met = rows.join(F.broadcast(index), "key")
+    else:
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "text_key", "at"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
 
     own = F.expr("CAST(at DIV item_n AS INT)")
     met = met.withColumn("stretch", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))))
