@@ -1,12 +1,15 @@
 """Packing: hierarchical multi-length packing of token sequences.
 
 Documents are cut into full windows of the longest size and a tail.  A tail is
-routed to the shortest tier that holds it.  Each tier packs its tails, the
-longest first; the gap behind a tail is filled from the shortest tails left, cut
-where the sequence is full.  What is left when a block of documents is used up
-goes on to the next block, so a task ends with at most one padded sequence for
-all it has read.  Sequences of a block are dealt to step groups of about equal
-attention cost (the sum of squared lengths), the costliest first.
+routed to the shortest tier that holds it, and each tier packs its own, the longest
+first.  Of every tier but the longest, one tail in ``FILLER`` is set aside to fill the
+gaps of longer tiers: the longest that fits a gap goes in whole, what is then open is
+filled by a cut, from the shortest set aside, or else from the tier's own shortest.
+What is set aside and not used is packed in its own tier.  What is left when a block
+of documents is used up goes on to the next block, so a task ends with at most one
+padded sequence for all it has read.  Sequences are dealt to step groups of about
+equal attention cost (the sum of squared lengths), the costliest first; a group's
+cost is the same in all tasks, that of a step full of the longest sequences.
 
 Memory: one block of documents and the carried rest, whatever the input.  There
 is no shuffle: each task packs its own split, and a lost task is packed again to
@@ -19,8 +22,11 @@ document longer than a window is cut, never dropped.  Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
+from bisect import insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,8 @@ from . import frames, kernel, tokens
 
 TIERS = (128, 256, 512, 1024)
 BLOCK = 1 << 20
-#: Tokens of one step group.
+FILLER = 2
+#: Tokens of a step group of the longest sequences.
 STEP_TOKENS = 1 << 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length int, padded_to int, step_id long"
 _FIELDS = [(c.split()[0], {"long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in SCHEMA.split(", ")]
@@ -52,35 +59,53 @@ class Packer:
     def pack(self, pieces: list[tuple], last: bool) -> list[tuple[int, list[tuple]]]:
         """Sequences ``(tier, pieces)``; unless ``last``, a rest is carried on."""
         full: list[tuple[int, list[tuple]]] = []
-        tails: list[tuple] = self.rest
-        for row, start, ids in pieces:
+        queue: dict[int, list[tuple]] = {t: [] for t in self.tiers}  # longest last
+        for row, start, ids in [*self.rest, *pieces]:
             whole = len(ids) // self.size * self.size
             full += [(self.size, [(row, start + k, ids[k : k + self.size])]) for k in range(0, whole, self.size)]
             if whole < len(ids):
-                tails.append((row, start + whole, ids[whole:]))
-        tails.sort(key=lambda p: -len(p[2]))
+                queue[self.tier(len(ids) - whole)].append((row, start + whole, ids[whole:]))
         self.rest = []
-        lo, hi = 0, len(tails)
-        while lo < hi:
-            head = tails[lo]
-            lo += 1
-            size = self.tier(len(head[2]))
-            here, used = [head], len(head[2])
-            while used < size and lo < hi:
-                row, start, ids = tails[hi - 1]
-                n = min(len(ids), size - used)
-                here.append((row, start, ids[:n]))
-                used += n
-                if n < len(ids):
-                    tails[hi - 1] = (row, start + n, ids[n:])
+        for t in self.tiers:
+            queue[t].sort(key=lambda p: len(p[2]))
+        for t in reversed(self.tiers):
+            shorter = [u for u in self.tiers if u < t]
+            aside = sorted((p for u in shorter for p in queue[u][::FILLER]), key=lambda p: len(p[2]))
+            for u in shorter:
+                queue[u] = [p for k, p in enumerate(queue[u]) if k % FILLER]
+            sizes = [len(p[2]) for p in aside]
+            own = deque(queue[t])
+            while own:
+                here = [own.pop()]
+                gap = t - len(here[0][2])
+                while gap and (aside or own):
+                    k = bisect.bisect_right(sizes, gap) - 1
+                    if k >= 0:
+                        piece = aside.pop(k)
+                        sizes.pop(k)
+                    elif aside and sizes[0] > gap:
+                        row, start, ids = aside.pop(0)
+                        sizes.pop(0)
+                        piece, left = (row, start, ids[:gap]), (row, start + gap, ids[gap:])
+                        at = bisect.bisect_left(sizes, len(left[2]))
+                        aside.insert(at, left)
+                        sizes.insert(at, len(left[2]))
+                    else:
+                        row, start, ids = own.popleft()
+                        piece = (row, start, ids[:gap])
+                        if len(ids) > gap:
+                            own.appendleft((row, start + gap, ids[gap:]))
+                    here.append(piece)
+                    gap -= len(piece[2])
+                if not gap:
+                    full.append((t, here))
                 else:
-                    hi -= 1
-            if used == size:
-                full.append((size, here))
-            elif last:
-                full += self._split(here, used)
-            else:
-                self.rest = here
+                    self.rest += here
+            for p in aside:
+                insort(queue[self.tier(len(p[2]))], p, key=lambda p: len(p[2]))
+        if last and self.rest:
+            pieces, self.rest = self.rest, []
+            full += self._split(pieces, sum(len(p[2]) for p in pieces))
         return full
 
     def _split(self, pieces: list[tuple], left: int) -> list[tuple[int, list[tuple]]]:
@@ -100,9 +125,12 @@ class Packer:
         return out + ([(self.size, pieces)] if left else [])
 
 
-def deal(lengths: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
-    """Step group of each sequence: longest first, to the group of least cost."""
-    groups = [(0, g) for g in range(max(1, -(-sum(lengths) // step_tokens)))]
+def deal(lengths: list[int], step_tokens: int = STEP_TOKENS, longest: int = TIERS[-1]) -> list[int]:
+    """Step group of each sequence: longest first, to the group of least cost.
+
+    There are as many groups as make each cost what ``step_tokens`` tokens of the
+    longest sequences do."""
+    groups = [(0, g) for g in range(max(1, round(sum(n * n for n in lengths) / (step_tokens * longest))))]
     out = [0] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         cost, g = groups[0]
@@ -128,7 +156,7 @@ def pack_documents(
 
         def emit(made: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
             nonlocal sequences, steps
-            group = deal([size for size, _ in made], step_tokens)
+            group = deal([size for size, _ in made], step_tokens, max(tiers))
             rows = []
             for (size, pieces), g in zip(made, group):
                 used, at = sum(len(p[2]) for p in pieces), 0
