@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frames
+
 RANGES, MOST_RANGES = 64, 1024
 #: Records of a range, from which on there are more than ``RANGES`` of them.
 RANGE_RECORDS = 1 << 22
@@ -117,9 +119,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     entries = F.array_sort(F.map_entries("headers"))
     is_source = F.coalesce("is_response", F.lit(False))
     content = F.xxhash64("url", "captured", entries, "body")
+    # Read five times, so computed once; it is small beside the bodies.
     slim = records.select(canonical_url(F.col("url")).alias("canonical_url"), "captured", F.col("record_id").alias("id"), content.alias("content"), is_source.alias("is_source"))
     found = (
-        latest_earlier(slim, "canonical_url", "captured")
+        latest_earlier(frames.keep(slim), "canonical_url", "captured")
         .filter(~F.col("is_source"))
         .select(F.col("id").alias("record_id"), "content", "canonical_url", "captured", F.col("source.id").alias("source_id"), F.col("source.content").alias("source_content"))
     )
