@@ -42,8 +42,10 @@ WINDOW = 3
 LONGEST = 16
 LEAST_WORDS = 20
 _AMONG = 8
-_PLACES = "__deal long, __later boolean, __window long, __named boolean, __doc long, __at int"
-_FIELDS = [("__deal", pa.int64()), ("__later", pa.bool_()), ("__window", pa.int64()), ("__named", pa.bool_()), ("__doc", pa.int64()), ("__at", pa.int32())]
+#: ``code`` is the line's number times 4, plus 2 for a document with an id, plus 1
+#: for a place that is known to be a later one.
+_PLACES = "window long, doc long, code long"
+_FIELDS = [("window", pa.int64()), ("doc", pa.int64()), ("code", pa.int64())]
 
 
 class Lines:
@@ -125,8 +127,7 @@ def _places(docs: DataFrame, id_column: str, text_column: str, window: int, long
             doc, known, at, h = doc[order], known[order], at[order], h[order]
             same = np.zeros(len(h), bool)
             same[1:] = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (known[1:] != known[:-1]) | (at[1:] != at[:-1]))
-            deal = np.where(same, kernel.mix(doc.astype(np.uint64)), h).view(np.int64)
-            yield frames.batch(_FIELDS, [deal, same, h.view(np.int64), known, doc, at])
+            yield frames.batch(_FIELDS, [h.view(np.int64), doc, 4 * at + 2 * known + same])
 
     return frames.arrow(docs.select(*_identity(docs, id_column, text_column), text_column), run, _PLACES)
 
@@ -137,27 +138,27 @@ def later_places(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None  # window and place of the first row of the last run
         for b in batches:
-            known, h, *place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            h, doc, code = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(h):
                 continue
+            known, place = code % 2 == 1, code >> 1
             start = np.ones(len(h), bool)
             start[1:] = (h[1:] != h[:-1]) | (known[1:] != known[:-1])
             run_of = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
-            first = [x[run_of] for x in place]
+            first_doc, first_place = doc[run_of], place[run_of]
             if head is not None and not known[0] and head[0] == h[0]:
-                for x, y in zip(first, head[1]):
-                    x[run_of == 0] = y
-            later = known.copy()
-            for x, y in zip(place, first):
-                later |= x != y
+                first_doc[run_of == 0], first_place[run_of == 0] = head[1], head[2]
+            later = known | (doc != first_doc) | (place != first_place)
             if not known[-1]:
-                head = (h[-1], [x[-1] for x in first])
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[later]) for x in place], pa.array(h[later])], names=["__named", "__doc", "__at", "__window"])
+                head = (h[-1], first_doc[-1], first_place[-1])
+            place = place[later]
+            yield pa.RecordBatch.from_arrays([pa.array(place % 2 == 1), pa.array(doc[later]), pa.array((place >> 1).astype(np.int32)), pa.array(h[later])], names=["__named", "__doc", "__at", "__window"])
 
     places = _places(docs, id_column, text_column, window, longest, least_words)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["__later", "__window", "__named", "__doc", "__at"]
-    return frames.arrow(places.repartition(n, "__deal").select(*order).sortWithinPartitions(*order), run, "__named boolean, __doc long, __at int, __window long")
+    later, named = F.col("code").bitwiseAND(F.lit(1)), F.col("code").bitwiseAND(F.lit(2))
+    dealt = places.repartition(n, F.when(later == 1, F.xxhash64("doc")).otherwise(F.col("window")))
+    return frames.arrow(dealt.sortWithinPartitions(later, "window", named, "doc", "code"), run, "__named boolean, __doc long, __at int, __window long")
 
 
 def covered_lines(lo: int, hi: int, places: np.ndarray, hashes: np.ndarray, windows: dict) -> np.ndarray:
