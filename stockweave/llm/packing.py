@@ -22,12 +22,12 @@ document longer than a window is cut, never dropped.  Other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import zlib
-from bisect import insort
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -59,50 +59,57 @@ class Packer:
     def pack(self, pieces: list[tuple], last: bool) -> list[tuple[int, list[tuple]]]:
         """Sequences ``(tier, pieces)``; unless ``last``, a rest is carried on."""
         full: list[tuple[int, list[tuple]]] = []
-        queue: dict[int, list[tuple]] = {t: [] for t in self.tiers}  # longest last
+        queue: dict[int, list[tuple]] = {t: [] for t in self.tiers}  # (length, piece), longest last
+        tier = [self.tier(n) for n in range(self.size + 1)]
+        length = itemgetter(0)
         for row, start, ids in [*self.rest, *pieces]:
-            whole = len(ids) // self.size * self.size
+            n = len(ids)
+            whole = n // self.size * self.size
             full += [(self.size, [(row, start + k, ids[k : k + self.size])]) for k in range(0, whole, self.size)]
-            if whole < len(ids):
-                queue[self.tier(len(ids) - whole)].append((row, start + whole, ids[whole:]))
+            if whole < n:
+                queue[tier[n - whole]].append((n - whole, row, start + whole, ids[whole:] if whole else ids))
         self.rest = []
         for t in self.tiers:
-            queue[t].sort(key=lambda p: len(p[2]))
+            queue[t].sort(key=length)
         for t in reversed(self.tiers):
-            shorter = [u for u in self.tiers if u < t]
-            aside = sorted((p for u in shorter for p in queue[u][::FILLER]), key=lambda p: len(p[2]))
-            for u in shorter:
-                queue[u] = [p for k, p in enumerate(queue[u]) if k % FILLER]
-            sizes = [len(p[2]) for p in aside]
+            aside: list[tuple] = []
+            for u in self.tiers:
+                if u < t:  # tiers ascend, so what is set aside does too
+                    aside += queue[u][::FILLER]
+                    queue[u] = [p for k, p in enumerate(queue[u]) if k % FILLER]
+            sizes = [p[0] for p in aside]
             own = deque(queue[t])
             while own:
-                here = [own.pop()]
-                gap = t - len(here[0][2])
-                while gap and (aside or own):
-                    k = bisect.bisect_right(sizes, gap) - 1
+                n, *piece = own.pop()
+                here, gap = [tuple(piece)], t - n
+                while gap and (sizes or own):
+                    k = bisect_right(sizes, gap) - 1
                     if k >= 0:
-                        piece = aside.pop(k)
-                        sizes.pop(k)
-                    elif aside and sizes[0] > gap:
-                        row, start, ids = aside.pop(0)
-                        sizes.pop(0)
-                        piece, left = (row, start, ids[:gap]), (row, start + gap, ids[gap:])
-                        at = bisect.bisect_left(sizes, len(left[2]))
-                        aside.insert(at, left)
-                        sizes.insert(at, len(left[2]))
+                        del sizes[k]
+                        n, row, start, ids = aside.pop(k)
+                    elif sizes:
+                        del sizes[0]
+                        n, row, start, ids = aside.pop(0)
+                        at = bisect_right(sizes, n - gap)
+                        sizes.insert(at, n - gap)
+                        aside.insert(at, (n - gap, row, start + gap, ids[gap:]))
+                        n, ids = gap, ids[:gap]
                     else:
-                        row, start, ids = own.popleft()
-                        piece = (row, start, ids[:gap])
-                        if len(ids) > gap:
-                            own.appendleft((row, start + gap, ids[gap:]))
-                    here.append(piece)
-                    gap -= len(piece[2])
-                if not gap:
-                    full.append((t, here))
-                else:
+                        n, row, start, ids = own.popleft()
+                        if n > gap:
+                            own.appendleft((n - gap, row, start + gap, ids[gap:]))
+                            n, ids = gap, ids[:gap]
+                    here.append((row, start, ids))
+                    gap -= n
+                if gap:
                     self.rest += here
+                else:
+                    full.append((t, here))
             for p in aside:
-                insort(queue[self.tier(len(p[2]))], p, key=lambda p: len(p[2]))
+                queue[tier[p[0]]].append(p)
+            for u in self.tiers:
+                if u < t:
+                    queue[u].sort(key=length)
         if last and self.rest:
             pieces, self.rest = self.rest, []
             full += self._split(pieces, sum(len(p[2]) for p in pieces))
@@ -161,8 +168,9 @@ def pack_documents(
             for (size, pieces), g in zip(made, group):
                 used, at = sum(len(p[2]) for p in pieces), 0
                 for (key, total), start, ids in pieces:
-                    rows.append((key, start, len(ids), zlib.crc32(ids), total, base + sequences, at, used, size, base + steps + g))
-                    at += len(ids)
+                    n = len(ids)
+                    rows.append((key, start, n, zlib.crc32(ids), total, base + sequences, at, used, size, base + steps + g))
+                    at += n
                 sequences += 1
             steps += max(group, default=-1) + 1
             return frames.batch(_FIELDS, list(zip(*rows)))
