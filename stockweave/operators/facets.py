@@ -57,6 +57,24 @@ def path_facet(values: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
     return _top(n.withColumn("level", F.size(F.split("path", "/"))), limit, "name", order=[F.col("doc_count").desc(), "path"])
 
 
+def category_tree(values: DataFrame, selected: tuple[str, ...] = (), limit: int = PATH_LIMIT, keep: tuple[str, ...] = ()) -> list[dict]:
+    """The tree of the most frequent paths, with ids; ``keep`` and what they are under
+    are in it anyway.  ``values`` has ``doc_id, value, value_id``."""
+    n = values.groupBy(F.col("value").alias("path")).agg(F.countDistinct("doc_id").alias("doc_count"), F.min("value_id").alias("id"))
+    above = {"/".join(p.split("/")[: i + 1]) for p in keep for i in range(p.count("/") + 1)}
+    rows = {r.path: r for r in n.orderBy(F.col("doc_count").desc(), "path").limit(limit).collect()}
+    rows |= {r.path: r for r in n.filter(F.col("path").isin(*above)).collect()} if above else {}
+    tree = path_tree([(r.path, r.doc_count) for r in rows.values()], selected)
+    for e in flat(tree):
+        e["id"] = rows[e["path"]].id
+    return tree
+
+
+def flat(tree: list[dict]) -> list[dict]:
+    """A tree's entries, parents first."""
+    return [x for e in tree for x in (e, *flat(e["children"]))]
+
+
 def path_tree(rows: list[tuple[str, int]], selected: tuple[str, ...] = ()) -> list[dict]:
     """Paths and counts as a tree; siblings of a selected path are left out."""
     root: list[dict] = []
@@ -157,19 +175,18 @@ def visible(stats: DataFrame, matches: int, configs: dict[str, FacetConfig], fil
 
 
 def dependency_met(condition: str, selected: dict[str, tuple[str, ...]], custom: dict[str, str] | None = None) -> bool:
-    """``a=x&b=*``: all parts hold.  Values compare without case; a path also covers its descendants."""
+    """``a=x,y&b=*``: all parts hold.  Of a part's values, all must be selected; where no
+    filter is on the field, a custom parameter may be one of them.  Values compare
+    without case; a path also covers its descendants."""
     for part in filter(None, condition.split("&")):
         name, _, wanted = part.partition("=")
-        if custom and name in custom:
-            have: tuple[str, ...] = tuple(custom[name].split(","))
-        else:
-            have = selected.get(name, ())
+        values = {w.lower() for w in wanted.split(",") if w}
+        have = [h.lower() for h in selected.get(name, ())]
         if not have:
-            return False
-        if wanted == "*":
-            continue
-        w = wanted.lower()
-        if not any(h.lower() == w or h.lower().startswith(w + "/") for h in have):
+            own = (custom or {}).get(name)
+            if own is None or ("*" not in values and own.lower() not in values):
+                return False
+        elif "*" not in values and not all(any(h == w or h.startswith(w + "/") for h in have) for w in values):
             return False
     return True
 

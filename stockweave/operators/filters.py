@@ -66,6 +66,38 @@ def apply_filters(docs: DataFrame, facet_values: DataFrame, filters: list[Filter
     return docs
 
 
+def column_condition(f: Filter, columns: list[str]) -> Column:
+    """The predicate of a filter on columns of the table itself; a scan can push it."""
+    def one(name: str) -> Column:
+        c = F.col(name)
+        if f.kind == "number":
+            ends = [c >= f.low] if f.low is not None else []
+            ends += [c <= f.high] if f.high is not None else []
+            return reduce(Column.__and__, ends, c.isNotNull())
+        return F.lower(c.cast("string")).isin(*f.values)
+
+    return F.coalesce(reduce(Column.__or__, [one(c) for c in columns]), F.lit(False))
+
+
+def filter_products(docs: DataFrame, filters: list[Filter], master: dict[str, list[str]], variants: DataFrame | None = None, child: dict[str, list[str]] | None = None) -> DataFrame:
+    """All filters, where values are columns: those of products are predicates, those
+    of variants one scan of these and a semi join, since they must meet on one row."""
+    merged: dict[str, Filter] = {}
+    for f in filters:
+        at = f"{f.field}/{f.kind}"
+        merged[at] = merged[at].merge(f) if at in merged else f
+    inner = []
+    for f in merged.values():
+        if f.level == "VARIANT" and not f.negate:
+            inner.append(column_condition(f, child[f.field]))
+        elif f.level == "VARIANT":
+            docs = docs.join(same_variant(variants, column_condition(f, child[f.field])), "doc_id", "left_anti")
+        else:
+            hit = column_condition(f, master[f.field])
+            docs = docs.filter(~hit if f.negate else hit)
+    return docs.join(same_variant(variants, *inner), "doc_id", "left_semi") if inner else docs
+
+
 def split_filters(filters: list[Filter], facets: dict[str, dict], wanted: bool = True) -> tuple[list[Filter], list[Filter]]:
     """Basic and post filters.  A filter on a multi-select facet restricts hits
     only, so that the facet shows its other values; not if it is negated, came

@@ -6,6 +6,7 @@ aggregate.  For many queries at once, :func:`postings` is joined instead."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,18 +49,24 @@ def match(docs: DataFrame, tokens: Column, terms: list[str], spec: str = "100%")
     return docs.withColumn("matched", match_count(tokens, terms)).filter(F.col("matched") >= min_should_match(spec, len(terms)))
 
 
+def term_counts(docs: DataFrame, tokens: Column, terms: list[str]) -> DataFrame:
+    """Adds ``__len`` and ``__tf0 ..``, all that scoring needs of the tokens."""
+    return docs.select("*", F.size(tokens).alias("__len"), *[frequency(tokens, t).alias(f"__tf{i}") for i, t in enumerate(terms)])
+
+
+def bm25_counted(counted: DataFrame, n_terms: int, weight: float = 1.0) -> DataFrame:
+    """``score`` from :func:`term_counts`; one aggregate gives what all documents share."""
+    tf = [F.col(f"__tf{i}") for i in range(n_terms)]
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg"), *[F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)]).first()
+    norm = K1 * (1 - B + B * F.col("__len") / F.lit(stats.avg or 1.0))
+    parts = [F.lit(weight * math.log(1 + (stats.n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))) * c * (K1 + 1) / (c + norm) for i, c in enumerate(tf)]
+    return counted.withColumn("score", reduce(Column.__add__, parts, F.lit(0.0))).drop("__len", *[f"__tf{i}" for i in range(n_terms)])
+
+
 def bm25(docs: DataFrame, tokens: Column, terms: list[str], weight: float = 1.0) -> DataFrame:
-    """Adds ``score``.  One aggregate gives counts and lengths; scoring needs no shuffle."""
-    n_terms = {f"df{i}": F.sum(has(tokens, t).cast("long")) for i, t in enumerate(terms)}
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avg"), *[c.alias(a) for a, c in n_terms.items()]).first()
-    avg = stats.avg or 1.0
-    parts = []
-    for i, t in enumerate(terms):
-        df = stats[f"df{i}"] or 0
-        tf = frequency(tokens, t)
-        idf = F.lit(weight) * F.log(F.lit(1 + ((stats.n or 0) - df + 0.5) / (df + 0.5)))
-        parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(tokens) / F.lit(avg))))
-    return docs.withColumn("score", reduce(Column.__add__, parts, F.lit(0.0)))
+    """Adds ``score``.  Where tokenising is dear, keep :func:`term_counts` as a table
+    and score that, so that texts are read once."""
+    return bm25_counted(term_counts(docs, tokens, terms), len(terms), weight)
 
 
 def cross_fields(fields: dict[str, Column], terms: list[str], weights: dict[str, float]) -> Column:
@@ -110,6 +117,51 @@ def fuzzy(tokens: Column, term: str, edits: int | None = None) -> Column:
     return F.exists(tokens, near)
 
 
+def fuzzy_default(fields: dict[str, Column], terms: list[str], weights: dict[str, float], spec: str = "2<80%", tie: float = 0.8) -> tuple[Column, Column]:
+    """The default strategy: each term with AUTO edits in any field, enough of them,
+    a term's score that of its best field and a share of the others'."""
+    hits = [{n: fuzzy(c, t) for n, c in fields.items()} for t in terms]
+    scores = [dis_max([F.when(h, F.lit(float(weights[n]))).otherwise(0.0) for n, h in of.items()], tie) for of in hits]
+    matched = reduce(Column.__add__, [reduce(Column.__or__, of.values()).cast("int") for of in hits], F.lit(0))
+    return matched >= min_should_match(spec, len(terms)), reduce(Column.__add__, scores, F.lit(0.0))
+
+
+def match_any(fields: dict[str, Column], terms: list[str], weights: dict[str, float], tie: float = 0.2) -> tuple[Column, Column]:
+    """Any term in any field: whether, and the best field's score with a share of the others'."""
+    sums = [match_count(c, terms) * F.lit(float(weights[n])) for n, c in fields.items()]
+    score = dis_max(sums, tie)
+    return score > 0, score
+
+
+def phrase_boosted(tokens: Column, quoted: Column | None, terms: list[str], whole: float = 1.5, single: float = 1.1) -> Column:
+    """Terms, plus the whole query as a phrase, plus the single terms as they are
+    written, if quoted text is analysed otherwise (``quoted``) and there are several."""
+    exact = tokens if quoted is None else quoted
+    score = match_count(tokens, terms) + F.when(phrase(exact, terms), F.lit(whole)).otherwise(0.0)
+    if quoted is not None and len(terms) > 1:
+        score = score + F.lit(single) * match_count(quoted, terms)
+    return score
+
+
+def shingle_variants(tokens: Column, terms: list[str], glued: float = 2.0, variant: float = 0.9) -> Column:
+    """The best of the query and its variants: each adjacent pair as one word."""
+    best = [match_count(tokens, terms).cast("double")]
+    for i in range(len(terms) - 1):
+        others = match_count(tokens, terms[:i] + terms[i + 2 :])
+        best.append(F.lit(variant) * (F.lit(glued) * has(tokens, terms[i] + terms[i + 1]).cast("int") + others))
+    return F.greatest(*best, F.lit(0.0))
+
+
+def union_should(parts: list[DataFrame]) -> DataFrame:
+    """``doc_id, score`` of results: any of them, scores summed."""
+    return reduce(DataFrame.unionByName, [p.select("doc_id", "score") for p in parts]).groupBy("doc_id").agg(F.sum("score").alias("score"))
+
+
+def and_merge(parts: list[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """Conditions with scores as one: all hold, scores summed."""
+    return reduce(Column.__and__, [c for c, _ in parts]), reduce(Column.__add__, [s for _, s in parts])
+
+
 def trigram_share(word: Column, query: str) -> Column:
     """Share of the query's trigrams that a text has."""
     grams = sorted({query[i : i + 3] for i in range(len(query) - 2)}) or [query]
@@ -129,10 +181,38 @@ def spell_corrections(dictionary: DataFrame, terms: list[str], least: float = 0.
     return best.select("term", F.col("word").alias("correction"), F.round("score", 6).alias("score"))
 
 
-def cooccurrence(docs: DataFrame, tokens: Column, terms: list[str]) -> DataFrame:
+def term_mask(tokens: Column, terms: list[str], corrections: dict[str, str] | None = None) -> Column:
+    """Bits of the terms that a document has, as they are, corrected, or glued to a neighbour."""
+    bits = []
+    for i, t in enumerate(terms):
+        forms = [t, *[c for k, c in (corrections or {}).items() if k == t]]
+        forms += [terms[i - 1] + t] if i else []
+        forms += [t + terms[i + 1]] if i + 1 < len(terms) else []
+        bits.append(F.when(F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in forms])), F.lit(1 << i)).otherwise(0))
+    return reduce(Column.__add__, bits)
+
+
+def cooccurrence(docs: DataFrame, tokens: Column, terms: list[str], corrections: dict[str, str] | None = None) -> DataFrame:
     """Number of documents for each exact subset of the terms, as a bit mask."""
-    mask = reduce(Column.__add__, [F.when(has(tokens, t), F.lit(1 << i)).otherwise(0) for i, t in enumerate(terms)])
-    return docs.select(mask.alias("mask")).filter("mask > 0").groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(term_mask(tokens, terms, corrections).alias("mask")).filter("mask > 0").groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+DESIRED = 12
+
+
+def predicted(docs: DataFrame, tokens: Column, terms: list[str], corrections: dict[str, str] | None = None, desired: int = DESIRED) -> DataFrame:
+    """The best combinations of terms until they have ``desired`` matches together:
+    the documents of any of them, ``score`` being their number of terms."""
+    counts = [(r["mask"], r["n"]) for r in cooccurrence(docs, tokens, terms, corrections).collect()]  # at most 2 ** terms rows
+    chosen, total = [], 0
+    for p in predicted_queries(counts, terms, frozenset(corrections or ())):
+        if total >= desired:
+            break
+        chosen.append(p["mask"])
+        total += p["matches"]
+    mask = F.col("__mask")
+    hit = reduce(Column.__or__, [mask.bitwiseAND(F.lit(m)) == m for m in chosen], F.lit(False))
+    return docs.withColumn("__mask", term_mask(tokens, terms, corrections)).filter(hit).withColumn("score", F.bit_count("__mask").cast("double")).drop("__mask")
 
 
 def predicted_queries(counts: list[tuple[int, int]], terms: list[str], corrected: frozenset[str] = frozenset()) -> list[dict]:

@@ -54,3 +54,87 @@ def patch(docs: DataFrame, updates: DataFrame) -> DataFrame:
     u = updates.select(F.col("doc_id").alias("__id"), F.col("data").alias("__data"))
     merged = F.when(F.col("data").isNull(), F.col("__data")).when(F.col("__data").isNull(), F.col("data")).otherwise(F.map_zip_with("data", "__data", lambda _, a, b: F.coalesce(b, a)))
     return docs.join(u, docs["doc_id"] == u["__id"], "full").select(F.coalesce("doc_id", "__id").alias("doc_id"), merged.alias("data"))
+
+
+def filter_entries(rows: DataFrame, key: str, fields: list) -> DataFrame:
+    """Distinct values of fields with FILTER usage; one that is a facet, too, is
+    filtered by its facet entries and has none here.  ``key, name, values``."""
+    own = [f.name for f in fields if "FILTER" in f.usage and "FACET" not in f.usage and f.name in rows.columns]
+    if not own:
+        return rows.select(key, F.lit("").alias("name"), F.array().cast("array<string>").alias("values")).filter(F.lit(False))
+    listed = rows.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("v")) for n in own])).alias("e"))
+    return listed.filter("e.v IS NOT NULL").groupBy(key, F.col("e.name").alias("name")).agg(F.sort_array(F.collect_set("e.v")).alias("values"))
+
+
+#: Facet data by field type.
+FACET_DATA = {"NUMBER": "number_facets", "CATEGORY": "path_facets"}
+
+
+def required_fields(names: list[str], fields, has_variants: bool = False) -> set[str]:
+    """Which parts of an indexed document a patch of these fields needs."""
+    hit = [f for n in names for f in fields.match(n) if "FACET" in f.usage]
+    return {FACET_DATA.get(f.type, "term_facets") for f in hit} | ({"variants"} if has_variants else set())
+
+
+def _without_combined(data: Column, combined: dict[str, list[str]]) -> Column:
+    """Fields made of others go if all of these are there; they are made again."""
+    for name, sources in combined.items():
+        if len(sources) > 1:
+            whole = F.lit(True)
+            for s in sources:
+                whole = whole & F.map_contains_key(data, s)
+            gone = F.when(whole, F.lit(name))
+            data = _without_key(data, gone)
+    return data
+
+
+def _without_key(data: Column, name: Column) -> Column:
+    return F.map_filter(data, lambda k, _: F.coalesce(k != name, F.lit(True)))
+
+
+def _patched(have: Column, new: Column, combined: dict[str, list[str]]) -> tuple[Column, Column]:
+    """Data and attributes of a document or variant with its patch."""
+    mine, theirs = have["attributes"], new["attributes"]
+    names = F.transform(F.coalesce(theirs, F.array().cast(F_ATTRIBUTES)), lambda a: a["name"])
+    data = F.map_filter(_without_combined(have["data"], combined), lambda k, _: ~F.array_contains(names, k))
+    data = F.map_zip_with(data, F.coalesce(new["data"], F.create_map().cast("map<string,string>")), lambda _, a, b: F.coalesce(b, a))
+    kept = F.filter(F.coalesce(mine, F.array().cast(F_ATTRIBUTES)), lambda a: ~F.array_contains(names, a["name"]))
+    return data, F.when(theirs.isNull(), mine).otherwise(F.concat(kept, theirs))
+
+
+F_ATTRIBUTES = "array<struct<name:string,code:string,value:string>>"
+
+
+def patch_variants(have: Column, new: Column, variant_id: str | None, combined: dict[str, list[str]]) -> Column:
+    """Variants with an id that is patched, too, are merged, others stay, new ones are
+    appended; without an id field the patch's replace all.  Ones without id go."""
+    if variant_id is None:
+        return F.when(F.coalesce(F.size(new), F.lit(0)) <= 0, have).otherwise(new)
+    key = lambda v: v["data"][variant_id]
+    last = F.filter(new, lambda v, i: key(v).isNotNull() & ~F.exists(F.slice(new, i + 2, F.size(new)), lambda w: F.coalesce(key(w) == key(v), F.lit(False))))
+
+    def merged(v: Column) -> Column:
+        match = F.get(F.filter(last, lambda w: key(w) == key(v)), F.lit(0))
+        data, attributes = _patched(v, match, combined)
+        return F.when(match.isNull(), v).otherwise(F.struct(data.alias("data"), attributes.alias("attributes")))
+
+    old = F.transform(F.filter(have, lambda v: key(v).isNotNull()), merged)
+    added = F.filter(last, lambda w: ~F.exists(have, lambda v: F.coalesce(key(v) == key(w), F.lit(False))))
+    return F.when(F.coalesce(F.size(new), F.lit(0)) <= 0, have).when(have.isNull(), new).otherwise(F.concat(old, added))
+
+
+def patch_documents(docs: DataFrame, updates: DataFrame, combined: dict[str, list[str]] | None = None, variant_id: str | None = None) -> DataFrame:
+    """Patches of whole documents ``(doc_id, data map, attributes, categories,
+    variants)``: attributes replace those of the same name, and data of that name;
+    categories are replaced as a whole; data fields win; variants merge by id.
+    Only known ids are patched; the code of the others is NOT_FOUND."""
+    u = updates.select(F.col("doc_id").alias("__id"), F.struct("data", "attributes", "categories", "variants").alias("__new"))
+    j = docs.join(u, docs["doc_id"] == u["__id"], "left")
+    have, new = F.struct("data", "attributes"), F.col("__new")
+    data, attributes = _patched(have, new, combined or {})
+    changed = F.col("__id").isNotNull()
+    return j.select(
+        "doc_id", F.when(changed, data).otherwise(F.col("data")).alias("data"), F.when(changed, attributes).otherwise(F.col("attributes")).alias("attributes"),
+        F.when(changed, F.coalesce(new["categories"], F.col("categories"))).otherwise(F.col("categories")).alias("categories"),
+        F.when(changed, patch_variants(F.col("variants"), new["variants"], variant_id, combined or {})).otherwise(F.col("variants")).alias("variants"),
+    )

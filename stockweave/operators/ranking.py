@@ -18,10 +18,12 @@ def field_value(value: Column, factor: float = 1.0, modifier: str = "none", miss
     return MODIFIERS[modifier](F.coalesce(value, F.lit(missing)) * factor) * weight
 
 
-def decay(value: Column, kind: str, origin: float, scale: float, offset: float = 0.0, rate: float = 0.5) -> Column:
+def decay(value: Column, kind: str, origin: float | str, scale: float, offset: float = 0.0, rate: float = 0.5) -> Column:
     """1 at the origin, ``rate`` at the distance ``scale`` beyond the offset."""
     import math
 
+    if isinstance(origin, str):  # a date: distances are in days
+        value, origin = F.unix_micros(value.cast("timestamp")) / 86_400_000_000.0, F.unix_micros(F.lit(origin).cast("timestamp")) / 86_400_000_000.0
     far = F.greatest(F.abs(value - origin) - offset, F.lit(0.0))
     if kind == "gauss":
         return F.exp(far * far * (math.log(rate) / scale**2))
@@ -67,10 +69,14 @@ def up_down(score: Column, matches: Column, up: float = 0.0, down: float | None
 
 def rescore(hits: DataFrame, window: int, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A second scorer on the top hits; the others stay behind them, in their order."""
-    ranked = hits.withColumn("__r", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id"))) if window else hits
-    top = hits.orderBy(F.col("score").desc(), "doc_id").limit(window)
-    tail = ranked.filter(F.col("__r") > window).drop("__r")
-    return scorer(top).withColumn("tier", F.lit(0)).unionByName(tail.withColumn("tier", F.lit(1)), allowMissingColumns=True)
+    top = hits.orderBy(F.col("score").desc_nulls_last(), "doc_id").limit(window)
+    last = top.orderBy(F.col("score").asc_nulls_first(), F.col("doc_id").desc()).select("score", "doc_id").first() if window else None
+    inside = F.lit(False)
+    if last is not None:  # the window ends with this row
+        better = F.lit(True) if last.score is None else F.col("score") > F.lit(last.score)
+        inside = F.coalesce(better & F.col("score").isNotNull(), F.lit(False)) | (F.col("score").eqNullSafe(F.lit(last.score)) & (F.col("doc_id") <= F.lit(last.doc_id)))
+    tail = hits.filter(~inside).withColumn("tier", F.lit(1))
+    return tail if last is None else scorer(hits.filter(inside)).withColumn("tier", F.lit(0)).unionByName(tail, allowMissingColumns=True)
 
 
 def sort_columns(instructions: list, with_score: bool = True) -> list[Column]:
@@ -79,6 +85,21 @@ def sort_columns(instructions: list, with_score: bool = True) -> list[Column]:
     return out + ([F.col("score").desc()] if with_score else []) + [F.col("doc_id").asc()]
 
 
+def positions(df: DataFrame, order: list[Column], first: int = 1) -> DataFrame:
+    """Adds ``pos``, the place in an order, for all rows: a range sort, then each
+    partition's rows are numbered behind those of the partitions before it."""
+    parts = df.sort(*order).withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
+    within = F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}  # one row a partition
+    before, start = 0, []
+    for p in sorted(sizes):
+        start.append((p, before))
+        before += sizes[p]
+    offsets = df.sparkSession.createDataFrame(start, "__p int, __before long")
+    placed = parts.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
+    return placed.withColumn("pos", (F.col("__before") + within + first).cast("int")).drop("__part", "__n", "__p", "__before")
+
+
 def facet_value_sort(docs: DataFrame, values: DataFrame, name: str, descending: bool = False) -> DataFrame:
     """Sort by a nested value: ``sort_value`` is the least or greatest of the entry's."""
     own = values.filter(F.col("name") == name).groupBy("doc_id").agg((F.max if descending else F.min)("num_value").alias("sort_value"))
@@ -110,6 +131,14 @@ def price_prefix(low: Column, high: Column) -> Column:
     return F.when(low < high, F.lit("from"))
 
 
+def hero_boost(hits: DataFrame, sets: list[DataFrame]) -> DataFrame:
+    """Scores of the better of query and hero: a set's boost is a thousand times the
+    next one's, and 10 for the last; places in it give 1000, 999 and so on."""
+    placed = arrange(hits, sets)
+    own = F.pow(F.lit(1000.0), F.lit(len(sets) - 1) - F.col("set_no")) * 10.0 * F.greatest(F.lit(1000) - F.col("pos"), F.lit(1))
+    return placed.withColumn("score", F.greatest(F.col("score"), F.when(F.col("pos").isNotNull(), own).otherwise(0.0)))
+
+
 def arrange(hits: DataFrame, sets: list[DataFrame]) -> DataFrame:
     """Ordered sets ``(doc_id, pos)`` before the hits; an id counts where it comes
     first, unknown ids are left out.  Adds ``set_no`` and ``pos``."""

@@ -58,7 +58,10 @@ class Store:
             stream.close()
 
     def deploy(self, session: tuple[str, int], minimum: int = 1) -> bool:
-        """Make a version live if it has enough documents; the one before goes."""
+        """Make a version live if it has enough documents.
+
+        The pointer is replaced in one step where the file system can; the version
+        before stays for readers that have begun, older ones go."""
         name, n = session
         before = self.live(name)
         if before == n or self.spark.read.parquet(self.folder(session)).count() < minimum:
@@ -68,26 +71,37 @@ class Store:
         stream.write(bytearray(str(n), "utf-8"))
         stream.close()
         pointer = self._path(f"{self.root}/{name}/_live")
-        self.fs.delete(pointer, False)
-        self.fs.rename(new, pointer)
-        if before is not None:
-            self.fs.delete(self._path(f"{self.root}/{name}/v={before}"), True)
+        self._replace(new, pointer)
+        for v in self.versions(name):
+            if before is not None and v < before:
+                self.fs.delete(self._path(f"{self.root}/{name}/v={v}"), True)
         return True
 
+    def _replace(self, new, pointer) -> None:
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(new, pointer, options)
+
     def cancel(self, session: tuple[str, int]) -> None:
         self.fs.delete(self._path(self.folder(session)), True)
 
     def read(self, *names: str) -> DataFrame:
-        """Live tables together, with ``_index``."""
+        """Live tables together, with ``_index``; a table without a live version is an error."""
+        missing = [n for n in names if self.live(n) is None]
+        if missing:
+            raise LookupError(f"no live version of {', '.join(missing)}")
         frames = [self.spark.read.parquet(f"{self.root}/{n}/v={self.live(n)}").withColumn("_index", F.lit(n)) for n in names]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
-    def tenants(self) -> list[str]:
+    def tenants(self, configured: tuple[str, ...] = (), loaded: tuple[str, ...] = ()) -> list[str]:
+        """Tables with a live version, and those that are configured or loaded."""
         found = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))] if self._exists(self.root) else []
-        return sorted(n for n in found if self.live(n) is not None)
+        return sorted({*configured, *loaded, *(n for n in found if self.live(n) is not None)})
 
     def cleanup(self, older_than_s: int = 6 * 3600) -> list[str]:
         """Versions that aren't live and are old enough go."""

@@ -14,6 +14,7 @@ def letters(c: Column) -> Column:
 
 def common_chars(c: Column, query: str) -> Column:
     """Letters in common, as multisets, by the longer one's number; 1 if equal, 0 if empty."""
+    c, query = F.trim(c), query.strip()
     mine = [x for x in query.lower() if x.isalpha()]
     own = letters(c)
     shared = reduce(Column.__add__, [F.least(F.size(F.filter(own, lambda x: x == a)), F.lit(mine.count(a))) for a in sorted(set(mine))], F.lit(0))

@@ -1,10 +1,13 @@
-"""Request parameters: filters, sorting, paging.  Pure Python on the driver."""
+"""Request parameters: filters, sorting, paging, conditions; read on the driver."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..schema import FieldIndex
 
 
@@ -137,3 +140,21 @@ class QueryCondition:
     def holds(self, q: str) -> bool:
         n = len(q.split())
         return (self.pattern is None or re.search(self.pattern, q) is not None) and self.min_terms <= n <= self.max_terms and len(q) <= self.max_length
+
+    def column(self, q: Column) -> Column:
+        """The same for a column of queries."""
+        n = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
+        return (F.lit(True) if self.pattern is None else q.rlike(self.pattern)) & n.between(self.min_terms, self.max_terms) & (F.length(q) <= self.max_length)
+
+
+def first_strategy(q: Column, strategies: list[tuple[str, QueryCondition]]) -> Column:
+    """The name of the first strategy whose condition a query meets."""
+    return F.coalesce(*[F.when(c.column(q), F.lit(n)) for n, c in strategies])
+
+
+TRACE_FLAGS = ("request", "esquery")
+
+
+def parse_trace(text: str | None) -> frozenset[str]:
+    """Known trace flags of a list, without case; others are ignored."""
+    return frozenset(TRACE_FLAGS) & {x.strip().lower() for x in (text or "").split(",")}

@@ -21,8 +21,7 @@ _W = f"WITH {C.SQL} "
 
 @query("entry_brand_facet", _W + "SELECT brand AS value, count(*) AS doc_count FROM items WHERE size BETWEEN 10 AND 20 GROUP BY brand")
 def entry_brand_facet(spark, d):
-    items = C.items(spark, d)
-    kept = P.apply_filters(items, C.facet_values(items), [Filter("size", "number", low=10, high=20)])
+    kept = P.filter_products(C.items(spark, d), [Filter("size", "number", low=10, high=20)], {"size": ["size"]})
     return A.term_facet(C.facet_values(kept).filter("name = 'brand'")).select("value", "doc_count")
 
 
@@ -41,9 +40,15 @@ def agg_variant_facet(spark, d):
     return A.term_facet(P.level_rows(_values(spark, d, "color", "status", variants=True), "VARIANT"))
 
 
-@query("agg_category_facet", _W + "SELECT name, value AS path, CAST(len(string_split(value, '/')) AS INTEGER) AS level, count(DISTINCT doc_id) AS doc_count FROM fv WHERE kind = 'path' GROUP BY ALL")
+_FIRST = "(SELECT min(path) FROM items)"
+
+
+@query("agg_category_facet", _W + f", n AS (SELECT value AS path, count(DISTINCT doc_id) AS doc_count FROM fv WHERE kind = 'path' GROUP BY value QUALIFY row_number() OVER (ORDER BY doc_count DESC, path) <= 250 OR value = {_FIRST} OR value = split_part({_FIRST}, '/', 1)), k AS (SELECT * FROM n WHERE path = {_FIRST} OR {_FIRST} LIKE path || '/%') SELECT path, md5(path) AS id, CAST(len(string_split(path, '/')) AS INTEGER) AS level, doc_count, path = {_FIRST} AS selected FROM k")
 def agg_category_facet(spark, d):
-    return A.path_facet(_values(spark, d, "category"))
+    first = C.items(spark, d).agg(F.min("path")).first()[0]
+    values = _values(spark, d, "category").withColumn("value_id", F.md5("value"))
+    tree = A.category_tree(values, (first.lower(),), keep=(first,))
+    return spark.createDataFrame([(e["path"], e["id"], e["path"].count("/") + 1, e["doc_count"], e["selected"]) for e in A.flat(tree)], "path string, id string, level int, doc_count long, selected boolean")
 
 
 @query("agg_interval_facet")
@@ -113,11 +118,11 @@ def agg_sampling(spark, d):
     return top.groupBy(F.col("brand").alias("value")).agg(F.count(F.lit(1)).alias("doc_count"))
 
 
-@query("agg_names_limit", _W + "SELECT name, n FROM (SELECT name, count(DISTINCT doc_id) AS n, dense_rank() OVER (ORDER BY count(DISTINCT doc_id) DESC, name) AS r FROM fv WHERE name <> 'price' GROUP BY name) WHERE r <= 3 OR name = 'status'")
+@query("agg_names_limit", _W + "SELECT name, n FROM (SELECT name, count(DISTINCT doc_id) AS n, dense_rank() OVER (ORDER BY count(DISTINCT doc_id) DESC, name) AS r FROM fv GROUP BY name) WHERE r <= 3 OR name = 'status'")
 def agg_names_limit(spark, d):
     from pyspark.sql import Window
 
-    n = _values(spark, d, variants=True).filter("name <> 'price'").groupBy("name").agg(F.countDistinct("doc_id").alias("n"))
+    n = _values(spark, d, variants=True).groupBy("name").agg(F.countDistinct("doc_id").alias("n"))
     rank = F.dense_rank().over(Window.orderBy(F.col("n").desc(), "name"))
     return n.withColumn("r", rank).filter("r <= 3 OR name = 'status'").drop("r")
 
@@ -183,9 +188,9 @@ def agg_entry_label(spark, d):
     return low.select("lower", F.format_string("%.0f - %.0f cm", "lower", F.col("lower") + 10).alias("label"))
 
 
-@query("agg_field_stats", _W + "SELECT kind, name, count(DISTINCT value) AS cardinality FROM fv WHERE name <> 'price' AND variant_pos IS NULL GROUP BY ALL")
+@query("agg_field_stats", _W + "SELECT kind, name, count(DISTINCT value) AS cardinality FROM fv WHERE variant_pos IS NULL GROUP BY ALL")
 def agg_field_stats(spark, d):
-    return A.field_stats(_values(spark, d).filter("name <> 'price'"), exact=True)
+    return A.field_stats(_values(spark, d), exact=True)
 
 
 @query("agg_total_hits", _W + "SELECT count(*) AS n FROM items WHERE brand = 'Brand#11' AND doc_id NOT IN (SELECT doc_id FROM items WHERE brand = 'Brand#11' ORDER BY doc_id LIMIT 3)")

@@ -31,9 +31,14 @@ def _has(cond: str) -> str:
     return f"EXISTS (SELECT 1 FROM fv WHERE fv.doc_id = i.doc_id AND {cond})"
 
 
-def _run(spark, d, *filters, numbered=False):
-    items, fv = both(spark, d, numbered)
-    return P.apply_filters(items, fv, list(filters)).select("doc_id", "title")
+#: Columns that hold a field's values.
+MASTER = {"brand": ["brand"], "type": ["type"], "size": ["size"], "price": ["price"], "category": ["type", "path"]}
+CHILD = {"color": ["color"], "status": ["status"], "variant_price": ["price"]}
+
+
+def _run(spark, d, *filters):
+    variants = C.variants(spark, d, False) if any(f.level == "VARIANT" for f in filters) else None
+    return P.filter_products(C.items(spark, d), list(filters), MASTER, variants, CHILD).select("doc_id", "title")
 
 
 @query("flt_term", _sql("brand IN ('Brand#11', 'Brand#12', 'Brand#13')"))
@@ -76,12 +81,13 @@ def flt_both_level(spark, d):
 
 @query("flt_nested", _sql("brand = 'Brand#21'"))
 def flt_nested(spark, d):
-    return _run(spark, d, Filter("brand", values=("brand#21",)))
+    items, fv = both(spark, d)  # name and value of one entry
+    return P.apply_filters(items, fv, [Filter("brand", values=("brand#21",))]).select("doc_id", "title")
 
 
 @query("flt_variant", _sql("EXISTS (SELECT 1 FROM variants v WHERE v.doc_id = i.doc_id AND color = 'R' AND status = 'O' AND v.price <= 920)"))
 def flt_variant(spark, d):
-    return _run(spark, d, Filter("color", values=("r",), level="VARIANT"), Filter("status", values=("o",), level="VARIANT"), Filter("variant_price", "number", high=920, level="VARIANT"), numbered=True)
+    return _run(spark, d, Filter("color", values=("r",), level="VARIANT"), Filter("status", values=("o",), level="VARIANT"), Filter("variant_price", "number", high=920, level="VARIANT"))
 
 
 @query("flt_merge_same", _sql("brand IN ('Brand#11', 'Brand#12') AND size BETWEEN 5 AND 20"))
@@ -109,10 +115,12 @@ def flt_basic_vs_post(spark, d):
     return aggregated.agg(F.lit("all").alias("part"), F.count(F.lit(1)).alias("n")).union(hits.agg(F.lit("hits"), F.count(F.lit(1))))
 
 
-@query("flt_query_condition", "SELECT item_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'code' WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) <= 20 THEN 'short' ELSE 'long' END AS strategy FROM benchmark")
+@query("flt_query_condition", "SELECT item_id, CASE WHEN regexp_matches(text, '[0-9]') AND length(text) <= 200 THEN 'code' WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) BETWEEN 1 AND 20 THEN 'short' ELSE 'long' END AS strategy FROM benchmark")
 def flt_query_condition(spark, d):
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return C.table(spark, d, "benchmark").select("item_id", F.when(F.col("text").rlike("[0-9]"), "code").when(n <= 20, "short").otherwise("long").alias("strategy"))
+    from .params import QueryCondition, first_strategy
+
+    strategies = [("code", QueryCondition("[0-9]", max_length=200)), ("short", QueryCondition(max_terms=20)), ("long", QueryCondition(min_terms=0))]
+    return C.table(spark, d, "benchmark").select("item_id", first_strategy(F.col("text"), strategies).alias("strategy"))
 
 
 @query("jn_parent_child_semi", _sql("EXISTS (SELECT 1 FROM variants v WHERE v.doc_id = i.doc_id AND stock >= 49)"))
@@ -158,8 +166,14 @@ def jn_id_list_ordered(spark, d):
     return orders.join(F.broadcast(listed), orders["o_orderkey"] == listed["k"]).select("o_orderkey", "pos", "o_totalprice")
 
 
-@query("jn_patch", "SELECT coalesce(a.p_partkey, b.k) AS k, coalesce(b.name, a.p_name) AS name, a.p_brand AS brand FROM part a FULL JOIN (SELECT p_partkey + 100 AS k, 'new ' || p_name AS name FROM part WHERE p_partkey % 7 = 0) b ON a.p_partkey = b.k")
+_PATCH = "SELECT p_partkey AS k, 0 AS pos, p_retailprice AS p FROM part UNION ALL SELECT p_partkey, 999, p_retailprice * 2 FROM part"
+
+
+@query("jn_patch", f"WITH {C.SQL}, u AS ({_PATCH}) SELECT coalesce(doc_id, k) AS doc_id, coalesce(variant_pos, pos) AS variant_pos, coalesce(p, price) AS price, color FROM variants FULL JOIN u ON k = doc_id AND pos = variant_pos")
 def jn_patch(spark, d):
-    a = C.table(spark, d, "part")
-    b = a.filter("p_partkey % 7 = 0").select((F.col("p_partkey") + 100).alias("k"), F.concat(F.lit("new "), "p_name").alias("name"))
-    return a.join(b, a["p_partkey"] == b["k"], "full").select(F.coalesce("p_partkey", "k").alias("k"), F.coalesce("name", "p_name").alias("name"), F.col("p_brand").alias("brand"))
+    items = C.items(spark, d)
+    first = items.select(F.col("doc_id").alias("k"), F.lit(0).alias("pos"), F.col("price").alias("p"))
+    updates = first.union(items.select("doc_id", F.lit(999), F.col("price") * 2))
+    have = C.variants(spark, d)
+    both_ = have.join(updates, (F.col("doc_id") == F.col("k")) & (F.col("variant_pos") == F.col("pos")), "full")
+    return both_.select(F.coalesce("doc_id", "k").alias("doc_id"), F.coalesce("variant_pos", "pos").alias("variant_pos"), F.coalesce("p", have["price"]).alias("price"), "color")

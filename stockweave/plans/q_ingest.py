@@ -255,9 +255,13 @@ def prj_sort(spark, d):
     return J.sort_ends(rows, "doc_id", "price")
 
 
-@query("prj_filter", _W + "SELECT doc_id, string_agg(status, '|' ORDER BY status) AS v FROM (SELECT DISTINCT doc_id, status FROM variants) GROUP BY doc_id")
+@query("prj_filter", _W + "SELECT doc_id, 'status' AS name, string_agg(status, '|' ORDER BY status) AS v FROM (SELECT DISTINCT doc_id, status FROM variants) GROUP BY doc_id")
 def prj_filter(spark, d):
-    return C.variants(spark, d, False).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("status")), "|").alias("v"))
+    from ..schema import Field
+
+    # color is a facet, too: its facet entries are what it is filtered by.
+    fields = [Field("status", level="VARIANT", usage=("FILTER",)), Field("color", level="VARIANT", usage=("FACET", "FILTER"))]
+    return J.filter_entries(C.variants(spark, d, False), "doc_id", fields).select("doc_id", "name", F.array_join("values", "|").alias("v"))
 
 
 @query("prj_term_facet", _W + "SELECT doc_id, coalesce(variant_pos, -1) AS pos, name, value, value_norm FROM fv WHERE kind = 'term'")
@@ -292,16 +296,60 @@ def prj_post(spark, d):
     return r.get("postprocessor", "shout")(C.items(spark, d).select("doc_id", "title"))
 
 
-@query("mrg_patch", "SELECT coalesce(p_partkey, k) AS doc_id, coalesce(t, p_name) AS title, p_brand AS brand FROM part FULL JOIN (SELECT s_suppkey * 3 AS k, s_name AS t FROM supplier) ON k = p_partkey")
+def _whole(spark, d):
+    """Parts as whole documents, and patches of some of them and of unknown ids."""
+    text = lambda c: (F.lit(c) if isinstance(c, str) else c).cast("string")
+    data = lambda **f: F.create_map(*[x for k, v in f.items() for x in (F.lit(k), text(v))])
+    attribute = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit(None).cast("string").alias("code"), text(v).alias("value"))
+    variant = lambda *a, **f: F.struct(data(**f).alias("data"), F.array(*a).cast(J.F_ATTRIBUTES).alias("attributes"))
+    p, s = C.items(spark, d), C.table(spark, d, "supplier")
+    have = p.select(
+        "doc_id", data(title=F.col("title"), brand=F.col("brand"), both=F.concat("title", "brand"), width="9").alias("data"),
+        F.array(attribute("color", "red"), attribute("width", F.col("size"))).alias("attributes"), F.array(F.array(F.col("type"))).alias("categories"),
+        F.array(variant(attribute("size", "1"), id="a", price=F.col("size")), variant(id="b", price="2"), variant(price="no id")).alias("variants"),
+    )
+    key = F.col("s_suppkey") * 3
+    none = F.lit(None)
+    new = s.select(
+        key.alias("doc_id"), data(title=F.col("s_name")).alias("data"),
+        F.when(key % 2 == 0, F.array(attribute("width", F.col("s_suppkey")), attribute("extra", "x"))).otherwise(none).alias("attributes"),
+        F.when(key % 5 == 0, F.array(F.array(F.lit("new")))).otherwise(none).alias("categories"),
+        F.when(key % 4 != 1, F.array(variant(attribute("size", "9"), id="a", stock="5"), variant(id="c", price="7"))).otherwise(none).alias("variants"),
+    )
+    return have, new
+
+
+_PATCHED = """
+SELECT p_partkey AS doc_id, coalesce(s_name, p_name) AS title,
+  CASE WHEN k IS NULL THEN p_name || p_brand END AS both_, CASE WHEN k % 2 = 0 THEN NULL ELSE '9' END AS width,
+  CASE WHEN k % 2 = 0 THEN 'color=red,width=' || CAST(s_suppkey AS VARCHAR) || ',extra=x' ELSE 'color=red,width=' || CAST(p_size AS VARCHAR) END AS attributes,
+  CASE WHEN k % 5 = 0 THEN 'new' ELSE p_type END AS category,
+  CASE WHEN k IS NULL OR k % 4 = 1 THEN 'a:' || CAST(p_size AS VARCHAR) || ':-:1,b:2:-:,-:no id:-:' ELSE 'a:' || CAST(p_size AS VARCHAR) || ':5:9,b:2:-:,c:7:-:' END AS variants
+FROM part LEFT JOIN (SELECT *, s_suppkey * 3 AS k FROM supplier) ON k = p_partkey"""
+
+
+def _shown(df):
+    field = lambda v, k: F.coalesce(v["data"][k], F.lit("-"))
+    shown = F.transform("variants", lambda v: F.concat_ws(":", field(v, "id"), field(v, "price"), field(v, "stock"), F.array_join(F.transform(v["attributes"], lambda a: a["value"]), "")))
+    attributes = F.array_join(F.transform("attributes", lambda a: F.concat_ws("=", a["name"], a["value"])), ",")
+    return df.select(
+        "doc_id", F.col("data.title").alias("title"), F.col("data.both").alias("both_"), F.col("data.width").alias("width"), attributes.alias("attributes"),
+        F.col("categories")[0][0].alias("category"), F.array_join(shown, ",").alias("variants"),
+    )
+
+
+@query("mrg_patch", _PATCHED)
 def mrg_patch(spark, d):
-    have = C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("brand"), F.col("p_brand")).alias("data"))
-    up = C.table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("doc_id"), F.create_map(F.lit("title"), F.col("s_name")).alias("data"))
-    return J.patch(have, up).select("doc_id", F.element_at("data", "title").alias("title"), F.element_at("data", "brand").alias("brand"))
+    have, new = _whole(spark, d)
+    return _shown(J.patch_documents(have, new, {"both": ["title", "brand"]}, "id"))
 
 
-@query("mrg_required_fields", "SELECT p_partkey, p_size FROM part")
+@query("mrg_required_fields", "SELECT DISTINCT CASE f.type WHEN 'NUMBER' THEN 'number_facets' WHEN 'CATEGORY' THEN 'path_facets' ELSE 'term_facets' END AS part, f.name FROM (VALUES ('brand', 'TERM'), ('size', 'NUMBER'), ('category', 'CATEGORY'), ('color', 'TERM')) f(name, type) UNION ALL SELECT 'variants', 'with variants'")
 def mrg_required_fields(spark, d):
-    return C.table(spark, d, "part").select("p_partkey", "p_size")  # the scan reads these two columns only
+    from .q_filters import FIELDS
+
+    rows = [(part, n) for n in ("brand", "size", "category", "color", "title", "image", "unknown") for part in J.required_fields([n], FIELDS)]
+    return spark.createDataFrame(rows + [(part, "with variants") for part in J.required_fields(["title"], FIELDS, True)], "part string, name string")
 
 
 def _two_tables(spark, d, name):
@@ -313,9 +361,10 @@ def _two_tables(spark, d, name):
     return store
 
 
-@query("src_list_tenants", "SELECT * FROM (VALUES ('parts-en'), ('suppliers-de')) t(tenant)")
+@query("src_list_tenants", "SELECT * FROM (VALUES ('books-en'), ('parts-en'), ('suppliers-de'), ('toys-fr')) t(tenant)")
 def src_list_tenants(spark, d):
-    return spark.createDataFrame([(t,) for t in _two_tables(spark, d, "tenants").tenants()], "tenant string")
+    found = _two_tables(spark, d, "tenants").tenants(configured=("parts-en", "books-en"), loaded=("toys-fr",))
+    return spark.createDataFrame([(t,) for t in found], "tenant string")
 
 
 @query("snk_start_session", "SELECT * FROM (VALUES ('parts-en', 2), ('parts-en', 3)) t(name, version)")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -9,7 +12,7 @@ from ..operators import matching as M
 from ..operators import ranking as K
 from ..operators import suggest as G
 from ..sources import catalog as C
-from . import params, rules, search
+from . import params, prodsets, querystring, rules, search
 from .params import Filter, SearchRequest, Sort
 from .q_filters import FIELDS
 from .registry import query
@@ -43,16 +46,18 @@ def mat_min_should_match(spark, d):
     return spark.createDataFrame([(n, s, M.min_should_match(s, n)) for n, s in cases], "n int, spec string, k int")
 
 
-@query("mat_phrase_boost", _W + f"SELECT doc_id, CASE WHEN title = 'red bolt' THEN 1.5 ELSE 0.0 END + CASE WHEN list_contains({_T}, 'red') THEN 1.0 ELSE 0.0 END AS score FROM items")
+@query("mat_phrase_boost", _W + f"SELECT doc_id, round(CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER) + 1.1 * (CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER)) + CASE WHEN title = 'red bolt' THEN 1.5 ELSE 0.0 END, 6) AS score FROM items")
 def mat_phrase_boost(spark, d):
-    score = F.when(M.phrase(tok(), ["red", "bolt"]), 1.5).otherwise(0.0) + F.when(M.has(tok(), "red"), 1.0).otherwise(0.0)
-    return titled(spark, d).select("doc_id", score.alias("score"))
+    return titled(spark, d).select("doc_id", F.round(M.phrase_boosted(tok(), F.split("title", " "), ["red", "bolt"]), 6).alias("score"))
+
+
+_GLUED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_append({t}, replace(title, ' ', '')) ELSE {t} END AS t FROM items"
 
 
-@query("mat_shingle_variants", _W + f"SELECT doc_id, greatest(CASE WHEN replace(title, ' ', '') = 'redbolt' THEN 1.8 ELSE 0.0 END, CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER)) AS score FROM items")
+@query("mat_shingle_variants", _W + f", g AS ({_GLUED.format(t=_T)}), h AS (SELECT doc_id, CAST(list_contains(t, 'small') AS INTEGER) AS a, CAST(list_contains(t, 'red') AS INTEGER) AS b, CAST(list_contains(t, 'bolt') AS INTEGER) AS c, CAST(list_contains(t, 'smallred') AS INTEGER) AS ab, CAST(list_contains(t, 'redbolt') AS INTEGER) AS bc FROM g) SELECT doc_id, round(greatest(a + b + c, 0.9 * (2 * ab + c), 0.9 * (2 * bc + a)), 6) AS score FROM h")
 def mat_shingle_variants(spark, d):
-    glued = F.when(F.exists(X.shingle(tok()), lambda t: t == "redbolt"), 2 * 0.9).otherwise(0.0)
-    return titled(spark, d).select("doc_id", F.greatest(glued, M.match_count(tok(), ["red", "bolt"]).cast("double")).alias("score"))
+    glued = F.when(F.col("doc_id") % 3 == 0, F.array_append(tok(), F.replace("title", F.lit(" "), F.lit("")))).otherwise(tok())
+    return titled(spark, d).select("doc_id", F.round(M.shingle_variants(glued, ["small", "red", "bolt"]), 6).alias("score"))
 
 
 _CROSS = "greatest(CASE WHEN list_contains({t}, '{w}') THEN 2.0 ELSE 0.0 END, CASE WHEN lower(brand) = '{w}' THEN 1.0 ELSE 0.0 END)"
@@ -64,12 +69,14 @@ def mat_match_type(spark, d):
     return titled(spark, d).select("doc_id", M.cross_fields(fields, ["red", "brand#11"], {"title": 2.0, "brand": 1.0}).alias("crossed"))
 
 
-@query("mat_default", _W + f"SELECT doc_id, CASE WHEN list_contains({_T}, 'red') THEN 2.0 ELSE 0.0 END AS a, CASE WHEN lower(brand) = 'brand#11' THEN 1.0 ELSE 0.0 END AS b, round(greatest(a, b) + 0.8 * (a + b - greatest(a, b)), 6) AS score FROM items")
+_NEAR = "CAST(len(list_filter({0}, lambda w: levenshtein(w, '{1}') <= {2})) > 0 AS INTEGER)"
+_DEFAULT = [(t, k, _NEAR.format(_T, t, k), _NEAR.format("[lower(brand)]", t, k)) for t, k in (("red", 1), ("bolr", 1), ("brand#11", 2))]
+
+
+@query("mat_default", _W + ", m AS (SELECT doc_id, " + ", ".join(f"2.0 * {a} AS a{i}, 1.0 * {b} AS b{i}" for i, (_, _, a, b) in enumerate(_DEFAULT)) + " FROM items) SELECT doc_id, round(" + " + ".join(f"greatest(a{i}, b{i}) + 0.8 * least(a{i}, b{i})" for i in range(3)) + ", 6) AS score FROM m WHERE " + " + ".join(f"CAST(a{i} + b{i} > 0 AS INTEGER)" for i in range(3)) + " >= 2")
 def mat_default(spark, d):
-    fields = {"title": tok(), "brand": F.array(F.lower("brand"))}
-    x = titled(spark, d)
-    a, b = F.when(M.has(tok(), "red"), 2.0).otherwise(0.0), F.when(F.lower("brand") == "brand#11", 1.0).otherwise(0.0)
-    return x.select("doc_id", a.alias("a"), b.alias("b"), F.round(M.best_fields(fields, ["red", "brand#11"], {"title": 2.0, "brand": 1.0}, 0.8), 6).alias("score"))
+    hit, score = M.fuzzy_default({"title": tok(), "brand": F.array(F.lower("brand"))}, ["red", "bolr", "brand#11"], {"title": 2.0, "brand": 1.0})
+    return titled(spark, d).filter(hit).select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query("mat_dismax", _W + f"SELECT doc_id, round(greatest(a, b) + 0.2 * (a + b - greatest(a, b)), 6) AS score FROM (SELECT doc_id, CAST(list_contains({_T}, 'red') AS DOUBLE) AS a, CASE WHEN split_part(title, ' ', 2) LIKE 'bo%' OR split_part(title, ' ', 1) LIKE 'bo%' THEN 1.5 ELSE 0.0 END AS b FROM items)")
@@ -93,7 +100,7 @@ _MASK = f"SELECT CAST(list_contains({_T}, 'red') AS INTEGER) + 2 * CAST(list_con
 
 @query("mat_cooccurrence", _W + f"SELECT mask, count(*) AS n FROM ({_MASK}) WHERE mask > 0 GROUP BY mask")
 def mat_cooccurrence(spark, d):
-    return M.cooccurrence(titled(spark, d), tok(), ["red", "bolt", "old"])
+    return M.cooccurrence(titled(spark, d), tok(), ["red", "bolr", "old"], {"bolr": "bolt"})
 
 
 @query("mat_relaxed", _W + f"SELECT doc_id, matched FROM (SELECT doc_id, CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER) + CAST(list_contains({_T}, 'old') AS INTEGER) AS matched FROM items) WHERE matched = 2")
@@ -101,11 +108,9 @@ def mat_relaxed(spark, d):
     return M.relaxed(titled(spark, d), tok(), ["red", "bolt", "old"]).select("doc_id", "matched")
 
 
-@query("mat_prediction", _W + f", m AS (SELECT mask, count(*) AS n FROM ({_MASK}) WHERE mask > 0 GROUP BY mask) SELECT a.mask, CAST(sum(b.n) AS BIGINT) AS matches FROM m a JOIN m b ON (b.mask & a.mask) = a.mask GROUP BY a.mask")
+@query("mat_prediction", _W + f", i AS (SELECT doc_id, mask FROM items JOIN (SELECT doc_id AS k, {_MASK[7:-11]} FROM items) ON k = doc_id), m AS (SELECT mask, count(*) AS n FROM i WHERE mask > 0 GROUP BY mask), p AS (SELECT a.mask, sum(b.n) AS matches FROM m a JOIN m b ON (b.mask & a.mask) = a.mask GROUP BY a.mask), o AS (SELECT mask, coalesce(sum(matches) OVER (ORDER BY mask = 7 DESC, bit_count(mask) DESC, matches, mask ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT doc_id, CAST(bit_count(mask) AS DOUBLE) AS score FROM i WHERE EXISTS (SELECT 1 FROM o WHERE before < 12 AND (i.mask & o.mask) = o.mask)")
 def mat_prediction(spark, d):
-    terms = ["red", "bolt", "old"]
-    counts = [(r.mask, r.n) for r in M.cooccurrence(titled(spark, d), tok(), terms).collect()]  # at most 2 ** 3 rows
-    return spark.createDataFrame([(p["mask"], p["matches"]) for p in M.predicted_queries(counts, terms)], "mask int, matches long")
+    return M.predicted(titled(spark, d), tok(), ["red", "bolt", "old"]).select("doc_id", "score")
 
 
 @query("mat_prediction_order", "SELECT * FROM (VALUES (0, 'a b c'), (1, 'a b'), (2, 'b c'), (3, 'a')) t(pos, terms)")
@@ -114,9 +119,10 @@ def mat_prediction_order(spark, d):
     return spark.createDataFrame([(i, " ".join(p["terms"])) for i, p in enumerate(got)], "pos int, terms string")
 
 
-@query("mat_variant_any", _W + "SELECT DISTINCT doc_id FROM variants WHERE color = 'R' OR status = 'O'")
+@query("mat_variant_any", _W + "SELECT doc_id, round(max(greatest(a, b) + 0.2 * least(a, b)), 6) AS score FROM (SELECT doc_id, CASE WHEN color = 'R' THEN 2.0 ELSE 0.0 END AS a, CASE WHEN status = 'O' THEN 1.0 ELSE 0.0 END AS b FROM variants) WHERE a + b > 0 GROUP BY doc_id")
 def mat_variant_any(spark, d):
-    return C.variants(spark, d, False).filter((F.col("color") == "R") | (F.col("status") == "O")).select("doc_id").distinct()
+    hit, score = M.match_any({"color": F.array(F.lower("color")), "status": F.array(F.lower("status"))}, ["r", "o"], {"color": 2.0, "status": 1.0})
+    return C.variants(spark, d, False).filter(hit).groupBy("doc_id").agg(F.round(F.max(score), 6).alias("score"))
 
 
 @query("mat_none", _W + "SELECT doc_id, title FROM items WHERE false")
@@ -124,11 +130,14 @@ def mat_none(spark, d):
     return search.run_stage(titled(spark, d), tok(), ["x"], search.Stage("none", "none")).select("doc_id", "title")
 
 
-@query("mat_querystring", _W + f"SELECT doc_id, title FROM items WHERE list_contains({_T}, 'red') AND NOT list_contains({_T}, 'bolt')")
+def _fields():
+    return {"title": tok(), "brand": F.array(F.lower("brand")), "type": F.split(F.lower("type"), " ")}
+
+
+@query("mat_querystring", _W + f"SELECT doc_id, CASE WHEN list_contains({_T}, 'red') THEN 2.0 ELSE 0.0 END + CASE WHEN lower(brand) = 'brand#11' THEN 4.0 ELSE 0.0 END + CASE WHEN len(list_filter({_T}, lambda w: w LIKE 'wid%')) > 0 THEN 2.0 ELSE 0.0 END + CASE WHEN title = 'old gear' THEN 2.0 ELSE 0.0 END AS score FROM items WHERE NOT list_contains({_T}, 'bolt') AND score > 0")
 def mat_querystring(spark, d):
-    must, must_not = ["red"], ["bolt"]
-    x = titled(spark, d)
-    return x.filter((M.match_count(tok(), must) == len(must)) & (M.match_count(tok(), must_not) == 0)).select("doc_id", "title")
+    found = querystring.search(titled(spark, d), 'red -title:bolt brand:"Brand#11"^4 title:wid* "old gear"', _fields(), {"title": 2.0})
+    return found.select("doc_id", "score")
 
 
 @query("mat_exclude_ids", _W + "SELECT doc_id FROM items WHERE doc_id NOT IN (SELECT s_suppkey FROM supplier)")
@@ -161,8 +170,13 @@ _BM = "ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 *
 
 @query("mat_relevance", f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), f AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS tf0, len(list_filter(w, lambda x: x = 'von')) AS tf1 FROM t), s AS (SELECT count(*) AS n, avg(len) AS avg, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f) SELECT doc_id, round({_BM.format(i=0)} + {_BM.format(i=1)}, 4) AS score FROM f, s")
 def mat_relevance(spark, d):
+    from .q_ingest import _scratch
+
     x = C.table(spark, d, "documents").select("doc_id", X.words(F.lower("text")).alias("tokens"))
-    return M.bm25(x, tok(), ["the", "von"]).select("doc_id", F.round("score", 4).alias("score"))
+    counted = M.term_counts(x, tok(), ["the", "von"]).drop("tokens")
+    folder = _scratch(spark, "counts")  # texts are tokenised once; a document's counts are a few bytes
+    counted.write.parquet(folder)
+    return M.bm25_counted(spark.read.schema(counted.schema).parquet(folder), 2).select("doc_id", F.round("score", 4).alias("score"))
 
 
 # --- rules -------------------------------------------------------------------
@@ -233,13 +247,22 @@ def sco_field_value(spark, d):
 
 
 def _decay(kind):
-    return lambda spark, d: C.items(spark, d).select("doc_id", F.round(K.decay(F.col("size").cast("double"), kind, 25.0, 10.0, 2.0), 5).alias("score"))
+    def run(spark, d):
+        size = C.items(spark, d).select(F.lit("size").alias("kind"), "doc_id", F.round(K.decay(F.col("size").cast("double"), kind, 25.0, 10.0, 2.0), 5).alias("score"))
+        date = C.table(spark, d, "orders").select(F.lit("date"), "o_orderkey", F.round(K.decay(F.col("o_orderdate"), kind, "1995-06-17 00:00:00", 30.0), 5))
+        return size.union(date)
+
+    return run
 
 
-_FAR = "greatest(abs(size - 25.0) - 2.0, 0.0)"
-query("sco_decay_gauss", _W + f"SELECT doc_id, round(exp(power({_FAR}, 2) * ln(0.5) / 100.0), 5) AS score FROM items")(_decay("gauss"))
-query("sco_decay_exp", _W + f"SELECT doc_id, round(exp({_FAR} * ln(0.5) / 10.0), 5) AS score FROM items")(_decay("exp"))
-query("sco_decay_linear", _W + f"SELECT doc_id, round(greatest(0.0, (20.0 - {_FAR}) / 20.0), 5) AS score FROM items")(_decay("linear"))
+def _decay_sql(formula: str) -> str:
+    far = "greatest(abs(size - 25.0) - 2.0, 0.0)", "abs((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-06-17')) / 86400000000.0)"
+    return _W + f"SELECT 'size' AS kind, doc_id, round({formula.format(far=far[0], scale=10.0)}, 5) AS score FROM items UNION ALL SELECT 'date', o_orderkey, round({formula.format(far=far[1], scale=30.0)}, 5) FROM orders"
+
+
+query("sco_decay_gauss", _decay_sql("exp(power({far}, 2) * ln(0.5) / power({scale}, 2))"))(_decay("gauss"))
+query("sco_decay_exp", _decay_sql("exp({far} * ln(0.5) / {scale})"))(_decay("exp"))
+query("sco_decay_linear", _decay_sql("greatest(0.0, (2 * {scale} - {far}) / (2 * {scale}))"))(_decay("linear"))
 
 
 @query("sco_random")
@@ -290,9 +313,9 @@ def _sets(spark, d):
 _SETS = "l AS (SELECT s_suppkey * 5 AS k, 0 AS set_no, s_suppkey AS pos FROM supplier UNION ALL SELECT s_suppkey * 7, 1, s_suppkey FROM supplier), f AS (SELECT k, min((set_no, pos)) AS p FROM l GROUP BY k)"
 
 
-@query("sco_hero_boost", _W + f", {_SETS} SELECT doc_id, CAST(coalesce(p[1], 2) AS INTEGER) AS set_no, coalesce(p[2], -1) AS pos FROM items LEFT JOIN f ON k = doc_id")
+@query("sco_hero_boost", _W + f", {_SETS} SELECT doc_id, greatest(price, coalesce(10.0 * CASE p[1] WHEN 0 THEN 1000.0 ELSE 1.0 END * greatest(1000 - p[2], 1), 0.0)) AS score FROM items LEFT JOIN f ON k = doc_id")
 def sco_hero_boost(spark, d):
-    return K.arrange(C.items(spark, d).select("doc_id"), _sets(spark, d)).select("doc_id", "set_no", F.coalesce("pos", F.lit(-1)).alias("pos"))
+    return K.hero_boost(C.items(spark, d).select("doc_id", F.col("price").alias("score")), _sets(spark, d)).select("doc_id", "score")
 
 
 # --- sorting, paging, variants -----------------------------------------------
@@ -307,13 +330,11 @@ def srt_parse(spark, d):
 _ENDS = "e AS (SELECT doc_id, min(price) AS price_lo, max(price) AS price_hi FROM variants GROUP BY doc_id)"
 
 
-@query("srt_field", _W + f", {_ENDS} SELECT i.doc_id, CAST(row_number() OVER (ORDER BY coalesce(price_hi, 0) DESC, size DESC, i.doc_id) AS INTEGER) AS pos FROM items i LEFT JOIN e ON e.doc_id = i.doc_id QUALIFY pos <= 50")
+@query("srt_field", _W + f", {_ENDS} SELECT i.doc_id, CAST(row_number() OVER (ORDER BY coalesce(price_hi, 0) DESC, size DESC, i.doc_id) AS INTEGER) AS pos FROM items i LEFT JOIN e ON e.doc_id = i.doc_id")
 def srt_field(spark, d):
     ends = C.variants(spark, d, False).groupBy("doc_id").agg(F.min("price").alias("price_lo"), F.max("price").alias("price_hi"))
     hits = C.items(spark, d).select("doc_id", F.col("size").alias("score")).join(ends, "doc_id", "left")
-    top = hits.orderBy(*K.sort_columns([Sort("price", True)])).limit(50)
-    rows = top.select("doc_id").collect()  # one page
-    return spark.createDataFrame([(r.doc_id, i + 1) for i, r in enumerate(rows)], "doc_id long, pos int")
+    return K.positions(hits, K.sort_columns([Sort("price", True)])).select("doc_id", "pos")
 
 
 @query("srt_facet_value", _W + "SELECT i.doc_id, max(v.price) AS sort_value FROM items i LEFT JOIN variants v ON v.doc_id = i.doc_id AND color = 'R' GROUP BY i.doc_id")
@@ -392,15 +413,20 @@ def rlx_staged(spark, d):
     return r.hits.select("doc_id", F.lit(r.meta["strategy"]).alias("strategy"))
 
 
-@query("rlx_sufficient", _W + f"SELECT doc_id, 'relaxed' AS strategy FROM items WHERE list_contains({_T}, 'bolt') OR list_contains({_T}, 'gear')")
+@query("rlx_sufficient", _W + f", b AS (SELECT doc_id, title FROM items WHERE brand = 'Brand#11'), p AS (SELECT doc_id FROM b WHERE title = 'red bolt') SELECT doc_id, CASE WHEN (SELECT count(*) FROM p) > 12 THEN 'phrase' ELSE 'any' END AS strategy FROM b WHERE CASE WHEN (SELECT count(*) FROM p) > 12 THEN title = 'red bolt' ELSE list_contains({_T}, 'red') OR list_contains({_T}, 'bolt') END")
 def rlx_sufficient(spark, d):
-    r = _searched(spark, d, "bolt gear")
+    # All hits of the phrase are heroes, and there is a filter: only a full page of them would do.
+    request = SearchRequest("red bolt", [Filter("brand", values=("brand#11",))])
+    x = titled(spark, d).filter("brand = 'Brand#11'")
+    heroes = x.filter("title = 'red bolt'").select("doc_id")
+    r = search.staged_search(x, tok(), request, [STAGES[0], search.Stage("any", "any")], heroes=100_000, hero_ids=heroes)
     return r.hits.select("doc_id", F.lit(r.meta["strategy"]).alias("strategy"))
 
 
 @query("rlx_fallback", _W + f"SELECT doc_id FROM items WHERE len(list_filter({_T}, lambda w: levenshtein(w, 'gizmoz') <= 2)) > 0")
 def rlx_fallback(spark, d):
-    return _searched(spark, d, "gizmoz").hits.select("doc_id")
+    stages = [STAGES[0], search.Stage("predicted", "predicted", fallback=search.Stage("fuzzy", "fuzzy"))]
+    return search.staged_search(titled(spark, d), tok(), SearchRequest("gizmoz"), stages).hits.select("doc_id")
 
 
 @query("rlx_correct_retry", _W + "SELECT doc_id, 'phrase' AS strategy FROM items WHERE title = 'small widget'")
@@ -423,13 +449,13 @@ def rlx_invalid(spark, d):
 @query("set_union_should", _W + f"SELECT doc_id, CAST(list_contains({_T}, 'red') AS DOUBLE) * 2 + CAST(list_contains({_T}, 'bolt') AS DOUBLE) AS score FROM items WHERE score > 0")
 def set_union_should(spark, d):
     x = titled(spark, d)
-    both = x.filter(M.has(tok(), "red")).select("doc_id", F.lit(2.0).alias("score")).union(x.filter(M.has(tok(), "bolt")).select("doc_id", F.lit(1.0).alias("score")))
-    return both.groupBy("doc_id").agg(F.sum("score").alias("score"))
+    return M.union_should([x.filter(M.has(tok(), t)).withColumn("score", F.lit(w)) for t, w in (("red", 2.0), ("bolt", 1.0))])
 
 
-@query("set_and_merge", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'red') AND list_contains({_T}, 'bolt')")
+@query("set_and_merge", _W + f"SELECT doc_id, 3.0 AS score FROM items WHERE list_contains({_T}, 'red') AND list_contains({_T}, 'bolt')")
 def set_and_merge(spark, d):
-    return titled(spark, d).filter(M.has(tok(), "red") & M.has(tok(), "bolt")).select("doc_id")
+    hit, score = M.and_merge([(M.has(tok(), t), F.lit(w)) for t, w in (("red", 2.0), ("bolt", 1.0))])
+    return titled(spark, d).filter(hit).select("doc_id", score.alias("score"))
 
 
 @query("set_dedupe_ids", f"WITH {_SETS} SELECT k AS doc_id, CAST(p[1] AS INTEGER) AS set_no FROM f")
@@ -439,24 +465,39 @@ def set_dedupe_ids(spark, d):
     return one.select("doc_id", F.lit(0).alias("set_no")).union(later.select("doc_id", F.lit(1)))
 
 
-@query("arr_static", _W + f", {_SETS} SELECT doc_id, CAST(p[1] AS INTEGER) AS set_no, p[2] AS pos FROM items JOIN f ON k = doc_id")
+def _resolved(spark, d, *sets, registry=None):
+    found = prodsets.resolve(list(sets), titled(spark, d), tok(), _fields(), registry)
+    return reduce(DataFrame.unionByName, [f.withColumn("set_no", F.lit(i)) for i, f in enumerate(found)])
+
+
+@query("arr_static", _W + ", a AS (SELECT doc_id, row_number() OVER (ORDER BY CASE doc_id WHEN 9 THEN 0 WHEN 3 THEN 1 ELSE 2 END) - 1 AS pos FROM items WHERE doc_id IN (9, 3, 7)), b AS (SELECT doc_id, row_number() OVER (ORDER BY CASE title WHEN 'red bolt' THEN 0 ELSE 1 END, doc_id) - 1 AS pos FROM items WHERE title IN ('red bolt', 'old gear') AND doc_id NOT IN (9, 3, 7)) SELECT doc_id, 0 AS set_no, pos FROM a UNION ALL SELECT doc_id, 1, pos FROM b")
 def arr_static(spark, d):
-    return K.arrange(C.items(spark, d).select("doc_id"), _sets(spark, d)).filter("pos IS NOT NULL").select("doc_id", "set_no", "pos")
+    by_title = prodsets.ProductSet("static", ids=("red bolt", "old gear", "no such title"), field="title")
+    return _resolved(spark, d, prodsets.ProductSet("static", ids=(9, 3, -5, 9, 7)), by_title).select("doc_id", "set_no", "pos")
+
+
+_DYNAMIC = f"a AS (SELECT doc_id, row_number() OVER (ORDER BY price DESC, doc_id) - 1 AS pos FROM items WHERE list_contains({_T}, 'bolt') QUALIFY pos < 3), b AS (SELECT doc_id, row_number() OVER (ORDER BY size, doc_id) - 1 AS pos FROM items WHERE list_contains({_T}, 'bolt') AND doc_id NOT IN (SELECT doc_id FROM a) QUALIFY pos < 5)"
 
 
-@query("arr_dynamic", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'bolt') ORDER BY price DESC, doc_id LIMIT 3")
+@query("arr_dynamic", _W + f", {_DYNAMIC} SELECT doc_id, 0 AS set_no, pos FROM a UNION ALL SELECT doc_id, 1, pos FROM b")
 def arr_dynamic(spark, d):
-    return M.match(titled(spark, d), tok(), ["bolt"]).orderBy(F.col("price").desc(), "doc_id").limit(3).select("doc_id")
+    one = prodsets.ProductSet("dynamic", query="bolt", sort=(("price", True),))
+    return _resolved(spark, d, one, prodsets.ProductSet("dynamic", query="bolt", sort=(("size", False),), limit=5)).select("doc_id", "set_no", "pos")
 
 
-@query("arr_querystring", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'gear') AND NOT list_contains({_T}, 'old') ORDER BY doc_id LIMIT 3")
+@query("arr_querystring", _W + f"SELECT doc_id, row_number() OVER (ORDER BY 3.0 * CAST(list_contains({_T}, 'gear') AS INTEGER) + CAST(lower(brand) = 'brand#11' AS INTEGER) DESC, doc_id) - 1 AS pos FROM items WHERE (list_contains({_T}, 'gear') OR lower(brand) = 'brand#11') AND NOT list_contains({_T}, 'old') QUALIFY pos < 3")
 def arr_querystring(spark, d):
-    return titled(spark, d).filter(M.has(tok(), "gear") & ~M.has(tok(), "old")).orderBy("doc_id").limit(3).select("doc_id")
+    return _resolved(spark, d, prodsets.ProductSet("querystring", query="gear brand#11 -old", weights={"title": 3.0, "brand": 1.0})).select("doc_id", "pos")
 
 
-@query("arr_generic", _W + "SELECT doc_id FROM items WHERE false")
+@query("arr_generic", _W + "SELECT doc_id, row_number() OVER (ORDER BY size DESC, doc_id) - 1 AS pos FROM items QUALIFY pos < 2")
 def arr_generic(spark, d):
-    return C.items(spark, d).select("doc_id").filter(F.lit(False))
+    from .extensions import Registry
+
+    r = Registry()
+    r.add("product_set", "largest", lambda s, docs, used: K.positions(docs.orderBy(F.col("size").desc(), "doc_id").limit(s.limit), [F.col("size").desc(), F.col("doc_id")], 0))
+    # A kind without a plug-in has no ids.
+    return _resolved(spark, d, prodsets.ProductSet("unknown"), prodsets.ProductSet("largest", limit=2), registry=r).select("doc_id", "pos")
 
 
 @query("arr_slices", _W + f", {_SETS} SELECT CASE coalesce(p[1], 2) WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'main' END AS slice, count(*) AS n FROM items LEFT JOIN f ON k = doc_id GROUP BY ALL")
@@ -476,10 +517,10 @@ def meta_label(spark, d):
     return spark.createDataFrame([(_rewrite("red gear").label(),)], "label string")
 
 
-@query("meta_trace", "SELECT 'bolt red' AS q, 'all' AS strategy, 1 AS stage")
+@query("meta_trace", _W + "SELECT 'bolt red' AS q, CASE WHEN count(*) FILTER (title = 'red bolt') > 0 THEN 'all' ELSE 'relaxed' END AS strategy, CASE WHEN count(*) FILTER (title = 'red bolt') > 0 THEN 2 ELSE 3 END AS queries, 'bolt red' AS terms FROM items")
 def meta_trace(spark, d):
-    m = _searched(spark, d, "bolt red").meta
-    return spark.createDataFrame([(m["query"], m["strategy"], m["stage"])], "q string, strategy string, stage int")
+    m = search.staged_search(titled(spark, d), tok(), SearchRequest("bolt red"), STAGES, trace="Request, EsQuery,unknown").meta
+    return spark.createDataFrame([(m["query"], m["strategy"], len(m["trace_query"]), " ".join(m["trace_request"]["terms"]))], "q string, strategy string, queries int, terms string")
 
 
 @query("cfg_merge_search", "SELECT * FROM (VALUES ('facets', 'b,a'), ('scoring', 'none')) t(section, v)")
@@ -504,14 +545,21 @@ def records(spark, d):
     return own.withColumn("tags", F.array(F.lit("product")))
 
 
-@query("sug_api")
+_SUG = """, t AS (SELECT title AS text, count(*) AS weight, min(type) AS secondary FROM items GROUP BY title),
+ s AS (SELECT text, weight, CASE WHEN text = 'old gear' THEN 0 WHEN text LIKE 'wid%' OR contains(text, ' wid') THEN 1 WHEN lower(secondary) LIKE 'wid%' OR contains(lower(secondary), ' wid') THEN 2
+  WHEN len(list_filter(string_split(text, ' '), lambda w: levenshtein(left(w, 4), 'wid') <= 1)) > 0 THEN 3 WHEN len(list_filter(string_split(text, ' '), lambda w: levenshtein(left(w, 5), 'wid') <= 2)) > 0 THEN 4
+  WHEN contains(replace(text, ' ', ''), 'wid') THEN 5 WHEN text = 'red bolt' THEN 6 END AS stage FROM t)
+ SELECT text, stage, weight FROM s WHERE stage IS NOT NULL AND (stage <> 4 OR (SELECT min(stage) FROM s) = 4)"""
+
+
+@query("sug_api", _W + _SUG.replace("'old gear'", "'-'").replace("'red bolt'", "'-'").replace("wid", "bol"))
 def sug_api(spark, d):
-    return G.suggest(records(spark, d), "bol", 10, "product")
+    return G.suggest(records(spark, d), "bol", 1000, "product")
 
 
-@query("sug_stages", _W + ", t AS (SELECT title AS text, count(*) AS weight FROM items GROUP BY title) SELECT text, 1 AS stage, weight FROM t WHERE text LIKE 'wid%' OR contains(text, ' wid')")
+@query("sug_stages", _W + _SUG)
 def sug_stages(spark, d):
-    return G.suggest(records(spark, d), "wid", 100).filter("stage = 1")
+    return G.suggest(records(spark, d), "wid", 1000, sharpened={"wid": ["old gear"]}, relaxed={"wid": ["red bolt"]})
 
 
 _CC = "CASE WHEN title = 'red bolt' THEN 1.0 ELSE round(list_sum(list_transform(['b','d','e','l','o','r','t'], lambda a: least(len(list_filter(string_split(replace(title, ' ', ''), ''), lambda x: x = a)), 1))) / greatest(length(replace(title, ' ', '')), 7), 6) END"
@@ -532,15 +580,22 @@ def sug_prefix_len(spark, d):
 
 def _ranked(spark, d, order):
     x = records(spark, d).withColumn("prefix", G.prefix_length(F.col("text"), "bolt")).withColumn("common", G.common_chars(F.col("text"), "bolt")).withColumn("stage", F.lit(1))
-    return x.orderBy(*order).limit(10).select("text", "weight")
+    return K.positions(x, order).select("text", "weight", "pos")
+
+
+_LETTERS = "least(len(list_filter(string_split(replace(text, ' ', ''), ''), lambda x: x = '{0}')), 1)"
+_BOLT = (
+    f"CAST(CASE WHEN {_PRE.format('text')} > 0 THEN {_PRE.format('text')} ELSE greatest({_PRE.format("split_part(text, ' ', 2)")}, 0) END AS INTEGER) AS prefix, "
+    + "CASE WHEN text = 'bolt' THEN 1.0 ELSE (" + " + ".join(_LETTERS.format(x) for x in "bolt") + ") / greatest(length(replace(text, ' ', '')), 4) END AS common"
+)
 
 
-@query("sug_fuzzy_order")
+@query("sug_fuzzy_order", _W + f", t AS (SELECT title AS text, count(*) AS weight FROM items GROUP BY title), r AS (SELECT text, weight, {_BOLT} FROM t) SELECT text, weight, CAST(row_number() OVER (ORDER BY prefix DESC, common DESC, weight DESC, text) AS INTEGER) AS pos FROM r")
 def sug_fuzzy_order(spark, d):
     return _ranked(spark, d, G.fuzzy_order("text", "bolt"))
 
 
-@query("sug_default_order")
+@query("sug_default_order", _W + f", t AS (SELECT title AS text, count(*) AS weight FROM items GROUP BY title), r AS (SELECT text, weight, {_BOLT} FROM t) SELECT text, weight, CAST(row_number() OVER (ORDER BY weight DESC, common DESC, text) AS INTEGER) AS pos FROM r")
 def sug_default_order(spark, d):
     return _ranked(spark, d, G.default_order("text"))
 

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
-from .params import Filter, QueryCondition, SearchRequest
+from .params import Filter, QueryCondition, SearchRequest, parse_trace
 
 
 @dataclass(frozen=True)
 class Stage:
     name: str
-    strategy: str  # all, any, phrase, fuzzy, trigram, relaxed, match_all, none
+    strategy: str  # all, any, phrase, fuzzy, trigram, relaxed, predicted, match_all, none
     condition: QueryCondition = QueryCondition()
     min_should_match: str = "100%"
     accept_no_result: bool = False
+    fallback: Stage | None = None  # where a prediction or relaxation has nothing; and the boost of its matches
 
 
 @dataclass
@@ -40,17 +41,49 @@ def run_stage(docs: DataFrame, tokens: Column, terms: list[str], stage: Stage) -
         return docs.withColumn("score", hit.cast("double")).filter(F.col("score") >= M.min_should_match(stage.min_should_match, len(terms)))
     if stage.strategy == "trigram":
         return docs.withColumn("score", M.trigram_share(F.array_join(tokens, " "), " ".join(terms))).filter("score >= 0.7")
-    if stage.strategy == "relaxed":
-        return M.relaxed(docs, tokens, terms).withColumn("score", F.col("matched").cast("double")).drop("matched")
+    if stage.strategy in ("relaxed", "predicted"):
+        if stage.strategy == "relaxed":
+            found = M.relaxed(docs, tokens, terms).withColumn("score", F.col("matched").cast("double")).drop("matched")
+        else:
+            found = M.predicted(docs, tokens, terms)
+        if stage.fallback is None:
+            return found
+        if not found.take(1):
+            return run_stage(docs, tokens, terms, stage.fallback)
+        return _boosted_by_unmatched(found, tokens, terms)
     spec = stage.min_should_match if stage.strategy == "all" else "1"
     matched = M.match(M.bm25(docs, tokens, terms), tokens, terms, spec)
     return matched.drop("matched")
 
 
-def staged_search(docs: DataFrame, tokens: Column, request: SearchRequest, stages: list[Stage], dictionary: DataFrame | None = None, heroes: int = 0, only: int | None = None) -> SearchResult:
+def _boosted_by_unmatched(found: DataFrame, tokens: Column, terms: list[str]) -> DataFrame:
+    """Terms that a hit lacks add to its score if one of its words is near to them."""
+    near = [F.when(~M.has(tokens, t) & M.fuzzy(tokens, t), F.lit(0.5)).otherwise(0.0) for t in terms]
+    return found.withColumn("score", sum(near, F.col("score")))
+
+
+def sufficient(found: DataFrame, request: SearchRequest, heroes: int = 0, hero_ids: DataFrame | None = None) -> bool:
+    """More hits than heroes; with filters, which may have left heroes out, hits beyond
+    the page or one that is no hero.  Counts no further than it has to."""
+    if not request.filters:
+        return found.limit(heroes + 1).count() > heroes
+    page = request.offset + request.limit
+    total = found.limit(max(heroes, page) + 1).count()
+    if total > heroes or total > page:
+        return True
+    if not total or hero_ids is None:
+        return False
+    return bool(found.join(hero_ids.select("doc_id"), "doc_id", "left_anti").take(1))
+
+
+def staged_search(
+    docs: DataFrame, tokens: Column, request: SearchRequest, stages: list[Stage], dictionary: DataFrame | None = None, heroes: int = 0, only: int | None = None, hero_ids: DataFrame | None = None, trace: str | None = None
+) -> SearchResult:
     """Stage by stage; one small count decides.  Before the next stage, an
     insufficient one is tried once with corrected spelling.  Blank queries without
-    filters give an empty result with an error."""
+    filters give an empty result with an error.  ``docs`` are those that meet the
+    request's filters, heroes among them."""
+    flags = parse_trace(trace)
     terms = request.q.lower().split()
     if not terms and not request.filters and request.q:
         return SearchResult(docs.filter(F.lit(False)).withColumn("score", F.lit(0.0)), {"error": "blank query"})
@@ -65,7 +98,11 @@ def staged_search(docs: DataFrame, tokens: Column, request: SearchRequest, stage
             mine = tries.pop()
             found = run_stage(docs, tokens, mine, stage)
             meta |= {"stage": n, "strategy": stage.name}
-            if found.limit(heroes + 1).count() > heroes or stage.accept_no_result:
+            if "request" in flags:
+                meta["trace_request"] = {"q": request.q, "filters": len(request.filters), "terms": mine}
+            if "esquery" in flags:
+                meta.setdefault("trace_query", []).append(found._jdf.queryExecution().optimizedPlan().toString())
+            if sufficient(found, request, heroes, hero_ids) or stage.accept_no_result:
                 return SearchResult(found, meta)
             if dictionary is not None and mine is terms and terms:
                 better = {r.term: r.correction for r in M.spell_corrections(dictionary, terms).collect()}  # a query's few terms

@@ -239,3 +239,116 @@ def test_the_library_does_not_need_its_corpus_part():
     for file in root.rglob("*.py"):
         if "llm" not in file.relative_to(root).parts:
             assert ".llm" not in file.read_text() and "import llm" not in file.read_text(), file
+
+
+# --- query strings, product sets, patches, conditions
+
+
+def _titles(spark):
+    rows = [(1, "red bolt", "b1"), (2, "red widget", "b2"), (3, "old gear", "b1"), (4, "new bolt gear", "b2"), (5, "red old bolt", "b3")]
+    return spark.createDataFrame(rows, "doc_id long, title string, brand string").withColumn("tokens", F.split("title", " "))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("red bolt", {1, 2, 4, 5}), ("red AND bolt", {1, 5}), ("+red -bolt", {2}), ("red NOT old", {1, 2}), ('"red bolt"', {1}), ('"red bolt"~1', {1, 5}),
+        ("brand:b1", {1, 3}), ("+brand:b2 +(gear OR widget)", {2, 4}), ("wid*", {2}), ("bolr~", {1, 4, 5}), ("nofield:red", set()), ("", set()), ("((", set()), ("-red", {3, 4}),
+        ("red^2 AND brand:b3", {5}), ("a\\:b", set()), ("b-1", set()),
+    ],
+)
+def test_query_strings(spark, text, want):
+    from stockweave.plans import querystring
+
+    df = _titles(spark)
+    got = querystring.search(df, text, {"title": F.col("tokens"), "brand": F.array("brand")})
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_query_string_scores_weigh_fields_and_boosts(spark):
+    from stockweave.plans import querystring
+
+    got = querystring.search(_titles(spark), "red^2 b1 (old gear)^3", {"title": F.col("tokens"), "brand": F.array("brand")}, {"brand": 0.5})
+    assert {r.doc_id: r.score for r in got.collect()} == {1: 2.5, 2: 2.0, 3: 6.5, 4: 3.0, 5: 5.0}
+
+
+def test_product_sets_leave_out_unknown_and_used_ids(spark):
+    from stockweave.plans import prodsets
+
+    df = _titles(spark)
+    sets = [prodsets.ProductSet("static", ids=(5, 99, 1, 5)), prodsets.ProductSet("dynamic", query="red", limit=5), prodsets.ProductSet("querystring", query="gear", limit=1), prodsets.ProductSet("none")]
+    got = [[r.doc_id for r in f.orderBy("pos").collect()] for f in prodsets.resolve(sets, df, F.col("tokens"), {"title": F.col("tokens")})]
+    assert got == [[5, 1], [2], [3], []]
+
+
+def test_rescore_windows(spark):
+    hits = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 5.0), (4, 1.0), (5, None)], "doc_id long, score double")
+    again = lambda t: t.withColumn("score", F.lit(100.0))
+    for window, want in ((0, set()), (2, {1, 2}), (3, {1, 2, 3}), (5, {1, 2, 3, 4, 5}), (9, {1, 2, 3, 4, 5})):
+        got = K.rescore(hits, window, again).collect()
+        assert len(got) == 5 and {r.doc_id for r in got if r.tier == 0} == want == {r.doc_id for r in got if r.score == 100.0}
+
+
+def test_positions_number_all_rows(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 101) for i in range(101)], "doc_id long, v long").repartition(5)
+    got = {r.v: r.pos for r in K.positions(df, [F.col("v").desc()]).collect()}
+    assert got == {v: 101 - v for v in range(101)}
+    assert K.positions(df.limit(0), [F.col("v")]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "condition, selected, custom, want",
+    [("brand=a,b", {"brand": ("a",)}, {}, False), ("brand=a,b", {"brand": ("b", "A")}, {}, True), ("brand=*&size=1", {"brand": ("x",)}, {}, False), ("brand=x", {"brand": ("y",)}, {"brand": "x"}, False), ("brand=x", {}, {"brand": "X"}, True)],
+)
+def test_all_values_of_a_dependency_must_be_selected(condition, selected, custom, want):
+    assert A.dependency_met(condition, selected, custom) is want
+
+
+def test_store_keeps_the_version_before(spark, tmp_path):
+    from stockweave.operators.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    for n in range(4):
+        s = store.start("shop", "en")
+        store.add(s, spark.createDataFrame([(n,)], "doc_id long"))
+        before = store.read("shop-en") if n else None
+        assert store.deploy(s)
+        if before is not None:
+            assert [r.doc_id for r in before.collect()] == [n - 1]  # a reader that began before goes on
+    assert store.live("shop-en") == 4 and store.versions("shop-en") == [3, 4] and [r.doc_id for r in store.read("shop-en").collect()] == [3]
+    with pytest.raises(LookupError):
+        store.read("none-en")
+
+
+def test_stream_table_compacts_and_goes_on_after_a_restart(spark, tmp_path):
+    from stockweave.streaming.updates import Table
+
+    root, state, seq = f"file://{tmp_path}/t", {}, 0
+    for batch in range(9):
+        rows = []
+        for i in range(5):
+            seq += 1
+            op = "delete" if (seq * 7) % 4 == 0 else "put"
+            rows.append((seq, (seq * 3) % 8, op, float(seq)))
+            state[(seq * 3) % 8] = (op, float(seq))
+        table = Table(spark, root, compact_every=3)  # a new one each time: all state is in the folder
+        for _ in range(2 if batch == 4 else 1):  # a batch that is run again
+            table.merge(spark.createDataFrame(rows, "event_id long, doc_id long, op string, value double"), batch)
+    got = {r.doc_id: r.value for r in Table(spark, root).read().collect()}
+    assert got == {k: v for k, (op, v) in state.items() if op != "delete"}
+    assert Table(spark, root)._numbers("base") == [5, 8] and Table(spark, root)._numbers("batch") == [8]
+    with pytest.raises(LookupError):
+        Table(spark, f"{root}-none").read()
+
+
+def test_patches_of_attributes_categories_and_variants(spark):
+    from stockweave.operators import projections as J
+
+    kind = f"doc_id long, data map<string,string>, attributes {J.F_ATTRIBUTES}, categories array<array<string>>, variants array<struct<data:map<string,string>,attributes:{J.F_ATTRIBUTES}>>"
+    have = [(1, {"a": "1", "b": "2", "ab": "12", "color": "x"}, [("color", None, "red"), ("w", None, "1")], [["c"]], [({"id": "v1", "p": "1"}, [("s", None, "1")]), ({"p": "none"}, None)]), (2, {"a": "1", "ab": "kept"}, None, None, None)]
+    new = [(1, {"a": "9"}, [("color", "k", "blue"), ("color", "k2", "sky")], None, [({"id": "v1", "q": "5"}, None), ({"id": "v2"}, None), ({"id": "v1", "q": "6"}, None), ({"q": "no id"}, None)]), (2, {}, None, [["new"]], [({"id": "n"}, None)]), (3, {"a": "?"}, None, None, None)]
+    got = {r.doc_id: r for r in J.patch_documents(spark.createDataFrame(have, kind), spark.createDataFrame(new, kind), {"ab": ["a", "b"]}, "id").collect()}
+    assert set(got) == {1, 2}
+    assert got[1].data == {"a": "9", "b": "2"} and [tuple(a) for a in got[1].attributes] == [("w", None, "1"), ("color", "k", "blue"), ("color", "k2", "sky")] and got[1].categories == [["c"]]
+    assert [v.data for v in got[1].variants] == [{"id": "v1", "p": "1", "q": "6"}, {"id": "v2"}]
+    assert got[2].data == {"a": "1", "ab": "kept"} and got[2].categories == [["new"]] and [v.data for v in got[2].variants] == [{"id": "n"}]
