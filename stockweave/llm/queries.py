@@ -91,7 +91,7 @@ def _canonical_sql() -> str:
     bare = "regexp_replace(split_part(trim(url), '#', 1), '^https?://', '', 'i')"
     host = f"regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^[^/?]*')), '^www[0-9]*\\.', ''), ':(80|443)$', '')"
     path = f"regexp_replace(regexp_replace(split_part(regexp_replace({bare}, '^[^/?]*', ''), '?', 1), '/index\\.html?$', '/'), '/+$', '')"
-    asked = f"list_filter(string_split(regexp_extract({bare}, '\\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))"
+    asked = f"list_filter(string_split(regexp_extract({bare}, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))"
     return f"nullif({host} || {path} || CASE WHEN len({asked}) > 0 THEN '?' || array_to_string({asked}, '&') ELSE '' END, '')"
 
 
@@ -114,6 +114,54 @@ def _op8_sql() -> str:
     """
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _op5_sql() -> str:
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+    p AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+    q AS (SELECT doc_id, i, n, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT DISTINCT doc_id, g FROM q WHERE i <= n - 4 OR (n < 5 AND i = 1)),
+    c AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+    e AS (
+      SELECT t.a, t.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) t
+      JOIN c ca ON ca.doc_id = t.a JOIN c cb ON cb.doc_id = t.b WHERE 100 * both_ >= 75 * (ca.n + cb.n - both_)
+    ),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+    m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+    SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id, CASE WHEN c.k IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY c.k) END AS class_id
+    FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+    """
+
+
+def _op7_sql() -> str:
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, {_WORDS.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+    p AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+    q AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS g FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+    f AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS times FROM q WHERE g IS NOT NULL),
+    again AS (SELECT r, count(DISTINCT i + k) AS n FROM f, (VALUES (0), (1), (2)) v(k) WHERE times > 1 GROUP BY r),
+    l AS (SELECT r, host, coalesce(CAST(doc_id AS VARCHAR), 'row ' || r) AS me, {_WORDS.format(_LOWER.format("unnest(lines)"))} AS lw FROM w),
+    o AS (
+      SELECT host, lw FROM (SELECT host, lw, count(DISTINCT me) AS n FROM l GROUP BY ALL) x
+      JOIN (SELECT source AS h, count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) AS docs FROM documents GROUP BY source) y ON x.host IS NOT DISTINCT FROM y.h
+      WHERE n > {line_rules.MIN_DOCUMENTS} AND n > CAST({line_rules.SHARE} AS DOUBLE) * docs
+    ),
+    g AS (SELECT r, sum(len(l.lw)) AS n FROM l JOIN o ON l.host IS NOT DISTINCT FROM o.host AND l.lw = o.lw GROUP BY r),
+    b AS (
+      SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_words
+      FROM w LEFT JOIN again ON again.r = w.r LEFT JOIN g ON g.r = w.r
+    )
+    SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.REPEAT_PERCENT} * n_words AS base_failed,
+      NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.REPEAT_PERCENT} * n_words) AND n_words - n_removed_words >= CAST({line_rules.LEAST_SHARE} AS DOUBLE) * n_words AS kept
+    FROM b
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express."""
-    return {"op8_warc_revisits": _op8_sql()}
+    return {"op5_ngram_join": _op5_sql(), "op7_line_rules": _op7_sql(), "op8_warc_revisits": _op8_sql()}
