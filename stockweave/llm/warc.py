@@ -118,7 +118,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     entries = F.array_sort(F.map_entries("headers"))
     is_source = F.coalesce("is_response", F.lit(False))
-    content = F.xxhash64("url", "captured", entries, "body")
+    content = F.xxhash64("record_id", "url", "captured", entries, "body")
     # Read five times, so computed once; it is small beside the bodies.
     slim = records.select(canonical_url(F.col("url")).alias("canonical_url"), "captured", F.col("record_id").alias("id"), content.alias("content"), is_source.alias("is_source"))
     found = (
@@ -126,10 +126,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         .filter(~F.col("is_source"))
         .select(F.col("id").alias("record_id"), "content", "canonical_url", "captured", F.col("source.id").alias("source_id"), F.col("source.content").alias("source_content"))
     )
-    revisit = records.filter(~is_source).select(F.col("record_id").alias("__r"), content.alias("__rc"), folded(F.col("headers")).alias("__update")).dropDuplicates(["__r", "__rc"])
-    response = records.filter(is_source).select(F.col("record_id").alias("__s"), content.alias("__sc"), folded(F.col("headers")).alias("__stored"), F.col("body").alias("__body")).dropDuplicates(["__s", "__sc"])
-    both = found.join(revisit, F.col("record_id").eqNullSafe(F.col("__r")) & (F.col("content") == F.col("__rc")), "left")
-    both = both.join(response, F.col("source_id").eqNullSafe(F.col("__s")) & (F.col("source_content") == F.col("__sc")), "left")
+    revisit = records.filter(~is_source).select(content.alias("__rc"), folded(F.col("headers")).alias("__update")).dropDuplicates(["__rc"])
+    response = records.filter(is_source).select(content.alias("__sc"), folded(F.col("headers")).alias("__stored"), F.col("body").alias("__body")).dropDuplicates(["__sc"])
+    # One key on either side, so a body is dealt out once, for both steps.
+    both = found.join(revisit, F.col("content") == F.col("__rc"), "left").join(response, F.col("source_content") == F.col("__sc"), "left")
     tag, old = F.element_at("__update", "etag"), F.element_at("__stored", "etag")
     date, old_date = F.element_at("__update", "last-modified"), F.element_at("__stored", "last-modified")
     agree = F.when(tag.isNotNull(), tag.eqNullSafe(old)).when(date.isNotNull(), date.eqNullSafe(old_date)).otherwise(F.lit(True))
