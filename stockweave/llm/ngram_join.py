@@ -322,7 +322,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
+        before = edges
         edges = frames.keep(large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
+        frames.drop(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(v, u) >> 20"))).first())
         if now == state or not now[0]:
             break
@@ -392,6 +394,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kept = frames.keep(_candidate_sets(known, pairs))
     frames.release(spark)
     links = _similar(kept, pairs)
+    frames.drop(kept)
     labels = components(links)
     members = met.filter("b is null").select("a", "h", "n", "pos")
     if members.take(1):
