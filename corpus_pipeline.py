@@ -11,6 +11,12 @@ it kept; all but the last return the columns of ``documents``.
   without an id stay, and so do rows of one id with other texts.
 * ``decontaminate``: documents that hold a benchmark item go.
 * ``pack``: what is left becomes token sequences, one row per piece.
+
+Edge cases.  Null and empty texts are scored like other texts with no line, have
+nothing to remove, are copies of nothing, and are packed as one end token if they
+were kept.  Rows without an id go through all stages as documents of their own.
+Of ties the smallest id counts; nulls in other columns and columns beyond those of
+``documents`` pass through.  An empty table gives none.
 """
 
 from __future__ import annotations
