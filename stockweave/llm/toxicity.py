@@ -61,13 +61,12 @@ def tokens(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return kernel.span_hash(low, s, e), kernel.span_hash(low, s, np.minimum(e, s + PREFIX_BYTES)), offsets
 
 
-def pairs(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (a fixed one at a text's begin), and both as one hash."""
+def pairs(word: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each word and the one before it (a fixed one at a text's begin) as one hash."""
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    before[first] = np.uint64(1)
-    return before, kernel.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+    before[offsets[:-1][np.diff(offsets) > 0]] = np.uint64(1)
+    return kernel.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,17 +77,14 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Counts:
-    """Counts of one class: pairs, words by left neighbours, beginnings by words and neighbours."""
+    """Counts of one class: words by distinct left neighbours, beginnings by those of their words."""
 
-    def __init__(self, word: np.ndarray, prefix: np.ndarray, before: np.ndarray, pair: np.ndarray):
-        self.pair, at, self.pair_n = np.unique(pair, return_index=True, return_counts=True)
-        self.pair_word, self.pair_before, pre = word[at], before[at], prefix[at]
-        self.word, first, self.word_n = np.unique(self.pair_word, return_index=True, return_counts=True)
-        self.word_prefix = pre[first]
-        self.prefix, self.prefix_n = np.unique(pre, return_counts=True)
-        self.before, back = np.unique(self.pair_before, return_inverse=True)
-        self.before_back = back
-        self.before_n = np.bincount(back, weights=self.pair_n)
+    def __init__(self, word: np.ndarray, prefix: np.ndarray, pair: np.ndarray):
+        at = np.unique(pair, return_index=True)[1]
+        word, prefix = word[at], prefix[at]
+        self.word, first, self.word_n = np.unique(word, return_index=True, return_counts=True)
+        self.word_prefix = prefix[first]
+        self.prefix, self.prefix_n = np.unique(prefix, return_counts=True)
 
 
 def _shared(c: list[Counts], keys: np.ndarray, level: str) -> np.ndarray:
@@ -239,7 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, training: Column, most
     length = np.array([len(r[1]) for r in rows])
     offsets = np.concatenate(([0], np.cumsum(length)))
     word, prefix = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
-    before, pair = pairs(word, offsets)
+    rows.clear()
+    pair = pairs(word, offsets)
     weight = np.where(y == 1, counts[1] / have[1], counts[0] / have[0]) * len(y) / sum(counts.values())
     token_y = np.repeat(y, length)
     order = np.arange(len(y))
@@ -251,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, training: Column, most
 
     def counted(out: int | None) -> list[Counts]:
         use = [(token_y == k) & (token_fold != out if out is not None else True) for k in (1, 0)]
-        return [Counts(word[u], prefix[u], before[u], pair[u]) for u in use]
+        return [Counts(word[u], prefix[u], pair[u]) for u in use]
 
     kinds = [(d, m) for d in DISCOUNTS for m in MARGINS]
     totals = np.zeros((len(kinds), len(y)))

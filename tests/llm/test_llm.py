@@ -640,7 +640,7 @@ def test_class_models_equal_brute_force_and_sum_to_one():
     for some in texts:
         (_, _, text, starts), = kernel.blocks(pa.array(some))
         word, prefix, offsets = toxicity.tokens(text, starts)
-        c.append(toxicity.Counts(word, prefix, *toxicity.pairs(word, offsets)))
+        c.append(toxicity.Counts(word, prefix, toxicity.pairs(word, offsets)))
         sets.append({(a, b) for t in some for a, b in zip(["<s>", *t.split()], t.split())})
     m = toxicity.Model(*c, 0.75, 0)
     n_word = [collections.Counter(b for _, b in s) for s in sets]
