@@ -39,13 +39,11 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-RADIUS = 5
 SIMILARITY = 0.75
 SHINGLE = 5
 BROADCAST_BYTES = 64 << 20
 _ROW_BYTES = 64
 SALTS = 16
-_BLOCKS, _BITS = 3, 19
 
 
 def word_hashes(text: Column) -> Column:
@@ -60,12 +58,6 @@ def fingerprint(words: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 55), 0L, (f, j) -> f | IF(2 * {ones} > size({words}), shiftleft(1L, j), 0L))")
 
 
-def block_key(fp: Column, size: Column | int, block: int) -> Column:
-    """Window size, block number and the block's bits, in one number."""
-    tag = size if isinstance(size, Column) else F.lit(size)
-    return F.shiftleft((tag * _BLOCKS + block).cast("long"), _BITS).bitwiseOR(F.shiftrightunsigned(fp, _BITS * block).bitwiseAND(F.lit((1 << _BITS) - 1)))
-
-
 def shingles(words: Column, size: int = SHINGLE) -> Column:
     """Hashes of runs of words, with repeats; all words as one if there are fewer."""
     n = F.size(words) - size
