@@ -24,7 +24,8 @@ dropped: every two documents that share a prefix shingle are either verified,
 excluded by a filter, or known to be in one component.
 
 Joins are told to shuffle: every side here grows with the input, so none may be
-broadcast because it happens to be small.
+broadcast because it happens to be small.  Only the hot nodes of the links are
+broadcast, which are no more than twice the square root of the number of links.
 
 Copies take part once for each batch of rows they are read in, so a text that a
 third of all rows repeat is no hot key.  Nothing but the sketch, of fixed size,
@@ -38,6 +39,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -311,24 +313,42 @@ def _similar(kept: DataFrame, pairs: DataFrame) -> DataFrame:
     return frames.keep(frames.arrow(whole, exact, "a long, b long"))
 
 
+def _with_least(edges: DataFrame, low: DataFrame, hot: int) -> DataFrame:
+    """``u, v, m``: each edge with its node's ``m``; ``low`` is ``u, m, size``.
+
+    Nodes of more than ``hot`` edges, at most (edges / ``hot``), are broadcast.
+    Their edges have ``m`` from there and are spread over the join of the others by
+    a key of their own, whose matches are ignored."""
+    hubs = low.filter(F.col("size") > hot).select("u", F.col("m").alias("hub"))
+    key = F.when(F.col("hub").isNull(), F.col("u")).otherwise(F.xxhash64("v"))
+    known = edges.join(F.broadcast(hubs), "u", "left").withColumn("k", key)
+    cold = low.filter(F.col("size") <= hot).select(F.col("u").alias("k"), "m")
+    return known.join(cold.hint("merge"), "k", "left").select("u", "v", F.coalesce("hub", "m").alias("m"))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node with a link; the component is its
     smallest node.  Alternates large and small stars until nothing changes; each
-    round is cut off in the shared folder."""
+    round is cut off in the shared folder.
+
+    A node is hot from the square root of the number of edges on: at most twice
+    that root are hot, and no task gets more than that root of one node's edges."""
     edges = frames.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state, n = None, edges.count()
     for _ in range(rounds):
+        hot = math.isqrt(n)
+        size = F.count(F.lit(1)).alias("size")
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), size)
+        large = _with_least(both.filter("v > u"), low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), size)
         before = edges
-        edges = frames.keep(large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = frames.keep(_with_least(large, low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
         frames.drop(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(v, u) >> 20"))).first())
         if now == state or not now[0]:
             break
-        state = now
+        state, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -256,6 +256,27 @@ def test_suffix_bound_never_exceeds_the_difference():
         assert ngram_join.least_difference(*h) <= len(np.setxor1d(a, b))
 
 
+def test_components_of_hot_nodes_equal_union_find(spark):
+    r = random.Random(5)
+    pairs = [(7, 10 + i) for i in range(1500)] + [(5000 + i, 4000) for i in range(700)] + [(6000 + 2 * i, 6001 + 2 * i) for i in range(300)]
+    pairs += [(r.randint(6000, 6600), r.randint(6000, 6600)) for _ in range(150)] + [(20, 5003)] + [(8000, 8000)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    got = ngram_join.components(links).collect()
+    assert len(got) == len(parent) and {x.node: x.component for x in got} == {x: find(x) for x in parent}
+    assert ngram_join.components(links.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in ngram_join.components(links).collect()}
