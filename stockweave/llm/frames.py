@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A batch of an Arrow function; bounds the memory of a Python worker.
+#: A batch of an Arrow function, in rows and in bytes; bounds the memory of a Python worker.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +94,22 @@ def ship(spark: SparkSession) -> None:
     context._stockweave_shipped = True
 
 
-def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough for a worker's memory."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(key: Column, by: int) -> Column:
     """crc32 of a key as text, modulo ``by``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % by
