@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, frames, hmm_lm, line_dedup, line_rules, ngram_join, packing, quality, sstable, toxicity, warc
+from . import chat, codes, decontaminate, fim, frames, hmm_lm, line_dedup, line_rules, ngram_join, packing, quality, sstable, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -71,6 +71,21 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_documents(frames.documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    log = chat.log_of_conversations(rows.unionByName(chat.probe(spark)))
+    return chat.digests(chat.format_chats(log))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return codes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(frames.documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -83,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_revisits": op8_warc_revisits,
         "op9_packing": op9_packing,
         "op10_hmm_lm": op10_hmm_lm,
+        "op11_chat_format": op11_chat_format,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -162,6 +180,60 @@ def _op7_sql() -> str:
     """
 
 
+def _op11_sql() -> str:
+    # An escape adds a character for each backslash, each # before another # and each turn end (and ': ' of a role).
+    added = lambda c: f"length({c}) - length(replace({c}, '\\', '')) + len(list_filter(range(1, length({c})), lambda i: {c}[i] = '#' AND {c}[i + 1] = '#')) + len(string_split({c}, '</turn>')) - 1"
+    probe = "'\\### Assistant: </turn> ok'"
+    return f"""
+    WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', {probe}), (-7, 1, 'assistant', {probe})),
+    m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, coalesce(role, '') AS r, coalesce(text, '') AS t FROM c),
+    n AS (SELECT *, length(r) + {added("r")} + len(string_split(r, ': ')) - 1 + length(t) + {added("t")} + 14 AS chars FROM m)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
+      CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM n GROUP BY conv_id
+    """
+
+
+def _op12_sql(width: int = 4) -> str:
+    """The rounds one after the other; a distance and its entry are one number."""
+    d = " + ".join(f"(p.x[{i}] - c.c[{i}]) * (p.x[{i}] - c.c[{i}])" for i in range(1, width + 1))
+    mean = ", ".join(f"CAST(floor(sum(p.x[{i}]) / count(*)) AS BIGINT)" for i in range(1, width + 1))
+    rounds = "".join(
+        f""", a{k} AS (SELECT r, p.part, min(({d}) * {codes.ENTRIES} + e) AS m FROM p JOIN c{k} c ON c.part = p.part GROUP BY ALL),
+        n{k} AS (SELECT p.part, m % {codes.ENTRIES} AS e, [{mean}] AS c FROM a{k} JOIN p ON p.r = a{k}.r AND p.part = a{k}.part GROUP BY ALL),
+        c{k + 1} AS (SELECT c.part, c.e, coalesce(n.c, c.c) AS c FROM c{k} c LEFT JOIN n{k} n ON n.part = c.part AND n.e = c.e)"""
+        for k in range(codes.ROUNDS)
+    )
+    last = codes.ROUNDS
+    return f"""
+    WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    j AS (SELECT unnest(range({codes.PARTS})) AS part), p AS (SELECT r, part, v[{width} * part + 1 : {width} * part + {width}] AS x FROM k, j),
+    s AS (SELECT v, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < {codes.ENTRIES}),
+    c0 AS (SELECT part, e, v[{width} * part + 1 : {width} * part + {width}] AS c FROM s, j)
+    {rounds},
+    a AS (SELECT r, p.part, min(({d}) * {codes.ENTRIES} + e) AS m FROM p JOIN c{last} c ON c.part = p.part GROUP BY ALL),
+    o AS (SELECT r, string_agg(format('{{:02x}}', m % {codes.ENTRIES}), '' ORDER BY part) AS code, CAST(sum(m // {codes.ENTRIES}) AS BIGINT) AS error FROM a GROUP BY r)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c{last}) AS codebooks_sha256
+    FROM k JOIN o ON o.r = k.r
+    """
+
+
+def _op13_sql() -> str:
+    h = ", ".join(f"CAST('0x' || h[{8 * i + 1} : {8 * i + 8}] AS UBIGINT) AS h{i + 1}" for i in range(4))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, len(u) AS n, {h} FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    x AS (SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 : n], '') AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM x
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express."""
-    return {"op5_ngram_join": _op5_sql(), "op7_line_rules": _op7_sql(), "op8_warc_revisits": _op8_sql()}
+    return {"op5_ngram_join": _op5_sql(), "op7_line_rules": _op7_sql(), "op8_warc_revisits": _op8_sql(), "op11_chat_format": _op11_sql(), "op12_vector_codes": _op12_sql(), "op13_fill_in_middle": _op13_sql()}
