@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 MODIFIERS: dict[str, Callable[[Column], Column]] = {
     "none": lambda x: x, "log": F.log10, "log1p": lambda x: F.log10(x + 1), "log2p": lambda x: F.log10(x + 2), "ln": F.log, "ln1p": lambda x: F.log(x + 1),
     "ln2p": lambda x: F.log(x + 2), "square": lambda x: x * x, "sqrt": F.sqrt, "reciprocal": lambda x: 1 / x,
@@ -86,18 +88,22 @@ def sort_columns(instructions: list, with_score: bool = True) -> list[Column]:
 
 
 def positions(df: DataFrame, order: list[Column], first: int = 1) -> DataFrame:
-    """Adds ``pos``, the place in an order, for all rows: a range sort, then each
-    partition's rows are numbered behind those of the partitions before it."""
-    parts = df.sort(*order).withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
-    within = F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}  # one row a partition
-    before, start = 0, []
+    """Adds ``pos``, the place in an order, for all rows.
+
+    One range sort, written once with each row's partition and place in it; the sizes of
+    partitions are counted on that table, and its rows numbered behind those of the
+    partitions before them.  So numbers don't depend on a second sort having the same
+    partitions."""
+    part, at, before = "__part", "__at", "__before"
+    ordered = df.sort(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    kept = scratch.keep(ordered, "sorted")
+    sizes = {r[part]: r["count"] for r in kept.groupBy(part).count().collect()}  # one row a partition
+    starts, total = [], first
     for p in sorted(sizes):
-        start.append((p, before))
-        before += sizes[p]
-    offsets = df.sparkSession.createDataFrame(start, "__p int, __before long")
-    placed = parts.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
-    return placed.withColumn("pos", (F.col("__before") + within + first).cast("int")).drop("__part", "__n", "__p", "__before")
+        starts.append((p, total))
+        total += sizes[p]
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} int, {before} long")
+    return kept.join(F.broadcast(offsets), part).withColumn("pos", F.col(before) + F.col(at)).drop(part, at, before)
 
 
 def facet_value_sort(docs: DataFrame, values: DataFrame, name: str, descending: bool = False) -> DataFrame:

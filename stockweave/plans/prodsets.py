@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import positions
 from . import querystring
 from .extensions import Registry
 from .params import SearchRequest
@@ -44,7 +45,10 @@ def static_set(s: ProductSet, docs: DataFrame, used: DataFrame | None) -> DataFr
     wanted = docs.sparkSession.createDataFrame([(v, i) for i, v in enumerate(given)], f"__v {kind}, __i int")
     # The list is a request's.
     found = docs.join(F.broadcast(wanted), docs[column] == F.col("__v")).select("doc_id", "__i")
-    return _numbered(_free(found, used), [F.col("__i")], 2**31 - 1)
+    free = _free(found, used)
+    if s.field is None:  # no more rows than the list has ids
+        return _numbered(free, [F.col("__i")], len(given) or 1)
+    return positions(free, [F.col("__i"), F.col("doc_id")], 0).select("doc_id", "pos")
 
 
 def _free(found: DataFrame, used: DataFrame | None) -> DataFrame:

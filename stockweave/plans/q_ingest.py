@@ -9,6 +9,7 @@ from ..operators import preprocess as R
 from ..operators import projections as J
 from ..operators import store as K
 from ..sources import catalog as C
+from ..sources import scratch
 from ..sources import documents as D
 from .registry import query
 
@@ -74,26 +75,15 @@ def _lines(spark, d, folder):
     return folder
 
 
-def _scratch(spark, name):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='stockweave-')}"
-    return f"{base.rstrip('/')}/stockweave-{name}-{uuid.uuid4().hex}"
-
-
 @query("src_jsonl", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS brand FROM part")
 def src_jsonl(spark, d):
-    read = D.read_json(spark, _lines(spark, d, _scratch(spark, "jsonl")))
+    read = D.read_json(spark, _lines(spark, d, scratch.folder(spark, "jsonl")))
     return read.select("id", F.element_at("data", "title").alias("title"), F.element_at("data", "brand").alias("brand"))
 
 
 @query("src_csv", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(p_size AS VARCHAR) AS size FROM part")
 def src_csv(spark, d):
-    folder = _scratch(spark, "csv")
+    folder = scratch.folder(spark, "csv")
     C.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_size").alias("size")).write.option("header", True).option("sep", ";").csv(folder)
     read = D.read_csv(spark, folder, "p_partkey", ";")
     return read.select("id", F.element_at("data", "title").alias("title"), F.element_at("data", "size").alias("size"))
@@ -104,7 +94,7 @@ def src_csv(spark, d):
 
 @query("snk_deploy", "SELECT count(*) AS n, 2 AS live, 'parts-en' AS tenants FROM part WHERE p_size <= 25")
 def snk_deploy(spark, d):
-    store = K.Store(spark, _scratch(spark, "store"))
+    store = K.Store(spark, scratch.folder(spark, "store"))
     one = store.start("parts", "EN")
     store.add(one, C.items(spark, d))
     store.deploy(one)
@@ -119,7 +109,7 @@ def snk_deploy(spark, d):
 
 @query("snk_bulk_add", "SELECT count(*) AS n, (SELECT count(*) FROM orders WHERE TRY_CAST(left(o_orderpriority, 2) AS DOUBLE) IS NULL) AS rejected FROM part")
 def snk_bulk_add(spark, d):
-    store = K.Store(spark, _scratch(spark, "bulk"))
+    store = K.Store(spark, scratch.folder(spark, "bulk"))
     s = store.start("parts", "en")
     for part in (C.items(spark, d).filter("size <= 25"), C.items(spark, d).filter("size > 25")):
         store.add(s, part)
@@ -176,7 +166,7 @@ def snk_stream_upsert(spark, d):
     first = C.table(spark, d, "events").agg(F.min("event_type")).first()[0]
     source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     op = F.when(F.col("event_type") == first, "delete").otherwise("put")
-    return replay(source.select("event_id", F.col("user_id").alias("doc_id"), op.alias("op"), "value"), _scratch(spark, "stream"))
+    return replay(source.select("event_id", F.col("user_id").alias("doc_id"), op.alias("op"), "value"), scratch.folder(spark, "stream"))
 
 
 # --- preprocessors -----------------------------------------------------------
@@ -353,7 +343,7 @@ def mrg_required_fields(spark, d):
 
 
 def _two_tables(spark, d, name):
-    store = K.Store(spark, _scratch(spark, name))
+    store = K.Store(spark, scratch.folder(spark, name))
     for table_name, locale in (("parts", "en"), ("suppliers", "de")):
         s = store.start(table_name, locale)
         store.add(s, C.table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), "n_name"))
@@ -389,6 +379,6 @@ def snk_cleanup(spark, d):
 
 @query("snk_suggest_archive", "SELECT p_name AS text, count(*) AS weight FROM part GROUP BY p_name")
 def snk_suggest_archive(spark, d):
-    folder = _scratch(spark, "suggest")
+    folder = scratch.folder(spark, "suggest")
     C.items(spark, d).groupBy(F.col("title").alias("text")).agg(F.count(F.lit(1)).alias("weight")).write.parquet(folder)
     return spark.read.parquet(folder)

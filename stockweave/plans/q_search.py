@@ -12,6 +12,7 @@ from ..operators import matching as M
 from ..operators import ranking as K
 from ..operators import suggest as G
 from ..sources import catalog as C
+from ..sources import scratch
 from . import params, prodsets, querystring, rules, search
 from .params import Filter, SearchRequest, Sort
 from .q_filters import FIELDS
@@ -170,13 +171,10 @@ _BM = "ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 *
 
 @query("mat_relevance", f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), f AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS tf0, len(list_filter(w, lambda x: x = 'von')) AS tf1 FROM t), s AS (SELECT count(*) AS n, avg(len) AS avg, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f) SELECT doc_id, round({_BM.format(i=0)} + {_BM.format(i=1)}, 4) AS score FROM f, s")
 def mat_relevance(spark, d):
-    from .q_ingest import _scratch
-
     x = C.table(spark, d, "documents").select("doc_id", X.words(F.lower("text")).alias("tokens"))
     counted = M.term_counts(x, tok(), ["the", "von"]).drop("tokens")
-    folder = _scratch(spark, "counts")  # texts are tokenised once; a document's counts are a few bytes
-    counted.write.parquet(folder)
-    return M.bm25_counted(spark.read.schema(counted.schema).parquet(folder), 2).select("doc_id", F.round("score", 4).alias("score"))
+    kept = scratch.keep(counted, "counts")  # texts are tokenised once; a document's counts are a few bytes
+    return M.bm25_counted(kept, 2).select("doc_id", F.round("score", 4).alias("score"))
 
 
 # --- rules -------------------------------------------------------------------
@@ -334,7 +332,7 @@ _ENDS = "e AS (SELECT doc_id, min(price) AS price_lo, max(price) AS price_hi FRO
 def srt_field(spark, d):
     ends = C.variants(spark, d, False).groupBy("doc_id").agg(F.min("price").alias("price_lo"), F.max("price").alias("price_hi"))
     hits = C.items(spark, d).select("doc_id", F.col("size").alias("score")).join(ends, "doc_id", "left")
-    return K.positions(hits, K.sort_columns([Sort("price", True)])).select("doc_id", "pos")
+    return K.positions(hits, K.sort_columns([Sort("price", True)])).select("doc_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query("srt_facet_value", _W + "SELECT i.doc_id, max(v.price) AS sort_value FROM items i LEFT JOIN variants v ON v.doc_id = i.doc_id AND color = 'R' GROUP BY i.doc_id")
@@ -580,7 +578,7 @@ def sug_prefix_len(spark, d):
 
 def _ranked(spark, d, order):
     x = records(spark, d).withColumn("prefix", G.prefix_length(F.col("text"), "bolt")).withColumn("common", G.common_chars(F.col("text"), "bolt")).withColumn("stage", F.lit(1))
-    return K.positions(x, order).select("text", "weight", "pos")
+    return K.positions(x, order).select("text", "weight", F.col("pos").cast("int").alias("pos"))
 
 
 _LETTERS = "least(len(list_filter(string_split(replace(text, ' ', ''), ''), lambda x: x = '{0}')), 1)"

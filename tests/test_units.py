@@ -296,6 +296,20 @@ def test_positions_number_all_rows(spark):
     assert K.positions(df.limit(0), [F.col("v")]).count() == 0
 
 
+def test_positions_of_many_wide_rows(spark):
+    """Adaptive execution joins partitions by size; numbers must not depend on that."""
+    n, before = 1_200_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        df = spark.range(0, n, 1, 6).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), F.repeat(F.md5(F.col("id").cast("string")), 12).alias("wide"))
+        got = K.positions(df, [F.col("v").desc(), F.col("doc_id")])
+        total = got.agg(F.count(F.lit(1)), F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.countDistinct("doc_id")).first()
+        assert tuple(total) == (n, n, 1, n, n)
+        assert [(r.pos, r.doc_id) for r in got.filter("pos <= 3").orderBy("pos").collect()] == [(i + 1, r.doc_id) for i, r in enumerate(df.orderBy(F.desc("v"), "doc_id").limit(3).collect())]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize(
     "condition, selected, custom, want",
     [("brand=a,b", {"brand": ("a",)}, {}, False), ("brand=a,b", {"brand": ("b", "A")}, {}, True), ("brand=*&size=1", {"brand": ("x",)}, {}, False), ("brand=x", {"brand": ("y",)}, {"brand": "x"}, False), ("brand=x", {}, {"brand": "X"}, True)],
