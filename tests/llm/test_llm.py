@@ -388,15 +388,18 @@ def test_later_places_equal_brute_force(spark, messy):
             lines = line_dedup.Lines(text, starts)
             for a in range(len(lines.hash) - 2):
                 b = a + 3  # a window with pieces of long lines has 20 words or more
-                while not lines.whole[a : a + 3].all() and b <= len(lines.hash) and lines.words[a:b].sum() < 20:
+                while lines.words[a:b].sum() < 20 and b <= len(lines.hash):
                     b += 1
-                if b <= len(lines.hash):
-                    places.append((tuple(lines.hash[a:b].tolist()), d is not None, d, a))
+                if b <= len(lines.hash) and not lines.whole[a:b].all():
+                    places.append((("pieces", *lines.hash[a:b].tolist()), d is not None, d, a))
+            own = [x for x in (t or "").split("\n") if words(x)]
+            for k, a in enumerate(lines.line_at.tolist()[: max(len(own) - 2, 0)]):
+                places.append((tuple(tuple(words(low(x))) for x in own[k : k + 3]), d is not None, d, a))
     for h, named, d, a in sorted(set(places), key=lambda p: (p[1], p[2] or 0, p[3])):
         if seen.setdefault(h, (named, d, a)) != (named, d, a):
             want.add((d, a))
     got = line_dedup.later_places(messy).collect()
-    assert {(r["__doc"] if r["__named"] else None, r["__at"]) for r in got} == want and want
+    assert {(r.doc if r.named else None, r["at"]) for r in got} == want and want
 
 
 def brute_dedup(rows):
@@ -428,6 +431,42 @@ def test_texts_without_covered_lines_equal_brute_force(spark):
     assert sum(x.n_removed_lines for x in got) > 100
 
 
+@pytest.mark.parametrize("longest", [60, 17, 12])
+def test_lines_of_all_lengths_go_whole(spark, longest):
+    """Three repeated lines of 1 to 60 words are found whatever their lengths; nothing of them stays."""
+    r = random.Random(longest)
+    prose = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    same = prose(30)
+    runs = [[prose(a), prose(b), prose(c)] for a, b, c in ((1, 1, 17), (17, 1, 1), (1, 17, 1), (16, 17, 60), (60, 1, 1), (2, 18, 3))] + [[same] * 3]
+    runs += [[prose(r.randint(1, longest)) for _ in range(r.randint(3, 5))] for _ in range(25)]
+    rows = []
+    for d in range(300):
+        lines = [prose(r.randint(1, 60)) for _ in range(r.randint(0, 3))]
+        for _ in range(r.randint(1, 3)):
+            lines += r.choice(runs) + [prose(r.randint(1, 60)) for _ in range(r.randint(0, 2))]
+        rows.append((d, "\n".join(lines)))
+    want = brute_dedup(rows)
+    kind = "doc_id long, text string"
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, kind).repartition(4)).collect()
+    for x in got:
+        left = x.text.split("\n")
+        short = collections.Counter(y for y in want[x.doc_id][0].split("\n") if 0 < len(y.split()) <= 16)
+        assert not short - collections.Counter(left)  # inside long lines more can go, short ones stay as brute force says
+        covered = set(dict(rows)[x.doc_id].split("\n")) - set(want[x.doc_id][0].split("\n"))
+        assert not covered & set(left) and not any(y in z for y in covered if len(y.split()) > 8 for z in left)
+    assert sum(x.n_removed_words for x in got) > 1000
+
+
+def test_columns_named_like_the_operators_own(spark):
+    passage = "\n".join(f"line {k} of the passage" for k in range(4))
+    rows = [(1, f"{passage}\nx", 7, "p"), (2, f"y\n{passage}", 8, "q")]
+    names = "doc_id long, text string, doc int, named string"
+    for old, new in (("doc", "__doc"), ("doc", "places"), ("named", "at"), ("named", "window"), ("doc", "_doc")):
+        df = spark.createDataFrame(rows, names).withColumnRenamed(old, new)
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+        assert got[2].text == "y\n" and got[1].text == rows[0][1] and got[1][new] == rows[0][2 if old == "doc" else 3]
+
+
 def test_rows_without_an_id_are_documents_of_their_own(spark):
     passage = "\n".join(f"line {k} of the passage" for k in range(4))
     rows = [(None, f"first one\n{passage}\n"), (None, f"second one\n{passage}\n"), (None, "nothing shared\nhere\nat all"), (3, f"{passage}\nown end")]
