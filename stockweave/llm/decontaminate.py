@@ -8,13 +8,18 @@ document's begin and end; it holds the item if the multiplicity-weighted Jaccard
 Search.  Every shingle of every document is looked up in a table of the items'
 shingles; what meets is a hit: its position and how often the item has that shingle.
 A place's similarity follows from the hits inside it and its length alone, so the
-words aren't needed again.  Moving a place right to the next hit loses no hit, and
-ending one that is clipped at the begin with its last hit makes it no less similar;
-so the places that begin at a hit, and those from the begin to a hit, contain the
-most similar one, and nothing is missed, however the passage was edited.  Hits are dealt
-by document, item and stretch: a place reaches from its stretch, as long as the item,
-into the next one at most, so a group has as many hits as two items have shingles,
-however often a document repeats the item.
+words aren't needed again.
+
+Places.  Let a place begin at ``b``, before the document's first word if it is clipped
+there.  A hit at ``at`` counts for it if it lies inside, and if the place has no more
+hits of the same shingle up to it than the item has: both say that ``b`` is in one
+interval, from ``at + k - item_n`` or behind the hit of the same shingle that is as many
+hits before as the item has of it, to ``at``.  So a hit is two events on the line of
+begins, and a running sum over a document's and item's events gives the overlap of
+every place at once, in one sort, however long the item is or often it repeats.
+Between two events the overlap is the same and the shortest place the best, which
+is at one end; so both ends of each stretch are judged and nothing is missed, however
+the passage was edited.
 
 ``distance`` is the Hamming distance of the 56-bit SimHash fingerprints (bit by bit
 the majority of the words' hashes) of place and item; it's told, not a condition.
@@ -34,7 +39,7 @@ Other columns are ignored; :func:`decontaminate` passes them on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames
@@ -96,23 +101,24 @@ def found(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, l
         salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "text_key", "at"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
 
-    own = F.expr("CAST(at DIV item_n AS INT)")
-    met = met.withColumn("stretch", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))))
-    group = ["doc", "text_key", "size", "item", "item_key", "item_n", "stretch"]
-    hits = met.groupBy(*group).agg(F.collect_set(F.struct("at", "key", "times")).alias("hits"))
-    hits = hits.withColumn("k", F.least("item_n", F.lit(SHINGLE))).withColumn("item_size", F.expr("item_n - k + 1"))
-    hits = hits.filter(F.size("hits") >= F.col("item_size") * least)
-    inner = "transform(filter(hits, h -> h.at DIV item_n = stretch), h -> named_struct('begin', h.at, 'end', least(h.at + item_n, size)))"
-    first = "transform(filter(hits, h -> stretch = 0 AND h.at + k < item_n), h -> named_struct('begin', 0, 'end', h.at + k))"
-    places = f"concat({inner}, {first})"
-    placed = hits.select("*", F.explode(F.expr(places)).alias("place"))
-    placed = placed.withColumn("hits", F.expr("filter(hits, h -> h.at >= place.begin AND h.at + k <= place.end)"))
-    placed = placed.filter(F.size("hits") >= F.col("item_size") * least)
-    kinds = "array_distinct(transform(hits, h -> named_struct('key', h.key, 'times', h.times)))"
-    common = F.expr(f"aggregate({kinds}, 0, (n, x) -> n + least(size(filter(hits, h -> h.key = x.key)), x.times))")
-    placed = placed.withColumn("common", common)
-    checked = placed.withColumn("similarity", F.expr("common / (place.end - place.begin - k + 1 + item_size - common)")).filter(F.col("similarity") >= least)
-    best = F.max(F.struct("similarity", (-F.col("place.begin")).alias("b"), (F.col("place.end") - F.col("place.begin")).alias("n"), "text_key", "item_key"))
+    group = ["doc", "text_key", "item", "item_key", "size", "item_n"]
+    hits = met.repartition("doc", "text_key", "item").groupBy(*group, "key", "times").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    # From where on the hit of each shingle that is ``times`` hits before is left out.
+    hits = hits.select(*group, "times", F.posexplode("ats").alias("i", "at"), F.expr("concat(array_repeat(CAST(NULL AS INT), times), ats)").alias("earlier"))
+    k = F.least("item_n", F.lit(SHINGLE))
+    low = F.greatest(F.col("at") + k - F.col("item_n"), F.get("earlier", F.col("i")) + 1)  # greatest() passes over nulls
+    event = lambda b, by: F.struct(b.cast("int").alias("b"), F.lit(by).alias("by"))
+    events = hits.select(*group, F.explode(F.array(event(low, 1), event(F.col("at") + 1, -1))).alias("event")).select(*group, "event.*")
+    line = Window.partitionBy("doc", "text_key", "item", "item_key", "size", "item_n").orderBy("b")
+    swept = events.select(*group, "b", F.sum("by").over(line.rangeBetween(Window.unboundedPreceding, 0)).cast("int").alias("common"), F.lead("b").over(line).alias("next"))
+    item_size = F.col("item_n") - k + 1
+    swept = swept.filter(F.col("common") >= item_size * least)
+    last = F.when(F.col("next") > F.col("b"), F.col("next") - 1).otherwise(F.col("b"))
+    placed = swept.select("*", F.explode(F.array("b", last)).alias("from")).withColumn("begin", F.greatest(F.col("from"), F.lit(0)))
+    placed = placed.withColumn("n", F.least(F.col("from") + F.col("item_n"), F.col("size")) - F.col("begin"))
+    similarity = F.col("common") / (F.col("n") - k + 1 + item_size - F.col("common"))
+    checked = placed.withColumn("similarity", similarity).filter(F.col("similarity") >= least)
+    best = F.max(F.struct("similarity", (-F.col("begin")).alias("b"), "n", "text_key", "item_key"))
     return checked.groupBy("doc", "item").agg(best.alias("best"))
 
 
@@ -142,4 +148,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     best = found(docs, _items(benchmark, item_column, item_text_column), id_column, text_column, least)
     if best is None:
         return docs
-    return docs.join(best.select(F.col("doc").alias("__leak")).distinct(), F.col(id_column) == F.col("__leak"), "left_anti")
+    leak = frames.fresh(docs, "leak")
+    return docs.join(best.select(F.col("doc").alias(leak)).distinct(), F.col(id_column) == F.col(leak), "left_anti")

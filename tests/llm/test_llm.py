@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -187,8 +188,32 @@ def test_short_repeated_and_tied_items_equal_brute_force(spark, monkeypatch, bro
     assert {(x.doc_id, x.item_id) for x in got} == brute_leaks(docs, items, 1) and len(got) == len({(x.doc_id, x.item_id) for x in got})
 
 
+def test_long_and_repetitive_items(spark):
+    """Items of thousands of words, edited, and items whose shingles repeat, inside documents that repeat them."""
+    r = random.Random(17)
+    prose = lambda n: [f"t{r.randint(0, 3000)}" for _ in range(n)]
+    items = {1: prose(2000), 2: prose(5000), 3: ["ha"] * 700, 4: prose(3) * 300, 5: (prose(50) + ["x"]) * 20}
+    docs = [(0, prose(9000))]
+    for i, w in items.items():
+        docs += [(10 * i, prose(100) + w + prose(50)), (10 * i + 1, prose(20) + edited(r, w, "replace", len(w) // 80) + prose(500)), (10 * i + 2, w[len(w) // 20 :]), (10 * i + 3, prose(5) + w[: len(w) // 2] + prose(len(w) // 2))]
+    docs += [(60, ["ha"] * 20_000), (61, items[4] * 5), (62, (items[5] + prose(7)) * 4)]
+    began = time.time()
+    tables = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], kind) for rows, kind in ((docs, "doc_id long, text string"), (items.items(), "item_id long, text string"))]
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(*tables).collect()}
+    assert time.time() - began < 60
+    grams = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    for (d, i), x in got.items():
+        place, item = grams(dict(docs)[d][x.start_word :][: x.n_words]), grams(items[i])
+        assert abs(x.similarity - sum((place & item).values()) / sum((place | item).values())) < 1e-9
+    whole = {(10 * i, i) for i in items} | {(60, 3), (61, 4), (62, 5)}
+    assert all(got[pair].similarity == 1 for pair in whole) and {(10 * i + j, i) for i in (1, 2) for j in (1, 2)} <= set(got)
+    assert not {d for d, _ in got} & {0, 13, 23}
+
+
 def test_decontaminate_keeps_columns_and_empty_tables(spark, messy, empty):
     items = spark.createDataFrame([(1, messy_rows()[5][1])], "item_id long, text string")
+    clash = messy.withColumn("leak", F.lit(1)).withColumn("__leak", F.lit(2)).withColumn("doc", F.lit(3))
+    assert decontaminate.decontaminate(clash, items).columns == clash.columns
     kept = decontaminate.decontaminate(messy, items)
     assert kept.columns == messy.columns and {5, 6} & {r.doc_id for r in kept.collect()} == set() and kept.filter("doc_id IS NULL").count() == 1
     assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(messy, items.limit(0)).count() == 0
