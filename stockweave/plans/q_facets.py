@@ -134,9 +134,14 @@ def agg_merge_levels(spark, d):
     return A.merge_levels(per)
 
 
-@query("agg_default_type", "SELECT * FROM (VALUES ('CATEGORY', 'hierarchical'), ('NUMBER', 'interval'), ('STRING', 'term')) t(field_type, facet_type)")
+@query("agg_default_type", _W + "SELECT name, CASE kind WHEN 'number' THEN 'interval' WHEN 'path' THEN 'hierarchical' ELSE 'term' END AS facet_type, count(DISTINCT doc_id) AS doc_count, count(DISTINCT CASE WHEN kind = 'number' THEN CAST(floor(num_value / 5) * 5 AS VARCHAR) WHEN kind = 'path' THEN split_part(value, '/', 1) ELSE value END) AS entries FROM fv WHERE variant_pos IS NULL GROUP BY ALL")
 def agg_default_type(spark, d):
-    return spark.createDataFrame([(t, A.default_type(t)) for t in ("CATEGORY", "NUMBER", "STRING")], "field_type string, facet_type string")
+    """All fields as facets of their types' default kinds: terms, intervals, or a tree's top level."""
+    kinds = {k: A.default_type(t) for k, t in (("term", "STRING"), ("number", "NUMBER"), ("path", "CATEGORY"))}
+    facet_type = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in kinds.items()])
+    low = (F.floor(F.col("num_value") / A.INTERVAL) * A.INTERVAL).cast("string")
+    entry = F.when(facet_type == "interval", low).when(facet_type == "hierarchical", F.substring_index("value", "/", 1)).otherwise(F.col("value"))
+    return _values(spark, d).groupBy("name", facet_type.alias("facet_type")).agg(F.countDistinct("doc_id").alias("doc_count"), F.countDistinct(entry).alias("entries"))
 
 
 _COV = ", c AS (SELECT name, CAST(sum(n) AS BIGINT) AS coverage, count(*) AS entries FROM (SELECT name, value, count(DISTINCT doc_id) AS n FROM fv WHERE variant_pos IS NULL GROUP BY ALL) GROUP BY name)"
@@ -160,11 +165,14 @@ def agg_size_filter(spark, d):
     return A.visible(_stats(spark, d), n, {x: A.FacetConfig(x, min_value_count=20) for x in names}, {"type"})
 
 
-@query("agg_dep_filter", "SELECT * FROM (VALUES ('any', true), ('brand', true), ('deep', true), ('none', false)) t(facet, shown)")
+@query("agg_dep_filter", _W + "SELECT name, value, count(DISTINCT doc_id) AS doc_count FROM fv WHERE variant_pos IS NULL AND name IN ('size', 'type') AND doc_id IN (SELECT doc_id FROM items WHERE brand = 'Brand#11') GROUP BY ALL")
 def agg_dep_filter(spark, d):
-    selected = {"category": ("a/b/c",), "brand": ("foobar",)}
-    deps = {"any": ("brand=*",), "brand": ("brand=FooBar",), "deep": ("category=a/b&brand=*",), "none": ("category=a/bee", "color=*")}
-    return spark.createDataFrame([(k, A.shown(A.FacetConfig(k, dependencies=v), selected)) for k, v in deps.items()], "facet string, shown boolean")
+    """Facets of filtered products, of which one asks for a brand that isn't selected and one for a field without a filter."""
+    selected = {"brand": ("brand#11",)}
+    deps = {"size": ("brand=*",), "type": ("color=*", "brand=Brand#11"), "price": ("brand=Brand#12",), "category": ("brand=*&color=*",)}
+    names = [n for n, some in deps.items() if A.shown(A.FacetConfig(n, dependencies=some), selected)]
+    hits = C.items(spark, d).filter(F.lower("brand").isin(*selected["brand"]))
+    return C.facet_values(hits).filter(F.col("name").isin(*names)).groupBy("name", "value").agg(F.countDistinct("doc_id").alias("doc_count"))
 
 
 @query("agg_facet_order", _W + _COV + " SELECT name, coverage, row_number() OVER (ORDER BY name <> 'size', coverage DESC, name) AS pos FROM c QUALIFY pos <= 3")

@@ -334,12 +334,16 @@ def mrg_patch(spark, d):
     return _shown(J.patch_documents(have, new, {"both": ["title", "brand"]}, "id"))
 
 
-@query("mrg_required_fields", "SELECT DISTINCT CASE f.type WHEN 'NUMBER' THEN 'number_facets' WHEN 'CATEGORY' THEN 'path_facets' ELSE 'term_facets' END AS part, f.name FROM (VALUES ('brand', 'TERM'), ('size', 'NUMBER'), ('category', 'CATEGORY'), ('color', 'TERM')) f(name, type) UNION ALL SELECT 'variants', 'with variants'")
+@query("mrg_required_fields", f"WITH {C.SQL} SELECT doc_id, CASE name WHEN 'size' THEN 'number_facets' WHEN 'category' THEN 'path_facets' ELSE 'term_facets' END AS part, count(DISTINCT value) AS n FROM fv WHERE variant_pos IS NULL AND name IN ('brand', 'size', 'category') GROUP BY ALL")
 def mrg_required_fields(spark, d):
+    """What a patch of these fields has to read of each indexed document: the parts they are in, nothing else."""
     from .q_filters import FIELDS
 
-    rows = [(part, n) for n in ("brand", "size", "category", "color", "title", "image", "unknown") for part in J.required_fields([n], FIELDS)]
-    return spark.createDataFrame(rows + [(part, "with variants") for part in J.required_fields(["title"], FIELDS, True)], "part string, name string")
+    names = ("brand", "size", "category", "title", "image", "unknown")
+    part_of = {n: p for n in names for p in J.required_fields([n], FIELDS)}
+    part = F.coalesce(*[F.when(F.col("name") == n, F.lit(p)) for n, p in part_of.items()])
+    needed = C.facet_values(C.items(spark, d)).filter(F.col("name").isin(*part_of))
+    return needed.groupBy("doc_id", part.alias("part")).agg(F.countDistinct("value").alias("n"))
 
 
 def _two_tables(spark, d, name):

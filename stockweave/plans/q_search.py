@@ -13,7 +13,7 @@ from ..operators import ranking as K
 from ..operators import suggest as G
 from ..sources import catalog as C
 from ..sources import scratch
-from . import params, prodsets, querystring, rules, search
+from . import graph, params, prodsets, querystring, rules, search
 from .params import Filter, SearchRequest, Sort
 from .q_filters import FIELDS
 from .registry import query
@@ -41,10 +41,14 @@ def mat_configurable(spark, d):
     return M.match(titled(spark, d), tok(), ["red", "bolt", "old"], "2").select("doc_id", "matched")
 
 
-@query("mat_min_should_match", "SELECT * FROM (VALUES (1, '2<80%', 1), (2, '2<80%', 2), (3, '2<80%', 2), (5, '2<80%', 4), (4, '-1', 3), (4, '-25%', 3), (4, '70%', 2), (3, '5', 3)) t(n, spec, k)")
+_SPECS = ("2<80%", "-1", "-25%", "50%", "1")
+
+
+@query("mat_min_should_match", _W + f"SELECT spec, doc_id, matched FROM (SELECT doc_id, CAST(list_sum([CAST(list_contains(w, x) AS INTEGER) FOR x IN ['red', 'bolt', 'red', 'old']]) AS BIGINT) AS matched FROM (SELECT doc_id, {_T} AS w FROM items)), (VALUES ('2<80%', 3), ('-1', 3), ('-25%', 3), ('50%', 2), ('1', 1)) t(spec, k) WHERE matched >= k")
 def mat_min_should_match(spark, d):
-    cases = [(1, "2<80%"), (2, "2<80%"), (3, "2<80%"), (5, "2<80%"), (4, "-1"), (4, "-25%"), (4, "70%"), (3, "5")]
-    return spark.createDataFrame([(n, s, M.min_should_match(s, n)) for n, s in cases], "n int, spec string, k int")
+    """Each way to say how many of four terms (one of them twice) must match, on all products."""
+    x = titled(spark, d)
+    return reduce(DataFrame.unionByName, [M.match(x, tok(), ["red", "bolt", "red", "old"], s).select(F.lit(s).alias("spec"), "doc_id", F.col("matched").cast("long").alias("matched")) for s in _SPECS])
 
 
 @query("mat_phrase_boost", _W + f"SELECT doc_id, round(CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER) + 1.1 * (CAST(list_contains({_T}, 'red') AS INTEGER) + CAST(list_contains({_T}, 'bolt') AS INTEGER)) + CASE WHEN title = 'red bolt' THEN 1.5 ELSE 0.0 END, 6) AS score FROM items")
@@ -114,10 +118,13 @@ def mat_prediction(spark, d):
     return M.predicted(titled(spark, d), tok(), ["red", "bolt", "old"]).select("doc_id", "score")
 
 
-@query("mat_prediction_order", "SELECT * FROM (VALUES (0, 'a b c'), (1, 'a b'), (2, 'b c'), (3, 'a')) t(pos, terms)")
+@query("mat_prediction_order", _W + f", m AS (SELECT mask, count(*) AS n FROM ({_MASK}) WHERE mask > 0 GROUP BY mask), p AS (SELECT a.mask, CAST(sum(b.n) AS BIGINT) AS matches FROM m a JOIN m b ON (b.mask & a.mask) = a.mask GROUP BY a.mask) SELECT row_number() OVER (ORDER BY mask = 7 DESC, bit_count(mask) DESC, matches, mask) - 1 AS pos, concat_ws(' ', CASE WHEN mask & 1 > 0 THEN 'red' END, CASE WHEN mask & 2 > 0 THEN 'bolt' END, CASE WHEN mask & 4 > 0 THEN 'old' END) AS terms, matches FROM p")
 def mat_prediction_order(spark, d):
-    got = M.predicted_queries([(7, 1), (3, 2), (6, 5), (1, 3)], ["a", "b", "c"])
-    return spark.createDataFrame([(i, " ".join(p["terms"])) for i, p in enumerate(got)], "pos int, terms string")
+    """The order of the predicted queries, by what the catalog has of each."""
+    terms = ["red", "bolt", "old"]
+    counts = [(r["mask"], r["n"]) for r in M.cooccurrence(titled(spark, d), tok(), terms).collect()]  # at most 2 ** terms rows
+    got = M.predicted_queries(counts, terms)
+    return spark.createDataFrame([(i, " ".join(p["terms"]), p["matches"]) for i, p in enumerate(got)], "pos long, terms string, matches long")
 
 
 @query("mat_variant_any", _W + "SELECT doc_id, round(max(greatest(a, b) + 0.2 * least(a, b)), 6) AS score FROM (SELECT doc_id, CASE WHEN color = 'R' THEN 2.0 ELSE 0.0 END AS a, CASE WHEN status = 'O' THEN 1.0 ELSE 0.0 END AS b FROM variants) WHERE a + b > 0 GROUP BY doc_id")
@@ -158,11 +165,14 @@ def mat_spellcheck(spark, d):
     return M.spell_corrections(words, ["widgat", "anvill"])
 
 
-@query("mat_fields_validate", "SELECT * FROM (VALUES ('title', 2.0)) t(field, weight)")
+@query("mat_fields_validate", _W + f"SELECT doc_id, CASE WHEN list_contains({_T}, 'red') THEN 2.0 ELSE 0.0 END AS score FROM items WHERE list_contains({_T}, 'red')")
 def mat_fields_validate(spark, d):
+    """A search over fields of which one may be searched, one may not and one is unknown."""
     wanted = {"title": 2.0, "brand": 1.0, "unknown": 3.0}
-    kept = [(n, w) for n, w in wanted.items() if any("SEARCH" in f.usage for f in FIELDS.match(n))]
-    return spark.createDataFrame(kept, "field string, weight double")
+    kept = {n: w for n, w in wanted.items() if any("SEARCH" in f.usage for f in FIELDS.match(n))}
+    fields = {n: c for n, c in _fields().items() if n in kept}
+    hit, score = M.match_any(fields, ["red", "brand#11"], kept, 0.0)
+    return titled(spark, d).filter(hit).select("doc_id", score.alias("score"))
 
 
 _TOKENS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
@@ -191,14 +201,39 @@ def _rewrite(q):
     return rules.rewrite(q, rules.parse_rules(RULES))
 
 
-@query("rul_synonym", "SELECT '(red OR crimson OR scarlet^0.5) ring' AS label")
+#: Two rules of two terms overlap in ``bolt``.
+GRAPH_RULES = """
+red bolt => SYNONYM(1.6): gear ; SYNONYM(1.3): small widget
+bolt ring => SYNONYM(0.7): (old anvil)
+ring => SYNONYM(0.5): plate
+old => SYNONYM: vintage ; DELETE
+cold gizmo => DELETE
+gizmo => SYNONYM(0.9): gadget thing
+"""
+_SPANS = f"""g AS (SELECT doc_id, CASE WHEN list_contains(w, 'red') THEN 1.0 ELSE 0.0 END AS a, CASE WHEN list_contains(w, 'bolt') THEN 1.0 ELSE 0.0 END AS b,
+  CASE WHEN list_contains(w, 'ring') THEN 1.0 WHEN list_contains(w, 'plate') THEN 0.5 ELSE 0.0 END AS c,
+  CASE WHEN list_contains(w, 'gear') THEN 1.6 WHEN title = 'small widget' THEN 1.3 ELSE 0.0 END AS ab, CASE WHEN title = 'old anvil' THEN 0.7 ELSE 0.0 END AS bc FROM (SELECT doc_id, title, {_T} AS w FROM items)),
+v AS (SELECT doc_id, CASE WHEN CAST(a > 0 AS INTEGER) + CAST(b > 0 AS INTEGER) + CAST(c > 0 AS INTEGER) >= 2 THEN a + b + c END AS x,
+  CASE WHEN CAST(ab > 0 AS INTEGER) + CAST(c > 0 AS INTEGER) >= 1 THEN ab + c END AS y, CASE WHEN CAST(a > 0 AS INTEGER) + CAST(bc > 0 AS INTEGER) >= 1 THEN a + bc END AS z FROM g)"""
+
+
+@query("rul_synonym", _W + f", {_SPANS} SELECT doc_id, round(greatest(x, y, z), 6) AS score FROM v WHERE coalesce(x, y, z) IS NOT NULL")
 def rul_synonym(spark, d):
-    return spark.createDataFrame([(_rewrite("red ring").label(),)], "label string")
+    """Three variants of one query, made by overlapping rules of several terms."""
+    found = graph.search(titled(spark, d), {"title": tok()}, graph.build("red bolt ring", rules.parse_rules(GRAPH_RULES)), spec="-1")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
 
+def _titles(spark, d):
+    """The distinct titles as a log of queries."""
+    return C.items(spark, d).select(F.col("title").alias("query")).distinct().withColumn("terms", F.split("query", " "))
 
-@query("rul_delete", "SELECT 'bolt' AS label")
+
+@query("rul_delete", _W + "SELECT DISTINCT title AS query, CASE WHEN title IN ('cold gizmo') THEN title WHEN title LIKE 'old %' THEN substr(title, 5) ELSE title END AS rewritten FROM items")
 def rul_delete(spark, d):
-    return spark.createDataFrame([(_rewrite("cheap red bolt").label(),)], "label string")
+    """Rules that delete terms, on all queries; one that would lose all its terms keeps them."""
+    done = graph.without_deleted(_titles(spark, d), rules.parse_rules(GRAPH_RULES))
+    return done.select("query", F.array_join("terms", " ").alias("rewritten"))
 
 
 @query("rul_filter", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'bolt') AND brand = 'Brand#11'")
@@ -210,10 +245,15 @@ def rul_filter(spark, d):
     return apply_filters(M.match(x, tok(), got.terms), C.facet_values(x), got.filters).select("doc_id")
 
 
-@query("rul_filter_merge", "SELECT 'brand' AS field, 'a,b' AS v, false AS negate")
+@query("rul_filter_merge", _W + f"SELECT doc_id FROM items WHERE list_contains({_T}, 'rod') AND brand IN ('Brand#11', 'Brand#12')")
 def rul_filter_merge(spark, d):
-    f = rules.merge_filters([rules.filter_of("brand:a"), rules.filter_of("-brand:c"), rules.filter_of("brand:b")])[0]
-    return spark.createDataFrame([(f.field, ",".join(f.values), f.negate)], "field string, v string, negate boolean")
+    """Three rules filter one field: values are united, an including filter beats an excluding one."""
+    from ..operators.filters import apply_filters
+
+    merging = rules.parse_rules("rod => FILTER: brand:Brand#11 ; FILTER: -brand:Brand#13 ; FILTER: brand:Brand#12")
+    got = rules.rewrite("rod", merging)
+    x = titled(spark, d)
+    return apply_filters(M.match(x, tok(), got.terms), C.facet_values(x), got.filters).select("doc_id")
 
 
 @query("rul_boost", _W + f"SELECT doc_id, (1.0 + CASE WHEN list_contains({_T}, 'new') THEN 2.0 ELSE 0.0 END) * CASE WHEN list_contains({_T}, 'old') THEN 0.5 ELSE 1.0 END AS score FROM items WHERE list_contains({_T}, 'bolt')")
@@ -225,9 +265,16 @@ def rul_boost(spark, d):
     return x.select("doc_id", score.alias("score"))
 
 
-@query("rul_term_ast", "SELECT * FROM (VALUES ('red', 'crimson', 1.0), ('red', 'scarlet', 0.5)) t(term, alt, weight)")
+_AST = """, q AS (SELECT DISTINCT title AS query, split_part(title, ' ', 1) AS x, split_part(title, ' ', 2) AS y FROM items),
+r(head, text, weight) AS (VALUES ('red bolt', 'gear', 1.6), ('red bolt', 'small widget', 1.3), ('bolt ring', 'old anvil', 0.7), ('ring', 'plate', 0.5), ('old', 'vintage', 1.0), ('gizmo', 'gadget thing', 0.9)),
+runs AS (SELECT query, 0 AS a, 1 AS b, x AS head FROM q UNION ALL SELECT query, 1, 2, y FROM q UNION ALL SELECT query, 0, 2, query FROM q)
+SELECT query, a AS "begin", b AS "end", head AS text, CAST(1.0 AS DOUBLE) AS weight FROM runs WHERE b = a + 1 UNION ALL SELECT query, a, b, text, CAST(weight AS DOUBLE) FROM runs JOIN r USING (head)"""
+
+
+@query("rul_term_ast", _W + _AST)
 def rul_term_ast(spark, d):
-    return spark.createDataFrame([(t, a, w) for t, alts in _rewrite("red").alternatives.items() for a, w in alts], "term string, alt string, weight double")
+    """The token graphs of all titles: terms and weighted alternatives of their runs."""
+    return graph.edges(_titles(spark, d), rules.parse_rules(GRAPH_RULES)).select("query", "begin", "end", "text", "weight")
 
 
 # --- scoring -----------------------------------------------------------------
@@ -319,10 +366,12 @@ def sco_hero_boost(spark, d):
 # --- sorting, paging, variants -----------------------------------------------
 
 
-@query("srt_parse", "SELECT * FROM (VALUES (0, 'price', true), (1, 'title', false)) t(pos, field, down)")
+@query("srt_parse", _W + "SELECT doc_id, CAST(row_number() OVER (ORDER BY price DESC, size, doc_id) AS INTEGER) AS pos FROM items")
 def srt_parse(spark, d):
-    got = params.parse_sort("image,-price,title", FIELDS)
-    return spark.createDataFrame([(i, s.field, s.descending) for i, s in enumerate(got)], "pos int, field string, down boolean")
+    """A sort parameter with a field that can't be sorted by, applied to all products."""
+    sorts = params.parse_sort("image,-price,size,unknown", FIELDS)
+    hits = C.items(spark, d).select("doc_id", *[F.col(s.field).cast("double").alias(f"{s.field}_{end}") for s in sorts for end in ("lo", "hi")])
+    return K.positions(hits, K.sort_columns(sorts, with_score=False)).select("doc_id", F.col("pos").cast("int").alias("pos"))
 
 
 _ENDS = "e AS (SELECT doc_id, min(price) AS price_lo, max(price) AS price_hi FROM variants GROUP BY doc_id)"
@@ -348,10 +397,18 @@ def srt_variant(spark, d):
     return C.variants(spark, d).select("doc_id", "variant_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("price", "variant_pos")).alias("rank"))
 
 
-@query("srt_options", "SELECT * FROM (VALUES ('price', true), ('size', false), ('title', false)) t(field, active)")
+_OPTIONS = [("price", True), ("price", False), ("size", True), ("size", False)]
+
+
+@query("srt_options", _W + ", o(field, down) AS (VALUES " + ", ".join(f"('{f}', {down})" for f, down in _OPTIONS) + "), f AS (SELECT arg_min(doc_id, (price, doc_id)) AS p, arg_min(doc_id, (-price, doc_id)) AS pd, arg_min(doc_id, (size, doc_id)) AS s, arg_min(doc_id, (-size, doc_id)) AS sd FROM items) SELECT field, down, field = 'price' AND down AS active, 'q=x&sort=' || CASE WHEN down THEN '-' ELSE '' END || field AS link, CASE field WHEN 'price' THEN CASE WHEN down THEN pd ELSE p END ELSE CASE WHEN down THEN sd ELSE s END END AS first_id FROM o, f")
 def srt_options(spark, d):
-    active = {s.field for s in params.parse_sort("-price", FIELDS)}
-    return spark.createDataFrame([(f.name, f.name in active) for f in FIELDS.fixed if "SORT" in f.usage], "field string, active boolean")
+    """The sort options of a result, with links, and the product that each would put first; one scan for all."""
+    active = {(s.field, s.descending) for s in params.parse_sort("-price", FIELDS)}
+    numbers = [f.name for f in FIELDS.fixed if "SORT" in f.usage and f.type == "NUMBER"]
+    options = [(n, down) for n in numbers for down in (True, False)]
+    first = lambda n, down: F.min_by("doc_id", F.struct(-F.col(n) if down else F.col(n), "doc_id"))
+    entry = [F.struct(F.lit(n).alias("field"), F.lit(down).alias("down"), F.lit((n, down) in active).alias("active"), F.lit(search.links({"q": "x"}, sort=f"{'-' if down else ''}{n}")).alias("link"), first(n, down).alias("first_id")) for n, down in options]
+    return C.items(spark, d).agg(F.array(*entry).alias("options")).select(F.inline("options"))
 
 
 @query("lim_page", _W + "SELECT doc_id, title FROM items ORDER BY price DESC, doc_id LIMIT 12 OFFSET 24")
@@ -504,15 +561,21 @@ def arr_slices(spark, d):
     return a.groupBy(F.when(F.col("set_no") == 0, "first").when(F.col("set_no") == 1, "second").otherwise("main").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("lnk_build", "SELECT 'brand=a%2Cb&q=x' AS added, 'q=x' AS removed, 'brand=a&offset=12&q=x&sort=-price' AS sorted")
+@query("lnk_build", _W + "SELECT brand AS value, count(*) AS doc_count, brand = 'Brand#11' AS selected, CASE WHEN brand = 'Brand#11' THEN 'q=x' ELSE 'brand=Brand%2311%2C' || replace(brand, '#', '%23') || '&q=x' END AS link FROM items GROUP BY brand")
 def lnk_build(spark, d):
-    base = {"q": "x", "brand": "a", "offset": "12"}
-    return spark.createDataFrame([(search.links(base, Filter("brand", values=("b",))), search.links(base, remove="brand"), search.links(base, sort="-price"))], "added string, removed string, sorted string")
+    """The links of a facet's entries: each adds its value to the filter or, if it is on, takes it off."""
+    entries = C.items(spark, d).groupBy(F.col("brand").alias("value")).agg(F.count(F.lit(1)).alias("doc_count"))
+    link, on = search.entry_links({"q": "x", "brand": "Brand#11", "offset": "12"}, "brand", F.col("value"))
+    return entries.select("value", "doc_count", on.alias("selected"), link.alias("link"))
 
 
-@query("meta_label", "SELECT '(red OR crimson OR scarlet^0.5) gear' AS label")
+@query("meta_label", _W + ", t AS (SELECT DISTINCT title, split_part(title, ' ', 1) AS x, split_part(title, ' ', 2) AS y FROM items), l AS (SELECT title, CASE x WHEN 'red' THEN '(red OR crimson OR scarlet^0.5)' ELSE x END || ' ' || y AS label FROM t) SELECT title AS query, label FROM l")
 def meta_label(spark, d):
-    return spark.createDataFrame([(_rewrite("red gear").label(),)], "label string")
+    """The label of each title as a query under the rules."""
+    parsed = rules.parse_rules(RULES)
+    own = {h[0]: graph.build(h[0], {h: some}).label() for h, some in parsed.items() if len(h) == 1 and any(x.kind == "SYNONYM" for x in some)}
+    labelled = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    return _titles(spark, d).select("query", F.array_join(F.transform("terms", lambda t: F.coalesce(labelled[t], t)), " ").alias("label"))
 
 
 @query("meta_trace", _W + "SELECT 'bolt red' AS q, CASE WHEN count(*) FILTER (title = 'red bolt') > 0 THEN 'all' ELSE 'relaxed' END AS strategy, CASE WHEN count(*) FILTER (title = 'red bolt') > 0 THEN 2 ELSE 3 END AS queries, 'bolt red' AS terms FROM items")
@@ -521,18 +584,30 @@ def meta_trace(spark, d):
     return spark.createDataFrame([(m["query"], m["strategy"], len(m["trace_query"]), " ".join(m["trace_request"]["terms"]))], "q string, strategy string, queries int, terms string")
 
 
-@query("cfg_merge_search", "SELECT * FROM (VALUES ('facets', 'b,a'), ('scoring', 'none')) t(section, v)")
+@query("cfg_merge_search", _W + ", c AS (SELECT name, value, count(DISTINCT doc_id) AS doc_count FROM fv WHERE variant_pos IS NULL AND name IN ('brand', 'type') GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_count DESC, value) <= CASE name WHEN 'brand' THEN 4 ELSE 2 END")
 def cfg_merge_search(spark, d):
-    got = search.merge_config({"facets": [{"name": "a"}, {"name": "b", "old": 1}], "scoring": {"mode": "avg"}}, {"facets": [{"name": "b"}], "scoring": None}, {"scoring": False})
-    return spark.createDataFrame([("facets", ",".join(f["name"] for f in got["facets"])), ("scoring", str(got["scoring"]).lower())], "section string, v string")
+    """Facets as a tenant's configuration, merged with the defaults, asks for them."""
+    from pyspark.sql import Window
+
+    defaults = {"facets": [{"name": "type", "limit": 2}, {"name": "brand", "limit": 9}], "scoring": {"mode": "avg"}}
+    got = search.merge_config(defaults, {"facets": [{"name": "brand", "limit": 4}], "scoring": None}, {"scoring": False})
+    assert got["scoring"] is None
+    limits = {f["name"]: f["limit"] for f in got["facets"]}
+    counted = C.facet_values(C.items(spark, d)).filter(F.col("name").isin(*limits)).groupBy("name", "value").agg(F.countDistinct("doc_id").alias("doc_count"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.col("doc_count").desc(), "value"))
+    most = F.coalesce(*[F.when(F.col("name") == n, F.lit(k)) for n, k in limits.items()])
+    return counted.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
 
 
-@query("cfg_merge_index", "SELECT 'BOTH' AS level, 'FACET,SEARCH' AS usage")
+@query("cfg_merge_index", _W + "SELECT level, count(*) AS n, min(value) AS lo, max(value) AS hi FROM (SELECT 'MASTER' AS level, price AS value FROM items UNION ALL SELECT 'VARIANT', price FROM variants) GROUP BY level")
 def cfg_merge_index(spark, d):
+    """A field that two indexes have on different levels is read on both, with both usages."""
     from ..schema import Field, FieldIndex
 
-    f = FieldIndex([Field("x", usage=("FACET",))]).merged(FieldIndex([Field("x", level="VARIANT", usage=("SEARCH",))])).match("x")[0]
-    return spark.createDataFrame([(f.level, ",".join(f.usage))], "level string, usage string")
+    merged = FieldIndex([Field("price", "NUMBER", usage=("FACET",))]).merged(FieldIndex([Field("price", "NUMBER", level="VARIANT", usage=("SEARCH",))])).match("price")[0]
+    sides = ([("MASTER", C.items(spark, d))] if merged.on_master else []) + ([("VARIANT", C.variants(spark, d, False))] if merged.on_variant else [])
+    values = reduce(DataFrame.unionByName, [x.select(F.lit(level).alias("level"), F.col(merged.name).cast("double").alias("value")) for level, x in sides])
+    return values.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
 # --- suggest -----------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from . import graph
 from .params import Filter, QueryCondition, SearchRequest, parse_trace
 
 
@@ -28,8 +29,9 @@ class SearchResult:
     meta: dict = field(default_factory=dict)
 
 
-def run_stage(docs: DataFrame, tokens: Column, terms: list[str], stage: Stage) -> DataFrame:
-    """Matches with ``score``."""
+def run_stage(docs: DataFrame, tokens: Column, terms: list[str], stage: Stage, rules: graph.Rules | None = None) -> DataFrame:
+    """Matches with ``score``.  Where rules have synonyms for the terms, ``all`` and ``any``
+    match and score the variants of the query."""
     if stage.strategy == "none":
         return docs.filter(F.lit(False)).withColumn("score", F.lit(0.0))
     if stage.strategy == "match_all" or not terms:
@@ -49,9 +51,12 @@ def run_stage(docs: DataFrame, tokens: Column, terms: list[str], stage: Stage) -
         if stage.fallback is None:
             return found
         if not found.take(1):
-            return run_stage(docs, tokens, terms, stage.fallback)
+            return run_stage(docs, tokens, terms, stage.fallback, rules)
         return _boosted_by_unmatched(found, tokens, terms)
     spec = stage.min_should_match if stage.strategy == "all" else "1"
+    variants = graph.build(" ".join(terms), rules or {})
+    if any(len(some) != 1 for some in variants.spans.values()) or len(variants.spans) > len(terms):
+        return graph.search(docs, {"text": tokens}, variants, spec=spec)
     matched = M.match(M.bm25(docs, tokens, terms), tokens, terms, spec)
     return matched.drop("matched")
 
@@ -77,12 +82,12 @@ def sufficient(found: DataFrame, request: SearchRequest, heroes: int = 0, hero_i
 
 
 def staged_search(
-    docs: DataFrame, tokens: Column, request: SearchRequest, stages: list[Stage], dictionary: DataFrame | None = None, heroes: int = 0, only: int | None = None, hero_ids: DataFrame | None = None, trace: str | None = None
+    docs: DataFrame, tokens: Column, request: SearchRequest, stages: list[Stage], dictionary: DataFrame | None = None, heroes: int = 0, only: int | None = None, hero_ids: DataFrame | None = None, trace: str | None = None, rules: graph.Rules | None = None
 ) -> SearchResult:
     """Stage by stage; one small count decides.  Before the next stage, an
     insufficient one is tried once with corrected spelling.  Blank queries without
     filters give an empty result with an error.  ``docs`` are those that meet the
-    request's filters, heroes among them."""
+    request's filters, heroes among them; ``rules`` give synonyms and deletions."""
     flags = parse_trace(trace)
     terms = request.q.lower().split()
     if not terms and not request.filters and request.q:
@@ -96,7 +101,7 @@ def staged_search(
         tries = [terms]
         while tries:
             mine = tries.pop()
-            found = run_stage(docs, tokens, mine, stage)
+            found = run_stage(docs, tokens, mine, stage, rules)
             meta |= {"stage": n, "strategy": stage.name}
             if "request" in flags:
                 meta["trace_request"] = {"q": request.q, "filters": len(request.filters), "terms": mine}
@@ -126,6 +131,21 @@ def links(base: dict[str, str], f: Filter | None = None, remove: str | None = No
     return urllib.parse.urlencode(sorted(params.items()))
 
 
+def entry_links(base: dict[str, str], name: str, value: Column) -> tuple[Column, Column]:
+    """The query string of each entry of a facet, and whether its filter is on.
+
+    An entry adds its value to the field's filter, or takes it off; paging starts over."""
+    have = [v for v in base.get(name, "").split(",") if v]
+    rest = {k: v for k, v in base.items() if k not in (name, "offset")}
+    plain = F.replace(value, F.lit(","), F.lit("%2C"))
+    on = plain.isin(*have) if have else F.lit(False)
+    left = F.filter(F.array(*map(F.lit, have)).cast("array<string>"), lambda v: v != plain)
+    values = F.array_join(F.when(on, left).otherwise(F.concat(F.array(*map(F.lit, have)).cast("array<string>"), F.array(plain))), ",")
+    own = F.when(values != "", F.concat(F.lit(f"{urllib.parse.quote_plus(name)}="), F.url_encode(values)))
+    parts = {k: F.lit(urllib.parse.urlencode([(k, v)])) for k, v in rest.items()} | {name: own}
+    return F.concat_ws("&", *[parts[k] for k in sorted(parts)]), on
+
+
 def merge_config(defaults: dict, own: dict, use_default: dict[str, bool] | None = None) -> dict:
     """A tenant's sections over the defaults'; a section may shut the defaults out.
     Lists of named entries merge by name, own entries first."""

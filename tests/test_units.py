@@ -366,3 +366,92 @@ def test_patches_of_attributes_categories_and_variants(spark):
     assert got[1].data == {"a": "9", "b": "2"} and [tuple(a) for a in got[1].attributes] == [("w", None, "1"), ("color", "k", "blue"), ("color", "k2", "sky")] and got[1].categories == [["c"]]
     assert [v.data for v in got[1].variants] == [{"id": "v1", "p": "1", "q": "6"}, {"id": "v2"}]
     assert got[2].data == {"a": "1", "ab": "kept"} and got[2].categories == [["new"]] and [v.data for v in got[2].variants] == [{"id": "n"}]
+
+
+def _rules(*lines):
+    from stockweave.plans import rules
+
+    return rules.parse_rules("\n".join(lines))
+
+
+@pytest.mark.parametrize(
+    "q, lines, label",
+    [
+        ("surpresseur", ["surpresseur => SYNONYM: (pompe à immerger)"], '(surpresseur OR "pompe à immerger")'),
+        ("input more", ["input =>", "  SYNONYM: word1 word2"], '(input OR "word1 word2") more'),
+        ("Kreslo", ["kreslo => SYNONYM(0.82): POLSTER"], "(kreslo OR polster^0.82)"),
+        ("super performance", ["super performance =>", " SYNONYM(1.6): akku", " SYNONYM(1.3): speicher & balkon"], '(super performance) OR ((akku^1.6 OR "speicher & balkon"^1.3))'),
+        ("a b c", ["a b => SYNONYM: x", "b c => SYNONYM: y"], "(a b c) OR (a y) OR (x c)"),
+        ("a b c", ["b => DELETE"], "a c"),
+        ("a b", ["a b => DELETE"], "a b"),
+    ],
+)
+def test_synonym_graphs(q, lines, label):
+    from stockweave.plans import graph
+
+    assert graph.build(q, _rules(*lines)).label() == label
+
+
+def test_documents_match_the_best_variant(spark):
+    """Against all variants by hand: every way to read the query, each run by its best alternative."""
+    import itertools
+
+    from stockweave.plans import graph
+
+    lines = ["a b => SYNONYM(1.6): x ; SYNONYM(1.3): y z", "b c => SYNONYM(0.7): w", "c => SYNONYM(0.5): d", "a b c => SYNONYM(3): e", "f => DELETE"]
+    docs = [(i, " ".join(t)) for i, t in enumerate(itertools.chain.from_iterable(itertools.permutations("abcdwxyzef"[:9], n) for n in (1, 2, 3)))]
+    df = spark.createDataFrame(docs, "doc_id long, title string").withColumn("tokens", F.split("title", " "))
+    spans = {(0, 1): [("a", 1)], (1, 2): [("b", 1)], (2, 3): [("c", 1), ("d", 0.5)], (0, 2): [("x", 1.6), ("y z", 1.3)], (1, 3): [("w", 0.7)], (0, 3): [("e", 3)]}
+    paths = [[(0, 1), (1, 2), (2, 3)], [(0, 2), (2, 3)], [(0, 1), (1, 3)], [(0, 3)]]
+    for spec, need in (("100%", len), ("-1", lambda p: max(len(p) - 1, 1)), ("1", lambda p: 1)):
+        want = {}
+        for i, t in docs:
+            run = {s: max((w for x, w in some if f" {x} " in f" {t} "), default=0) for s, some in spans.items()}
+            scores = [sum(run[s] for s in p) for p in paths if sum(run[s] > 0 for s in p) >= need(p)]
+            if scores:
+                want[i] = max(scores)
+        found = graph.search(df, {"title": F.col("tokens")}, graph.build("a b c f", _rules(*lines)), spec=spec)
+        assert {r.doc_id: round(r.score, 9) for r in found.collect()} == {i: round(s, 9) for i, s in want.items()} and want
+
+
+def test_rules_on_a_table_of_queries_equal_those_on_one(spark):
+    from stockweave.plans import graph, rules
+
+    parsed = _rules("red bolt => SYNONYM(1.6): gear", "bolt => SYNONYM: nut ; DELETE", "cheap red => DELETE", "x x => SYNONYM: y", "x => DELETE")
+    queries = ["red bolt", "cheap red bolt", "bolt", "x x x", "", "x bolt", "new red thing bolt"]
+    df = spark.createDataFrame([(q,) for q in queries], "query string").withColumn("terms", F.filter(F.split("query", " "), lambda t: t != ""))
+    got = {}
+    for r in graph.edges(df, parsed).collect():
+        got.setdefault(r.query, set()).add((r.begin, r.end, r.text, r.weight))
+    kept = {r.query: r.terms for r in graph.without_deleted(df, parsed).collect()}
+    for q in queries:
+        g = graph.build(q, {h: [x for x in some if x.kind != "DELETE"] for h, some in parsed.items()})
+        assert got.get(q, set()) == {(*s, " ".join(a.words), a.weight) for s, some in g.spans.items() for a in some}
+        assert kept[q] == rules.rewrite(q, {h: [x for x in some if x.kind == "DELETE"] for h, some in parsed.items()}).terms
+
+
+def test_links_of_entries(spark):
+    import urllib.parse
+
+    from stockweave.plans import search
+
+    values = ["a", "b,c", "ü&", "x y"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for base in ({"q": "x", "offset": "12"}, {"q": "x", "brand": "a,b%2Cc", "zoom": "1"}, {"brand": "a"}):
+        link, on = search.entry_links(base, "brand", F.col("v"))
+        for r in df.select("v", link.alias("link"), on.alias("on")).collect():
+            have = [x for x in base.get("brand", "").split(",") if x]
+            own = r.v.replace(",", "%2C")
+            new = [x for x in have if x != own] if own in have else [*have, own]
+            assert r.on == (own in have)
+            assert dict(urllib.parse.parse_qsl(r.link)) == {k: v for k, v in base.items() if k not in ("offset", "brand")} | ({"brand": ",".join(new)} if new else {})
+
+
+def test_a_stage_matches_synonyms(spark):
+    from stockweave.plans import search
+    from stockweave.plans.params import SearchRequest
+
+    df = spark.createDataFrame([(1, "red gear"), (2, "crimson gear"), (3, "blue gear"), (4, "small cog wheel")], "doc_id long, title string").withColumn("tokens", F.split("title", " "))
+    parsed = _rules("red => SYNONYM(0.5): crimson", "red gear => SYNONYM(0.9): cog wheel")
+    r = search.staged_search(df, F.col("tokens"), SearchRequest("red gear"), [search.Stage("all", "all")], rules=parsed)
+    assert {(x.doc_id, round(x.score, 6)) for x in r.hits.collect()} == {(1, 2.0), (2, 1.5), (4, 0.9)}
