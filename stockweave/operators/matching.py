@@ -2,7 +2,7 @@
 
 A field is an array of tokens.  A term's matches are found on that array, so one
 query over one field is one scan without a shuffle; document frequencies are one
-aggregate.  For many queries at once, :func:`postings` is joined instead."""
+aggregate.  For many queries at once there is the stored index of :mod:`postings`."""
 
 from __future__ import annotations
 
@@ -15,12 +15,6 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
-    """``term, doc_id, tf``, positions kept for phrases, and the field's length."""
-    t = docs.select(key, F.posexplode(tokens).alias("pos", "term"), F.size(tokens).alias("len"))
-    return t.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
-
-
 def has(tokens: Column, term: str) -> Column:
     return F.array_contains(tokens, term)
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import fuzzy as Z
 from ..operators import matching as M
+from ..operators import postings as N
 from ..operators import ranking as K
 from ..operators import suggest as G
 from ..sources import catalog as C
@@ -97,7 +99,18 @@ def mat_ngram(spark, d):
 
 @query("mat_fuzzy", _W + f"SELECT doc_id, title FROM items WHERE len(list_filter({_T}, lambda w: levenshtein(w, 'bolr') <= 1)) > 0")
 def mat_fuzzy(spark, d):
-    return titled(spark, d).filter(M.fuzzy(tok(), "bolr")).select("doc_id", "title")
+    """The dictionary gives the words near to the term; documents are matched by these as they are."""
+    x = titled(spark, d)
+    words = Z.expansions(Z.build(Z.words_of(x, tok()), 1), ["bolr"], 1)["bolr"]
+    return x.filter(F.arrays_overlap(tok(), F.array(*map(F.lit, words)).cast("array<string>"))).select("doc_id", "title")
+
+
+@query("mat_fuzzy_batch", "WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS word FROM documents) GROUP BY word), t AS (SELECT DISTINCT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS term FROM benchmark) SELECT term, word, CAST(levenshtein(term, word) AS INTEGER) AS distance, n FROM t JOIN w ON abs(length(term) - length(word)) <= 2 AND levenshtein(term, word) <= CASE WHEN length(term) < 3 THEN 0 WHEN length(term) < 6 THEN 1 ELSE 2 END")
+def mat_fuzzy_batch(spark, d):
+    """For every word of the benchmark texts, the words of all documents within its AUTO edits."""
+    words = Z.build(Z.words_of(C.table(spark, d, "documents"), _letters()))
+    asked = C.table(spark, d, "benchmark").select(F.explode(_letters()).alias("term")).withColumn("edits", Z.auto_edits(F.col("term")))
+    return Z.near(words, asked)
 
 
 _MASK = f"SELECT CAST(list_contains({_T}, 'red') AS INTEGER) + 2 * CAST(list_contains({_T}, 'bolt') AS INTEGER) + 4 * CAST(list_contains({_T}, 'old') AS INTEGER) AS mask FROM items"
@@ -187,6 +200,35 @@ def mat_relevance(spark, d):
     return M.bm25_counted(kept, 2).select("doc_id", F.round("score", 4).alias("score"))
 
 
+_ASCII = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')"
+
+
+def _letters(text="text"):
+    """Runs of a-z; capitals of ASCII count as small letters."""
+    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]+"), F.lit(0))
+
+
+@query("mat_relevance_batch", f"""WITH d AS (SELECT doc_id, {_ASCII} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term, len(w) AS len FROM d), f AS (SELECT term, doc_id, len, count(*) AS tf FROM p GROUP BY ALL),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM d), t AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+q AS (SELECT item_id, unnest({_ASCII}) AS term FROM benchmark), a AS (SELECT item_id, term, count(*) AS weight FROM q GROUP BY ALL),
+m AS (SELECT item_id, doc_id, CAST(sum(CAST(round(a.weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg)) * 1000000) AS BIGINT)) AS BIGINT) AS score FROM a JOIN f USING (term) JOIN t USING (term), s GROUP BY ALL)
+SELECT item_id, doc_id, round(score / 1000000.0, 3) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m QUALIFY rank <= 10""")
+def mat_relevance_batch(spark, d):
+    """The ten best documents of each benchmark text, from a stored index: no text is read again for a query."""
+    index = N.build(C.table(spark, d, "documents"), _letters())
+    asked = N.terms_of(C.table(spark, d, "benchmark"), _letters(), "item_id")
+    best = N.top(N.score(index, asked), 10)
+    return best.select(F.col("query").alias("item_id"), "doc_id", F.round(F.col("score") / N.MICRO, 3).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("mat_phrase_batch", f"WITH d AS (SELECT doc_id, ' ' || array_to_string({_ASCII}, ' ') || ' ' AS t FROM documents), q AS (SELECT item_id, ' ' || array_to_string(({_ASCII})[1:4], ' ') || ' ' AS p FROM benchmark WHERE len({_ASCII}) >= 4) SELECT item_id, doc_id FROM q JOIN d ON contains(t, p)")
+def mat_phrase_batch(spark, d):
+    """The documents that hold the first four words of a benchmark text in a row, by positions."""
+    index = N.build(C.table(spark, d, "documents"), _letters())
+    words = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.slice(_letters(), 1, 4).alias("words")).filter(F.size("words") >= 4)
+    return N.phrases(index, words).select(F.col("query").alias("item_id"), "doc_id")
+
+
 # --- rules -------------------------------------------------------------------
 
 RULES = """

@@ -455,3 +455,98 @@ def test_a_stage_matches_synonyms(spark):
     parsed = _rules("red => SYNONYM(0.5): crimson", "red gear => SYNONYM(0.9): cog wheel")
     r = search.staged_search(df, F.col("tokens"), SearchRequest("red gear"), [search.Stage("all", "all")], rules=parsed)
     assert {(x.doc_id, round(x.score, 6)) for x in r.hits.collect()} == {(1, 2.0), (2, 1.5), (4, 0.9)}
+
+
+@pytest.mark.parametrize("edits, longest", [(1, 24), (2, 24), (2, 6), (1, 4), (3, 7)])
+def test_near_words_equal_all_distances(spark, edits, longest):
+    import random
+
+    from stockweave.operators import fuzzy
+
+    r = random.Random(edits * 100 + longest)
+    word = lambda: "".join(r.choice("abcü") for _ in range(r.randint(1, 14)))
+    words = sorted({word() for _ in range(300)} | {"a" * n for n in range(1, 12)} | {"x" * 40 + "y" * 40, "x" * 41 + "y" * 40})
+    mutated = []
+    for w in words[::2]:
+        m = list(w)
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(len(m) + 1)
+            m[k : k + r.randint(0, 1)] = r.choice(["", "a", "z"])
+        mutated.append("".join(m))
+    asked = [(t, r.randint(0, edits)) for t in mutated + words[:40] + [None, "", "x" * 40 + "y" * 39, "x" * 39 + "y" * 40]]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = set()
+    for t, k in asked:
+        for w in words:
+            if t and abs(len(t) - len(w)) <= k and (d := distance(t, w)) <= k:
+                want.add((t, w, d))
+    table = fuzzy.build(spark.createDataFrame([(w, 1) for w in words] + [(None, 1), ("", 1)], "word string, n long"), edits, longest)
+    got = fuzzy.near(table, spark.createDataFrame(asked, "term string, edits int"))
+    assert {(x.term, x.word, x.distance) for x in got.collect()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("shard_rows", [1 << 20, 7])
+def test_stored_postings_equal_brute_force(spark, shard_rows):
+    import collections
+    import math
+    import random
+
+    from stockweave.operators import postings
+
+    r = random.Random(shard_rows)
+    texts = [" ".join(r.choice(["the", "the", "the", "a", "b", "c", "d", *[f"w{i}" for i in range(30)]]) for _ in range(r.randint(0, 40))) for _ in range(120)] + [None]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    words = {i: (t or "").split() for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("tokens", F.filter(F.split("text", " "), lambda t: t != "")).repartition(3)
+    index = postings.build(df, F.col("tokens"), shard_rows=shard_rows)
+    queries = [(1, "the a w3"), (2, "w1 w1 zzz"), (3, ""), (4, "d c b a the")]
+    asked = spark.createDataFrame(queries, "q long, text string").withColumn("tokens", F.filter(F.split("text", " "), lambda t: t != ""))
+    scored = postings.score(index, postings.terms_of(asked, F.col("tokens"), "q"))
+    average, want = sum(map(len, words.values())) / len(words), {}
+    df_of = collections.Counter(t for w in words.values() for t in set(w))
+    for q, text in queries:
+        for d, w in words.items():
+            for t, weight in collections.Counter(text.split()).items():
+                if t in w:
+                    tf = w.count(t)
+                    part = weight * math.log(1 + (len(words) - df_of[t] + 0.5) / (df_of[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / average))
+                    want[q, d] = want.get((q, d), 0) + part
+    got = {(x.query, x.doc_id): x.score / postings.MICRO for x in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    best = {}
+    for x in postings.top(scored, 3).collect():
+        best.setdefault(x.query, []).append((x["rank"], x.doc_id))
+    for q, found in best.items():
+        own = sorted((d for k, d in got if k == q), key=lambda d: (-round(got[q, d] * postings.MICRO), d))
+        assert [d for _, d in sorted(found)] == own[:3]
+    lists = [(1, ["the", "a"]), (2, ["the", "the", "the"]), (3, ["w1"]), (4, ["nowhere", "a"])]
+    times = {(x.query, x.doc_id): x.times for x in postings.phrases(index, spark.createDataFrame(lists, "query long, words array<string>")).collect()}
+    assert times == {(q, d): n for q, p in lists for d, w in words.items() if (n := sum(w[i : i + len(p)] == p for i in range(len(w))))}
+    assert postings.score(index, postings.terms_of(asked.limit(0), F.col("tokens"), "q")).count() == 0
+
+
+def test_postings_stay_where_they_are(spark):
+    """The plan reads no text and shuffles no posting before they are matched."""
+    from stockweave.operators import postings
+
+    df = spark.createDataFrame([(i, ["a", f"b{i}"]) for i in range(50)], "doc_id long, tokens array<string>")
+    index = postings.build(df, F.col("tokens"))
+    asked = spark.createDataFrame([(1, "a"), (2, "b7")], "query long, term string").withColumn("weight", F.lit(1.0))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = postings.score(index, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = met.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "postings_" in line)
+    join = max(i for i, line in enumerate(lines[:scan]) if "SortMergeJoin" in line)
+    assert not any("Exchange" in line for line in lines[join:scan])
