@@ -54,34 +54,30 @@ def deletions(word: Column, k: int) -> Column:
     return out
 
 
-def _bounds(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Where segment ``i`` of ``k + 1`` begins, from 0, and its length."""
+def _segment(word: Column, length: Column, i: Column, k: int, shift: Column) -> tuple[Column, Column, Column]:
+    """Key of segment ``i`` of ``k + 1`` of a word of that length, read ``shift`` places off; where it begins and ends."""
     cut = lambda j: F.floor(length * j / (k + 1)).cast("int")
-    return cut(i), cut(i + 1) - cut(i)
+    begin, end = cut(i) + shift, cut(i + 1) + shift
+    return F.concat_ws("/", length, i, F.substring(word, begin + 1, end - begin)), begin, end
 
 
 def segments(word: Column, k: int) -> Column:
-    """Keys of a long word: its length, and a segment with its number."""
-    n = F.length(word)
-    keys = []
-    for i in range(k + 1):
-        begin, size = _bounds(n, i, k)
-        keys.append(F.concat_ws("/", n, F.lit(i), F.substring(word, begin + 1, size)))
-    return F.array(*keys)
+    """Keys of a long word: its length, and each segment with its number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: _segment(word, F.length(word), i, k, F.lit(0))[0])
 
 
 def _segment_probes(term: Column, k: int, allowed: Column, longest: int) -> Column:
-    """The keys that a long word near to the term may have."""
-    n, found = F.length(term), []
-    for more in range(-k, k + 1):
-        length = n + more
-        for i in range(k + 1):
-            begin, size = _bounds(length, i, k)
-            for shift in range(-k, k + 1):
-                at = begin + shift
-                key = F.concat_ws("/", length, F.lit(i), F.substring(term, at + 1, size))
-                found.append(F.when((F.greatest(F.abs(F.lit(more)), F.abs(F.lit(shift))) <= allowed) & (length > longest) & (at >= 0) & (at + size <= n), key))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    """The keys that a long word near to the term may have: it has up to ``allowed`` letters
+    more or less, and a segment stands up to so many places off."""
+    n = F.length(term)
+    tries = F.array(*[F.struct(F.lit(more).alias("more"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for more in range(-k, k + 1) for i in range(k + 1) for shift in range(-k, k + 1)])
+
+    def key(t: Column) -> Column:
+        found, begin, end = _segment(term, n + t["more"], t["i"], k, t["shift"])
+        return F.when((n + t["more"] > longest) & (begin >= 0) & (end <= n), found)
+
+    near = F.filter(tries, lambda t: (F.abs(t["more"]) <= allowed) & (F.abs(t["shift"]) <= allowed))
+    return F.array_distinct(F.array_compact(F.transform(near, key)))
 
 
 def build(words: DataFrame, edits: int = EDITS, longest: int = LONGEST, buckets: int | None = None, folder: str | None = None) -> Dictionary:
