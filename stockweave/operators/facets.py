@@ -153,6 +153,35 @@ def selection_marks(docs: DataFrame, values: DataFrame, selections: dict[str, Co
     return docs.select("doc_id").join(hit, "doc_id", "left").select("doc_id", *[F.coalesce(f"sel_{n}", F.lit(False)).alias(f"sel_{n}") for n in selections])
 
 
+def exclusive_facets_on_variants(values: DataFrame, master: dict[str, Column], variant: dict[str, Column]) -> DataFrame:
+    """Counts of each facet under all post filters but its own, where filters are on both levels.
+
+    A facet of variants counts a product by the variants that meet all other variant
+    filters themselves, of products that meet the master filters; a facet of products
+    counts those with *one* variant that meets all variant filters.  Conditions are on
+    the rows ``(doc_id, variant_pos, name, value, ..)``; ``variant_pos`` is null on the
+    master level.
+
+    Each filter is a bit.  The bits that a variant's rows meet are put together
+    variant by variant, then the products' by product; a row counts if what it needs is
+    in them.  A product without a variant meets no variant filter."""
+    bits = {n: 1 << i for i, n in enumerate([*master, *variant])}
+    all_master, all_variant = sum(bits[n] for n in master), sum(bits[n] for n in variant)
+    met = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.coalesce((F.col("name") == n) & c, F.lit(False)), F.lit(bits[n])).otherwise(0) for n, c in {**master, **variant}.items()], F.lit(0))
+    owned = values.groupBy("doc_id", "variant_pos").agg(F.bit_or(met).alias("own"))
+    on_variant = F.col("variant_pos").isNotNull()
+    whole = F.coalesce(F.bool_or(on_variant & (F.col("own").bitwiseAND(F.lit(all_variant)) == all_variant)), F.lit(False)) if variant else F.lit(True)
+    product = owned.groupBy("doc_id").agg(F.coalesce(F.bit_or(F.when(~on_variant, F.col("own"))), F.lit(0)).alias("product"), whole.alias("whole"))
+    # A row needs the bits of all other filters of its level.
+    own_bit = reduce(lambda c, p: c.when(F.col("name") == p[0], F.lit(p[1])), bits.items(), F.when(F.lit(False), F.lit(0))).otherwise(0)
+    lacks = lambda have, need: F.lit(need).bitwiseAND(F.bitwise_not(have.bitwiseOR(own_bit)))
+    marked = values.select("doc_id", "variant_pos", "name", "value").alias("v").join(owned.alias("o"), (F.col("v.doc_id") == F.col("o.doc_id")) & F.col("v.variant_pos").eqNullSafe(F.col("o.variant_pos")))
+    marked = marked.select("v.*", "own").join(product, "doc_id")
+    fits = F.when(on_variant, lacks(F.col("own"), all_variant) == 0).otherwise(F.col("whole"))
+    kept = marked.filter((lacks(F.col("product"), all_master) == 0) & fits)
+    return kept.groupBy("name", "value").agg(F.countDistinct("doc_id").alias("doc_count"))
+
+
 def merge_levels(entries: DataFrame) -> DataFrame:
     """The same facet of products and variants: the larger count of each value."""
     return entries.groupBy("name", "value").agg(F.max("doc_count").alias("doc_count"))

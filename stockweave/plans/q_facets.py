@@ -106,6 +106,26 @@ def agg_exclusive(spark, d):
     return A.exclusive_facets(values, sel, A.selection_marks(items, values, sel))
 
 
+_BOTH = """, p AS (SELECT doc_id, brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') AS b, size <= 40 AS z FROM items),
+w AS (SELECT doc_id, variant_pos, color, status, price, color = 'R' AS c, status = 'F' AS s, price >= 1200 AS q FROM variants),
+r AS (SELECT doc_id, bool_or(c AND s AND q) AS whole FROM w GROUP BY doc_id),
+e AS (
+  SELECT name, value, fv.doc_id FROM fv JOIN p ON p.doc_id = fv.doc_id JOIN r ON r.doc_id = fv.doc_id WHERE variant_pos IS NULL AND name IN ('brand', 'type', 'size') AND whole AND (b OR name = 'brand') AND (z OR name = 'size')
+  UNION ALL SELECT 'color', color, w.doc_id FROM w JOIN p ON p.doc_id = w.doc_id WHERE b AND z AND s AND q
+  UNION ALL SELECT 'status', status, w.doc_id FROM w JOIN p ON p.doc_id = w.doc_id WHERE b AND z AND c AND q
+  UNION ALL SELECT 'variant_price', CAST(price AS VARCHAR), w.doc_id FROM w JOIN p ON p.doc_id = w.doc_id WHERE b AND z AND c AND s)
+SELECT name, value, count(DISTINCT doc_id) AS doc_count FROM e GROUP BY ALL"""
+
+
+@query("agg_exclusive_variant", _W + _BOTH)
+def agg_exclusive_variant(spark, d):
+    """Color, status and price selected on variants, brand and size on products: each facet under all others, met by one variant."""
+    values = C.facet_values(C.items(spark, d), C.variants(spark, d)).filter(F.col("name").isin("brand", "type", "size", "color", "status", "variant_price"))
+    master = {"brand": F.col("value_norm").isin("brand#11", "brand#12", "brand#13", "brand#21"), "size": F.col("num_value") <= 40}
+    variant = {"color": F.col("value_norm") == "r", "status": F.col("value_norm") == "f", "variant_price": F.col("num_value") >= 1200}
+    return A.exclusive_facets_on_variants(values, master, variant)
+
+
 @query("agg_filter_sensitive", _W + "SELECT name, value, count(DISTINCT doc_id) AS doc_count FROM fv WHERE name = 'brand' AND value_norm IN ('brand#11','brand#12') GROUP BY ALL")
 def agg_filter_sensitive(spark, d):
     own = _values(spark, d, "brand").filter(P.condition(Filter("brand", values=("brand#11", "brand#12"))))

@@ -550,3 +550,32 @@ def test_postings_stay_where_they_are(spark):
     scan = next(i for i, line in enumerate(lines) if "postings_" in line)
     join = max(i for i, line in enumerate(lines[:scan]) if "SortMergeJoin" in line)
     assert not any("Exchange" in line for line in lines[join:scan])
+
+
+def test_exclusive_facets_on_variants_equal_brute_force(spark):
+    import random
+
+    from stockweave.operators import facets
+
+    r = random.Random(8)
+    products = {d: ({"brand": r.choice("abc"), "size": r.choice("12")}, [{"color": r.choice("rg"), "status": r.choice("OF")} for _ in range(r.choice([0, 1, 2, 4]))]) for d in range(80)}
+    rows = [(d, None, n, v) for d, (m, _) in products.items() for n, v in m.items()]
+    rows += [(d, i, n, v) for d, (_, some) in products.items() for i, x in enumerate(some) for n, v in x.items()]
+    df = spark.createDataFrame(rows, "doc_id long, variant_pos int, name string, value string").repartition(3)
+    wanted = {"brand": "ab", "color": "r", "status": "F"}
+
+    def brute(master, variant):
+        out = {}
+        holds = lambda x, names: all(x[n] in wanted[n] for n in names)
+        for m, some in products.values():
+            for n, v in m.items():
+                if holds(m, master - {n}) and (not variant or any(holds(x, variant) for x in some)):
+                    out[n, v] = out.get((n, v), 0) + 1
+            for n, v in {(n, x[n]) for x in some for n in x if holds(x, variant - {n}) and holds(m, master)}:
+                out[n, v] = out.get((n, v), 0) + 1
+        return out
+
+    for master, variant in (({"brand"}, {"color", "status"}), (set(), {"color"}), ({"brand"}, set()), ({"brand"}, {"status"}), (set(), set())):
+        at = lambda names: {n: F.col("value").isin(*wanted[n]) for n in names}
+        got = facets.exclusive_facets_on_variants(df, at(master), at(variant)).collect()
+        assert {(x.name, x.value): x.doc_count for x in got} == brute(master, variant)
