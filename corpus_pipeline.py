@@ -33,19 +33,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    counts = ("__lines", "__removed", "__words")
-    done = line_dedup.dedup_lines(docs, counts=counts)
-    left = done.filter((F.col("__removed") == 0) | (F.col("__removed") < F.col("__lines")))
-    length = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    lines, removed, words = (frames.fresh(docs, x) for x in ("lines", "removed", "words"))
+    done = line_dedup.dedup_lines(docs, counts=(lines, removed, words))
+    left = done.filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
+    length = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length).select(docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone, row = frames.fresh(docs, "gone"), frames.fresh(docs, "row")
     found = ngram_join.near_duplicates(docs)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
-    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return left.withColumn("__row", row).dropDuplicates(["doc_id", "text", "__row"]).drop("__row")
+    later = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(later.hint("merge"), F.col("doc_id") == F.col(gone), "left_anti")
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return left.withColumn(row, own).dropDuplicates(["doc_id", "text", row]).drop(row)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
