@@ -65,10 +65,45 @@ def src_unmap_document(spark, d):
 
 @query("src_json_docs", "SELECT event_id, json_extract_string(props, '$.k') AS v, CAST(1 AS INTEGER) AS n FROM events")
 def src_json_docs(spark, d):
-    v = D.values_of(F.get_json_object("props", "$.k"))
+    v = D.values_of(F.col("props"), "$.k")
     return C.table(spark, d, "events").select("event_id", F.get(v, F.lit(0)).alias("v"), F.size(v).alias("n"))
 
 
+#: The values of an event as a document: key, kind, texts, in DuckDB's terms.
+_TYPED = {
+    "k": ("int", "json_extract_string(props, '$.k')"),
+    "id": ("long", "CAST(5000000000 + event_id AS VARCHAR)"),
+    "value": ("double", "CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.5'"),
+    "type": ("string", "event_type"),
+    "cut": ("int[]", "CAST(user_id AS VARCHAR) || ',2,-3'"),
+    "names": ("string[]", "event_type || ',3,true,1.5'"),
+    "doubles": ("double[]", "'0.5,1.25'"),
+    "grid": ("int[][]", "'1,2;' || CAST(event_id % 7 AS VARCHAR)"),
+    "category": ("path", "'c' || CAST(event_id % 7 AS VARCHAR) || ':' || event_type || '>-:leaf'"),
+    "trees": ("path[]", "'-:a>-:b;7:' || event_type"),
+    "color": ("attribute", "'color/' || CAST(event_id % 7 AS VARCHAR) || '/' || event_type"),
+    "gone": ("null", "''"),
+}
+
+
+@query("src_json_typed", "SELECT event_id, key, kind, said FROM events, LATERAL (VALUES " + ", ".join(f"('{k}', '{kind}', {said})" for k, (kind, said) in _TYPED.items()) + ") t(key, kind, said)")
+def src_json_typed(spark, d):
+    """Documents of mixed types, made of each event: values keep their types, lists that of their first element."""
+    e, text = C.table(spark, d, "events"), F.col("event_type")
+    quoted, seventh = F.concat(F.lit('"'), text, F.lit('"')), (F.col("event_id") % 7).cast("string")
+    json = F.concat(
+        F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "id": '), (F.col("event_id") + 5_000_000_000).cast("string"), F.lit(', "value": '), F.floor("value").cast("string"), F.lit('.5, "type": '), quoted,
+        F.lit(', "cut": ['), F.col("user_id").cast("string"), F.lit(', 2.7, "x", null, -3.2, 6000000000], "names": ['), quoted, F.lit(', 3, true, 1.5, {"deep": 1}], "doubles": [0.5, 2, "x", 1.25], "grid": [[1, 2], ["x"], ['), seventh,
+        F.lit(']], "category": [{"id": "c'), seventh, F.lit('", "name": '), quoted, F.lit('}, {"name": "leaf"}, {"id": "nameless"}, 5], "trees": [[{"name": "a"}, {"name": "b"}], [1], [{"id": 7, "name": '), quoted,
+        F.lit('}]], "color": {"name": "color", "code": "'), seventh, F.lit('", "value": '), quoted, F.lit('}, "gone": null, "none": {}, "empty": [], "deep": [[[1]]]}'),
+    )
+    rows = e.select("event_id", F.explode(D.typed_data(json)).alias("key", "v")).select("event_id", "key", "v.*").filter("kind IS NOT NULL")
+    lists = F.array_join(F.transform("texts", lambda t: F.array_join(t, ",")), ";")
+    paths = F.array_join(F.transform("paths", lambda p: F.array_join(F.transform(p, lambda c: F.concat(F.coalesce(c["id"], F.lit("-")), F.lit(":"), c["name"])), ">")), ";")
+    own = F.concat_ws("/", "attribute.name", "attribute.code", "attribute.value")
+    return rows.select("event_id", "key", "kind", F.concat(lists, paths, own).alias("said"))
+
+
 def _lines(spark, d, folder):
     p = C.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("brand"), F.col("p_brand")).alias("data"), F.lit(1).alias("unknown"))
     p.write.mode("overwrite").json(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,118 @@ def read_csv(spark: SparkSession, path: str, id_column: str, separator: str = ",
     return rows.select(F.col(id_column).alias("id"), F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("data"))
 
 
-def values_of(json_text: Column) -> Column:
-    """A JSON value as strings: a scalar as one, a list of one type as many; objects and deeper lists as none."""
-    v = F.try_parse_json(json_text)
+def values_of(json_text: Column, path: str = "$") -> Column:
+    """A value of a JSON text as strings: a scalar as one, a list of one type as many; objects and deeper lists as none."""
+    v = F.try_variant_get(F.try_parse_json(json_text), path, "variant")
     many = F.try_variant_get(v, "$", "array<string>")
     one = F.try_variant_get(v, "$", "string")
-    return F.coalesce(many, F.when(~json_text.startswith("{") & one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+    scalar = ~F.schema_of_variant(v).startswith("OBJECT")
+    return F.coalesce(many, F.when(scalar & one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+
+
+_CATEGORY = "array<struct<id:string,name:string>>"
+_LIST = f"struct<kind:string,texts:array<string>,path:{_CATEGORY}>"
+#: A typed value: ``texts`` and ``paths`` hold one list for each inner list of the value.
+VALUE = f"struct<kind:string,texts:array<array<string>>,paths:array<{_CATEGORY}>,attribute:{ATTRIBUTE}>"
+_INT = 2**31
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A value computed once for all its uses in an expression."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def _has_scalar(v: Column, path: str) -> Column:
+    """Whether there is a scalar other than null at the path."""
+    schema = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.coalesce(~(schema.startswith("OBJECT") | schema.startswith("ARRAY") | (schema == "VOID")), F.lit(False))
+
+
+def _facts(v: Column) -> Column:
+    """``kind`` (int, long, double, string, null; booleans are text; path for an object with
+    a scalar name; list), ``text`` and ``whole``, a number without its fraction."""
+
+    def of(schema: Column) -> Column:
+        number = F.try_variant_get(v, "$", "double").cast("decimal(38,6)")
+        whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("decimal(38,0)")
+        is_double = schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT")
+        named = schema.startswith("OBJECT") & _has_scalar(v, "$.name")
+        small = (F.try_variant_get(v, "$", "bigint") >= -_INT) & (F.try_variant_get(v, "$", "bigint") < _INT)
+        kind = F.when(schema == "BIGINT", F.when(small, "int").otherwise("long")).when(is_double, "double").when(schema.isin("STRING", "BOOLEAN"), "string").when(schema == "VOID", "null").when(named, "path").when(schema.startswith("ARRAY"), "list")
+        return F.struct(kind.alias("kind"), F.try_variant_get(v, "$", "string").alias("text"), F.when(is_double, whole).alias("whole"))
+
+    return _let(F.schema_of_variant(v), of)
+
+
+def _fits(x: Column, kind: Column) -> Column:
+    """A scalar's text as a value of that kind, null if it can't be one."""
+    small = (x["whole"] >= -_INT) & (x["whole"] < _INT)
+    same = (kind == x["kind"]) | ((kind == "string") & x["kind"].isin("int", "long", "double")) | ((kind == "long") & (x["kind"] == "int"))
+    return F.when(same, x["text"]).when((kind == "long") | ((kind == "int") & small), x["whole"].cast("string"))
+
+
+def _typed_list(elements: Column) -> Column:
+    """The first element that is a value or a category fixes the type; what doesn't fit it goes."""
+
+    def of(marked: Column) -> Column:
+        first = F.get(F.filter(marked, lambda m: m["f"]["kind"].isin("int", "long", "double", "string", "path")), F.lit(0))["f"]["kind"]
+        return _let(first, lambda kind: listed(marked, kind))
+
+    def listed(marked: Column, kind: Column) -> Column:
+        texts = F.filter(F.transform(marked, lambda m: _fits(m["f"], kind)), lambda t: t.isNotNull())
+        path = F.transform(F.filter(marked, lambda m: (m["f"]["kind"] == "path") & (kind == "path")), lambda m: F.struct(F.try_variant_get(m["v"], "$.id", "string").alias("id"), F.try_variant_get(m["v"], "$.name", "string").alias("name")))
+        return F.struct(kind.alias("kind"), F.when(kind == "path", F.array().cast("array<string>")).otherwise(texts).alias("texts"), path.alias("path")).cast(_LIST)
+
+    return _let(F.transform(elements, lambda e: F.struct(e.alias("v"), _facts(e).alias("f"))), of)
+
+
+def typed(v: Column) -> Column:
+    """A JSON value, a VARIANT, as a :data:`VALUE`.
+
+    Scalars are int, long, double or string; ``null`` is a value.  In a list the first
+    element fixes the type: later numbers are cut to whole ones after an int or long, whole ones
+    go after a double, all scalars are text after a string; what doesn't fit goes.
+    Objects with a name are categories and a list of them a path.  Lists may be nested
+    once, and the first inner list fixes the type of the others.  An object with a
+    scalar name and value is an attribute, whose parts count if they are strings.
+    Anything else, deeper or empty lists too, has the kind null: no value."""
+    no_texts, no_paths, no_attribute = F.array().cast("array<array<string>>"), F.array().cast(f"array<{_CATEGORY}>"), F.lit(None).cast(ATTRIBUTE)
+
+    def value(kind: Column, texts: Column = no_texts, paths: Column = no_paths, own: Column = no_attribute) -> Column:
+        return F.struct(kind.alias("kind"), texts.alias("texts"), paths.alias("paths"), own.alias("attribute")).cast(VALUE)
+
+    def attribute() -> Column:
+        string = lambda p: F.when(F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING", F.try_variant_get(v, p, "string"))
+        return value(F.lit("attribute"), own=F.struct(string("$.name").alias("name"), string("$.code").alias("code"), string("$.value").alias("value")))
+
+    def of_list(elements: Column) -> Column:
+        return _let(_typed_list(elements), lambda flat: F.when(flat["kind"] == "path", value(F.lit("path"), paths=F.array(flat["path"]))).when(flat["kind"].isNotNull(), value(F.concat(flat["kind"], F.lit("[]")), F.array(flat["texts"]))).otherwise(_let(inner_lists(elements), of_nested)))
+
+    def inner_lists(elements: Column) -> Column:
+        inner = F.filter(F.transform(elements, lambda e: F.try_variant_get(e, "$", "array<variant>")), lambda e: e.isNotNull())
+        return F.filter(F.transform(inner, _typed_list), lambda x: x["kind"].isNotNull())
+
+    def of_nested(nested: Column) -> Column:
+        kind = F.get(nested, F.lit(0))["kind"]
+        alike = F.filter(nested, lambda x: x["kind"] == F.get(nested, F.lit(0))["kind"])
+        texts, paths = F.transform(alike, lambda x: x["texts"]), F.transform(alike, lambda x: x["path"])
+        return F.when(kind == "path", value(F.lit("path[]"), paths=paths)).when(kind.isNotNull(), value(F.concat(kind, F.lit("[][]")), texts)).otherwise(value(F.lit(None).cast("string")))
+
+    def of(f: Column) -> Column:
+        return (
+            F.when(f["kind"] == "null", value(F.lit("null")))
+            .when(f["kind"] == "list", of_list(F.try_variant_get(v, "$", "array<variant>")))
+            .when((f["kind"] == "path") & _has_scalar(v, "$.value"), attribute())
+            .when(f["kind"].isin("int", "long", "double", "string"), value(f["kind"], F.array(F.array(f["text"]))))
+            .otherwise(value(F.lit(None).cast("string")))
+        )
+
+    return _let(_facts(v), of)
+
+
+def typed_data(json_text: Column) -> Column:
+    """The properties of a JSON object with their typed values; null for what is no object."""
+    return F.transform_values(F.try_variant_get(F.try_parse_json(json_text), "$", "map<string,variant>"), lambda _, v: typed(v))
 
 
 def original_form(indexed: DataFrame, parts: list[str]) -> DataFrame:

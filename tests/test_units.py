@@ -579,3 +579,32 @@ def test_exclusive_facets_on_variants_equal_brute_force(spark):
         at = lambda names: {n: F.col("value").isin(*wanted[n]) for n in names}
         got = facets.exclusive_facets_on_variants(df, at(master), at(variant)).collect()
         assert {(x.name, x.value): x.doc_count for x in got} == brute(master, variant)
+
+
+def test_typed_values_of_documents(spark):
+    from stockweave.sources import documents
+
+    cases = {
+        '"string values test"': ("string", [["string values test"]]), "12.5": ("double", [["12.5"]]), "true": ("string", [["true"]]), "3000000000": ("long", [["3000000000"]]), "null": ("null", []),
+        '["val1", "val2", "val3"]': ("string[]", [["val1", "val2", "val3"]]), '["1", "2", "34"]': ("string[]", [["1", "2", "34"]]), "[38, 39, 40, 42, 42]": ("int[]", [["38", "39", "40", "42", "42"]]),
+        '["30%", 12]': ("string[]", [["30%", "12"]]), "[1.5, 2, 3.5]": ("double[]", [["1.5", "3.5"]]), "[1, 2.9, -2.9, 3000000000]": ("int[]", [["1", "2", "-2"]]), "[3000000000, 1, 2.5]": ("long[]", [["3000000000", "1", "2"]]),
+        "[]": (None, []), "{}": (None, []), "[[[1]]]": (None, []), "[null]": (None, []), "[[1], [2, 3]]": ("int[][]", [["1"], ["2", "3"]]), '[null, "x"]': ("string[]", [["x"]]),
+    }
+    rows = [(i, '{"v": %s}' % k) for i, k in enumerate(cases)]
+    got = spark.createDataFrame(rows, "i int, text string").select("i", documents.typed_data(F.col("text"))["v"].alias("v")).select("i", "v.*").collect()
+    assert {r.i: (r.kind, r.texts) for r in got} == dict(enumerate(cases.values()))
+    path = lambda *p: [None if n is None else tuple(n) for n in p]
+    objects = {
+        '{"name": "color", "code": "ff0000", "value": "red"}': ("attribute", ("color", "ff0000", "red"), []),
+        '{"name": "color", "value": 5}': ("attribute", ("color", None, None), []),
+        '{"name": {"a": 1}, "value": "x"}': (None, None, []),
+        '[{"id": "1", "name": "Men"}, {"name": "Shoes"}, {"x": 1}]': ("path", None, [path(("1", "Men"), (None, "Shoes"))]),
+        '[[{"id": "100", "name": "Sale"}, {"id": "1", "name": "Men"}], [{"id": 2, "name": "Shoes"}], ["x"]]': ("path[]", None, [path(("100", "Sale"), ("1", "Men")), path(("2", "Shoes"))]),
+    }
+    rows = [(i, '{"v": %s}' % k) for i, k in enumerate(objects)]
+    got = spark.createDataFrame(rows, "i int, text string").select("i", documents.typed_data(F.col("text"))["v"].alias("v")).select("i", "v.*").collect()
+    assert {r.i: (r.kind, None if r.attribute is None else tuple(r.attribute), [[tuple(c) for c in p] for p in r.paths]) for r in got} == dict(enumerate(objects.values()))
+    plain = spark.createDataFrame([("{bad",), (None,), ('"x"',), ('{"k": "abc", "n": 7, "l": [1, 2], "o": {"a": 1}}',)], "text string")
+    assert [r[0] for r in plain.select(documents.typed_data(F.col("text")).isNull()).collect()] == [True, True, True, False]
+    last = plain.filter("text LIKE '%abc%'").select(*[documents.values_of(F.col("text"), f"$.{k}").alias(k) for k in "knlo"]).first()
+    assert (last.k, last.n, last.l, last.o) == (["abc"], ["7"], ["1", "2"], [])
