@@ -255,3 +255,13 @@ def field_stats(values: DataFrame, exact: bool = False) -> DataFrame:
     """Names with the number of their values, approximate (1 %) unless asked."""
     n = F.countDistinct("value") if exact else F.approx_count_distinct("value", 0.01)
     return values.groupBy("kind", "name").agg(n.alias("cardinality"))
+
+
+def value_sketches(values: DataFrame, *by: str, precision: int = 12) -> DataFrame:
+    """A sketch of the distinct values of each field, of a fixed size (4 KB at precision 12), to be stored."""
+    return values.groupBy(*by, "kind", "name").agg(F.hll_sketch_agg("value", precision).alias("sketch"))
+
+
+def sketched_stats(sketches: DataFrame) -> DataFrame:
+    """The number of values of each field from stored sketches, those of several versions put together."""
+    return sketches.groupBy("kind", "name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("cardinality"))

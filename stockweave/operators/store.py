@@ -2,12 +2,14 @@
 
 A table ``name`` is a folder with ``v=<n>`` folders of Parquet and a pointer file
 that names the live one.  All access goes through Hadoop's file system, so it
-works on any store Spark reads; one writer per table is assumed."""
+works on any store Spark reads.  Writers that start at one time get versions of their
+own: a version is claimed by a file that only one of them can create."""
 
 from __future__ import annotations
 
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,27 @@ class Store:
             raise ValueError("names are lower case")
         full = f"{name}-{locale.lower()}"
         n = max(self.versions(full), default=0) + 1
+        while not self._claim(full, n):
+            n += 1
         self.fs.mkdirs(self._path(f"{self.root}/{full}/v={n}"))
         return full, n
 
+    def _claim(self, full: str, n: int) -> bool:
+        """Whether this writer is the one who gets version ``n``: a file that only one can create."""
+        folder = self._path(f"{self.root}/{full}/_claims")
+        self.fs.mkdirs(folder)
+        path = self._path(f"{self.root}/{full}/_claims/{n}")
+        jvm = self.spark.sparkContext._jvm
+        try:
+            if self.fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then
+                return jvm.java.io.File(path.toUri().getPath()).createNewFile()
+            self.fs.create(path, False).close()
+            return True
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+
     def folder(self, session: tuple[str, int]) -> str:
         return f"{self.root}/{session[0]}/v={session[1]}"
 
@@ -57,6 +77,13 @@ class Store:
         finally:
             stream.close()
 
+    def modified(self, name: str) -> tuple[int, int] | None:
+        """When the live version was set, in milliseconds, and which it is."""
+        pointer = f"{self.root}/{name}/_live"
+        if not self._exists(pointer):
+            return None
+        return self.fs.getFileStatus(self._path(pointer)).getModificationTime(), self.live(name)
+
     def deploy(self, session: tuple[str, int], minimum: int = 1) -> bool:
         """Make a version live if it has enough documents.
 

@@ -62,11 +62,42 @@ def suggest(records: DataFrame, query: str, limit: int = 10, tag: str | None = N
     return found.orderBy(*default_order("text")).limit(limit).select("text", "stage", "weight")
 
 
-def group_limit(rows: DataFrame, group: str, shares: dict[str, float], limit: int) -> DataFrame:
-    """At most a share of the limit from each group, the heaviest first."""
-    most = F.coalesce(*[F.when(F.col(group) == g, F.lit(max(1, round(s * limit)))) for g, s in shares.items()], F.lit(limit))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("weight").desc(), "text"))
-    return rows.withColumn("__r", rank).filter(F.col("__r") <= most).drop("__r")
+def _by_share(total: int, shares: dict[str, float]) -> dict[str, int]:
+    """A number dealt out by shares; what rounding leaves goes by the largest fractions, then the largest shares, then names."""
+    whole = sum(shares.values())
+    exact = {g: total * s / whole for g, s in shares.items()} if whole else dict.fromkeys(shares, 0.0)
+    out = {g: int(x) for g, x in exact.items()}
+    order = sorted(shares, key=lambda g: (-round(exact[g] - out[g], 9), -shares[g], g or ""))
+    for g in order[: total - sum(out.values()) if whole else 0]:
+        out[g] += 1
+    return out
+
+
+def allot(shares: dict[str, float], available: dict[str, int], limit: int) -> dict[str, int]:
+    """How many of each group: by share, and what a group can't fill goes to the others by
+    their shares, until the limit is reached or nothing is left."""
+    out, open_groups, left = dict.fromkeys(shares, 0), {g: s for g, s in shares.items() if s > 0 and available.get(g, 0) > 0}, limit
+    while left > 0 and open_groups:
+        for g, n in _by_share(left, open_groups).items():
+            out[g] = min(available[g], out[g] + n)
+        left = limit - sum(out.values())
+        open_groups = {g: s for g, s in open_groups.items() if out[g] < available[g]}
+    return out
+
+
+def group_limit(rows: DataFrame, group: str, shares: dict[str, float], limit: int, prefetch: float | None = None) -> DataFrame:
+    """The limit shared out to groups, the heaviest rows of each first.
+
+    Groups without a share have the rest of them together (1 less all shares).  With
+    ``prefetch``, only so many times the limit of the heaviest rows are looked at."""
+    if prefetch is not None:
+        rows = rows.orderBy(F.col("weight").desc(), "text").limit(int(limit * prefetch))
+    name = F.when(F.col(group).isin(*shares), F.col(group))
+    ranked = rows.withColumn("__g", name).withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy(F.col("weight").desc(), "text"))).filter(F.col("__r") <= limit)
+    have = {r["__g"]: r["count"] for r in ranked.groupBy("__g").count().collect()}  # a row for each configured group
+    most = allot({**shares, None: max(0.0, 1 - sum(shares.values()))} if None in have else shares, have, limit)
+    cut = F.coalesce(*[F.when(F.col("__g").eqNullSafe(F.lit(g)), F.lit(n)) for g, n in most.items()], F.lit(0))
+    return ranked.filter(F.col("__r") <= cut).drop("__g", "__r")
 
 
 def dedupe(rows: DataFrame, group: str, priority: list[str]) -> DataFrame:

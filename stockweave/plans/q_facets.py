@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import facets as A
 from ..operators import filters as P
 from ..sources import catalog as C
+from ..sources import scratch
 from .params import Filter
 from .registry import query
 
@@ -221,6 +222,16 @@ def agg_field_stats(spark, d):
     return A.field_stats(_values(spark, d), exact=True)
 
 
+@query("agg_field_sketches", _W + "SELECT kind, name, count(DISTINCT value) AS cardinality, true AS close FROM fv GROUP BY ALL")
+def agg_field_sketches(spark, d):
+    """Stored sketches of three versions of the values, put together; each estimate is within three times its standard error."""
+    values = _values(spark, d, variants=True)
+    stored = scratch.keep(A.value_sketches(values.withColumn("version", F.col("doc_id") % 3), "version"), "sketches")
+    estimate, exact = A.sketched_stats(stored).withColumnRenamed("cardinality", "estimate"), A.field_stats(values, exact=True)
+    error = F.greatest(F.col("cardinality") * (3 * 1.04 / 64), F.lit(1.0))
+    return exact.join(estimate, ["kind", "name"]).select("kind", "name", "cardinality", (F.abs(F.col("estimate") - F.col("cardinality")) <= error).alias("close"))
+
+
 @query("agg_total_hits", _W + "SELECT count(*) AS n FROM items WHERE brand = 'Brand#11' AND doc_id NOT IN (SELECT doc_id FROM items WHERE brand = 'Brand#11' ORDER BY doc_id LIMIT 3)")
 def agg_total_hits(spark, d):
     hits = C.items(spark, d).filter("brand = 'Brand#11'")

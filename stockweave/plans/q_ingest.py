@@ -181,11 +181,14 @@ def snk_delete(spark, d):
     return K.delete(have, _last(_changes(spark, d)).filter("op = 'delete'"))
 
 
-@query("snk_patch", f"SELECT coalesce(doc_id, p_partkey) AS doc_id, p_name AS title, CASE WHEN value IS NULL THEN 'old' ELSE 'new' END AS state FROM part FULL JOIN (SELECT * FROM ({_LAST}) WHERE op = 'put') ON doc_id = p_partkey")
+@query("snk_patch", f"SELECT p_partkey AS doc_id, p_name AS title, CASE WHEN value IS NULL THEN 'old' ELSE 'new' END AS state FROM part LEFT JOIN (SELECT * FROM ({_LAST}) WHERE op = 'put') ON doc_id = p_partkey")
 def snk_patch(spark, d):
+    """Patches of known documents; the code of an unknown id is NOT_FOUND, and nothing is made of it."""
     have = C.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("state"), F.lit("old")).alias("data"))
     up = _changes(spark, d).groupBy("doc_id").agg(F.max_by("op", "event_id").alias("op")).filter("op = 'put'").select("doc_id", F.create_map(F.lit("state"), F.lit("new")).alias("data"))
-    return J.patch(have, up).select("doc_id", F.element_at("data", "title").alias("title"), F.element_at("data", "state").alias("state"))
+    parts = {"attributes": J.F_ATTRIBUTES, "categories": "array<array<string>>", "variants": f"array<struct<data:map<string,string>,attributes:{J.F_ATTRIBUTES}>>"}
+    whole = lambda x: x.select("*", *[F.lit(None).cast(kind).alias(n) for n, kind in parts.items()])
+    return J.patch_documents(whole(have), whole(up)).select("doc_id", F.element_at("data", "title").alias("title"), F.element_at("data", "state").alias("state"))
 
 
 @query("snk_result_codes", f"SELECT doc_id, CASE WHEN op = 'delete' THEN CASE WHEN p_partkey IS NULL THEN 'NOT_FOUND' ELSE 'DELETED' END ELSE CASE WHEN p_partkey IS NULL THEN 'CREATED' ELSE 'UPDATED' END END AS result FROM ({_LAST}) LEFT JOIN part ON p_partkey = doc_id")
@@ -255,9 +258,9 @@ def pre_word_split(spark, d):
     return _values(R.split_words(docs(spark, d), ["title"], "words", ["fuss", "ball", "steel", "bolt", "box", "copper"]), "words")
 
 
-@query("pre_content_delimiter", _W + "SELECT doc_id, replace(title, ' ', '|') AS title FROM items WHERE split_part(title, ' ', 1) <> split_part(title, ' ', 2)")
+@query("pre_content_delimiter", _W + "SELECT doc_id, CASE WHEN split_part(title, ' ', 1) = split_part(title, ' ', 2) THEN split_part(title, ' ', 1) ELSE replace(title, ' ', '|') END AS title FROM items")
 def pre_content_delimiter(spark, d):
-    return _values(R.split_delimited(docs(spark, d), "title", " "), "title").join(C.items(spark, d).filter("split_part(title, ' ', 1) <> split_part(title, ' ', 2)").select("doc_id"), "doc_id", "left_semi")
+    return _values(R.split_delimited(docs(spark, d), "title", " "), "title")
 
 
 # --- projections -------------------------------------------------------------
@@ -418,6 +421,13 @@ def snk_cleanup(spark, d):
 
 @query("snk_suggest_archive", "SELECT p_name AS text, count(*) AS weight FROM part GROUP BY p_name")
 def snk_suggest_archive(spark, d):
-    folder = scratch.folder(spark, "suggest")
-    C.items(spark, d).groupBy(F.col("title").alias("text")).agg(F.count(F.lit(1)).alias("weight")).write.parquet(folder)
-    return spark.read.parquet(folder)
+    """A reader polls for snapshots: it has the first, and after a second is published that one."""
+    from ..operators import suggest_index as Q
+
+    store = K.Store(spark, scratch.folder(spark, "suggest"))
+    records = C.items(spark, d).groupBy(F.col("title").alias("text")).agg(F.count(F.lit(1)).alias("weight"), F.min("type").alias("secondary"))
+    Q.publish(store, "titles", "en", records.withColumn("text", F.upper("text")))
+    reader = Q.Poller(store, "titles-en")
+    reader.current()
+    Q.publish(store, "titles", "en", records)
+    return reader.current().filter("stage = 1").select("text", "weight").distinct()

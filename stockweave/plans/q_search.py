@@ -731,6 +731,30 @@ def sug_group_limit(spark, d):
     return G.group_limit(_grouped(spark, d), "kind", {"log": 0.7, "catalog": 0.3}, 10)
 
 
+_THREE = "SELECT upper(title) AS text, count(*) AS weight, 'log' AS kind FROM items GROUP BY title UNION ALL SELECT title, count(*), 'catalog' FROM items GROUP BY title UNION ALL SELECT brand, count(*), 'brand' FROM items WHERE brand IN ('Brand#11', 'Brand#12') GROUP BY brand"
+
+
+@query("sug_share_limit", _W + f", g AS ({_THREE}) SELECT text, weight, kind FROM g QUALIFY row_number() OVER (PARTITION BY kind ORDER BY weight DESC, text) <= CASE kind WHEN 'log' THEN 11 WHEN 'catalog' THEN 7 ELSE 2 END")
+def sug_share_limit(spark, d):
+    """Three groups of which one can't fill its share of four: the two places left go to the others."""
+    brands = C.items(spark, d).filter(F.col("brand").isin("Brand#11", "Brand#12")).groupBy(F.col("brand").alias("text")).agg(F.count(F.lit(1)).alias("weight")).withColumn("kind", F.lit("brand"))
+    return G.group_limit(_grouped(spark, d).unionByName(brands), "kind", {"log": 0.5, "catalog": 0.3, "brand": 0.2}, 20)
+
+
+@query("sug_prefix_batch", _W + """, r AS (SELECT title AS text, min(type) AS secondary, count(*) AS weight FROM items GROUP BY title), w AS (SELECT DISTINCT unnest(string_split(title, ' ') || [title]) AS w FROM items),
+q AS (SELECT DISTINCT left(w, n) AS query FROM w, range(1, 12) t(n)),
+m AS (SELECT query, text, weight, CASE WHEN starts_with(text, query) OR contains(text, ' ' || query) THEN 1 WHEN starts_with(lower(secondary), trim(query)) OR contains(lower(secondary), ' ' || trim(query)) THEN 2 END AS stage FROM q, r)
+SELECT query, text, stage, weight, row_number() OVER (PARTITION BY query ORDER BY stage, weight DESC, text) AS rank FROM m WHERE stage IS NOT NULL QUALIFY rank <= 5""")
+def sug_prefix_batch(spark, d):
+    """Everything a user may have typed of a word or a title, answered from a stored index by one join."""
+    from ..operators import suggest_index as Q
+
+    stored = scratch.keep(Q.index(records(spark, d).select("text", "secondary", "weight")), "suggest")
+    typed = F.explode(F.array_append(F.split("title", " "), F.col("title"))).alias("w")
+    asked = C.items(spark, d).select("title").distinct().select(typed).distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(11)), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("query"))
+    return Q.lookup(stored, asked.distinct(), 5).select("query", "text", "stage", "weight", F.col("rank").cast("long").alias("rank"))
+
+
 @query("sug_dedupe", _W + "SELECT title AS text, 'catalog' AS kind, count(*) AS weight FROM items GROUP BY title")
 def sug_dedupe(spark, d):
     return G.dedupe(_grouped(spark, d), "kind", ["catalog", "log"])

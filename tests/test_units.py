@@ -608,3 +608,93 @@ def test_typed_values_of_documents(spark):
     assert [r[0] for r in plain.select(documents.typed_data(F.col("text")).isNull()).collect()] == [True, True, True, False]
     last = plain.filter("text LIKE '%abc%'").select(*[documents.values_of(F.col("text"), f"$.{k}").alias(k) for k in "knlo"]).first()
     assert (last.k, last.n, last.l, last.o) == (["abc"], ["7"], ["1", "2"], [])
+
+
+def test_concurrent_sessions_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from stockweave.operators.store import Store
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: Store(spark, f"file://{tmp_path}/t").start("parts", "en"), range(24)))
+    assert sorted(n for _, n in got) == list(range(1, 25)) and {name for name, _ in got} == {"parts-en"}
+    assert Store(spark, f"file://{tmp_path}/t").versions("parts-en") == list(range(1, 25))
+
+
+def test_snapshots_are_swapped_under_a_running_reader(spark, tmp_path):
+    import time
+
+    from stockweave.operators import suggest_index as index
+    from stockweave.operators.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    records = lambda *texts: spark.createDataFrame([(t, None, 1) for t in texts], "text string, secondary string, weight long")
+    reader = index.Poller(store, "words-en")
+    assert reader.current() is None
+    assert index.publish(store, "words", "en", records("red ring", "rod"))
+    asked = spark.createDataFrame([("r",)], "query string")
+    first = index.lookup(reader.current(), asked)
+    assert reader.current() is reader.frame and [x.text for x in first.orderBy("rank").collect()] == ["red ring", "rod"]
+    time.sleep(0.01)
+    assert index.publish(store, "words", "en", records("rope"))
+    assert [x.text for x in first.orderBy("rank").collect()] == ["red ring", "rod"]  # begun before, still readable
+    assert [x.text for x in index.lookup(reader.current(), asked).collect()] == ["rope"]
+    assert not index.publish(store, "words", "en", records()) and [x.text for x in index.lookup(reader.current(), asked).collect()] == ["rope"]
+
+
+@pytest.mark.parametrize("keep, limit", [(100, 10), (3, 3)])
+def test_suggestions_by_prefix_equal_brute_force(spark, keep, limit):
+    import random
+
+    from stockweave.operators import suggest_index as index
+
+    r = random.Random(keep)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randint(1, 9)))
+    rows = [(" ".join(word() for _ in range(r.randint(1, 3))), r.choice([None, word(), f"{word()} {word()}"]), r.choice([None, 1, 2, 3])) for _ in range(150)]
+    rows += [(None, "x", 1), ("", "x", 1), ("  ", "a", 5), (rows[0][0], "aa", 9), ("Ab  Ba", "É b", 2)]
+    norm = lambda t: " ".join((t or "").lower().split())
+    best = {}
+    for t, s, w in rows:
+        if t and t.strip():
+            best[t] = max(best.get(t, (-1, "")), (w or 0, s or ""))
+    asked = sorted({x[:n] for t in best for x in norm(t).split() + [norm(t)] for n in (1, 2, 3, 6, 7, 9)} | {"zzz", "", " ", "AB", "b a"})
+    want = set()
+    for q in asked:
+        p, hits = norm(q), []
+        for t, (w, s) in best.items():
+            own = lambda x: bool(p) and (norm(x).startswith(p) or f" {p}" in norm(x))  # noqa: E731, B023
+            if own(t) or own(s):
+                hits.append((1 if own(t) else 2, -w, t.encode()))
+        want |= {(q, t.decode(), s, -w, k + 1) for k, (s, w, t) in enumerate(sorted(hits)[:limit])}
+    stored = index.index(spark.createDataFrame(rows, "text string, secondary string, weight long"), keep)
+    got = index.lookup(stored, spark.createDataFrame([(q,) for q in asked], "query string"), limit).collect()
+    assert {(x.query, x.text, x.stage, x.weight, x["rank"]) for x in got} == want and len(want) > 100
+
+
+@pytest.mark.parametrize(
+    "shares, available, limit, want",
+    [
+        ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 99, "b": 99, "c": 99}, 10, {"a": 5, "b": 3, "c": 2}),
+        ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 99, "b": 99, "c": 2}, 20, {"a": 11, "b": 7, "c": 2}),
+        ({"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, 10, {"a": 1, "b": 2}),
+        ({"a": 0.9, "b": 0.1}, {"b": 50}, 10, {"a": 0, "b": 10}),
+        ({"a": 1.0, "b": 0.0}, {"a": 3, "b": 9}, 5, {"a": 3, "b": 0}),
+        ({"a": 0.34, "b": 0.33, "c": 0.33}, {"a": 9, "b": 9, "c": 9}, 4, {"a": 2, "b": 1, "c": 1}),
+        ({}, {}, 5, {}),
+    ],
+)
+def test_unused_shares_go_to_other_groups(shares, available, limit, want):
+    from stockweave.operators import suggest
+
+    assert suggest.allot(shares, available, limit) == want
+
+
+def test_group_limit_with_prefetch_and_groups_without_share(spark):
+    from stockweave.operators import suggest
+
+    rows = [(f"t{i:02d}", 100 - i, "ab"[i % 2] if i < 16 else "z") for i in range(20)]
+    df = spark.createDataFrame(rows, "text string, weight long, kind string")
+    kinds = lambda x: sorted(r.kind for r in x.collect())
+    assert kinds(suggest.group_limit(df, "kind", {"a": 0.5, "b": 0.25}, 8)) == ["a"] * 4 + ["b"] * 2 + ["z"] * 2
+    assert kinds(suggest.group_limit(df, "kind", {"a": 0.5, "b": 0.25}, 8, prefetch=2)) == ["a"] * 5 + ["b"] * 3
+    assert suggest.group_limit(df.limit(0), "kind", {"a": 1.0}, 8).count() == 0
