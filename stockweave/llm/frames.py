@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import scratch
+
 #: A batch of an Arrow function, in rows and in bytes; bounds the memory of a Python worker.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
@@ -26,19 +27,9 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share.
-
-    That is ``spark.checkpoint.dir``; where a session has none, as in tests, a
-    folder of this machine is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='stockweave-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stockweave-{uuid.uuid4().hex}"
+    """A new folder in the session's own one, under that which all executors share;
+    it goes when the driver ends."""
+    return scratch.folder(spark)
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -32,6 +32,22 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     assert order(tuple(r[k] for k in at) for r in got.collect()) == order(want.select(*at).fetchall())
 
 
+def test_batches_are_bounded_in_bytes(spark, monkeypatch):
+    """A batch of long texts holds fewer rows than one of short ones."""
+    import pyarrow as pa
+
+    from stockweave.llm import frames
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    monkeypatch.setattr(frames, "BATCH_BYTES", 1 << 20)
+    long = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    got = frames.arrow(long, sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 200 and max(r["size"] for r in got) < 2 << 20
+
+
 # --- chat
 
 
