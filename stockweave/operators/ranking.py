@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +24,6 @@ def field_value(value: Column, factor: float = 1.0, modifier: str = "none", miss
 
 def decay(value: Column, kind: str, origin: float | str, scale: float, offset: float = 0.0, rate: float = 0.5) -> Column:
     """1 at the origin, ``rate`` at the distance ``scale`` beyond the offset."""
-    import math
-
     if isinstance(origin, str):  # a date: distances are in days
         value, origin = F.unix_micros(value.cast("timestamp")) / 86_400_000_000.0, F.unix_micros(F.lit(origin).cast("timestamp")) / 86_400_000_000.0
     far = F.greatest(F.abs(value - origin) - offset, F.lit(0.0))
@@ -69,16 +69,54 @@ def up_down(score: Column, matches: Column, up: float = 0.0, down: float | None
     return score + F.when(matches, F.lit(up)).otherwise(0.0)
 
 
-def rescore(hits: DataFrame, window: int, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A second scorer on the top hits; the others stay behind them, in their order."""
+def _inside(hits: DataFrame, window: int) -> Column | None:
+    """Whether a hit is one of the top ones, by the last row of these; none if there are none."""
     top = hits.orderBy(F.col("score").desc_nulls_last(), "doc_id").limit(window)
     last = top.orderBy(F.col("score").asc_nulls_first(), F.col("doc_id").desc()).select("score", "doc_id").first() if window else None
-    inside = F.lit(False)
-    if last is not None:  # the window ends with this row
-        better = F.lit(True) if last.score is None else F.col("score") > F.lit(last.score)
-        inside = F.coalesce(better & F.col("score").isNotNull(), F.lit(False)) | (F.col("score").eqNullSafe(F.lit(last.score)) & (F.col("doc_id") <= F.lit(last.doc_id)))
-    tail = hits.filter(~inside).withColumn("tier", F.lit(1))
-    return tail if last is None else scorer(hits.filter(inside)).withColumn("tier", F.lit(0)).unionByName(tail, allowMissingColumns=True)
+    if last is None:
+        return None
+    better = F.lit(True) if last.score is None else F.col("score") > F.lit(last.score)
+    return F.coalesce(better & F.col("score").isNotNull(), F.lit(False)) | (F.col("score").eqNullSafe(F.lit(last.score)) & (F.col("doc_id") <= F.lit(last.doc_id)))
+
+
+def rescore(hits: DataFrame, window: int, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A second scorer on the top hits; the others stay behind them, in their order."""
+    inside = _inside(hits, window)
+    tail = hits.filter(F.lit(True) if inside is None else ~inside).withColumn("tier", F.lit(1))
+    return tail if inside is None else scorer(hits.filter(inside)).withColumn("tier", F.lit(0)).unionByName(tail, allowMissingColumns=True)
+
+
+@dataclass(frozen=True, eq=False)
+class Rescorer:
+    """A second score for those of the top ``window`` hits that match.
+
+    A hit's new score is ``query_weight`` times the old one, and if it is in the window
+    and matches, plus ``weight`` times the second."""
+
+    window: int
+    matches: Column
+    score: Column
+    query_weight: float = 1.0
+    weight: float = 1.0
+
+
+def rescored(hits: DataFrame, rescorers: list[Rescorer], sets: int = 0, heroes: int = 0) -> DataFrame:
+    """Rescorers one after another, each on the order that the one before it left.
+
+    ``hits`` with ``set_no`` and ``pos`` of ``sets`` product sets hold ``heroes`` hits in
+    front.  A rescorer whose window ends within these is left out.  Where the others weaken
+    the query against their own scores, heroes get that much of their boost again, in the
+    largest window asked for, so that they stay in front."""
+    used = [r for r in rescorers if r.window > heroes]
+    query, own = math.prod(r.query_weight for r in used), math.prod(r.weight for r in used)
+    if heroes and query < own:
+        used.append(Rescorer(max(r.window for r in rescorers), F.col("pos").isNotNull(), hero_score(sets), 1.0, own - query))
+    for r in used:
+        inside = _inside(hits, r.window)
+        if inside is not None:
+            second = F.when(inside & F.coalesce(r.matches, F.lit(False)), F.coalesce(r.score, F.lit(0.0)) * r.weight).otherwise(0.0)
+            hits = hits.withColumn("score", F.col("score") * r.query_weight + second)
+    return hits
 
 
 def sort_columns(instructions: list, with_score: bool = True) -> list[Column]:
@@ -140,9 +178,13 @@ def price_prefix(low: Column, high: Column) -> Column:
 def hero_boost(hits: DataFrame, sets: list[DataFrame]) -> DataFrame:
     """Scores of the better of query and hero: a set's boost is a thousand times the
     next one's, and 10 for the last; places in it give 1000, 999 and so on."""
-    placed = arrange(hits, sets)
-    own = F.pow(F.lit(1000.0), F.lit(len(sets) - 1) - F.col("set_no")) * 10.0 * F.greatest(F.lit(1000) - F.col("pos"), F.lit(1))
-    return placed.withColumn("score", F.greatest(F.col("score"), F.when(F.col("pos").isNotNull(), own).otherwise(0.0)))
+    own = F.when(F.col("pos").isNotNull(), hero_score(len(sets))).otherwise(0.0)
+    return arrange(hits, sets).withColumn("score", F.greatest(F.col("score"), own))
+
+
+def hero_score(sets: int) -> Column:
+    """What a place ``pos`` in set ``set_no`` is worth."""
+    return F.pow(F.lit(1000.0), F.lit(sets - 1) - F.col("set_no")) * 10.0 * F.greatest(F.lit(1000) - F.col("pos"), F.lit(1))
 
 
 def arrange(hits: DataFrame, sets: list[DataFrame]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_facets, q_filters, q_ingest, q_scalars, q_search  # noqa: F401  they register queries
+from . import q_facets, q_filters, q_ingest, q_request, q_scalars, q_search  # noqa: F401  they register queries
 from .registry import ORACLES, QUERIES
 
 

@@ -53,6 +53,7 @@ class SearchRequest:
     limit: int = 12
     offset: int = 0
     custom: dict[str, str] = field(default_factory=dict)
+    include_main: bool = True  # arranged requests may ask for their product sets only
 
 
 def split_values(text: str) -> list[str]:

@@ -29,6 +29,7 @@ class ProductSet:
     weights: dict = dataclasses.field(default_factory=dict)
     sort: tuple[tuple[str, bool], ...] = ()  # dynamic: field, descending
     limit: int = 3
+    separate: bool = False  # a slice of its own; else its hits lead the main one
 
 
 def _numbered(found: DataFrame, order: list[Column], limit: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import urllib.parse
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,7 @@ class Stage:
     min_should_match: str = "100%"
     accept_no_result: bool = False
     fallback: Stage | None = None  # where a prediction or relaxation has nothing; and the boost of its matches
+    factory: Callable[[DataFrame, Column, list[str]], DataFrame | None] | None = None  # a plug-in's: hits with ``score``, or none to skip the stage
 
 
 @dataclass
@@ -29,9 +31,15 @@ class SearchResult:
     meta: dict = field(default_factory=dict)
 
 
-def run_stage(docs: DataFrame, tokens: Column, terms: list[str], stage: Stage, rules: graph.Rules | None = None) -> DataFrame:
+#: What ``Stage.strategy`` may be without a plug-in.
+STRATEGIES = ("all", "any", "phrase", "fuzzy", "trigram", "relaxed", "predicted", "match_all", "none")
+
+
+def run_stage(docs: DataFrame, tokens: Column, terms: list[str], stage: Stage, rules: graph.Rules | None = None) -> DataFrame | None:
     """Matches with ``score``.  Where rules have synonyms for the terms, ``all`` and ``any``
     match and score the variants of the query."""
+    if stage.factory is not None and terms:
+        return stage.factory(docs, tokens, terms)
     if stage.strategy == "none":
         return docs.filter(F.lit(False)).withColumn("score", F.lit(0.0))
     if stage.strategy == "match_all" or not terms:
@@ -69,7 +77,10 @@ def _boosted_by_unmatched(found: DataFrame, tokens: Column, terms: list[str]) ->
 
 def sufficient(found: DataFrame, request: SearchRequest, heroes: int = 0, hero_ids: DataFrame | None = None) -> bool:
     """More hits than heroes; with filters, which may have left heroes out, hits beyond
-    the page or one that is no hero.  Counts no further than it has to."""
+    the page or one that is no hero.  Without a main result anything will do.  Counts no
+    further than it has to."""
+    if not request.include_main:
+        return True
     if not request.filters:
         return found.limit(heroes + 1).count() > heroes
     page = request.offset + request.limit
@@ -82,12 +93,13 @@ def sufficient(found: DataFrame, request: SearchRequest, heroes: int = 0, hero_i
 
 
 def staged_search(
-    docs: DataFrame, tokens: Column, request: SearchRequest, stages: list[Stage], dictionary: DataFrame | None = None, heroes: int = 0, only: int | None = None, hero_ids: DataFrame | None = None, trace: str | None = None, rules: graph.Rules | None = None
+    docs: DataFrame, tokens: Column, request: SearchRequest, stages: list[Stage], dictionary: DataFrame | None = None, heroes: int = 0, only: int | None = None, hero_ids: DataFrame | None = None, trace: str | None = None, rules: graph.Rules | None = None, always: Callable[[DataFrame], DataFrame] | None = None
 ) -> SearchResult:
     """Stage by stage; one small count decides.  Before the next stage, an
     insufficient one is tried once with corrected spelling.  Blank queries without
     filters give an empty result with an error.  ``docs`` are those that meet the
-    request's filters, heroes among them; ``rules`` give synonyms and deletions."""
+    request's filters, heroes among them; ``rules`` give synonyms and deletions, ``always``
+    adds what is found at any stage.  A stage whose plug-in gives nothing is skipped."""
     flags = parse_trace(trace)
     terms = request.q.lower().split()
     if not terms and not request.filters and request.q:
@@ -95,13 +107,18 @@ def staged_search(
     chosen = [s for s in stages if s.condition.holds(request.q)]
     if only is not None:
         chosen = chosen[only : only + 1]
+    if not terms:  # nothing to search for: all that the filters leave
+        chosen = [Stage("_match_all", "match_all", accept_no_result=True)]
     meta: dict = {"query": request.q}
     found = docs.filter(F.lit(False)).withColumn("score", F.lit(0.0))
     for n, stage in enumerate(chosen):
         tries = [terms]
         while tries:
             mine = tries.pop()
-            found = run_stage(docs, tokens, mine, stage, rules)
+            own = run_stage(docs, tokens, mine, stage, rules)
+            if own is None:
+                continue
+            found = own if always is None else always(own)
             meta |= {"stage": n, "strategy": stage.name}
             if "request" in flags:
                 meta["trace_request"] = {"q": request.q, "filters": len(request.filters), "terms": mine}
