@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: They depend on titles that the smallest table may lack.
-LARGER = ("agg_sampling", "rlx_correct_retry", "rlx_staged", "rlx_sufficient", "meta_trace", "mat_prediction")
+LARGER = ("agg_sampling", "rlx_correct_retry", "rlx_staged", "rlx_sufficient", "meta_trace", "mat_prediction", "ext_query_plugins")
 
 
 def _duck(folder):
