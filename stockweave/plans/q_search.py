@@ -205,7 +205,8 @@ _ASCII = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 def _letters(text="text"):
     """Runs of a-z; capitals of ASCII count as small letters."""
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]+"), F.lit(0))
+    runs = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]+", " ")))
+    return F.when(runs == "", F.array().cast("array<string>")).otherwise(F.split(runs, " "))
 
 
 @query("mat_relevance_batch", f"""WITH d AS (SELECT doc_id, {_ASCII} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term, len(w) AS len FROM d), f AS (SELECT term, doc_id, len, count(*) AS tf FROM p GROUP BY ALL),

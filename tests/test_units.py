@@ -552,6 +552,19 @@ def test_postings_stay_where_they_are(spark):
     assert not any("Exchange" in line for line in lines[join:scan])
 
 
+def test_phrases_are_looked_for_in_each_row(spark):
+    """Rows of one id and length are texts of their own; only the rarest word's places are tried."""
+    from stockweave.operators import postings
+
+    docs = [(1, ["a", "b", "a", "b"]), (1, ["a", "b", "c", "a"]), (2, ["a", "b"]), (3, None), (4, ["b", "a"])]
+    index = postings.build(spark.createDataFrame(docs, "doc_id long, tokens array<string>"), F.col("tokens"))
+    asked = spark.createDataFrame([(7, ["a", "b"]), (7, ["a"]), (8, ["b", "a"]), (9, ["a", "z"])], "query long, words array<string>")
+    found = postings.phrases(index, asked)
+    assert sorted((x.query, x.doc_id, x.times) for x in found.collect()) == [(7, 1, 1), (7, 1, 2), (7, 1, 2), (7, 1, 2), (7, 2, 1), (7, 2, 1), (7, 4, 1), (8, 1, 1), (8, 4, 1)]
+    scores = {(x.query, x.doc_id): x.score for x in postings.score(index, postings.terms_of(asked.limit(1), F.col("words"), "query")).collect()}
+    assert scores.keys() == {(7, 1), (7, 2), (7, 4)}
+
+
 def test_exclusive_facets_on_variants_equal_brute_force(spark):
     import random
 
