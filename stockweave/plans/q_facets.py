@@ -12,8 +12,16 @@ from .params import Filter
 from .registry import query
 
 
+#: Products of a task in which values are counted.
+PRODUCTS = 100_000
+
+
 def _values(spark, d, *names, variants=False):
-    fv = C.facet_values(C.items(spark, d), C.variants(spark, d) if variants else None)
+    # Products go by their ids before they are exploded, so many to a task: they are then counted
+    # once in tasks of one size, without a shuffle of values, and not in the few that read a file.
+    items = C.items(spark, d).select("doc_id", "brand", "type", "size", "price", "path")
+    items = items.repartition(max(spark.sparkContext.defaultParallelism, -(-C.table(spark, d, "part").count() // PRODUCTS)), "doc_id")
+    fv = C.facet_values(items, C.variants(spark, d) if variants else None)
     return fv.filter(F.col("name").isin(*names)) if names else fv
 
 

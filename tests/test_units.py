@@ -565,6 +565,19 @@ def test_phrases_are_looked_for_in_each_row(spark):
     assert scores.keys() == {(7, 1), (7, 2), (7, 4)}
 
 
+@pytest.mark.parametrize("products", [100_000, 20])
+def test_products_are_spread_before_their_values_are_counted(spark, sf, monkeypatch, products):
+    """Tasks hold so many products, whatever the files; values aren't shuffled to be counted once."""
+    from stockweave.plans import q_facets
+
+    monkeypatch.setattr(q_facets, "PRODUCTS", products)
+    values = q_facets._values(spark, sf)
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert values.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // products))
+    plan = q_facets._stats(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning(name" in line and "doc_id" in line for line in plan.splitlines())
+
+
 def test_exclusive_facets_on_variants_equal_brute_force(spark):
     import random
 
