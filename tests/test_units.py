@@ -565,6 +565,19 @@ def test_phrases_are_looked_for_in_each_row(spark):
     assert scores.keys() == {(7, 1), (7, 2), (7, 4)}
 
 
+def test_scores_are_summed_where_the_postings_are(spark):
+    """No pair of a query and a document is shuffled, and shards grow in number with the documents, not in size."""
+    from stockweave.operators import postings
+
+    df = spark.createDataFrame([(i, ["a", f"b{i}"]) for i in range(50)], "doc_id long, tokens array<string>")
+    index = postings.build(df, F.col("tokens"), shard_rows=5 * 256)
+    assert len(index.postings.inputFiles()) > 4
+    asked = spark.createDataFrame([(1, "a"), (2, "b7")], "query long, term string").withColumn("weight", F.lit(1.0))
+    plan = postings.score(index, asked)._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, line in enumerate(plan) if "postings_" in line)
+    assert not any("Exchange" in line for line in plan[:scan] if "BroadcastExchange" not in line)
+
+
 @pytest.mark.parametrize("products", [100_000, 20])
 def test_products_are_spread_before_their_values_are_counted(spark, sf, monkeypatch, products):
     """Tasks hold so many products, whatever the files; values aren't shuffled to be counted once."""
