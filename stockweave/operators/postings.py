@@ -2,9 +2,10 @@
 
 Postings are a table ``(shard, row, doc_id, len, term, tf, positions)`` bucketed by shard,
 beside a dictionary ``(term, df)`` and the statistics of the field.  A shard holds whole
-documents, told by a hash of their ids, and a bucket about ``SHARD_ROWS`` postings (at
+documents, told by a hash of their ids, and is a bucket of about ``SHARD_ROWS`` postings (at
 ``DOCUMENT_ROWS`` of a document), so the number of buckets grows with the documents and
-what a task holds does not.
+what a task holds does not.  Shards have numbers that are hashed to buckets of their own:
+buckets of several shards would differ the more, the more of them there are.
 
 They are written once; a batch of queries is then one join on the term in which only
 the queries' terms are moved: all postings of a document lie in one shard, so scores are
@@ -24,7 +25,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
@@ -42,7 +43,7 @@ class Index:
     dictionary: DataFrame
     documents: int
     average: float
-    shards: int
+    shards: list[int]
     repeats: bool
 
 
@@ -74,6 +75,12 @@ def _grouper() -> Callable:
     return grouped
 
 
+def _numbers(spark: SparkSession, buckets: int) -> list[int]:
+    """A number for each bucket, which is hashed to it; should a bucket be left without one, the others take its documents."""
+    tried = spark.range(32 * buckets).select(F.col("id").cast("int").alias("n"))
+    return sorted(x.n for x in tried.groupBy(F.pmod(F.hash("n"), F.lit(buckets)).alias("bucket")).agg(F.min("n").alias("n")).collect())
+
+
 def build(docs: DataFrame, tokens: Column, key: str = "doc_id", buckets: int | None = None, shard_rows: int = SHARD_ROWS, folder: str | None = None) -> Index:
     """Write the index of a field to a folder, by default one of the session's own."""
     spark = docs.sparkSession
@@ -83,9 +90,9 @@ def build(docs: DataFrame, tokens: Column, key: str = "doc_id", buckets: int | N
     documents = docs.count()
     repeats = not docs.groupBy(key).count().filter("count > 1").isEmpty()
     buckets = max(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), min(documents, -(-documents * DOCUMENT_ROWS // shard_rows)))
-    shards = 8 * buckets  # hashed to buckets once more: several in each, so that buckets are alike
+    shards = _numbers(spark, buckets)
     # Documents are moved once, as texts, to the task that keeps their postings; these are not moved.
-    placed = docs.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).repartition(buckets, "shard")
+    placed = docs.withColumn("shard", F.get(F.lit(shards), F.pmod(F.xxhash64(key), F.lit(len(shards))).cast("int"))).repartition(buckets, "shard")
     slim = placed.select("shard", F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
     schema = f"shard int, row long, doc_id {docs.select(key).schema[0].dataType.simpleString()}, len int, term string, tf int, positions array<int>"
     name = f"postings_{uuid.uuid4().hex}"
@@ -107,7 +114,7 @@ def _met(index: Index, postings: DataFrame, asked: DataFrame) -> DataFrame:
     asked = scratch.keep(asked, "asked")
     if not spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-") and asked.count() <= BATCH_ROWS:
         return postings.join(F.broadcast(asked), "term")
-    return postings.join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1)))), ["shard", "term"])
+    return postings.join(asked.withColumn("shard", F.explode(F.lit(index.shards))), ["shard", "term"])
 
 
 def _half_up(x: Column) -> Column:

@@ -578,6 +578,16 @@ def test_scores_are_summed_where_the_postings_are(spark):
     assert not any("Exchange" in line for line in plan[:scan] if "BroadcastExchange" not in line)
 
 
+def test_buckets_of_postings_are_alike(spark):
+    """The largest of many buckets, which a task holds, is not far above the mean."""
+    from stockweave.operators import postings
+
+    df = spark.range(6400).select(F.col("id").alias("doc_id"), F.array(F.lit("a")).alias("tokens"))
+    index = postings.build(df, F.col("tokens"), shard_rows=100 * 256)
+    sizes = [x["count"] for x in index.postings.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 64 and sum(sizes) == 6400 and max(sizes) < 150
+
+
 @pytest.mark.parametrize("products", [100_000, 20])
 def test_products_are_spread_before_their_values_are_counted(spark, sf, monkeypatch, products):
     """Tasks hold so many products, whatever the files; values aren't shuffled to be counted once."""
