@@ -97,7 +97,8 @@ def src_json_typed(spark, d):
         F.lit(']], "category": [{"id": "c'), seventh, F.lit('", "name": '), quoted, F.lit('}, {"name": "leaf"}, {"id": "nameless"}, 5], "trees": [[{"name": "a"}, {"name": "b"}], [1], [{"id": 7, "name": '), quoted,
         F.lit('}]], "color": {"name": "color", "code": "'), seventh, F.lit('", "value": '), quoted, F.lit('}, "gone": null, "none": {}, "empty": [], "deep": [[[1]]]}'),
     )
-    rows = e.select("event_id", F.explode(D.typed_data(json)).alias("key", "v")).select("event_id", "key", "v.*").filter("kind IS NOT NULL")
+    values = e.select("event_id", F.explode(D.properties(json)).alias("key", "v"))
+    rows = values.select("event_id", "key", F.inline(D.typed_values(F.col("v")))).filter("kind IS NOT NULL")
     lists = F.array_join(F.transform("texts", lambda t: F.array_join(t, ",")), ";")
     paths = F.array_join(F.transform("paths", lambda p: F.array_join(F.transform(p, lambda c: F.concat(F.coalesce(c["id"], F.lit("-")), F.lit(":"), c["name"])), ">")), ";")
     own = F.concat_ws("/", "attribute.name", "attribute.code", "attribute.value")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,63 +32,79 @@ def values_of(json_text: Column, path: str = "$") -> Column:
 
 
 _CATEGORY = "array<struct<id:string,name:string>>"
-_LIST = f"struct<kind:string,texts:array<string>,path:{_CATEGORY}>"
 #: A typed value: ``texts`` and ``paths`` hold one list for each inner list of the value.
 VALUE = f"struct<kind:string,texts:array<array<string>>,paths:array<{_CATEGORY}>,attribute:{ATTRIBUTE}>"
 _INT = 2**31
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """A value computed once for all its uses in an expression."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+def _member(v: Column, name: str) -> Column:
+    """A member of an object as a VARIANT.  Through a map: a path that isn't there costs an exception each time."""
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
+
+
+def _has_scalar(v: Column, name: str) -> Column:
+    """Whether an object has a member of that name that is a scalar other than null."""
+    return F.coalesce(~F.schema_of_variant(_member(v, name)).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(False))
+
+
+def _is_double(schema: Column) -> Column:
+    return schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT")
+
 
+def _kinds(elements: Column) -> Column:
+    """What each element is: long (int too), string (booleans are text), double, path for an object with a scalar name; null for the rest."""
 
-def _has_scalar(v: Column, path: str) -> Column:
-    """Whether there is a scalar other than null at the path."""
-    schema = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.coalesce(~(schema.startswith("OBJECT") | schema.startswith("ARRAY") | (schema == "VOID")), F.lit(False))
+    def of(schema: Column, i: Column) -> Column:
+        named = F.when(schema.startswith("OBJECT"), F.when(_has_scalar(F.get(elements, i), "name"), "path"))
+        return F.when(schema == "BIGINT", "long").when(schema.isin("STRING", "BOOLEAN"), "string").when(_is_double(schema), "double").otherwise(named)
 
+    return F.transform(F.transform(elements, F.schema_of_variant), of)
 
-def _facts(v: Column) -> Column:
-    """``kind`` (int, long, double, string, null; booleans are text; path for an object with
-    a scalar name; list), ``text`` and ``whole``, a number without its fraction."""
 
-    def of(schema: Column) -> Column:
-        number = F.try_variant_get(v, "$", "double").cast("decimal(38,6)")
-        whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("decimal(38,0)")
-        is_double = schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT")
-        named = schema.startswith("OBJECT") & _has_scalar(v, "$.name")
-        small = (F.try_variant_get(v, "$", "bigint") >= -_INT) & (F.try_variant_get(v, "$", "bigint") < _INT)
-        kind = F.when(schema == "BIGINT", F.when(small, "int").otherwise("long")).when(is_double, "double").when(schema.isin("STRING", "BOOLEAN"), "string").when(schema == "VOID", "null").when(named, "path").when(schema.startswith("ARRAY"), "list")
-        return F.struct(kind.alias("kind"), F.try_variant_get(v, "$", "string").alias("text"), F.when(is_double, whole).alias("whole"))
+def _cut(text: Column) -> Column:
+    """A double's text without its fraction."""
+    number = text.cast("double").try_cast("decimal(38,6)")
+    return F.when(text.startswith("-"), F.ceil(number)).otherwise(F.floor(number)).cast("decimal(38,0)").cast("string")
 
-    return _let(F.schema_of_variant(v), of)
 
+def _typed_lists(lists: Column) -> Column:
+    """``kind, texts, path`` of each list: its first element that is a value or a category fixes the type; what doesn't fit it goes.
 
-def _fits(x: Column, kind: Column) -> Column:
-    """A scalar's text as a value of that kind, null if it can't be one."""
-    small = (x["whole"] >= -_INT) & (x["whole"] < _INT)
-    same = (kind == x["kind"]) | ((kind == "string") & x["kind"].isin("int", "long", "double")) | ((kind == "long") & (x["kind"] == "int"))
-    return F.when(same, x["text"]).when((kind == "long") | ((kind == "int") & small), x["whole"].cast("string"))
+    Texts are taken from a list at once: one by one each would cost as much as the whole list."""
+    no_texts, no_path = F.array().cast("array<string>"), F.array().cast(_CATEGORY)
 
+    def known(x: Column) -> Column:
+        return F.struct(x["v"].alias("v"), x["elements"].alias("elements"), _kinds(x["elements"]).alias("kinds"))
 
-def _typed_list(elements: Column) -> Column:
-    """The first element that is a value or a category fixes the type; what doesn't fit it goes."""
+    def begun(x: Column) -> Column:
+        first = F.get(F.filter(x["kinds"], lambda k: k.isNotNull()), F.lit(0))
+        return F.struct(x["elements"].alias("elements"), x["kinds"].alias("kinds"), F.try_variant_get(x["v"], "$", "array<string>").alias("texts"), first.alias("kind"))
 
-    def of(marked: Column) -> Column:
-        first = F.get(F.filter(marked, lambda m: m["f"]["kind"].isin("int", "long", "double", "string", "path")), F.lit(0))["f"]["kind"]
-        return _let(first, lambda kind: listed(marked, kind))
+    def whole(x: Column) -> Column:
+        first = F.get(F.filter(x["texts"], lambda _, i: F.get(x["kinds"], i) == "long"), F.lit(0))
+        texts = F.transform(x["texts"], lambda t, i: F.when(F.get(x["kinds"], i) == "long", t).when(F.get(x["kinds"], i) == "double", _cut(t)))
+        is_long = x["kind"] == "long"
+        kind = F.when(is_long & first.try_cast("int").isNotNull(), "int").otherwise(x["kind"])
+        return F.struct(x["elements"].alias("elements"), x["kinds"].alias("kinds"), F.when(is_long, texts).otherwise(x["texts"]).alias("texts"), kind.alias("kind"))
 
-    def listed(marked: Column, kind: Column) -> Column:
-        texts = F.filter(F.transform(marked, lambda m: _fits(m["f"], kind)), lambda t: t.isNotNull())
-        path = F.transform(F.filter(marked, lambda m: (m["f"]["kind"] == "path") & (kind == "path")), lambda m: F.struct(F.try_variant_get(m["v"], "$.id", "string").alias("id"), F.try_variant_get(m["v"], "$.name", "string").alias("name")))
-        return F.struct(kind.alias("kind"), F.when(kind == "path", F.array().cast("array<string>")).otherwise(texts).alias("texts"), path.alias("path")).cast(_LIST)
+    def done(x: Column) -> Column:
+        kind, of = x["kind"], lambda i: F.get(x["kinds"], i)
+        texts = (
+            F.when(kind == "int", F.filter(x["texts"], lambda t: t.try_cast("int").isNotNull())).when(kind == "long", F.filter(x["texts"], lambda t: t.isNotNull()))
+            .when(kind == "string", F.filter(x["texts"], lambda _, i: of(i).isin("string", "long", "double"))).when(kind == "double", F.filter(x["texts"], lambda _, i: of(i) == "double")).otherwise(no_texts)
+        )
+        named = F.filter(x["elements"], lambda _, i: of(i) == "path")
+        path = F.transform(named, lambda e: F.struct(F.try_variant_get(_member(e, "id"), "$", "string").alias("id"), F.try_variant_get(_member(e, "name"), "$", "string").alias("name")))
+        return F.struct(kind.alias("kind"), texts.alias("texts"), F.when(kind == "path", path).otherwise(no_path).alias("path"))
 
-    return _let(F.transform(elements, lambda e: F.struct(e.alias("v"), _facts(e).alias("f"))), of)
+    steps = F.transform(lists, lambda v: F.struct(v.alias("v"), F.try_variant_get(v, "$", "array<variant>").alias("elements")))
+    for step in (known, begun, whole, done):
+        steps = F.transform(steps, step)
+    return steps
 
 
-def typed(v: Column) -> Column:
-    """A JSON value, a VARIANT, as a :data:`VALUE`.
+def typed_values(v: Column) -> Column:
+    """A JSON value, a VARIANT, as a :data:`VALUE`, in a list of one.
 
     Scalars are int, long, double or string; ``null`` is a value.  In a list the first
     element fixes the type: later numbers are cut to whole ones after an int or long, whole ones
@@ -98,44 +112,63 @@ def typed(v: Column) -> Column:
     Objects with a name are categories and a list of them a path.  Lists may be nested
     once, and the first inner list fixes the type of the others.  An object with a
     scalar name and value is an attribute, whose parts count if they are strings.
-    Anything else, deeper or empty lists too, has the kind null: no value."""
+    Anything else, deeper or empty lists too, has the kind null: no value.
+
+    What is used more than once is bound by ``transform`` over lists of one, step after step.
+    Taking it out of such a list inside the expression, or a cast to an equal type, would
+    be paid for again at each value."""
     no_texts, no_paths, no_attribute = F.array().cast("array<array<string>>"), F.array().cast(f"array<{_CATEGORY}>"), F.lit(None).cast(ATTRIBUTE)
 
     def value(kind: Column, texts: Column = no_texts, paths: Column = no_paths, own: Column = no_attribute) -> Column:
-        return F.struct(kind.alias("kind"), texts.alias("texts"), paths.alias("paths"), own.alias("attribute")).cast(VALUE)
+        return F.struct(kind.alias("kind"), texts.alias("texts"), paths.alias("paths"), own.alias("attribute"))
+
+    no_value = value(F.lit(None).cast("string"))
 
     def attribute() -> Column:
-        string = lambda p: F.when(F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING", F.try_variant_get(v, p, "string"))
-        return value(F.lit("attribute"), own=F.struct(string("$.name").alias("name"), string("$.code").alias("code"), string("$.value").alias("value")))
+        string = lambda name: F.when(F.schema_of_variant(_member(v, name)) == "STRING", F.try_variant_get(_member(v, name), "$", "string"))
+        return value(F.lit("attribute"), own=F.struct(string("name").alias("name"), string("code").alias("code"), string("value").alias("value")))
 
-    def of_list(elements: Column) -> Column:
-        return _let(_typed_list(elements), lambda flat: F.when(flat["kind"] == "path", value(F.lit("path"), paths=F.array(flat["path"]))).when(flat["kind"].isNotNull(), value(F.concat(flat["kind"], F.lit("[]")), F.array(flat["texts"]))).otherwise(_let(inner_lists(elements), of_nested)))
+    def inner_lists() -> Column:
+        inner = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("ARRAY"))
+        return F.filter(_typed_lists(inner), lambda x: x["kind"].isNotNull())
 
-    def inner_lists(elements: Column) -> Column:
-        inner = F.filter(F.transform(elements, lambda e: F.try_variant_get(e, "$", "array<variant>")), lambda e: e.isNotNull())
-        return F.filter(F.transform(inner, _typed_list), lambda x: x["kind"].isNotNull())
+    def of_list(x: Column) -> Column:
+        flat, kind = x["flat"], F.get(x["nested"], F.lit(0))["kind"]
+        alike = F.filter(x["nested"], lambda y: y["kind"] == kind)
+        return (
+            F.when(flat["kind"] == "path", value(F.lit("path"), paths=F.array(flat["path"])))
+            .when(flat["kind"].isNotNull(), value(F.concat(flat["kind"], F.lit("[]")), F.array(flat["texts"])))
+            .when(kind == "path", value(F.lit("path[]"), paths=alike["path"]))
+            .when(kind.isNotNull(), value(F.concat(kind, F.lit("[][]")), alike["texts"]))
+            .otherwise(no_value)
+        )
 
-    def of_nested(nested: Column) -> Column:
-        kind = F.get(nested, F.lit(0))["kind"]
-        alike = F.filter(nested, lambda x: x["kind"] == F.get(nested, F.lit(0))["kind"])
-        texts, paths = F.transform(alike, lambda x: x["texts"]), F.transform(alike, lambda x: x["path"])
-        return F.when(kind == "path", value(F.lit("path[]"), paths=paths)).when(kind.isNotNull(), value(F.concat(kind, F.lit("[][]")), texts)).otherwise(value(F.lit(None).cast("string")))
+    def scalar(kind: Column) -> Column:
+        return value(kind, F.array(F.array(F.try_variant_get(v, "$", "string"))))
 
-    def of(f: Column) -> Column:
+    def of_other(schema: Column) -> Column:
         return (
-            F.when(f["kind"] == "null", value(F.lit("null")))
-            .when(f["kind"] == "list", of_list(F.try_variant_get(v, "$", "array<variant>")))
-            .when((f["kind"] == "path") & _has_scalar(v, "$.value"), attribute())
-            .when(f["kind"].isin("int", "long", "double", "string"), value(f["kind"], F.array(F.array(f["text"]))))
-            .otherwise(value(F.lit(None).cast("string")))
+            F.when(schema == "BIGINT", scalar(F.when(F.try_variant_get(v, "$", "bigint").between(-_INT, _INT - 1), "int").otherwise("long")))
+            .when(schema.isin("STRING", "BOOLEAN"), scalar(F.lit("string")))
+            .when(_is_double(schema), scalar(F.lit("double")))
+            .when(schema == "VOID", value(F.lit("null")))
+            .when(_has_scalar(v, "name") & _has_scalar(v, "value"), attribute())
+            .otherwise(no_value)
         )
 
-    return _let(_facts(v), of)
+    both = F.transform(_typed_lists(F.array(v)), lambda flat: F.struct(flat.alias("flat"), F.when(flat["kind"].isNull(), inner_lists()).alias("nested")))
+    is_list = F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    return F.when(is_list, F.transform(both, of_list)).otherwise(F.transform(F.array(F.schema_of_variant(v)), of_other))
+
+
+def properties(json_text: Column) -> Column:
+    """The properties of a JSON object; null for what is no object."""
+    return F.try_variant_get(F.try_parse_json(json_text), "$", "map<string,variant>")
 
 
 def typed_data(json_text: Column) -> Column:
     """The properties of a JSON object with their typed values; null for what is no object."""
-    return F.transform_values(F.try_variant_get(F.try_parse_json(json_text), "$", "map<string,variant>"), lambda _, v: typed(v))
+    return F.transform_values(properties(json_text), lambda _, v: F.get(typed_values(v), F.lit(0)))
 
 
 def original_form(indexed: DataFrame, parts: list[str]) -> DataFrame:

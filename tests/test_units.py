@@ -630,6 +630,15 @@ def test_exclusive_facets_on_variants_equal_brute_force(spark):
         assert {(x.name, x.value): x.doc_count for x in got} == brute(master, variant)
 
 
+def test_typed_values_too_large_to_be_cut(spark):
+    """A double that no whole number of 38 digits holds is a value, and goes from a list of whole ones; it is no error."""
+    from stockweave.sources import documents
+
+    rows = [(0, '{"v": 1e300}'), (1, '{"v": [1, 1e300, -2.5, 1e20]}'), (2, '{"v": [3000000000, -1e300, 1e12]}'), (3, '{"v": [1e300, 7]}')]
+    got = spark.createDataFrame(rows, "i int, text string").select("i", documents.typed_data(F.col("text"))["v"].alias("v")).select("i", "v.*").collect()
+    assert {r.i: (r.kind, r.texts) for r in got} == {0: ("double", [["1.0E300"]]), 1: ("int[]", [["1", "-2"]]), 2: ("long[]", [["3000000000", "1000000000000"]]), 3: ("double[]", [["1.0E300"]])}
+
+
 def test_typed_values_of_documents(spark):
     from stockweave.sources import documents
 
